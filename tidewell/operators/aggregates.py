@@ -154,7 +154,9 @@ def summary(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     if not is_time(df, shape.ts):
         raise FrameError("summary needs a time index")
     at = tick(df, shape.ts)
-    stepped = neighbour(lay_out(df, shape), {"_t": at}).rows()
+    blocks = lay_out(df, shape)
+    small = not blocks.split
+    stepped = neighbour(blocks, {"_t": at}).rows()
     gaps = stepped.withColumn("_gap", elapsed(df, at, F.col("_t"), shape.ts))
     facts = gaps.groupBy(*shape.keys).agg(
         F.count(F.lit(1)).alias("length"),
@@ -171,8 +173,8 @@ def summary(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     parts = [
         per_value.agg(repeated.alias("duplicate_values")),
         per_index.agg(repeated.alias("duplicate_index")),
-        _percentiles(df, shape, shape.value, "value_percentiles"),
-        _percentiles(gaps, shape, "_gap", "distance_percentiles"),
+        _percentiles(df, shape, shape.value, "value_percentiles", small),
+        _percentiles(gaps, shape, "_gap", "distance_percentiles", small),
     ]
     for part in parts:
         facts = facts.join(part, list(shape.keys), "left") if shape.keys else facts.crossJoin(part)
@@ -180,6 +182,6 @@ def summary(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     return facts.withColumn("duration", duration)
 
 
-def _percentiles(df: DataFrame, shape: Shape, column: str, out: str) -> DataFrame:
-    found = quantiles(df, shape.keys, column, SUMMARY_PERCENTILES)
+def _percentiles(df: DataFrame, shape: Shape, column: str, out: str, small: bool) -> DataFrame:
+    found = quantiles(df, shape.keys, column, SUMMARY_PERCENTILES, small=small)
     return found.select(*shape.keys, F.col("quantiles").alias(out))

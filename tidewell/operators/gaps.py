@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, FrameError, Shape, get_attributes, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.filters import parse_instant
-from tidewell.plans.blocks import Blocks, grid, lay_out, neighbour, running
+from tidewell.plans.blocks import Blocks, grid, lay_out, neighbour, pin, running
 from tidewell.plans.ranks import quantiles
 
 INTERVAL = ("start_time", "end_time", "start_inclusive", "end_inclusive")
@@ -47,10 +47,13 @@ def add_bounds(df: DataFrame, start=None, end=None, shape: Shape = LONG, keys: D
     return rows.unionByName(missing.withColumn(shape.value, blank).select(*shape.index, shape.value))
 
 
-def _distances(df: DataFrame, shape: Shape) -> DataFrame:
+def _distances(df: DataFrame, shape: Shape) -> tuple[DataFrame, bool]:
+    """Neighbouring points with their distance, and whether each series fits one block."""
     now = tick(df, shape.ts)
-    stepped = neighbour(lay_out(df, shape), {"_before": now}).rows().where(F.col("_before").isNotNull())
-    return stepped.select(*shape.keys, "_before", now.alias("_now"), (now - F.col("_before")).alias("_distance"))
+    blocks = lay_out(df, shape)
+    stepped = neighbour(blocks, {"_before": now}).rows().where(F.col("_before").isNotNull())
+    rows = stepped.select(*shape.keys, "_before", now.alias("_now"), (now - F.col("_before")).alias("_distance"))
+    return rows, not blocks.split
 
 
 def expected_frequency(df: DataFrame, percentile: float = 0.5, min_points: int = 0, shape: Shape = LONG) -> DataFrame:
@@ -60,7 +63,8 @@ def expected_frequency(df: DataFrame, percentile: float = 0.5, min_points: int =
     """
     if not 0 < percentile <= 1:
         raise FrameError("the percentile must be in (0, 1]")
-    found = quantiles(_distances(df, shape), shape.keys, "_distance", [percentile], nearest=True)
+    rows, small = _distances(df, shape)
+    found = quantiles(rows, shape.keys, "_distance", [percentile], nearest=True, small=small)
     enough = F.when(F.col("n") + 1 >= F.lit(min_points), F.col("quantiles")[0]).otherwise(
         F.raise_error(F.lit(f"fewer than {min_points} data points")).cast("double")
     )
@@ -75,7 +79,7 @@ def _with_frequency(rows: DataFrame, frequency: int | DataFrame, shape: Shape) -
 
 def normalised_distances(df: DataFrame, frequency: int | DataFrame, shape: Shape = LONG) -> DataFrame:
     """Distance of each point to the one before, as a multiple of the expected frequency."""
-    rows = _with_frequency(_distances(df, shape), frequency, shape)
+    rows = _with_frequency(_distances(df, shape)[0], frequency, shape)
     return rows.select(
         *shape.keys,
         from_micros(F.col("_before")).alias("start_time"),
@@ -230,7 +234,7 @@ def boundary_values(df: DataFrame, intervals: DataFrame, shape: Shape = LONG) ->
 
 def gap_info(df: DataFrame, intervals: DataFrame, shape: Shape = LONG) -> DataFrame:
     """Merged intervals with size in seconds, the values beside them and their mean."""
-    merged = boundary_values(df, merge_intervals(intervals, shape.keys), shape)
+    merged = boundary_values(df, pin(merge_intervals(intervals, shape.keys)), shape)
     size = (F.unix_micros("end_time") - F.unix_micros("start_time")) / F.lit(1e6)
     mean = (F.col("value_to_left") + F.col("value_to_right")) / 2
     return merged.select(
@@ -288,7 +292,9 @@ def detect_gaps(
     parts: list[DataFrame] = []
     used: int | DataFrame | None = None
     if not only_external:
-        used = expected_frequency(bounded, percentile, min_points, shape) if auto_frequency else positive_duration(frequency)
+        used = positive_duration(frequency) if not auto_frequency else None
+        if auto_frequency:
+            used = pin(expected_frequency(bounded, percentile, min_points, shape))
         parts.append(wide_gaps(bounded, used, factor, shape))
         if offset is not None:
             parts.append(missing_rhythm_points(bare, used, parse_duration(offset), low, high, shape, series))
@@ -301,7 +307,8 @@ def detect_gaps(
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return gap_info(bounded, found, shape), used
+    # The intervals are used several times from here on and are few beside the rows.
+    return gap_info(bounded, pin(found), shape), used
 
 
 def default_offset(df: DataFrame, frequency: int, start=None, shape: Shape = LONG) -> DataFrame:

@@ -76,8 +76,15 @@ class Spread:
     high: float | None
 
 
-def measure(df: DataFrame, shape: Shape) -> Spread:
-    """One pass with map-side counts; only four numbers reach the driver."""
+def measure(df: DataFrame, shape: Shape, limit: int) -> Spread:
+    """Row counts; only a few numbers reach the driver.
+
+    A frame that fits one block as a whole is settled by its count, which for a plain table
+    comes from the file footers. Otherwise one more pass counts per series on the map side.
+    """
+    total = df.count() if limit >= 0 else None
+    if total is not None and total <= limit:
+        return Spread(total, total, None, None)
     at = tick(df, shape.ts)
     per_key = df.groupBy(*shape.keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")
@@ -92,13 +99,23 @@ def fullest_cell(df: DataFrame, shape: Shape, width: float) -> int:
     return counts.agg(F.max("count")).first()[0] or 0
 
 
-def lay_out(df: DataFrame, shape: Shape, order: tuple[str, ...] | None = None, by_range: bool = False) -> Blocks:
-    """Cut every series into blocks of consecutive rows, each small enough for one task."""
+def lay_out(
+    df: DataFrame, shape: Shape, order: tuple[str, ...] | None = None, by_range: bool = False, small: bool = False
+) -> Blocks:
+    """Cut every series into blocks of consecutive rows, each small enough for one task.
+
+    ``small`` says that the caller knows the series to fit one block, for instance because they
+    hold no more rows than a frame laid out before.
+    """
     order = order or shape.order
     limit = block_rows(df)
-    spread = measure(df, shape)
+    if small:
+        return Blocks(df, shape, order, False, limit)
+    spread = measure(df, shape, limit)
     if spread.longest <= limit and not by_range:
         return Blocks(df, shape, order, False, limit)
+    if spread.low is None:
+        spread = measure(df, shape, -1)
     span = float((spread.high or 0) - (spread.low or 0))
     if span > 0 and order[0] == shape.ts and not by_range:
         width = span * limit / spread.longest
@@ -255,7 +272,7 @@ def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]
     folded into one before the windows run and the results are joined back to the rows.
     """
     limit = block_rows(df)
-    spread = measure(df, shape)
+    spread = measure(df, shape, limit)
     at = tick(df, shape.ts)
     back = (-(width - 1), 0)
     if spread.longest <= limit:

@@ -12,18 +12,23 @@ from tidewell.plans.blocks import lay_out, running
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float], nearest: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    probabilities: Sequence[float],
+    nearest: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """Per key an array ``quantiles`` of exact quantiles of ``column`` and the row count ``n``.
 
     Rows are counted per distinct value on the map side. The running count over the ordered
     values then tells which value holds each rank, block by block for series with many distinct
-    values. ``nearest`` takes the nearest rank (ties to even) instead of interpolating.
+    values. ``nearest`` takes the nearest rank (ties to even) instead of interpolating, ``small`` is as in ``lay_out``.
     """
     shape = Shape(tuple(keys), "_value", "_value")
     present = df.select(*keys, F.col(column).alias("_value")).where(F.col("_value").isNotNull())
     counts = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = lay_out(counts, shape)
+    blocks = lay_out(counts, shape, small=small)
     totals = blocks.df.groupBy(*keys).agg(F.sum("_n").alias("n"))
     if not blocks.split and not nearest:
         wanted = F.percentile("_value", F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_n"))
