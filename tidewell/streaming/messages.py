@@ -101,7 +101,7 @@ def bind_inputs(messages: DataFrame, inputs: dict[str, dict], on_missing: str =
 
 def _value_struct(column: str, kind: str, output: str) -> Column:
     return F.struct(
-        F.col(column).alias("value"), F.lit(kind.upper()).alias("data_type"), F.lit(output).alias("output_name")
+        F.col(column).alias("value"), F.lit(f"metadata({kind})").alias("data_type"), F.lit(output).alias("output_name")
     )
 
 
