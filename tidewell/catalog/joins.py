@@ -84,7 +84,7 @@ def _substitute(spark, sf_dir):
     "time_to_length_constant_speed",
     f"""WITH {CTE_EVENTS} SELECT metric, timestamp, value,
     (epoch_us(timestamp) - min(epoch_us(timestamp)) OVER (PARTITION BY metric)) / 1e6 * 2.5 AS length FROM e""",
-    {"length": 5},
+    {"length": 8},
 )
 def _length(spark, sf_dir):
     return j.time_to_length(events(spark, sf_dir), 2.5)

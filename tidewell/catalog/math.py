@@ -47,8 +47,8 @@ BINARY_SQL = {
 }
 
 for _key, _sql in BINARY_SQL.items():
-    # Large powers are scaled down first, to keep the digits comparable.
-    _scale = "/ 100" if _key in ("power", "nth_root") else ""
+    # Arguments of powers are moved close to 1, to keep the digits comparable.
+    _scale = "/ 200 + 0.5" if _key in ("power", "nth_root") else ""
     _value = _sql.replace("l.value", f"(l.value {_scale})").replace("r.value", f"(r.value {_scale})")
 
     @query(
@@ -59,7 +59,7 @@ for _key, _sql in BINARY_SQL.items():
     def _binary(spark, sf_dir, key=_key, scale=_scale):
         left, right = both(spark, sf_dir)
         if scale:
-            left, right = (s.withColumn("value", F.col("value") / 100) for s in (left, right))
+            left, right = (s.withColumn("value", F.col("value") / 200 + 0.5) for s in (left, right))
         return a.apply_binary(left, right, key)
 
 

@@ -92,7 +92,7 @@ def add_frequency(ts: Column, frequency: int | Calendar, periods: int | Column =
     """
     count = periods if isinstance(periods, Column) else F.lit(periods)
     if not isinstance(frequency, Calendar):
-        return from_micros(F.unix_micros(ts) + count * F.lit(frequency))
+        return from_micros(F.unix_micros(ts) + count.cast("bigint") * F.lit(frequency))
     grain = next(g for g in (12, 3, 1) if frequency.months % g == 0)
     anchors = count * F.lit(frequency.months // grain)
     day_time = F.unix_micros(ts) - F.unix_micros(F.date_trunc("day", ts))

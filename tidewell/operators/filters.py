@@ -139,7 +139,7 @@ def _interval_frame(df: DataFrame, intervals: list[dict]) -> DataFrame:
         return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
     rows = [
-        (micros(i["start"]), micros(i["end"]), i["open_start"], i["open_end"], i["pos"], i.get("correction_value"))
+        (micros(i["start"]), micros(i["end"]), i["open_start"], i["open_end"], i["pos"], float(i.get("correction_value", 0)))
         for i in intervals
     ]
     schema = "_start bigint, _end bigint, _open_start boolean, _open_end boolean, _pos int, _correction double"

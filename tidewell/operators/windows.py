@@ -219,7 +219,7 @@ def timeshifted_table(df: DataFrame, freq: str, periods: int, shape: Shape = LON
         *shape.keys,
         tick(df, shape.ts).alias("_t"),
         F.col(shape.value).alias("_v"),
-        F.explode(F.array(*[F.lit(k) for k in counts])).alias("_k"),
+        F.explode(F.array(*[F.lit(k).cast("bigint") for k in counts])).alias("_k"),
     ).withColumn("_t", F.col("_t") + F.col("_k") * F.lit(step))
     cells = moved.groupBy(*shape.keys, "_t").agg(
         F.max(F.col("_k") == counts[0]).alias("_own"),

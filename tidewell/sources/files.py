@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidewell.frames import FrameError, nan_to_null
 
 SETTINGS_SUFFIX = ".settings.json"
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 # Names of file settings and the Spark option each one stands for.
 CSV_OPTIONS = {
@@ -53,7 +54,7 @@ def read_semicolon(spark: SparkSession, path: str, schema: T.StructType | str) -
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", **settings) -> None:
-    df.write.mode(mode).options(**csv_options(settings)).csv(path)
+    df.write.mode(mode).options(**{"timestampFormat": TIMESTAMP_FORMAT, **csv_options(settings)}).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

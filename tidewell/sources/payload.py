@@ -49,7 +49,7 @@ def decode_series(df: DataFrame, document: str, value_type: str = "double", time
     """Rows ``timestamp`` (or ``index``), ``value`` of every series document, beside the other columns."""
     whole = check_kind(F.col(document), "SERIES")
     content, orient = _content(F.col("_doc")), _orient(F.col("_doc"), "index")
-    split = F.from_json(content, T.StructType.fromDDL(f"index array<string>, data array<{value_type}>"))
+    split = F.from_json(content, f"index array<string>, data array<{value_type}>")
     flat = F.from_json(content, f"map<string,{value_type}>")
     listed = F.from_json(content, f"array<{value_type}>")
     pair = f"array<struct<i:string,v:{value_type}>>"
@@ -161,12 +161,10 @@ def encode_frame(df: DataFrame, shape: Shape = LONG, part_rows: int = PART_ROWS)
     columns = value_columns(df, shape)
     item = F.struct(F.col("_row").alias("row"), _label(df, shape).alias("i"), *[F.col(c) for c in columns])
     parts = _numbered(df, shape, part_rows).groupBy(*shape.keys, "part").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    cells = F.struct(
-        *[
-            F.map_from_entries(F.transform("items", lambda e, c=c: F.struct(e["i"], e[c]))).alias(c)
-            for c in columns
-        ]
-    )
+    def labelled(column: str) -> Column:
+        return F.map_from_entries(F.transform("items", lambda e: F.struct(e["i"], e[column]))).alias(column)
+
+    cells = F.struct(*[labelled(c) for c in columns])
     text = F.concat(
         F.lit(f'{{"{KIND}":"DATAFRAME","{METADATA}":'), _metadata_json(df, shape.ts), F.lit(f',"{DATA}":'),
         F.to_json(cells, {"ignoreNullFields": "false", "timestampFormat": ISO}), F.lit("}"),

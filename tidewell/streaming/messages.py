@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from tidewell.frames import FrameError
@@ -14,7 +13,7 @@ from tidewell.frames import FrameError
 VALUE = "struct<value:string,data_type:string,output_name:string>"
 
 # Field names and types of the envelope. Values are kept as JSON text.
-ENVELOPE = T.StructType.fromDDL(
+ENVELOPE = (
     f"transformation_id string, job_id string, message_creation_timestamp string, value {VALUE}, values map<string,{VALUE}>"
 )
 VALUE_TYPES = {"int": "bigint", "float": "double", "string": "string", "boolean": "boolean", "any": "string"}
@@ -145,5 +144,5 @@ def build_messages(
     else:
         body = F.struct(*[cell.alias(key) for key, cell in cells]).alias("values")
     document = F.to_json(F.struct(*head, body), {"ignoreNullFields": "false"})
-    kept = [c for c in df.columns if c not in {o["column"] for o in outputs}]
+    kept = [c for c in df.columns if c not in {"message", *(o["column"] for o in outputs)}]
     return df.select(*kept, document.alias("message"))
