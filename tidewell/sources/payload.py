@@ -65,43 +65,71 @@ def decode_series(df: DataFrame, document: str, value_type: str = "double", time
 
 
 def decode_frame(df: DataFrame, document: str, schema: T.StructType, time_index: bool = True) -> DataFrame:
-    """Rows of every frame document in one of the orients columns, index, records or split."""
-    whole = check_kind(F.col(document), "DATAFRAME")
-    content, orient = _content(F.col("_doc")), _orient(F.col("_doc"), "columns")
-    names = [f.name for f in schema]
-    strings = "map<string,string>"
-    by_column = F.from_json(content, f"map<string,{strings}>")
-    by_index = F.from_json(content, f"map<string,{strings}>")
-    records = F.from_json(content, f"array<{strings}>")
-    split = F.from_json(content, "columns array<string>, index array<string>, data array<array<string>>")
-    row = f"array<struct<i:string,m:{strings}>>"
-    labels = F.array_distinct(F.flatten(F.transform(F.map_values(by_column), F.map_keys)))
-    from_columns = F.transform(
-        labels,
-        lambda i: F.struct(i.alias("i"), F.transform_values(by_column, lambda _, m: F.try_element_at(m, i)).alias("m")),
+    """Rows of every frame document in one of the orients columns, index, records or split.
+
+    Each orient is parsed into fields of the given schema and zipped by position. Only a
+    document in the columns orient whose columns do not list the same index is looked up by
+    index label.
+    """
+    names = [f.name for f in schema if f.name != "timestamp" or not time_index]
+    plain = "string"
+
+    def fields(kind: str) -> str:
+        return ", ".join(f"`{n}` {kind}" for n in names)
+
+    entry = f"array<struct<i:string, {', '.join(f'`{n}`:string' for n in names)}>>"
+    doc = F.col("_doc")
+    rows = df.withColumn("_doc", check_kind(F.col(document), "DATAFRAME")).withColumns(
+        {"_content": _content(doc), "_orient": _orient(doc, "columns")}
+    )
+
+    def parsed(orient: str, kind: str) -> Column:
+        return F.when(F.col("_orient") == orient, F.from_json("_content", kind))
+
+    rows = rows.withColumns(
+        {
+            "_columns": parsed("columns", fields("map<string,string>")),
+            "_index": parsed("index", f"map<string,struct<{fields(plain)}>>"),
+            "_records": parsed("records", f"array<struct<{fields(plain)}>>"),
+            "_split": parsed("split", "columns array<string>, index array<string>, data array<array<string>>"),
+        }
+    )
+    columns, split = F.col("_columns"), F.col("_split")
+    keys = F.map_keys(columns[names[0]])
+    same = F.lit(True)
+    for n in names[1:]:
+        same = same & F.coalesce(F.map_keys(columns[n]) == keys, F.lit(False))
+    zipped = F.arrays_zip(keys, *[F.map_values(columns[n]) for n in names]).cast(entry)
+    labels = F.array_distinct(
+        F.flatten(F.array(*[F.coalesce(F.map_keys(columns[n]), F.array().cast("array<string>")) for n in names]))
     )
-    from_index = F.map_entries(by_index).cast(row)
-    from_records = F.transform(records, lambda m, i: F.struct(i.cast("string").alias("i"), m.alias("m")))
-    from_split = F.transform(
+    looked_up = F.transform(labels, lambda i: F.struct(i, *[F.try_element_at(columns[n], i) for n in names])).cast(entry)
+    by_index = F.transform(F.map_entries("_index"), lambda e: F.struct(e["key"], *[e["value"][n] for n in names]))
+    by_record = F.transform("_records", lambda r, i: F.struct(i.cast("string"), *[r[n] for n in names]))
+    place = {n: F.array_position(split["columns"], n).cast("int") for n in names}
+    by_split = F.transform(
         F.arrays_zip(split["index"].alias("i"), split["data"].alias("d")),
-        lambda e: F.struct(e["i"].alias("i"), F.map_from_arrays(split["columns"], e["d"]).alias("m")),
+        lambda e: F.struct(
+            e["i"], *[F.when(place[n] > 0, F.try_element_at(e["d"], F.greatest(place[n], F.lit(1)))) for n in names]
+        ),
     )
     entries = (
-        F.when(orient == "split", from_split.cast(row))
-        .when(orient == "records", from_records.cast(row))
-        .when(orient == "index", from_index)
-        .otherwise(from_columns.cast(row))
+        F.when(F.col("_orient") == "split", by_split.cast(entry))
+        .when(F.col("_orient") == "records", by_record.cast(entry))
+        .when(F.col("_orient") == "index", by_index.cast(entry))
+        .when(same, zipped)
+        .otherwise(looked_up)
     )
-    rows = df.withColumn("_doc", whole).withColumn("_entry", F.explode(entries))
     others = [c for c in df.columns if c != document]
+    exploded = rows.select(*others, F.explode(entries).alias("_entry"))
     index = F.col("_entry.i")
-    placed = _as_time(index).alias("timestamp") if time_index else index.alias("index")
-    cells = []
+    cells = [(_as_time(index) if time_index else index).alias("timestamp" if time_index else "index")]
     for field in schema:
-        text = F.try_element_at(F.col("_entry.m"), F.lit(field.name))
-        typed = _as_time(text) if isinstance(field.dataType, T.TimestampType) else text.try_cast(field.dataType)
-        cells.append(typed.alias(field.name))
-    return rows.select(*others, placed, *[c for c, n in zip(cells, names, strict=True) if n != "timestamp" or not time_index])
+        if field.name in names:
+            text = F.col("_entry")[field.name]
+            typed = _as_time(text) if isinstance(field.dataType, T.TimestampType) else text.try_cast(field.dataType)
+            cells.append(typed.alias(field.name))
+    return exploded.select(*others, *cells)
 
 
 def document_metadata(document: Column) -> Column:

@@ -131,7 +131,7 @@ class JsonReader(DataSourceReader):
     def read(self, partition: Request) -> Iterator[pa.RecordBatch]:
         """Arrow batches, so that rows reach Spark without a step per row."""
         low, high = parse_instant(partition.start), parse_instant(partition.end)
-        schema = to_arrow_schema(self.schema, timezone="UTC")
+        schema = to_arrow_schema(self.schema)
         lines = (line for line in _lines(self.base, self.endpoint, partition, self.params) if line.strip())
         while batch := list(islice(lines, ROWS_PER_BATCH)):
             records = [json.loads(line) for line in batch]
