@@ -242,7 +242,7 @@ def _collapse(df: DataFrame, shape: Shape, kinds: set[str]) -> DataFrame:
     """Fold rows of one timestamp into one row (per value where a median is asked for)."""
     value = F.col(shape.value)
     per = [*shape.index, shape.value] if "median" in kinds else list(shape.index)
-    states = {"_n": F.count(value), "_sum": F.sum(value), "_squares": F.sum(value * value)}
+    states = {"_n": F.count(value), "_mean": F.avg(value), "_spread": F.var_pop(value) * F.count(value)}
     if "median" not in kinds:
         states |= {"_min": F.min(value), "_max": F.max(value)}
     return df.groupBy(*per).agg(*[expr.alias(out) for out, expr in states.items()])
@@ -253,15 +253,15 @@ def _folded(kind: str, shape: Shape, over: WindowSpec) -> Column:
         return F.percentile(F.when(F.col("_n") > 0, F.col(shape.value)), 0.5, F.col("_n")).over(over)
     if kind in ("min", "max"):
         return {"min": F.min, "max": F.max}[kind](f"_{kind}").over(over)
-    total, count = F.sum("_sum").over(over), F.sum("_n").over(over)
+    count = F.sum("_n").over(over)
     if kind == "mean":
-        return F.try_divide(total, count)
-    # Squares around the mean of the block keep the difference of large sums accurate.
-    shifted = F.sum(F.col("_sum") - F.col("_n") * F.col("_centre")).over(over)
-    squares = F.sum(
-        F.col("_squares") - 2 * F.col("_centre") * F.col("_sum") + F.col("_n") * F.col("_centre") * F.col("_centre")
-    ).over(over)
-    return F.sqrt(F.greatest(F.try_divide(squares - shifted * shifted / count, count - 1), F.lit(0.0)))
+        return F.try_divide(F.sum(F.col("_n") * F.col("_mean")).over(over), count)
+    # Distances from the mean of the block keep the difference of the sums accurate.
+    away = F.col("_mean") - F.col("_centre")
+    shifted = F.sum(F.col("_n") * away).over(over)
+    squares = F.sum(F.col("_spread") + F.col("_n") * away * away).over(over)
+    variance = F.try_divide(squares - F.try_divide(shifted * shifted, count), count - 1)
+    return F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
 def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]) -> DataFrame:
@@ -302,7 +302,7 @@ def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]
         )
         return framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_tick", BLOCK)
     if "std" in columns.values():
-        centre = F.try_divide(F.sum("_sum").over(whole), F.sum("_n").over(whole))
+        centre = F.try_divide(F.sum(F.col("_n") * F.col("_mean")).over(whole), F.sum("_n").over(whole))
         copies = copies.withColumn("_centre", centre)
     framed = copies.withColumns({out: _folded(kind, shape, over) for out, kind in columns.items()})
     found = framed.where(F.col("_home") == F.col(BLOCK)).select(*shape.index, *columns).distinct()
