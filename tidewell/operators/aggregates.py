@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, elapsed, is_time, numeric_columns, require_columns, tick
 from tidewell.operators.joins import align, trapezoid
-from tidewell.plans.blocks import lay_out, neighbour
+from tidewell.plans.blocks import join_per_series, lay_out, neighbour
 from tidewell.plans.ranks import quantiles
 
 # The percentiles of a summary.
@@ -98,31 +100,48 @@ def regression_of_two(x: DataFrame, y: DataFrame, shape: Shape = LONG) -> dict[s
     fit = pairs.groupBy(*shape.keys).agg(
         F.regr_intercept("right", "left").alias("intercept"), F.regr_slope("right", "left").alias("slope")
     )
-    joined = pairs.join(fit, list(shape.keys)) if shape.keys else pairs.crossJoin(F.broadcast(fit))
+    joined = join_per_series(pairs, fit, shape.keys)
     predicted = F.col("intercept") + F.col("slope") * F.col("left")
     scored = joined.select(*shape.index, predicted.alias("preds"), (predicted - F.col("right")).alias("diffs"))
     return {"fit": fit, "scored": scored}
 
 
 def linear_regression(df: DataFrame, x_columns: list[str], y_columns: list[str], index: tuple[str, ...] = ()) -> dict:
-    """Least squares of several targets on several features: coefficients, residuals and models."""
+    """Least squares of several targets on several features: coefficients and residuals.
+
+    All means and covariances come from one aggregation over the rows, whatever the number of
+    targets; the driver solves a system of the size of the feature list. Rows with a missing
+    feature or target are left out.
+    """
     require_columns(df, *x_columns, *y_columns, *index)
     rows = df.na.drop("any", subset=[*x_columns, *y_columns])
-    features = VectorAssembler(inputCols=x_columns, outputCol="_features").transform(rows)
-    models, scored, coefficients = {}, features, []
+    means = [F.avg(c).alias(f"m_{c}") for c in (*x_columns, *y_columns)]
+    pairs = [(a, b) for a in x_columns for b in (*x_columns, *y_columns)]
+    moments = rows.agg(*means, *[F.covar_pop(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    if moments[0] is None:
+        raise FrameError("a regression needs rows without missing values")
+    spread = {pair: moments[f"c{i}"] for i, pair in enumerate(pairs)}
+    matrix = np.array([[spread[a, b] for b in x_columns] for a in x_columns])
+    scored, coefficients, out = rows, [], []
     for target in y_columns:
-        model = LinearRegression(
-            featuresCol="_features", labelCol=target, predictionCol=f"{target}_pred", solver="normal", regParam=0.0
-        ).fit(features)
-        models[target] = model
-        coefficients.append((target, "intercept", float(model.intercept)))
-        coefficients += [(target, c, float(v)) for c, v in zip(x_columns, model.coefficients, strict=True)]
-        scored = model.transform(scored)
-    spark = df.sparkSession
-    table = spark.createDataFrame(coefficients, "target string, term string, coefficient double")
-    out = [F.col(f"{t}_pred") for t in y_columns]
-    diffs = [(F.col(f"{t}_pred") - F.col(t)).alias(f"{t}_diff") for t in y_columns]
-    return {"coefficients": table, "scored": scored.select(*index, *out, *diffs), "models": models}
+        weights = np.linalg.lstsq(matrix, np.array([spread[a, target] for a in x_columns]), rcond=None)[0]
+        intercept = moments[f"m_{target}"] - sum(w * moments[f"m_{c}"] for w, c in zip(weights, x_columns, strict=True))
+        coefficients.append((target, "intercept", float(intercept)))
+        coefficients += [(target, c, float(w)) for c, w in zip(x_columns, weights, strict=True)]
+        line: Column = F.lit(float(intercept))
+        for c, w in zip(x_columns, weights, strict=True):
+            line = line + F.lit(float(w)) * F.col(c)
+        out += [line.alias(f"{target}_pred"), (line - F.col(target)).alias(f"{target}_diff")]
+    table = df.sparkSession.createDataFrame(coefficients, "target string, term string, coefficient double")
+    return {"coefficients": table, "scored": scored.select(*index, *out)}
+
+
+def fit_regression(df: DataFrame, x_columns: list[str], target: str) -> PipelineModel:
+    """A pyspark.ml model of one target, for the model store and for batch scoring."""
+    rows = df.na.drop("any", subset=[*x_columns, target])
+    assemble = VectorAssembler(inputCols=x_columns, outputCol="features")
+    fit = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0)
+    return Pipeline(stages=[assemble, fit]).fit(rows)
 
 
 def standard_scale(df: DataFrame, shape: Shape = LONG, columns: list[str] | None = None) -> DataFrame:
@@ -131,7 +150,7 @@ def standard_scale(df: DataFrame, shape: Shape = LONG, columns: list[str] | None
     stats = df.groupBy(*shape.keys).agg(
         *[F.avg(c).alias(f"_avg_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_std_{c}") for c in columns]
     )
-    joined = df.join(stats, list(shape.keys)) if shape.keys else df.crossJoin(F.broadcast(stats))
+    joined = join_per_series(df, stats, shape.keys)
     scaled = {
         c: (F.col(c) - F.col(f"_avg_{c}")) / F.when(F.col(f"_std_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_std_{c}"))
         for c in columns
@@ -158,30 +177,32 @@ def summary(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     small = not blocks.split
     stepped = neighbour(blocks, {"_t": at}).rows()
     gaps = stepped.withColumn("_gap", elapsed(df, at, F.col("_t"), shape.ts))
+    value, gap = F.col(shape.value), F.col("_gap")
+    wanted = F.array(*[F.lit(p) for p in SUMMARY_PERCENTILES])
     facts = gaps.groupBy(*shape.keys).agg(
         F.count(F.lit(1)).alias("length"),
-        *_describe(F.col(shape.value), "value"),
-        *_describe(F.col("_gap"), "distance"),
+        *_describe(value, "value"),
+        *_describe(gap, "distance"),
         F.min(shape.ts).alias("first_index"),
         F.max(shape.ts).alias("last_index"),
         F.min_by(shape.value, F.struct(*shape.order)).alias("first_value"),
         F.max_by(shape.value, F.struct(*shape.order)).alias("last_value"),
+        F.count_if(F.col("_t") == at).alias("duplicate_index"),
+        # Series of one block: their percentile states are small enough for this aggregation.
+        *([F.percentile(value, wanted).alias("value_percentiles")] if small else []),
+        *([F.percentile(gap, wanted).alias("distance_percentiles")] if small else []),
     )
     per_value = df.groupBy(*shape.keys, shape.value).count().groupBy(*shape.keys)
-    per_index = df.groupBy(*shape.index).count().groupBy(*shape.keys)
-    repeated = F.sum(F.col("count") - 1)
-    parts = [
-        per_value.agg(repeated.alias("duplicate_values")),
-        per_index.agg(repeated.alias("duplicate_index")),
-        _percentiles(df, shape, shape.value, "value_percentiles", small),
-        _percentiles(gaps, shape, "_gap", "distance_percentiles", small),
-    ]
+    parts = [per_value.agg(F.sum(F.col("count") - 1).alias("duplicate_values"))]
+    if not small:
+        parts.append(_percentiles(df, shape, shape.value, "value_percentiles"))
+        parts.append(_percentiles(gaps, shape, "_gap", "distance_percentiles"))
     for part in parts:
         facts = facts.join(part, list(shape.keys), "left") if shape.keys else facts.crossJoin(part)
-    duration = (F.unix_micros(F.col("last_index").cast("timestamp")) - F.unix_micros(F.col("first_index").cast("timestamp"))) / F.lit(1e6)
-    return facts.withColumn("duration", duration)
+    first, last = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_index", "last_index"))
+    return facts.withColumn("duration", (last - first) / F.lit(1e6))
 
 
-def _percentiles(df: DataFrame, shape: Shape, column: str, out: str, small: bool) -> DataFrame:
-    found = quantiles(df, shape.keys, column, SUMMARY_PERCENTILES, small=small)
+def _percentiles(df: DataFrame, shape: Shape, column: str, out: str) -> DataFrame:
+    found = quantiles(df, shape.keys, column, SUMMARY_PERCENTILES)
     return found.select(*shape.keys, F.col("quantiles").alias(out))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, numeric_columns, require_columns, tick, value_columns
 from tidewell.operators.joins import align, unique_index
-from tidewell.plans.blocks import any_of, interval_matches, lay_out, number_rows
+from tidewell.plans.blocks import any_of, interval_matches, join_per_series, lay_out, narrowed, number_rows
 
 LITERAL_INTERVALS = 16
 
@@ -45,7 +45,7 @@ def filter_by(data: DataFrame, mask: DataFrame, shape: Shape = LONG, flag: str =
     value = F.col(flag)
     keep = value.isNull() | value.cast("boolean")
     kept = unique_index(mask.select(*shape.index, keep.alias("_keep")), shape, ["_keep"]).where("_keep")
-    return data.join(kept.select(*shape.index), list(shape.index), "left_semi")
+    return narrowed(data.join(kept.select(*shape.index), list(shape.index), "left_semi"), data)
 
 
 def parse_instant(text: str | dt.datetime | None) -> dt.datetime | None:
@@ -63,11 +63,12 @@ def restrict_to_time_interval(
     low, high = parse_instant(start), parse_instant(stop)
     if low is not None and high is not None and low > high:
         raise ValueError(f"start {start} is after stop {stop}")
+    kept = df
     if low is not None:
-        df = df.where(F.col(shape.ts) >= F.lit(low))
+        kept = kept.where(F.col(shape.ts) >= F.lit(low))
     if high is not None:
-        df = df.where(F.col(shape.ts) <= F.lit(high))
-    return df
+        kept = kept.where(F.col(shape.ts) <= F.lit(high))
+    return narrowed(kept, df)
 
 
 def cut_above(df: DataFrame, limit: float, shape: Shape = LONG, frame: bool = False) -> DataFrame:
@@ -82,13 +83,13 @@ def cut_below(df: DataFrame, limit: float, shape: Shape = LONG, frame: bool = Fa
 
 def _cut(df: DataFrame, keep: Callable[[Column], Column], shape: Shape, frame: bool) -> DataFrame:
     if not frame:
-        return df.where(keep(F.col(shape.value)))
-    return df.withColumns({c: F.when(keep(F.col(c)), F.col(c)) for c in numeric_columns(df, shape)})
+        return narrowed(df.where(keep(F.col(shape.value))), df)
+    return narrowed(df.withColumns({c: F.when(keep(F.col(c)), F.col(c)) for c in numeric_columns(df, shape)}), df)
 
 
 def drop_missing(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     """Rows without a missing value in any value column."""
-    return df.na.drop("any", subset=value_columns(df, shape))
+    return narrowed(df.na.drop("any", subset=value_columns(df, shape)), df)
 
 
 def drop_duplicates(df: DataFrame, shape: Shape = LONG) -> DataFrame:
@@ -192,7 +193,7 @@ def thin_out(df: DataFrame, points: int, shape: Shape = LONG) -> DataFrame:
     n = F.bround((F.col("_count") - 1) / F.lit(points - 1)).cast("bigint")
     strides = counts.withColumn("_stride", F.when(F.col("_count") >= points, F.greatest(n, F.lit(1))).otherwise(F.lit(1)))
     numbered = number_rows(lay_out(df, shape)).rows()
-    joined = numbered.join(strides, list(shape.keys)) if shape.keys else numbered.crossJoin(strides)
+    joined = join_per_series(numbered, strides, shape.keys)
     return joined.where((F.col("_row") - 1) % F.col("_stride") == 0).select(*df.columns)
 
 

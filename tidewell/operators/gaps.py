@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, FrameError, Shape, get_attributes, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.filters import parse_instant
-from tidewell.plans.blocks import Blocks, grid, lay_out, neighbour, pin, running
+from tidewell.plans.blocks import Blocks, grid, join_per_series, lay_out, neighbour, pin, running, settle
 from tidewell.plans.ranks import quantiles
 
 INTERVAL = ("start_time", "end_time", "start_inclusive", "end_inclusive")
@@ -47,12 +47,13 @@ def add_bounds(df: DataFrame, start=None, end=None, shape: Shape = LONG, keys: D
     return rows.unionByName(missing.withColumn(shape.value, blank).select(*shape.index, shape.value))
 
 
-def _distances(df: DataFrame, shape: Shape) -> tuple[DataFrame, bool]:
-    """Neighbouring points with their distance, and whether each series fits one block."""
-    now = tick(df, shape.ts)
+def _steps(df: DataFrame, shape: Shape) -> tuple[DataFrame, bool]:
+    """Neighbouring points with their values and distance, and whether each series fits one block."""
+    now, value = tick(df, shape.ts), F.col(shape.value)
     blocks = lay_out(df, shape)
-    stepped = neighbour(blocks, {"_before": now}).rows().where(F.col("_before").isNotNull())
-    rows = stepped.select(*shape.keys, "_before", now.alias("_now"), (now - F.col("_before")).alias("_distance"))
+    stepped = neighbour(blocks, {"_before": now, "_left": value}).rows().where(F.col("_before").isNotNull())
+    distance = (now - F.col("_before")).alias("_distance")
+    rows = stepped.select(*shape.keys, "_before", now.alias("_now"), distance, "_left", value.alias("_right"))
     return rows, not blocks.split
 
 
@@ -63,7 +64,7 @@ def expected_frequency(df: DataFrame, percentile: float = 0.5, min_points: int =
     """
     if not 0 < percentile <= 1:
         raise FrameError("the percentile must be in (0, 1]")
-    rows, small = _distances(df, shape)
+    rows, small = _steps(df, shape)
     found = quantiles(rows, shape.keys, "_distance", [percentile], nearest=True, small=small)
     enough = F.when(F.col("n") + 1 >= F.lit(min_points), F.col("quantiles")[0]).otherwise(
         F.raise_error(F.lit(f"fewer than {min_points} data points")).cast("double")
@@ -74,26 +75,35 @@ def expected_frequency(df: DataFrame, percentile: float = 0.5, min_points: int =
 def _with_frequency(rows: DataFrame, frequency: int | DataFrame, shape: Shape) -> DataFrame:
     if not isinstance(frequency, DataFrame):
         return rows.withColumn("frequency", F.lit(frequency))
-    return rows.join(frequency, list(shape.keys)) if shape.keys else rows.crossJoin(F.broadcast(frequency))
+    return join_per_series(rows, frequency, shape.keys)
 
 
-def normalised_distances(df: DataFrame, frequency: int | DataFrame, shape: Shape = LONG) -> DataFrame:
-    """Distance of each point to the one before, as a multiple of the expected frequency."""
-    rows = _with_frequency(_distances(df, shape)[0], frequency, shape)
+def _normalised_steps(df: DataFrame, frequency: int | DataFrame, shape: Shape) -> DataFrame:
+    rows = _with_frequency(_steps(df, shape)[0], frequency, shape)
     return rows.select(
         *shape.keys,
         from_micros(F.col("_before")).alias("start_time"),
         from_micros(F.col("_now")).alias("end_time"),
         (F.col("_distance") / F.col("frequency")).alias("normalised"),
+        F.lit(False).alias("start_inclusive"),
+        F.lit(False).alias("end_inclusive"),
+        F.col("_left").alias("value_to_left"),
+        F.col("_right").alias("value_to_right"),
     )
 
 
+def normalised_distances(df: DataFrame, frequency: int | DataFrame, shape: Shape = LONG) -> DataFrame:
+    """Distance of each point to the one before, as a multiple of the expected frequency."""
+    return _normalised_steps(df, frequency, shape).select(*shape.keys, "start_time", "end_time", "normalised")
+
+
+def _wide_steps(df: DataFrame, frequency: int | DataFrame, factor: float, shape: Shape) -> DataFrame:
+    return _normalised_steps(df, frequency, shape).where(F.col("normalised") > F.lit(float(factor)))
+
+
 def wide_gaps(df: DataFrame, frequency: int | DataFrame, factor: float = 1.0, shape: Shape = LONG) -> DataFrame:
     """Open intervals between neighbouring points further apart than ``factor`` times the frequency."""
-    wide = normalised_distances(df, frequency, shape).where(F.col("normalised") > F.lit(float(factor)))
-    return wide.select(
-        *shape.keys, "start_time", "end_time", F.lit(False).alias("start_inclusive"), F.lit(False).alias("end_inclusive")
-    )
+    return _wide_steps(df, frequency, factor, shape).select(*shape.keys, *INTERVAL)
 
 
 def rhythm_floor(at: Column, frequency: Column, offset: Column) -> Column:
@@ -234,12 +244,15 @@ def boundary_values(df: DataFrame, intervals: DataFrame, shape: Shape = LONG) ->
 
 def gap_info(df: DataFrame, intervals: DataFrame, shape: Shape = LONG) -> DataFrame:
     """Merged intervals with size in seconds, the values beside them and their mean."""
-    merged = boundary_values(df, pin(merge_intervals(intervals, shape.keys)), shape)
+    return _described(boundary_values(df, pin(merge_intervals(intervals, shape.keys)), shape), shape)
+
+
+def _described(gaps: DataFrame, shape: Shape) -> DataFrame:
     size = (F.unix_micros("end_time") - F.unix_micros("start_time")) / F.lit(1e6)
-    mean = (F.col("value_to_left") + F.col("value_to_right")) / 2
-    return merged.select(
-        *shape.keys, *INTERVAL, size.alias("gap_size_in_seconds"), "value_to_left", "value_to_right",
-        mean.alias("mean_left_right"),
+    left, right = F.col("value_to_left").cast("double"), F.col("value_to_right").cast("double")
+    return gaps.select(
+        *shape.keys, *INTERVAL, size.alias("gap_size_in_seconds"), left.alias("value_to_left"),
+        right.alias("value_to_right"), ((left + right) / 2).alias("mean_left_right"),
     )
 
 
@@ -289,12 +302,16 @@ def detect_gaps(
     bare = constrict_series(df, low, high, shape)
     series = df if low is not None or high is not None else None
     bounded = add_bounds(bare, low, high, shape, series)
-    parts: list[DataFrame] = []
     used: int | DataFrame | None = None
     if not only_external:
         used = positive_duration(frequency) if not auto_frequency else None
         if auto_frequency:
-            used = pin(expected_frequency(bounded, percentile, min_points, shape))
+            used = settle(expected_frequency(bounded, percentile, min_points, shape))
+        if offset is None and gap_timestamps is None and gap_intervals is None:
+            # Gaps between neighbours do not overlap, and the neighbours are the values beside them.
+            return _described(_wide_steps(bounded, used, factor, shape), shape), used
+    parts: list[DataFrame] = []
+    if used is not None:
         parts.append(wide_gaps(bounded, used, factor, shape))
         if offset is not None:
             parts.append(missing_rhythm_points(bare, used, parse_duration(offset), low, high, shape, series))
@@ -333,7 +350,7 @@ def rhythm_points(
     rows = _with_frequency(intervals.select(*keys, *INTERVAL), frequency, shape)
     low, high = F.unix_micros("start_time"), F.unix_micros("end_time")
     if isinstance(offset, DataFrame):
-        rows = rows.join(offset, keys, "left") if keys else rows.crossJoin(F.broadcast(offset))
+        rows = join_per_series(rows, offset, keys, "left")
         rows = rows.withColumn("offset", F.coalesce("offset", low))
     else:
         rows = rows.withColumn("offset", low if offset is None else F.lit(offset))
@@ -378,7 +395,7 @@ def replacement_locations(
     bare = None if df is None else constrict_series(df, low, high, shape)
     used: int | DataFrame
     if auto_frequency:
-        used = expected_frequency(add_bounds(bare, low, high, shape), percentile, min_points, shape)
+        used = settle(expected_frequency(add_bounds(bare, low, high, shape), percentile, min_points, shape))
     else:
         used = positive_duration(frequency)
     phase: int | DataFrame | None = None

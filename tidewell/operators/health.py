@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, Shape, tick
 from tidewell.functions.durations import UNIT_MICROS, from_micros, positive_duration
-from tidewell.plans.blocks import grid, lay_out, neighbour
+from tidewell.plans.blocks import grid, join_per_series, lay_out, narrowed, neighbour
 
 
 def alerts_from_score(df: DataFrame, threshold: float, shape: Shape = LONG) -> DataFrame:
     """Changes of ``score > threshold``: 1 where it starts, -1 where it ends, 0 elsewhere."""
     above = F.coalesce((F.col(shape.value) > F.lit(float(threshold))).cast("int"), F.lit(0))
-    flagged = lay_out(df.withColumn("_above", above), shape)
+    flagged = lay_out(narrowed(df.withColumn("_above", above), df), shape)
     stepped = neighbour(flagged, {"_before": F.col("_above")}).rows()
     change = F.coalesce(F.col("_above") - F.col("_before"), F.lit(0))
     return stepped.select(*shape.index, *shape.tie, change.alias("alert"))
@@ -30,7 +30,7 @@ def remaining_life(
     points = df.na.drop("any", subset=[shape.value])
     at = tick(df, shape.ts)
     starts = points.groupBy(*shape.keys).agg(F.min(at).alias("_start"), F.max(at).alias("_end"))
-    joined = points.join(starts, list(shape.keys)) if shape.keys else points.crossJoin(F.broadcast(starts))
+    joined = join_per_series(points, starts, shape.keys)
     seconds = (at - F.col("_start")) / F.lit(1e6)
     fit = joined.groupBy(*shape.keys, "_start", "_end").agg(
         F.regr_slope(F.col(shape.value), seconds).alias("slope"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, elapsed, is_time, require_columns, tick, value_columns
-from tidewell.plans.blocks import lay_out, neighbour, running
+from tidewell.plans.blocks import join_per_series, lay_out, neighbour, running
 
 
 def unique_index(df: DataFrame, shape: Shape, columns: list[str] | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def time_to_length(data: DataFrame, speed: DataFrame | float, shape: Shape = LON
         raise FrameError("time_to_length needs a time index")
     if not isinstance(speed, DataFrame):
         start = data.groupBy(*shape.keys).agg(F.min(tick(data, shape.ts)).alias("_start"))
-        joined = data.join(start, list(shape.keys)) if shape.keys else data.crossJoin(start)
+        joined = join_per_series(data, start, shape.keys)
         length = (tick(data, shape.ts) - F.col("_start")) / F.lit(1e6) * F.lit(float(speed))
         return joined.select(*shape.index, length.alias("length"), shape.value)
     ordered = lay_out(speed.na.drop("any", subset=[shape.value]), shape)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.frames import LONG, FrameError, Shape, is_time, tick
-from tidewell.plans.blocks import BLOCK, lay_out, neighbour
+from tidewell.plans.blocks import BLOCK, join_per_series, lay_out, neighbour
 
 
 def lowpass(df: DataFrame, frequency: float, shape: Shape = LONG) -> DataFrame:
@@ -50,7 +50,7 @@ def _first_order(df: DataFrame, frequency: float, shape: Shape, high: bool) -> D
     keys = list(shape.keys)
     blocks = lay_out(df.withColumn("_x", F.col(shape.value).cast("double")), shape)
     stepped = neighbour(blocks, {"_before": F.coalesce(F.col("_x"), F.lit(float("nan")))})
-    rows = stepped.df.join(rates, keys) if keys else stepped.df.crossJoin(F.broadcast(rates))
+    rows = join_per_series(stepped.df, rates, keys)
     before = F.coalesce("_before", F.lit(0.0))
     x = F.coalesce(F.col("_x"), F.lit(float("nan")))
     driven = rows.withColumn("_drive", F.col("_gain") * ((x - before) if high else (x + before)))

@@ -17,7 +17,7 @@ from tidewell.functions.durations import (
 )
 from tidewell.operators.joins import unique_index
 from tidewell.operators.windows import fill_between
-from tidewell.plans.blocks import grid, lay_out, row_frames
+from tidewell.plans.blocks import grid, join_per_series, lay_out, row_frames
 
 DAY = UNIT_MICROS["D"]
 
@@ -33,7 +33,7 @@ def _with_bins(df: DataFrame, step: int, shape: Shape) -> DataFrame:
     if DAY % step == 0:
         return df.withColumn("_bin", F.floor(at / F.lit(step)) * F.lit(step))
     first = df.groupBy(*shape.keys).agg((F.floor(F.min(at) / F.lit(DAY)) * F.lit(DAY)).alias("_origin"))
-    joined = df.join(first, list(shape.keys)) if shape.keys else df.crossJoin(F.broadcast(first))
+    joined = join_per_series(df, first, shape.keys)
     origin = F.col("_origin")
     return joined.withColumn("_bin", origin + F.floor((at - origin) / F.lit(step)) * F.lit(step)).drop("_origin")
 
@@ -75,7 +75,7 @@ def _resample_calendar(df: DataFrame, frequency: Calendar, folds: list[Column],
     unit = next(g for g in (12, 3, 1) if months % g == 0)
     periods = df.withColumn("_period", F.floor(number / F.lit(unit)))
     first = periods.groupBy(*shape.keys).agg(F.min("_period").alias("_first"))
-    joined = periods.join(first, list(shape.keys)) if shape.keys else periods.crossJoin(F.broadcast(first))
+    joined = join_per_series(periods, first, shape.keys)
     size = months // unit
     # Periods labelled at their end close there, so the first one is a bin of its own.
     shift = size - 1 if frequency.at_end else 0

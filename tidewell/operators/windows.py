@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, FrameError, Shape, elapsed, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.joins import unique_index
-from tidewell.plans.blocks import lay_out, neighbour, number_rows, row_frames, running, time_frames
+from tidewell.plans.blocks import lay_out, narrowed, neighbour, number_rows, row_frames, running, time_frames
 
 STATISTICS = ("mean", "std", "min", "max", "median")
 
@@ -23,7 +23,7 @@ def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> Data
     """Statistic over the last ``n`` points, missing until there are n of them."""
     if n < 1:
         raise FrameError("n must be positive")
-    points = df.na.drop("any", subset=[shape.value])
+    points = narrowed(df.na.drop("any", subset=[shape.value]), df)
     value = F.col(shape.value)
 
     def make(over: WindowSpec) -> Column:
@@ -31,20 +31,20 @@ def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> Data
         return F.when(F.count(value).over(frame) == n, _statistic(kind, value, frame))
 
     framed = row_frames(lay_out(points, shape), n - 1, 0, {"_stat": make})
-    return framed.withColumn(shape.value, F.col("_stat")).drop("_stat")
+    return narrowed(framed.withColumn(shape.value, F.col("_stat")).drop("_stat"), framed)
 
 
 def moving_time(df: DataFrame, kind: str, t: str, shape: Shape = LONG) -> DataFrame:
     """Statistic over the points in ``(ts - t, ts]``."""
-    points = df.na.drop("any", subset=[shape.value])
+    points = narrowed(df.na.drop("any", subset=[shape.value]), df)
     framed = time_frames(points, shape, positive_duration(t), {"_stat": kind})
-    return framed.withColumn(shape.value, F.col("_stat")).select(*df.columns)
+    return narrowed(framed.withColumn(shape.value, F.col("_stat")).select(*df.columns), framed)
 
 
 def smooth(df: DataFrame, window_size: str, shape: Shape = LONG) -> DataFrame:
     """Moving mean over a time window; rows with a missing value stay and are skipped in the mean."""
     framed = time_frames(df, shape, positive_duration(window_size), {"_stat": "mean"})
-    return framed.withColumn(shape.value, F.col("_stat")).select(*df.columns)
+    return narrowed(framed.withColumn(shape.value, F.col("_stat")).select(*df.columns), framed)
 
 
 def filter_outliers(df: DataFrame, factor: float, window_size: str, shape: Shape = LONG) -> DataFrame:
@@ -53,14 +53,15 @@ def filter_outliers(df: DataFrame, factor: float, window_size: str, shape: Shape
     reach = F.lit(float(factor)) * F.col("_std")
     value = F.col(shape.value)
     inside = (value > F.col("_mean") - reach) & (value < F.col("_mean") + reach)
-    return framed.where(inside).select(*df.columns)
+    return narrowed(framed.where(inside).select(*df.columns), framed)
 
 
 def cumulative_sum(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     """Running sum; a missing value stays missing and does not count."""
     value = F.col(shape.value)
     summed = running(lay_out(df, shape), {"_sum": ("sum", value)}).rows()
-    return summed.withColumn(shape.value, F.when(value.isNotNull(), F.col("_sum"))).select(*df.columns)
+    result = summed.withColumn(shape.value, F.when(value.isNotNull(), F.col("_sum"))).select(*df.columns)
+    return narrowed(result, summed)
 
 
 def _require_two(df: DataFrame, shape: Shape, what: str) -> None:
@@ -71,10 +72,11 @@ def _require_two(df: DataFrame, shape: Shape, what: str) -> None:
 
 def consecutive_differences(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     """Each value minus the one before; the first point of a series is left out."""
-    points = df.na.drop("any", subset=[shape.value])
+    points = narrowed(df.na.drop("any", subset=[shape.value]), df)
     value = F.col(shape.value)
-    stepped = neighbour(lay_out(points, shape), {"_v": value}).rows().where(F.col("_v").isNotNull())
-    return stepped.withColumn(shape.value, value - F.col("_v")).select(*df.columns)
+    stepped = neighbour(lay_out(points, shape), {"_v": value}).rows()
+    moved = stepped.where(F.col("_v").isNotNull()).withColumn(shape.value, value - F.col("_v"))
+    return narrowed(moved.select(*df.columns), stepped)
 
 
 def derivative(df: DataFrame, shape: Shape = LONG, strict: bool = False) -> DataFrame:
@@ -82,10 +84,11 @@ def derivative(df: DataFrame, shape: Shape = LONG, strict: bool = False) -> Data
 
     ``strict`` refuses series with fewer than two points; otherwise they give no rows.
     """
-    points = df.na.drop("any", subset=[shape.value])
+    points = narrowed(df.na.drop("any", subset=[shape.value]), df)
     if strict:
         _require_two(points, shape, "derivative")
-    return _quotients(points, shape).where(F.col("_present")).select(*df.columns)
+    stepped = _quotients(points, shape)
+    return narrowed(stepped.where(F.col("_present")).select(*df.columns), stepped)
 
 
 def difference_quotients(
@@ -103,7 +106,7 @@ def _quotients(df: DataFrame, shape: Shape, order: tuple[str, ...] | None = None
     before = {"_t": now, "_v": value, "_present": F.lit(True)}
     stepped = neighbour(lay_out(df, shape, order), before).rows()
     quotient = F.try_divide(value - F.col("_v"), elapsed(df, now, F.col("_t"), shape.ts))
-    return stepped.withColumn(shape.value, quotient)
+    return narrowed(stepped.withColumn(shape.value, quotient), stepped)
 
 
 def shift_values(df: DataFrame, periods: int, shape: Shape = LONG) -> DataFrame:
@@ -114,7 +117,7 @@ def shift_values(df: DataFrame, periods: int, shape: Shape = LONG) -> DataFrame:
         return F.lag(value, periods).over(over) if periods >= 0 else F.lead(value, -periods).over(over)
 
     framed = row_frames(lay_out(df, shape), max(periods, 0), max(-periods, 0), {"_moved": make})
-    return framed.withColumn(shape.value, F.col("_moved")).select(*df.columns)
+    return narrowed(framed.withColumn(shape.value, F.col("_moved")).select(*df.columns), framed)
 
 
 def time_gaps(df: DataFrame, shape: Shape = LONG, order: tuple[str, ...] | None = None, strict: bool = False) -> DataFrame:
@@ -146,7 +149,7 @@ def count_level_crossings(
     wanted = rising if edge > 0 else falling if edge < 0 else rising | falling
     flagged = known.with_frame(known.df.withColumn("_hit", F.when(wanted, 1).otherwise(0).cast("bigint")))
     counted = running(flagged, {"crossings": ("sum", F.col("_hit"))}).rows()
-    return counted.select(*shape.index, *shape.tie, "crossings")
+    return narrowed(counted.select(*shape.index, *shape.tie, "crossings"), counted)
 
 
 def fill_between(df: DataFrame, position: Column, method: str, both: bool, shape: Shape) -> DataFrame:

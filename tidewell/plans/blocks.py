@@ -15,11 +15,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.frames import Shape, tick
 from tidewell.session import scratch_dir
@@ -30,6 +34,53 @@ DEFAULT_BLOCK_ROWS = 1_000_000
 HOT_FACTOR = 4
 
 
+@dataclass(frozen=True)
+class Spread:
+    """How the rows lie on the time axis: rows of the longest series, all rows, lowest and highest tick.
+
+    The ticks are unknown (None) for a frame that fits one block as a whole.
+    """
+
+    longest: int
+    total: int
+    low: float | None
+    high: float | None
+
+
+@dataclass
+class Facts:
+    """What is known about a frame: its spread, and the fullest cell for the widths looked at.
+
+    The numbers are upper bounds, so they hold for every frame made by dropping rows or
+    changing values. Operators hand them on, and a chain of operators counts its rows once.
+    """
+
+    keys: tuple[str, ...]
+    ts: str
+    spread: Spread
+    fullest: dict[float, int] = field(default_factory=dict)
+
+
+_FACTS: WeakKeyDictionary[DataFrame, Facts] = WeakKeyDictionary()
+
+
+def facts_of(df: DataFrame, shape: Shape) -> Facts | None:
+    facts = _FACTS.get(df)
+    return facts if facts and (facts.keys, facts.ts) == (shape.keys, shape.ts) else None
+
+
+def with_facts(df: DataFrame, facts: Facts | None) -> DataFrame:
+    """Hand known facts on to a frame with no other index values and no more rows."""
+    if facts is not None:
+        _FACTS[df] = facts
+    return df
+
+
+def narrowed(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Like :func:`with_facts`, from the frame the rows come from."""
+    return with_facts(df, _FACTS.get(source))
+
+
 @dataclass(frozen=True)
 class Blocks:
     """A frame with a block number that grows with the order inside every series."""
@@ -39,6 +90,7 @@ class Blocks:
     order: tuple[str, ...]
     split: bool
     block_rows: int
+    facts: Facts | None = None
 
     @property
     def group(self) -> list[str]:
@@ -52,7 +104,7 @@ class Blocks:
         return replace(self, df=df)
 
     def rows(self) -> DataFrame:
-        return self.df.drop(BLOCK)
+        return with_facts(self.df.drop(BLOCK), self.facts)
 
 
 def block_rows(df: DataFrame) -> int:
@@ -66,37 +118,42 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@dataclass(frozen=True)
-class Spread:
-    """How the rows lie on the time axis: rows of the longest series, all rows, lowest and highest tick."""
-
-    longest: int
-    total: int
-    low: float | None
-    high: float | None
-
-
-def measure(df: DataFrame, shape: Shape, limit: int) -> Spread:
-    """Row counts; only a few numbers reach the driver.
+def measure(df: DataFrame, shape: Shape, limit: int, ticks: bool = False) -> Spread:
+    """Row counts and, if asked for or needed, the range of ticks; only a few numbers reach the driver.
 
-    A frame that fits one block as a whole is settled by its count, which for a plain table
+    A frame that fits one block as a whole is settled by one count, which for a plain table
     comes from the file footers. Otherwise one more pass counts per series on the map side.
     """
-    total = df.count() if limit >= 0 else None
-    if total is not None and total <= limit:
-        return Spread(total, total, None, None)
     at = tick(df, shape.ts)
-    per_key = df.groupBy(*shape.keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")
-    )
+    range_of = [F.min(at).alias("low"), F.max(at).alias("high")]
+    count = F.count(F.lit(1)).alias("n")
+    row = df.agg(count, *range_of).first() if ticks else df.agg(count).first()
+    if row["n"] <= limit:
+        return Spread(row["n"], row["n"], *(row[1:] if ticks else (None, None)))
+    per_key = df.groupBy(*shape.keys).agg(count, *range_of)
     row = per_key.agg(F.max("n"), F.sum("n"), F.min("low"), F.max("high")).first()
     return Spread(row[0] or 0, row[1] or 0, row[2], row[3])
 
 
+def learn(df: DataFrame, shape: Shape, limit: int, ticks: bool = False) -> Facts:
+    """Facts of a frame, measured unless they are known."""
+    facts = facts_of(df, shape)
+    if facts is None or (facts.spread.low is None and ticks and facts.spread.total):
+        facts = Facts(shape.keys, shape.ts, measure(df, shape, limit, ticks))
+        with_facts(df, facts)
+    return facts
+
+
 def fullest_cell(df: DataFrame, shape: Shape, width: float) -> int:
-    cell = F.floor(tick(df, shape.ts) / F.lit(width))
-    counts = df.groupBy(*shape.keys, cell.alias("cell")).count()
-    return counts.agg(F.max("count")).first()[0] or 0
+    facts = _FACTS.get(df)
+    if facts is None or width not in facts.fullest:
+        cell = F.floor(tick(df, shape.ts) / F.lit(width))
+        counts = df.groupBy(*shape.keys, cell.alias("cell")).count()
+        found = counts.agg(F.max("count")).first()[0] or 0
+        if facts is None:
+            return found
+        facts.fullest[width] = found
+    return facts.fullest[width]
 
 
 def lay_out(
@@ -110,22 +167,48 @@ def lay_out(
     order = order or shape.order
     limit = block_rows(df)
     if small:
-        return Blocks(df, shape, order, False, limit)
-    spread = measure(df, shape, limit)
+        return Blocks(df, shape, order, False, limit, facts_of(df, shape))
+    facts = learn(df, shape, limit, ticks=by_range)
+    spread = facts.spread
     if spread.longest <= limit and not by_range:
-        return Blocks(df, shape, order, False, limit)
-    if spread.low is None:
-        spread = measure(df, shape, -1)
+        return Blocks(df, shape, order, False, limit, facts)
     span = float((spread.high or 0) - (spread.low or 0))
     if span > 0 and order[0] == shape.ts and not by_range:
         width = span * limit / spread.longest
         width = max(1, int(width)) if spread.low == int(spread.low) and width >= 1 else width
         if fullest_cell(df, shape, width) <= HOT_FACTOR * limit:
             cell = F.floor(tick(df, shape.ts) / F.lit(width))
-            return Blocks(df.withColumn(BLOCK, cell), shape, order, True, limit)
+            return Blocks(df.withColumn(BLOCK, cell), shape, order, True, limit, facts)
     parts = max(1, -(-spread.total // limit))
     ranged = df.repartitionByRange(parts, *shape.keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
-    return Blocks(pin(ranged), shape, order, True, limit)
+    return Blocks(pin(ranged), shape, order, True, limit, facts)
+
+
+SERIES_BROADCAST = 10_000
+
+
+def settle(table: DataFrame) -> DataFrame:
+    """Compute a small table once: as literal rows up to the broadcast limit, else as written rows."""
+    rows = table.limit(SERIES_BROADCAST + 1).collect()
+    if len(rows) <= SERIES_BROADCAST:
+        return table.sparkSession.createDataFrame(rows, table.schema)
+    return pin(table)
+
+
+def join_per_series(df: DataFrame, facts: DataFrame, keys: tuple[str, ...] | list[str], how: str = "inner") -> DataFrame:
+    """Join a table with one row per series to the rows.
+
+    Up to ``SERIES_BROADCAST`` series, which is checked by fetching no more rows than that, the
+    facts are broadcast, so the rows are not shuffled by a key that may hold a third of them.
+    With more series it is a shuffle join, in which adaptive execution splits hot keys.
+    """
+    if not keys:
+        # Without keys the facts are one row.
+        return df.crossJoin(F.broadcast(facts))
+    rows = facts.limit(SERIES_BROADCAST + 1).collect()
+    if len(rows) <= SERIES_BROADCAST:
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, facts.schema)), list(keys), how)
+    return df.join(facts, list(keys), how)
 
 
 # Running state -----------------------------------------------------------------------------
@@ -216,7 +299,8 @@ def row_frames(
     """
     if not blocks.split:
         over = blocks.window()
-        return blocks.df.withColumns({out: make(over) for out, make in columns.items()})
+        framed = blocks.df.withColumns({out: make(over) for out, make in columns.items()})
+        return with_facts(framed, blocks.facts)
     size = max(blocks.block_rows, 4 * (before + after))
     numbered = number_rows(blocks).df.drop(BLOCK)
     at = F.col("_row") - 1
@@ -227,7 +311,7 @@ def row_frames(
     )
     over = Window.partitionBy(*blocks.shape.keys, BLOCK).orderBy("_row")
     framed = copies.withColumns({out: make(over) for out, make in columns.items()})
-    return framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_row", BLOCK)
+    return with_facts(framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_row", BLOCK), blocks.facts)
 
 
 # Time frames --------------------------------------------------------------------------------
@@ -242,9 +326,10 @@ def _collapse(df: DataFrame, shape: Shape, kinds: set[str]) -> DataFrame:
     """Fold rows of one timestamp into one row (per value where a median is asked for)."""
     value = F.col(shape.value)
     per = [*shape.index, shape.value] if "median" in kinds else list(shape.index)
-    states = {"_n": F.count(value), "_mean": F.avg(value), "_spread": F.var_pop(value) * F.count(value)}
-    if "median" not in kinds:
-        states |= {"_min": F.min(value), "_max": F.max(value)}
+    states = {
+        "_n": F.count(value), "_mean": F.avg(value), "_spread": F.var_pop(value) * F.count(value),
+        "_min": F.min(value), "_max": F.max(value),
+    }
     return df.groupBy(*per).agg(*[expr.alias(out) for out, expr in states.items()])
 
 
@@ -264,49 +349,82 @@ def _folded(kind: str, shape: Shape, over: WindowSpec) -> Column:
     return F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
+DENSE_FRAME_ROWS = 200
+
+
+def _rolling(width: int, columns: dict[str, str], value: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Moving statistics of one block, each row entering and leaving the frame once."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_tick", kind="stable", ignore_index=True)
+        ticks = block["_tick"].to_numpy()
+        series = pd.Series(block[value].to_numpy(dtype=float), index=pd.to_datetime(ticks, unit="us"))
+        frames = series.rolling(pd.Timedelta(width, unit="us"))
+        last = np.searchsorted(ticks, ticks, side="right") - 1
+        return block.assign(**{out: getattr(frames, kind)().to_numpy()[last] for out, kind in columns.items()})
+
+    return run
+
+
 def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]) -> DataFrame:
     """Statistics over ``(ts - width, ts]``: rows of the same timestamp see each other.
 
     Long series are cut into cells of at least the frame width; every row is also copied to the
-    cells whose frames reach back to it. Where one cell is crowded, rows of equal timestamps are
-    folded into one before the windows run and the results are joined back to the rows.
+    cells whose frames reach back to it. Spark's windows go through a whole frame for each row,
+    so medians and frames of many rows run as rolling statistics on Arrow blocks instead. Where
+    one cell is crowded, rows of equal timestamps are folded into one before the windows run and
+    the results are joined back to the rows.
     """
     limit = block_rows(df)
-    spread = measure(df, shape, limit)
+    facts = learn(df, shape, limit, ticks=True)
+    spread = facts.spread
     at = tick(df, shape.ts)
     back = (-(width - 1), 0)
-    if spread.longest <= limit:
-        over = Window.partitionBy(*shape.keys).orderBy("_tick").rangeBetween(*back)
-        value = F.col(shape.value)
-        return (
-            df.withColumn("_tick", at)
-            .withColumns({out: _direct(kind, value, over) for out, kind in columns.items()})
-            .drop("_tick")
-        )
-    span = max(1, int(spread.high - spread.low))
-    cell = max(1, span * limit // spread.longest)
-    cell = max(cell, width)
-    crowded = fullest_cell(df, shape, cell) > HOT_FACTOR * limit
-    source = _collapse(df, shape, set(columns.values())) if crowded else df
+    value = F.col(shape.value)
+    whole_series = spread.longest <= limit
+    span = max(1, int((spread.high or 0) - (spread.low or 0)))
+    dense = spread.longest * min(1.0, width / span) > DENSE_FRAME_ROWS
+    crowded, cell = False, None
+    if not whole_series:
+        cell = max(1, span * limit // spread.longest, width)
+        crowded = fullest_cell(df, shape, cell) > HOT_FACTOR * limit
+    ticked = df.withColumn("_tick", at)
+    if crowded:
+        found = _crowded_frames(_collapse(df, shape, set(columns.values())), shape, width, cell, columns)
+        return with_facts(df.join(found, list(shape.index), "left"), facts)
+    if whole_series:
+        group, copies = list(shape.keys), ticked
+    else:
+        group, copies = [*shape.keys, BLOCK], _copy_to_cells(ticked, width, cell)
+    if dense or "median" in columns.values():
+        kept = copies.schema.fields
+        schema = T.StructType([*kept, *[T.StructField(out, T.DoubleType()) for out in columns]])
+        framed = copies.groupBy(*group).applyInPandas(_rolling(width, columns, shape.value), schema)
+    else:
+        over = Window.partitionBy(*group).orderBy("_tick").rangeBetween(*back)
+        framed = copies.withColumns({out: _direct(kind, value, over) for out, kind in columns.items()})
+    if not whole_series:
+        framed = framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", BLOCK)
+    return with_facts(framed.drop("_tick"), facts)
+
+
+def _copy_to_cells(ticked: DataFrame, width: int, cell: int) -> DataFrame:
+    """Every row in its own cell and in the later cells whose frames reach back to it."""
     home = F.floor(F.col("_tick") / F.lit(cell))
-    copies = (
-        source.withColumn("_tick", at)
-        .withColumn("_home", home)
-        .withColumn(BLOCK, F.explode(F.sequence(home, F.floor((F.col("_tick") + (width - 1)) / F.lit(cell)))))
-    )
+    last = F.floor((F.col("_tick") + (width - 1)) / F.lit(cell))
+    return ticked.withColumn("_home", home).withColumn(BLOCK, F.explode(F.sequence(home, last)))
+
+
+def _crowded_frames(folded: DataFrame, shape: Shape, width: int, cell: int, columns: dict[str, str]) -> DataFrame:
+    """Statistics per distinct timestamp from rows folded by timestamp."""
+    copies = _copy_to_cells(folded.withColumn("_tick", tick(folded, shape.ts)), width, cell)
     whole = Window.partitionBy(*shape.keys, BLOCK)
-    over = whole.orderBy("_tick").rangeBetween(*back)
-    if not crowded:
-        framed = copies.withColumns(
-            {out: _direct(kind, F.col(shape.value), over) for out, kind in columns.items()}
-        )
-        return framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_tick", BLOCK)
+    over = whole.orderBy("_tick").rangeBetween(-(width - 1), 0)
     if "std" in columns.values():
         centre = F.try_divide(F.sum(F.col("_n") * F.col("_mean")).over(whole), F.sum("_n").over(whole))
         copies = copies.withColumn("_centre", centre)
     framed = copies.withColumns({out: _folded(kind, shape, over) for out, kind in columns.items()})
-    found = framed.where(F.col("_home") == F.col(BLOCK)).select(*shape.index, *columns).distinct()
-    return df.join(found, list(shape.index), "left")
+    return framed.where(F.col("_home") == F.col(BLOCK)).select(*shape.index, *columns).distinct()
 
 
 # Grids --------------------------------------------------------------------------------------

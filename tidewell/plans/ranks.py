@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.frames import Shape
-from tidewell.plans.blocks import lay_out, running
+from tidewell.plans.blocks import join_per_series, lay_out, running
 
 
 def quantiles(
@@ -29,12 +29,14 @@ def quantiles(
     present = df.select(*keys, F.col(column).alias("_value")).where(F.col("_value").isNotNull())
     counts = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
     blocks = lay_out(counts, shape, small=small)
-    totals = blocks.df.groupBy(*keys).agg(F.sum("_n").alias("n"))
     if not blocks.split and not nearest:
         wanted = F.percentile("_value", F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_n"))
         return counts.groupBy(*keys).agg(F.sum("_n").alias("n"), wanted.alias("quantiles"))
     upto = running(blocks, {"_upto": ("sum", F.col("_n"))}).rows()
-    ranked = upto.join(totals, list(keys)) if keys else upto.crossJoin(F.broadcast(totals))
+    if not blocks.split:
+        ranked = upto.withColumn("n", F.sum("_n").over(Window.partitionBy(*keys)))
+    else:
+        ranked = join_per_series(upto, counts.groupBy(*keys).agg(F.sum("_n").alias("n")), keys)
     before = F.col("_upto") - F.col("_n")
 
     def at(rank):
