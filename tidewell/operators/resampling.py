@@ -17,7 +17,7 @@ from tidewell.functions.durations import (
 )
 from tidewell.operators.joins import unique_index
 from tidewell.operators.windows import fill_between
-from tidewell.plans.blocks import grid, join_per_series, lay_out, row_frames
+from tidewell.plans.blocks import grid, grid_facts, join_per_series, lay_out, row_frames, series_bounds, with_facts
 
 DAY = UNIT_MICROS["D"]
 
@@ -27,13 +27,25 @@ def _need_time(df: DataFrame, shape: Shape) -> None:
         raise FrameError("the index must be a timestamp")
 
 
-def _with_bins(df: DataFrame, step: int, shape: Shape) -> DataFrame:
-    """Column ``_bin``: start of the bin in microseconds, counted from midnight of the first day of each series."""
+def _bin_bounds(df: DataFrame, step: int, shape: Shape) -> DataFrame:
+    """First and last bin of each series in microseconds, counted from midnight of its first day."""
+    bounds = series_bounds(df, shape)
+    width = F.lit(step).cast("bigint")
+    origin = F.lit(0).cast("bigint") if DAY % step == 0 else F.floor(F.col("_low") / F.lit(DAY)) * F.lit(DAY)
+    placed = bounds.withColumn("_origin", origin)
+
+    def bin_of(c: str) -> Column:
+        return F.col("_origin") + F.floor((F.col(c) - F.col("_origin")) / width) * width
+
+    return placed.withColumns({"_low": bin_of("_low"), "_high": bin_of("_high")})
+
+
+def _with_bins(df: DataFrame, bounds: DataFrame, step: int, shape: Shape) -> DataFrame:
+    """Column ``_bin``: start of the bin of each row in microseconds."""
     at = tick(df, shape.ts)
     if DAY % step == 0:
-        return df.withColumn("_bin", F.floor(at / F.lit(step)) * F.lit(step))
-    first = df.groupBy(*shape.keys).agg((F.floor(F.min(at) / F.lit(DAY)) * F.lit(DAY)).alias("_origin"))
-    joined = join_per_series(df, first, shape.keys)
+        return df.withColumn("_bin", F.floor(at / F.lit(step)) * F.lit(step).cast("bigint"))
+    joined = join_per_series(df, bounds.select(*shape.keys, "_origin"), shape.keys)
     origin = F.col("_origin")
     return joined.withColumn("_bin", origin + F.floor((at - origin) / F.lit(step)) * F.lit(step)).drop("_origin")
 
@@ -60,11 +72,12 @@ def resample(df: DataFrame, freq: str, how: str = "mean", shape: Shape = LONG, c
         return _resample_calendar(df, frequency, [fold(c) for c in columns], shape)
     if frequency <= 0:
         raise FrameError(f"frequency {freq!r} must be positive")
-    bins = _with_bins(df, frequency, shape).groupBy(*shape.keys, "_bin").agg(*[fold(c) for c in columns])
-    bounds = bins.groupBy(*shape.keys).agg(F.min("_bin").alias("_low"), F.max("_bin").alias("_high"))
+    bounds = _bin_bounds(df, frequency, shape)
+    bins = _with_bins(df, bounds, frequency, shape).groupBy(*shape.keys, "_bin").agg(*[fold(c) for c in columns])
     points = grid(bounds, shape.keys, "_low", "_high", frequency, "_bin").select(*shape.keys, "_bin")
     filled = points.join(bins, [*shape.keys, "_bin"], "left")
-    return filled.select(*shape.keys, from_micros(F.col("_bin")).alias(shape.ts), *columns)
+    result = filled.select(*shape.keys, from_micros(F.col("_bin")).alias(shape.ts), *columns)
+    return with_facts(result, grid_facts(bounds, shape, "_low", "_high", frequency))
 
 
 def _resample_calendar(df: DataFrame, frequency: Calendar, folds: list[Column], shape: Shape) -> DataFrame:
@@ -93,17 +106,12 @@ def _resample_calendar(df: DataFrame, frequency: Calendar, folds: list[Column],
     return filled.select(*shape.keys, label.alias(shape.ts), *columns)
 
 
-def _index_bounds(df: DataFrame, shape: Shape) -> DataFrame:
-    at = F.col(shape.ts)
-    return df.groupBy(*shape.keys).agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
-
-
 def resample_numeric(df: DataFrame, d: int, shape: Shape = LONG) -> DataFrame:
     """Centred mean over ``d`` rows of the data joined with the grid ``first, first + d, ...``, read on the grid."""
     if d < 1:
         raise FrameError("d must be positive")
     data = unique_index(df, shape, [shape.value])
-    points = grid(_index_bounds(df, shape), shape.keys, "_low", "_high", d, shape.ts).select(*shape.index)
+    points = grid(series_bounds(df, shape), shape.keys, "_low", "_high", d, shape.ts).select(*shape.index)
     # The last row is in the data; a grid point on it is the same row.
     union = data.join(points.withColumn("_grid", F.lit(True)), list(shape.index), "full")
     before, after = d // 2, (d - 1) // 2
@@ -124,13 +132,14 @@ def interpolate_on_grid(df: DataFrame, t: str, shape: Shape = LONG) -> DataFrame
     _need_time(df, shape)
     step = positive_duration(t)
     data = unique_index(df, shape, [shape.value])
-    bins = _with_bins(data, step, shape)
+    bounds = _bin_bounds(df, step, shape)
+    bins = _with_bins(data, bounds, step, shape)
     on_grid = bins.where(F.col("_bin") == tick(df, shape.ts)).select(*shape.keys, "_bin", shape.value)
-    bounds = bins.groupBy(*shape.keys).agg(F.min("_bin").alias("_low"), F.max("_bin").alias("_high"))
     points = grid(bounds, shape.keys, "_low", "_high", step, "_bin").select(*shape.keys, "_bin")
     placed = points.join(on_grid, [*shape.keys, "_bin"], "left").select(
         *shape.keys, from_micros(F.col("_bin")).alias(shape.ts), shape.value
     )
+    placed = with_facts(placed, grid_facts(bounds, shape, "_low", "_high", step))
     filled = fill_between(placed, tick(placed, shape.ts).cast("double"), "linear", False, shape)
     return filled.select(*shape.index, F.col("filled").alias(shape.value))
 
@@ -140,7 +149,7 @@ def interpolate_on_numeric_grid(df: DataFrame, d: int, shape: Shape = LONG) -> D
     if d < 1:
         raise FrameError("d must be positive")
     data = unique_index(df, shape, [shape.value])
-    points = grid(_index_bounds(df, shape), shape.keys, "_low", "_high", d, shape.ts).select(*shape.index)
+    points = grid(series_bounds(df, shape), shape.keys, "_low", "_high", d, shape.ts).select(*shape.index)
     union = data.join(points.withColumn("_grid", F.lit(True)), list(shape.index), "full")
     filled = fill_between(union, F.col(shape.ts).cast("double"), "linear", False, shape)
     return filled.where("_grid").select(*shape.index, F.col("filled").alias(shape.value))

@@ -159,7 +159,7 @@ def fill_between(df: DataFrame, position: Column, method: str, both: bool, shape
     kept; before the first one it is used only with ``both``.
     """
     value = F.col(shape.value)
-    placed = df.withColumn("_p", position)
+    placed = narrowed(df.withColumn("_p", position), df)
     known = F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.alias("v")))
     blocks = lay_out(placed, shape)
     sides = running(running(blocks, {"_a": ("last", known)}), {"_b": ("last", known)}, reverse=True).rows()

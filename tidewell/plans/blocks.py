@@ -189,10 +189,16 @@ SERIES_BROADCAST = 10_000
 
 def settle(table: DataFrame) -> DataFrame:
     """Compute a small table once: as literal rows up to the broadcast limit, else as written rows."""
-    rows = table.limit(SERIES_BROADCAST + 1).collect()
-    if len(rows) <= SERIES_BROADCAST:
-        return table.sparkSession.createDataFrame(rows, table.schema)
-    return pin(table)
+    small = _as_literals(table)
+    return pin(table) if small is None else small
+
+
+def _as_literals(table: DataFrame) -> DataFrame | None:
+    """The table as literal rows of the plan, or nothing if it has more rows than may be broadcast."""
+    rows = table.limit(SERIES_BROADCAST + 1).toArrow()
+    if rows.num_rows > SERIES_BROADCAST:
+        return None
+    return table.sparkSession.createDataFrame(rows)
 
 
 def join_per_series(df: DataFrame, facts: DataFrame, keys: tuple[str, ...] | list[str], how: str = "inner") -> DataFrame:
@@ -205,10 +211,8 @@ def join_per_series(df: DataFrame, facts: DataFrame, keys: tuple[str, ...] | lis
     if not keys:
         # Without keys the facts are one row.
         return df.crossJoin(F.broadcast(facts))
-    rows = facts.limit(SERIES_BROADCAST + 1).collect()
-    if len(rows) <= SERIES_BROADCAST:
-        return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, facts.schema)), list(keys), how)
-    return df.join(facts, list(keys), how)
+    small = _as_literals(facts)
+    return df.join(facts if small is None else F.broadcast(small), list(keys), how)
 
 
 # Running state -----------------------------------------------------------------------------
@@ -432,6 +436,25 @@ def _crowded_frames(folded: DataFrame, shape: Shape, width: int, cell: int, colu
 GRID_CHUNK = 4096
 
 
+def series_bounds(df: DataFrame, shape: Shape) -> DataFrame:
+    """Lowest and highest tick of each series, computed once."""
+    at = tick(df, shape.ts)
+    return settle(df.groupBy(*shape.keys).agg(F.min(at).alias("_low"), F.max(at).alias("_high")))
+
+
+def grid_facts(bounds: DataFrame, shape: Shape, low: str, high: str, step: int | float) -> Facts:
+    """Facts of the grid over ``bounds``, from the bounds alone."""
+    points = bounds.select((F.floor((F.col(high) - F.col(low)) / F.lit(step)) + 1).alias("n"), low, high)
+    rows = points.limit(SERIES_BROADCAST + 1).collect()
+    if len(rows) > SERIES_BROADCAST:
+        rows = [points.agg(F.max("n"), F.min(low), F.max(high), F.sum("n")).first()]
+    if not rows:
+        return Facts(shape.keys, shape.ts, Spread(0, 0, None, None))
+    longest, lowest, highest = max(r[0] for r in rows), min(r[1] for r in rows), max(r[2] for r in rows)
+    total = rows[0][3] if len(rows[0]) > 3 else sum(r[0] for r in rows)
+    return Facts(shape.keys, shape.ts, Spread(longest, total, lowest, highest))
+
+
 def grid(bounds: DataFrame, keys: tuple[str, ...], low: str, high: str, step: int | float, out: str) -> DataFrame:
     """All points ``low, low + step, ... <= high`` of each row of ``bounds``.
 
