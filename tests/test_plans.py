@@ -67,7 +67,7 @@ def test_chained_operators_count_rows_once(spark, monkeypatch):
 
 def test_facts_do_not_outlive_other_rows(spark):
     rows = to_spark(spark, random_series(4))
-    blocks.learn(rows, SHAPE, 10)
+    blocks.learn(rows, SHAPE, blocks.DEFAULT_BLOCK_ROWS)
     assert blocks.facts_of(rows, SHAPE) is not None
     assert blocks.facts_of(rows.unionByName(rows), SHAPE) is None
     assert blocks.facts_of(rows, Shape(("place",))) is None

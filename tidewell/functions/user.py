@@ -33,7 +33,7 @@ def per_series(
     the block size (``tidewell.block.rows``) is refused instead of overrunning the task.
     """
     limit = block_rows(df)
-    longest = measure(df, shape, limit).longest
+    longest = measure(df, shape, limit).spread.longest
     if longest > limit:
         raise FrameError(
             f"a series of {longest} rows does not fit one task (limit {limit}); "

@@ -21,6 +21,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,33 +33,39 @@ BLOCK = "_block"
 BLOCK_ROWS_CONF = "tidewell.block.rows"
 DEFAULT_BLOCK_ROWS = 1_000_000
 HOT_FACTOR = 4
+SERIES_BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
 class Spread:
     """How the rows lie on the time axis: rows of the longest series, all rows, lowest and highest tick.
 
-    The ticks are unknown (None) for a frame that fits one block as a whole.
+    The ticks are None where they were not looked at.
     """
 
     longest: int
     total: int
-    low: float | None
-    high: float | None
+    low: float | None = None
+    high: float | None = None
 
 
 @dataclass
 class Facts:
-    """What is known about a frame: its spread, and the fullest cell for the widths looked at.
+    """What is known about a frame: its spread, the series too long for one block, and how full
+    the fullest of their cells is.
 
     The numbers are upper bounds, so they hold for every frame made by dropping rows or
     changing values. Operators hand them on, and a chain of operators counts its rows once.
+    ``hot`` has a row of keys, count and tick range per long series; it is None if there are
+    more of them than may be broadcast.
     """
 
     keys: tuple[str, ...]
     ts: str
+    limit: int
     spread: Spread
-    fullest: dict[float, int] = field(default_factory=dict)
+    hot: pa.Table | None = None
+    fullest: dict[int, int] = field(default_factory=dict)
 
 
 _FACTS: WeakKeyDictionary[DataFrame, Facts] = WeakKeyDictionary()
@@ -118,42 +125,76 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measure(df: DataFrame, shape: Shape, limit: int, ticks: bool = False) -> Spread:
-    """Row counts and, if asked for or needed, the range of ticks; only a few numbers reach the driver.
+def measure(df: DataFrame, shape: Shape, limit: int, ticks: bool = False) -> Facts:
+    """Row counts, and the range of ticks if asked for or needed.
 
     A frame that fits one block as a whole is settled by one count, which for a plain table
-    comes from the file footers. Otherwise one more pass counts per series on the map side.
+    comes from the file footers. Otherwise one more pass counts per series on the map side, and
+    the series longer than a block come to the driver, up to the broadcast limit.
     """
     at = tick(df, shape.ts)
     range_of = [F.min(at).alias("low"), F.max(at).alias("high")]
     count = F.count(F.lit(1)).alias("n")
     row = df.agg(count, *range_of).first() if ticks else df.agg(count).first()
+    low, high = row[1:] if ticks else (None, None)
     if row["n"] <= limit:
-        return Spread(row["n"], row["n"], *(row[1:] if ticks else (None, None)))
-    per_key = df.groupBy(*shape.keys).agg(count, *range_of)
-    row = per_key.agg(F.max("n"), F.sum("n"), F.min("low"), F.max("high")).first()
-    return Spread(row[0] or 0, row[1] or 0, row[2], row[3])
+        return Facts(shape.keys, shape.ts, limit, Spread(row["n"], row["n"], low, high))
+    long = df.groupBy(*shape.keys).agg(count, *range_of).where(F.col("n") > limit)
+    hot = long.limit(SERIES_BROADCAST + 1).toArrow()
+    if hot.num_rows > SERIES_BROADCAST:
+        longest, low, high = long.agg(F.max("n"), F.min("low"), F.max("high")).first()
+        return Facts(shape.keys, shape.ts, limit, Spread(longest, row["n"], low, high))
+    longest = max(hot["n"].to_pylist(), default=limit)
+    return Facts(shape.keys, shape.ts, limit, Spread(longest, row["n"], low, high), hot)
 
 
 def learn(df: DataFrame, shape: Shape, limit: int, ticks: bool = False) -> Facts:
     """Facts of a frame, measured unless they are known."""
     facts = facts_of(df, shape)
-    if facts is None or (facts.spread.low is None and ticks and facts.spread.total):
-        facts = Facts(shape.keys, shape.ts, measure(df, shape, limit, ticks))
+    if facts is None or facts.limit != limit or (facts.spread.low is None and ticks and facts.spread.total):
+        facts = measure(df, shape, limit, ticks)
         with_facts(df, facts)
     return facts
 
 
-def fullest_cell(df: DataFrame, shape: Shape, width: float) -> int:
-    facts = _FACTS.get(df)
-    if facts is None or width not in facts.fullest:
-        cell = F.floor(tick(df, shape.ts) / F.lit(width))
-        counts = df.groupBy(*shape.keys, cell.alias("cell")).count()
-        found = counts.agg(F.max("count")).first()[0] or 0
-        if facts is None:
-            return found
-        facts.fullest[width] = found
-    return facts.fullest[width]
+def _cell_width(count: int, low: float, high: float, limit: int, at_least: int) -> float:
+    span = high - low
+    if isinstance(low, int):
+        return max(1, at_least, span * limit // count)
+    return max(span * limit / count, float(at_least)) or 1.0
+
+
+def _with_cells(df: DataFrame, shape: Shape, facts: Facts, at_least: int = 0) -> DataFrame:
+    """Column ``_width``: the cell width of the row's series, NULL for a series of one block.
+
+    Every long series gets the width at which its cells hold a block of rows on average.
+    """
+    spread, hot = facts.spread, facts.hot
+    if hot is None:
+        width = _cell_width(spread.longest, spread.low, spread.high, facts.limit, at_least)
+        return df.withColumn("_width", F.lit(width))
+    widths = [
+        _cell_width(n, low, high, facts.limit, at_least)
+        for n, low, high in zip(*(hot[c].to_pylist() for c in ("n", "low", "high")), strict=True)
+    ]
+    if not shape.keys:
+        return df.withColumn("_width", F.lit(widths[0]))
+    table = hot.select(list(shape.keys)).append_column("_width", pa.array(widths))
+    small = df.sparkSession.createDataFrame(table)
+    return df.join(F.broadcast(small), list(shape.keys), "left")
+
+
+def _cell(at: Column) -> Column:
+    return F.coalesce(F.floor(at / F.col("_width")), F.lit(0).cast("bigint"))
+
+
+def _fullest_cell(cells: DataFrame, shape: Shape, facts: Facts, at_least: int = 0) -> int:
+    """Rows of the fullest cell of the long series, counted on the map side."""
+    if at_least not in facts.fullest:
+        long = cells.where(F.col("_width").isNotNull())
+        counts = long.groupBy(*shape.keys, _cell(tick(cells, shape.ts)).alias("cell")).count()
+        facts.fullest[at_least] = counts.agg(F.max("count")).first()[0] or 0
+    return facts.fullest[at_least]
 
 
 def lay_out(
@@ -168,23 +209,20 @@ def lay_out(
     limit = block_rows(df)
     if small:
         return Blocks(df, shape, order, False, limit, facts_of(df, shape))
-    facts = learn(df, shape, limit, ticks=by_range)
-    spread = facts.spread
-    if spread.longest <= limit and not by_range:
+    facts = learn(df, shape, limit)
+    if facts.spread.longest <= limit and not by_range:
         return Blocks(df, shape, order, False, limit, facts)
-    span = float((spread.high or 0) - (spread.low or 0))
-    if span > 0 and order[0] == shape.ts and not by_range:
-        width = span * limit / spread.longest
-        width = max(1, int(width)) if spread.low == int(spread.low) and width >= 1 else width
-        if fullest_cell(df, shape, width) <= HOT_FACTOR * limit:
-            cell = F.floor(tick(df, shape.ts) / F.lit(width))
-            return Blocks(df.withColumn(BLOCK, cell), shape, order, True, limit, facts)
-    parts = max(1, -(-spread.total // limit))
+    if order[0] == shape.ts and not by_range:
+        cells = _with_cells(df, shape, facts)
+        if _fullest_cell(cells, shape, facts) <= HOT_FACTOR * limit:
+            cells = cells.withColumn(BLOCK, _cell(tick(df, shape.ts))).drop("_width")
+            return Blocks(cells, shape, order, True, limit, facts)
+    parts = max(1, -(-facts.spread.total // limit))
     ranged = df.repartitionByRange(parts, *shape.keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
     return Blocks(pin(ranged), shape, order, True, limit, facts)
 
 
-SERIES_BROADCAST = 10_000
+
 
 
 def settle(table: DataFrame) -> DataFrame:
@@ -388,18 +426,14 @@ def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]
     whole_series = spread.longest <= limit
     span = max(1, int((spread.high or 0) - (spread.low or 0)))
     dense = spread.longest * min(1.0, width / span) > DENSE_FRAME_ROWS
-    crowded, cell = False, None
-    if not whole_series:
-        cell = max(1, span * limit // spread.longest, width)
-        crowded = fullest_cell(df, shape, cell) > HOT_FACTOR * limit
-    ticked = df.withColumn("_tick", at)
-    if crowded:
-        found = _crowded_frames(_collapse(df, shape, set(columns.values())), shape, width, cell, columns)
+    if not whole_series and _fullest_cell(_with_cells(df, shape, facts, width), shape, facts, width) > HOT_FACTOR * limit:
+        found = _crowded_frames(_collapse(df, shape, set(columns.values())), shape, facts, width, columns)
         return with_facts(df.join(found, list(shape.index), "left"), facts)
+    ticked = df.withColumn("_tick", at)
     if whole_series:
         group, copies = list(shape.keys), ticked
     else:
-        group, copies = [*shape.keys, BLOCK], _copy_to_cells(ticked, width, cell)
+        group, copies = [*shape.keys, BLOCK], _copy_to_cells(_with_cells(ticked, shape, facts, width), width)
     if dense or "median" in columns.values():
         kept = copies.schema.fields
         schema = T.StructType([*kept, *[T.StructField(out, T.DoubleType()) for out in columns]])
@@ -412,16 +446,17 @@ def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]
     return with_facts(framed.drop("_tick"), facts)
 
 
-def _copy_to_cells(ticked: DataFrame, width: int, cell: int) -> DataFrame:
+def _copy_to_cells(cells: DataFrame, width: int) -> DataFrame:
     """Every row in its own cell and in the later cells whose frames reach back to it."""
-    home = F.floor(F.col("_tick") / F.lit(cell))
-    last = F.floor((F.col("_tick") + (width - 1)) / F.lit(cell))
-    return ticked.withColumn("_home", home).withColumn(BLOCK, F.explode(F.sequence(home, last)))
+    reach = F.sequence(F.col("_home"), _cell(F.col("_tick") + (width - 1)))
+    copies = cells.withColumn("_home", _cell(F.col("_tick"))).withColumn(BLOCK, F.explode(reach))
+    return copies.drop("_width")
 
 
-def _crowded_frames(folded: DataFrame, shape: Shape, width: int, cell: int, columns: dict[str, str]) -> DataFrame:
+def _crowded_frames(folded: DataFrame, shape: Shape, facts: Facts, width: int, columns: dict[str, str]) -> DataFrame:
     """Statistics per distinct timestamp from rows folded by timestamp."""
-    copies = _copy_to_cells(folded.withColumn("_tick", tick(folded, shape.ts)), width, cell)
+    ticked = folded.withColumn("_tick", tick(folded, shape.ts))
+    copies = _copy_to_cells(_with_cells(ticked, shape, facts, width), width)
     whole = Window.partitionBy(*shape.keys, BLOCK)
     over = whole.orderBy("_tick").rangeBetween(-(width - 1), 0)
     if "std" in columns.values():
@@ -442,17 +477,15 @@ def series_bounds(df: DataFrame, shape: Shape) -> DataFrame:
     return settle(df.groupBy(*shape.keys).agg(F.min(at).alias("_low"), F.max(at).alias("_high")))
 
 
-def grid_facts(bounds: DataFrame, shape: Shape, low: str, high: str, step: int | float) -> Facts:
-    """Facts of the grid over ``bounds``, from the bounds alone."""
-    points = bounds.select((F.floor((F.col(high) - F.col(low)) / F.lit(step)) + 1).alias("n"), low, high)
+def grid_facts(bounds: DataFrame, shape: Shape, low: str, high: str, step: int | float) -> Facts | None:
+    """Facts of the grid over ``bounds``, if it fits one block; a larger grid is measured when it is used."""
+    limit = block_rows(bounds)
+    points = bounds.select((F.floor((F.col(high) - F.col(low)) / F.lit(step)) + 1).alias("n"))
     rows = points.limit(SERIES_BROADCAST + 1).collect()
-    if len(rows) > SERIES_BROADCAST:
-        rows = [points.agg(F.max("n"), F.min(low), F.max(high), F.sum("n")).first()]
-    if not rows:
-        return Facts(shape.keys, shape.ts, Spread(0, 0, None, None))
-    longest, lowest, highest = max(r[0] for r in rows), min(r[1] for r in rows), max(r[2] for r in rows)
-    total = rows[0][3] if len(rows[0]) > 3 else sum(r[0] for r in rows)
-    return Facts(shape.keys, shape.ts, Spread(longest, total, lowest, highest))
+    total = sum(r["n"] for r in rows)
+    if len(rows) > SERIES_BROADCAST or total > limit:
+        return None
+    return Facts(shape.keys, shape.ts, limit, Spread(total, total))
 
 
 def grid(bounds: DataFrame, keys: tuple[str, ...], low: str, high: str, step: int | float, out: str) -> DataFrame:
