@@ -93,3 +93,19 @@ def test_scratch_folder_is_the_named_one(spark):
 def test_range_blocks_are_pinned(spark, split):
     laid = blocks.lay_out(to_spark(spark, random_series(6)), SHAPE, by_range=True)
     assert "tidewell-" in plan(laid.df) and "RoundRobin" not in plan(laid.df)
+
+
+def test_only_long_series_are_cut(spark, split):
+    rows = to_spark(spark, random_series(7))
+    laid = blocks.lay_out(rows, SHAPE)
+    counts = {r["metric"]: r["n"] for r in laid.df.groupBy("metric").agg(F.count_distinct(blocks.BLOCK).alias("n")).collect()}
+    assert counts["single"] == 1 and counts["big"] > 5
+
+
+def test_small_series_are_not_copied(spark, split):
+    rows = to_spark(spark, random_series(8))
+    facts = blocks.learn(rows, SHAPE, 25, ticks=True)
+    ticked = rows.withColumn("_tick", F.unix_micros("timestamp"))
+    copies = blocks._copy_to_cells(blocks._with_cells(ticked, SHAPE, facts, 10_000_000), 10_000_000)
+    assert copies.where("metric = 'single'").count() == 1
+    assert rows.count() < copies.count() < 2 * rows.count()
