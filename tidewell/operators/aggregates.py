@@ -204,5 +204,6 @@ def summary(df: DataFrame, shape: Shape = LONG) -> DataFrame:
 
 
 def _percentiles(df: DataFrame, shape: Shape, column: str, out: str) -> DataFrame:
-    found = quantiles(df, shape.keys, column, SUMMARY_PERCENTILES)
+    """Percentiles of series that do not all fit one block."""
+    found = quantiles(df, shape.keys, column, SUMMARY_PERCENTILES, small=False)
     return found.select(*shape.keys, F.col("quantiles").alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.frames import Shape
-from tidewell.plans.blocks import join_per_series, lay_out, running
+from tidewell.plans.blocks import block_rows, join_per_series, lay_out, learn, pin, running
 
 
 def quantiles(
@@ -17,17 +17,23 @@ def quantiles(
     column: str,
     probabilities: Sequence[float],
     nearest: bool = False,
-    small: bool = False,
+    small: bool | None = None,
 ) -> DataFrame:
     """Per key an array ``quantiles`` of exact quantiles of ``column`` and the row count ``n``.
 
     Rows are counted per distinct value on the map side. The running count over the ordered
     values then tells which value holds each rank, block by block for series with many distinct
-    values. ``nearest`` takes the nearest rank (ties to even) instead of interpolating, ``small`` is as in ``lay_out``.
+    values. ``nearest`` takes the nearest rank (ties to even) instead of interpolating. ``small`` tells, if
+    known, whether every series fits one block.
     """
     shape = Shape(tuple(keys), "_value", "_value")
     present = df.select(*keys, F.col(column).alias("_value")).where(F.col("_value").isNotNull())
     counts = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    if small is None:
+        small = learn(present, shape, block_rows(df)).spread.longest <= block_rows(df)
+    if not small:
+        # The counts are measured and read several times; what they come from runs once.
+        counts = pin(counts)
     blocks = lay_out(counts, shape, small=small)
     if not blocks.split and not nearest:
         wanted = F.percentile("_value", F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_n"))
