@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +39,15 @@ def score_batches(
     The model is sent to the executors once; rows stream through in Arrow batches.
     """
     column = output or ("decision_function_values" if method == "decision_function" else "prediction")
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Packed by value, so that the class of the model need not be installed on the executors.
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = pickle.loads(shared.value)  # noqa: S301
         for batch in batches:
             inputs = batch[features]
-            scores = call(shared.value, inputs) if call else getattr(shared.value, method)(inputs)
+            scores = call(scorer, inputs) if call else getattr(scorer, method)(inputs)
             yield batch.assign(**{column: scores})
 
     return df.mapInPandas(run, schema)
