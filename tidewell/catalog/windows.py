@@ -207,7 +207,7 @@ def _sort(spark, sf_dir):
 
 def _recursion(gain: str, sign: str) -> str:
     """First-order recursion in SQL, one step per row of a series."""
-    return f"""WITH RECURSIVE {CTE_EVENTS}, c AS (SELECT metric, tan(pi() / 2 * 0.00005 / (0.5 * count(*)
+    return f"""WITH RECURSIVE {CTE_EVENTS}, c AS (SELECT metric, tan(pi() / 2 * 0.00001 / (0.5 * count(*)
     / ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6))) AS k FROM e GROUP BY metric),
     n AS (SELECT metric, timestamp, value, lag(value, 1, 0) OVER {ORDER} AS before, row_number() OVER {ORDER} AS i FROM e),
     d AS (SELECT metric, i, timestamp, {gain} / (1 + k) * (value {sign} before) AS x, (1 - k) / (1 + k) AS decay
@@ -219,12 +219,12 @@ def _recursion(gain: str, sign: str) -> str:
 
 @query("lowpass_filter", _recursion("k", "+"), {"value": 7})
 def _lowpass(spark, sf_dir):
-    return rec.lowpass(events(spark, sf_dir), 0.00005)
+    return rec.lowpass(events(spark, sf_dir), 0.00001)
 
 
 @query("highpass_filter", _recursion("1", "-"), {"value": 7})
 def _highpass(spark, sf_dir):
-    return rec.highpass(events(spark, sf_dir), 0.00005)
+    return rec.highpass(events(spark, sf_dir), 0.00001)
 
 
 ALERT_SQL = f"""f AS (SELECT *, CASE WHEN score > 45 THEN 1 ELSE 0 END AS above FROM s)
