@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import quality, shards
+from tidewell.llm import bpe, counting, packing, planes, quality, shards
+from tidewell.session import scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +20,42 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = counting.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids."""
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    columns = ["doc_tokens", "sequence_id", "offset"]
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), *columns)
+
+
+def op8_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the id files and a digest of its ids, read back from the files."""
+    path = f"{scratch_dir(spark).rstrip('/')}/planes-{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    planes.write_ids(_table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    read = planes.read_ids(spark, path)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of all documents into eight shards whose row counts differ by one at most."""
     placed = shards.shuffle_into_shards(_table(spark, sf_dir, "documents"), 8, seed=9)
@@ -37,5 +77,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op9_sharding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op6_packing, op8_planes, op9_sharding, op10_quality)}
 ORACLE: dict[str, str] = {}

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words, as `[\x20\x09-\x0D]`.
 BLANK = r"[\x20\x09-\x0D]"
@@ -128,3 +129,21 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 of a text column; a null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def append(docs: DataFrame, fields: str, function: Callable[[pa.RecordBatch], list], text: str, limit: int) -> DataFrame:
+    """`docs` with new columns computed from batches of at most `limit` bytes of the text column.
+
+    Columns of the same names, whatever the letter case, are replaced.
+    """
+    new = T._parse_datatype_string(fields)
+    taken = {f.name.lower() for f in new}
+    source = docs.select(*(column(c) for c in docs.columns if c.lower() not in taken))
+    schema = T.StructType([*source.schema.fields, *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text, limit):
+            made = function(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *new.names])
+
+    return source.mapInArrow(run, schema)
