@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, counting, packing, planes, quality, shards
+from tidewell.llm import bpe, counting, lines, minhash, packing, planes, quality, shards
 from tidewell.session import scratch_dir
 
 
@@ -40,6 +40,64 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words or more that occur earlier."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+OP4_SQL = r"""
+WITH l AS (
+    SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line
+    FROM documents
+), k AS (
+    SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM l
+), s AS (
+    SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+        AS start FROM k WHERE words > 0
+), r AS (
+    SELECT *, sum(words) OVER w AS total, list(line) OVER w AS run FROM s
+    WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), f AS (
+    SELECT run, min({'d': doc_id, 'a': pos}) AS first FROM r WHERE total >= 50 GROUP BY run HAVING count(*) > 1
+), b AS (
+    SELECT r.*, coalesce(r.total >= 50 AND {'d': r.doc_id, 'a': r.pos} > f.first, FALSE) AS begins FROM r LEFT JOIN f USING (run)
+), g AS (
+    SELECT doc_id, pos, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+    FROM b
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, FALSE)) AS n_deleted,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, FALSE)), '') AS text
+FROM l LEFT JOIN g USING (doc_id, pos) GROUP BY doc_id
+"""
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-equal documents by two-word shingles."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, minhash.Rule(words=2, percent=80))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w]
+        ELSE [w[i : i + 1] FOR i IN range(1, len(w))] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+    SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), t AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT t.v, e.b FROM t JOIN e ON t.r = e.a
+), m AS (SELECT v, min(r) AS component_id FROM t GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN m ON v = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 ids."""
     packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -77,5 +135,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op6_packing, op8_planes, op9_sharding, op10_quality)}
-ORACLE: dict[str, str] = {}
+OPERATORS = (op1_bpe, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op8_planes, op9_sharding, op10_quality)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLE = {"op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL}

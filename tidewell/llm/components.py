@@ -11,7 +11,8 @@ from tidewell.plans.blocks import pin
 def _star(edges: DataFrame) -> DataFrame:
     """`u`, `v`, and the smallest vertex `m` among `u` and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    # Written, so that the join sees two plain exchanges, of which Spark can split a heavy vertex.
+    return edges.join(pin(least), "u")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         large = _star(edges.unionByName(turned)).where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _star(large)  # every v is smaller than its u
+        small = _star(pin(large))  # every v is smaller than its u
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             small.select("u", F.col("m").alias("v"))
         )

@@ -172,7 +172,7 @@ def _hopeful(members: DataFrame, apart: DataFrame, vertices: DataFrame, sets: Da
     pair of them is made.
     """
     known = sets.join(members.select("key").distinct(), "key", "left_semi")
-    spread = known.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
+    spread = pin(known.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1"))
     own = sets.join(apart, "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
     shared = own.join(spread, "shingle").groupBy("key").agg(F.count("shingle").alias("shared"))
     enough = shared.join(vertices.select("key", "n_shingles"), "key")
@@ -209,6 +209,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     )
     spread = vertices.select(F.explode("bands").alias("bucket"), "key")
     buckets = spread.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("key").alias("n")).where("n > 1")
+    # Aggregates are written before they are joined with what they aggregate: the join then has two
+    # plain exchanges, of which Spark splits a heavy key.
+    buckets = pin(buckets)
     members = pin(spread.join(buckets.select("bucket", "pivot"), "bucket"))
     wanted = members.select("key").distinct()
     first_rows = vertices.join(wanted, "key", "left_semi").select("key", F.col("least.row").alias("row"))
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     pivots = found.select(F.col("vertex").alias("pivot"), F.col("root").alias("main"))
     placed = pin(placed.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")).drop("pivot"))
     outside = placed.where(F.col("root") != F.col("main"))
-    mixed = placed.join(outside.select("bucket").distinct(), "bucket", "left_semi")
+    mixed = placed.join(pin(outside.select("bucket").distinct()), "bucket", "left_semi")
     hopeful = pin(_hopeful(mixed, outside.select("key").distinct(), vertices, sets, rule))
     if not hopeful.isEmpty():
         one = outside.join(hopeful, "key", "left_semi").select("bucket", F.col("key").alias("x"), F.col("root").alias("rx"))
@@ -233,7 +236,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
             found = components(links.unionByName(more))
     classes = vertices.select("key", "least").join(found.withColumnRenamed("vertex", "key"), "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
-    first = classes.groupBy("root").agg(F.min("least").alias("first"))
+    first = pin(classes.groupBy("root").agg(F.min("least").alias("first")))
     named = classes.join(first, "root").select("key", "first")
     verdict = hashed.select("row", "n_shingles", "key").join(named, "key", "left").select(
         F.col("row").alias(row), "n_shingles", F.col("first.doc").alias("component"), F.col("first.row").alias("leader")
