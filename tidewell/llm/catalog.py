@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, counting, lines, minhash, packing, planes, quality, shards
+from tidewell.llm import bpe, counting, lines, minhash, packing, planes, quality, shards, vectors
 from tidewell.session import scratch_dir
 
 
@@ -33,6 +33,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-equal embeddings by cosine 0.9."""
+    found = vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+    kept = F.col("vec_id").eqNullSafe(F.col("component_id"))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), t AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT t.v, e.b FROM t JOIN e ON t.r = e.a
+), m AS (SELECT v, min(r) AS component_id FROM t GROUP BY 1
+), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON v = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -135,6 +158,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
-OPERATORS = (op1_bpe, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op8_planes, op9_sharding, op10_quality)
+OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op8_planes, op9_sharding, op10_quality)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE = {"op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL}
+ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL}
