@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, counting, lines, minhash, packing, planes, quality, shards, vectors
+from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, shards, vectors
 from tidewell.session import scratch_dir
 
 
@@ -128,6 +128,43 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), *columns)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document against the rest of the corpus."""
+    scored = lm.score(_table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (SELECT doc_id, len(w) AS n_words, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), g AS (
+    SELECT doc_id, n_words, i, w[i : i] AS g1, CASE WHEN i > 1 THEN w[i - 1 : i] END AS g2,
+        CASE WHEN i > 2 THEN w[i - 2 : i] END AS g3 FROM p
+), u AS (
+    SELECT doc_id, g1 AS g FROM g UNION ALL SELECT doc_id, g2 FROM g WHERE i > 1 UNION ALL SELECT doc_id, g3 FROM g WHERE i > 2
+), d AS (SELECT doc_id, g, count(*) AS n FROM u GROUP BY ALL
+), c AS (SELECT g, sum(n) AS n FROM d GROUP BY ALL
+), r AS (SELECT doc_id, g, c.n - d.n AS n FROM d JOIN c USING (g)
+), x AS (
+    SELECT g.doc_id, i, n_words, r1.n AS c1, r2.n AS c2, r3.n AS c3,
+        lag(r1.n) OVER o AS b1, lag(r2.n) OVER o AS b2, (SELECT count(*) FROM g) - n_words AS others
+    FROM g JOIN r r1 ON r1.doc_id = g.doc_id AND r1.g = g.g1
+    LEFT JOIN r r2 ON r2.doc_id = g.doc_id AND r2.g = g.g2 LEFT JOIN r r3 ON r3.doc_id = g.doc_id AND r3.g = g.g3
+    WINDOW o AS (PARTITION BY g.doc_id ORDER BY i)
+), s AS (
+    SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN (least(i, 3) - 2) * ln(0.4::DOUBLE) + ln(c2 / b1)
+        WHEN c1 > 0 THEN (least(i, 3) - 1) * ln(0.4::DOUBLE) + ln(c1 / others)
+        ELSE least(i, 3) * ln(0.4::DOUBLE) - ln(others + 1) END AS l FROM x
+), t AS (SELECT doc_id, sum(round(l * 1000000)::BIGINT)::BIGINT AS l FROM s GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(l, 0) / 1000000.0::DOUBLE, 6) AS log_score,
+    CASE WHEN len(w) > 0 THEN round(round(coalesce(l, 0) / 1000000.0::DOUBLE, 6) / len(w), 6) END AS mean_log
+FROM w LEFT JOIN t USING (doc_id)
+"""
+
+
 def op8_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the id files and a digest of its ids, read back from the files."""
     path = f"{scratch_dir(spark).rstrip('/')}/planes-{uuid.uuid4().hex}"
@@ -158,6 +195,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
-OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op8_planes, op9_sharding, op10_quality)
+OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op7_lm_score, op8_planes, op9_sharding, op10_quality)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL}
+ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL, "op7_lm_score": OP7_SQL}
