@@ -4,21 +4,52 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import quality
+from tidewell.llm import lines, minhash, packing, quality
 from tidewell.session import scratch_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the columns stay as they are."""
+    """Rejected documents go; null and empty texts are among them. The columns stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge(docs, labels).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality", keep_quality)]
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 50 words or more go, and documents of which only blanks remain.
 
-#: Packing and the similarity classes have no SQL form; the stages are tested against brute force.
+    `n_chars`, where it exists, follows the changed texts.
+    """
+    deduped = lines.drop_repeated_lines(docs)
+    rest = deduped.where((F.col("n_deleted") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""))
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        rest = rest.withColumn("n_chars", F.when(F.col("n_deleted") > 0, length).otherwise(F.col("n_chars")))
+    return rest.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id."""
+    found = minhash.near_duplicates(docs, minhash.Rule(words=5, percent=80))
+    return found.where("first_of_group").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All remaining documents in sequences of 2048 ids, one row per piece."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("lines", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
+
+#: Packing has no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
