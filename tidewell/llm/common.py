@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator
     """The batches cut so that each holds at most `limit` bytes of the column, or one row."""
     for batch in batches:
         col = batch.column(name)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and total + n > limit:
