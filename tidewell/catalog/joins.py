@@ -14,7 +14,7 @@ for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN",
     @query(
         f"merge_dataframes_on_single_column_{_how}",
         f"""WITH c AS (SELECT nullif(c_nationkey, 3) AS nationkey, c_name AS name, c_acctbal FROM customer),
-        n AS (SELECT nullif(n_nationkey, 3) AS nationkey, n_name AS name FROM nation WHERE n_nationkey <> 7)
+        n AS (SELECT nullif(n_nationkey, 3) AS nationkey, n_name AS name FROM nation)
         SELECT {_key} AS nationkey, c.name AS name_x, c_acctbal, n.name AS name_y
         FROM c {_join} n ON c.nationkey IS NOT DISTINCT FROM n.nationkey""",
     )
@@ -22,7 +22,7 @@ for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN",
         left = table(spark, sf_dir, "customer").select(
             F.nullif("c_nationkey", F.lit(3)).alias("nationkey"), F.col("c_name").alias("name"), "c_acctbal"
         )
-        right = table(spark, sf_dir, "nation").where("n_nationkey <> 7").select(
+        right = table(spark, sf_dir, "nation").select(
             F.nullif("n_nationkey", F.lit(3)).alias("nationkey"), F.col("n_name").alias("name")
         )
         return j.merge_on_column(left, right, "nationkey", how)

@@ -22,7 +22,6 @@ UNARY_SQL = {
     "tangent": ("value / 1000", "tan(value / 1000)"),
 }
 
-# Names of the operators where they differ from the function key.
 for _key, (_argument, _sql) in UNARY_SQL.items():
 
     @query(_key, f"WITH {CTE_EVENTS} SELECT timestamp, metric, {_sql} AS value FROM e", {"value": 9})
@@ -35,6 +34,9 @@ def _round(spark, sf_dir):
     return a.round_values(events(spark, sf_dir), 1)
 
 
+# The remainder of SQL has the sign of the dividend.
+MODULO = "CASE WHEN {a} % {b} <> 0 AND ({a} % {b} < 0) <> ({b} < 0) THEN {a} % {b} + {b} ELSE {a} % {b} END"
+
 BINARY_SQL = {
     "add": "l.value + r.value",
     "subtract": "l.value - r.value",
@@ -43,7 +45,7 @@ BINARY_SQL = {
     "power": "pow(l.value, r.value)",
     "log_to_base": "CASE WHEN l.value > 0 AND r.value > 0 AND r.value <> 1 THEN ln(l.value) / ln(r.value) END",
     "nth_root": "CASE WHEN r.value <> 0 THEN pow(l.value, 1 / r.value) END",
-    "modulo": "l.value - r.value * floor(l.value / nullif(r.value, 0))",
+    "modulo": MODULO.format(a="l.value", b="nullif(r.value, 0)"),
 }
 
 for _key, _sql in BINARY_SQL.items():
@@ -68,7 +70,7 @@ SCALAR_SQL = {
     "subtract": "3 - value",
     "multiply": "value * 3",
     "divide": "3 / nullif(value, 0)",
-    "modulo": "value - (-7) * floor(value / -7)",
+    "modulo": MODULO.format(a="value", b="0.1::DOUBLE"),
     "power": "pow(1.01, value)",
     "log_to_base": "CASE WHEN value > 0 THEN ln(value) / ln(2.0) END",
     "nth_root": "pow(value, 1 / 3.0)",
@@ -83,5 +85,5 @@ for _key, _sql in SCALAR_SQL.items():
             return a.apply_binary(3.0, rows, key)
         if key == "power":
             return a.apply_binary(1.01, rows, key)
-        other = {"add": 3, "multiply": 3, "modulo": -7, "log_to_base": 2, "nth_root": 3}[key]
+        other = {"add": 3, "multiply": 3, "modulo": 0.1, "log_to_base": 2, "nth_root": 3}[key]
         return a.apply_binary(rows, other, key)

@@ -86,10 +86,10 @@ def _generic(spark, sf_dir):
     return files.read_parquet(spark, path)
 
 
-@query("sql_table_read", "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY'")
+@query("sql_table_read", "SELECT * FROM customer")
 def _sql_table(spark, sf_dir):
     table(spark, sf_dir, "customer").createOrReplaceTempView("tidewell_customer")
-    return spark.table("tidewell_customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey", "c_acctbal")
+    return tables.read_query(spark, "SELECT * FROM tidewell_customer")
 
 
 @query(

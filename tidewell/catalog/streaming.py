@@ -68,12 +68,11 @@ def _multi(spark, sf_dir):
     return spark.read.parquet(out).select("metric", from_micros(F.col("at")).alias("timestamp"), "value")
 
 
-@query("kafka_sink", f"WITH {CTE_EVENTS} SELECT metric, timestamp, value FROM e WHERE value > 30")
+@query("kafka_sink", f"WITH {CTE_EVENTS} SELECT metric, timestamp, value FROM e")
 def _sink(spark, sf_dir):
     folder, out = _mailbox(spark, _rows(spark, sf_dir), MULTI), _folder(spark)
     bound = bind_inputs(open_stream(spark, "text", folder), INPUTS)
-    loud = bound.where(F.col("value") > 30)
-    _wait(publish(build_messages(loud, MULTI, "trafo-2", "job-3"), "text", out, f"{out}-state"))
+    _wait(publish(build_messages(bound, MULTI, "trafo-2", "job-3"), "text", out, f"{out}-state"))
     back = bind_inputs(spark.read.text(out).withColumnRenamed("value", "message"), INPUTS)
     return back.select("metric", from_micros(F.col("at")).alias("timestamp"), "value")
 

@@ -38,8 +38,9 @@ def log_to_base(x: Column, base: Column) -> Column:
 
 
 def floored_modulo(a: Column, b: Column) -> Column:
-    """Remainder with the sign of the divisor."""
-    return a - b * F.floor(F.try_divide(a, b))
+    """Exact remainder with the sign of the divisor; NULL for a divisor of 0."""
+    rest = F.try_mod(a, b)
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
 
 
 def nth_root(x: Column, n: Column) -> Column:

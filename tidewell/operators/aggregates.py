@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, elapsed, is_time, numeric_columns, require_columns, tick
 from tidewell.operators.joins import align, trapezoid
-from tidewell.plans.blocks import join_per_series, lay_out, neighbour
+from tidewell.plans.blocks import join_null_safe, join_per_series, lay_out, neighbour
 from tidewell.plans.ranks import quantiles
 
 # The percentiles of a summary.
@@ -46,7 +46,7 @@ def median(df: DataFrame, shape: Shape = LONG, columns: list[str] | None = None)
         if result is None:
             result = part
         else:
-            result = result.join(part, list(shape.keys), "full") if shape.keys else result.crossJoin(part)
+            result = join_null_safe(result, part, shape.keys, "full") if shape.keys else result.crossJoin(part)
     return result
 
 
@@ -198,7 +198,7 @@ def summary(df: DataFrame, shape: Shape = LONG) -> DataFrame:
         parts.append(_percentiles(df, shape, shape.value, "value_percentiles"))
         parts.append(_percentiles(gaps, shape, "_gap", "distance_percentiles"))
     for part in parts:
-        facts = facts.join(part, list(shape.keys), "left") if shape.keys else facts.crossJoin(part)
+        facts = join_null_safe(facts, part, shape.keys, "left") if shape.keys else facts.crossJoin(part)
     first, last = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_index", "last_index"))
     return facts.withColumn("duration", (last - first) / F.lit(1e6))
 

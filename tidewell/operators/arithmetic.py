@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, Shape, numeric_columns
 from tidewell.functions import math as m
 from tidewell.operators.joins import align
+from tidewell.plans.blocks import join_null_safe
 
 BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "add": lambda a, b: a + b,
@@ -70,5 +71,5 @@ def apply_to_frames(a: DataFrame, b: DataFrame, kind: str, shape: Shape = LONG)
     result = None
     for c in shared:
         part = apply_binary(a, b, kind, shape.with_value(c)).select(*shape.index, c)
-        result = part if result is None else result.join(part, list(shape.index), "full")
+        result = part if result is None else join_null_safe(result, part, shape.index, "full")
     return result

@@ -104,6 +104,7 @@ def substitution_classes(raw: DataFrame, substitution: DataFrame, shape: Shape =
     return pairs.select(*shape.index, F.explode(entries).alias("_e")).select(*shape.index, "_e.*")
 
 
+# Default colours of a box are those of its parameters.
 def value_interval_boxes(
     df: DataFrame,
     intervals: dict[str, dict],
@@ -167,9 +168,10 @@ def table_widths(df: DataFrame) -> DataFrame:
     return lengths.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
-def table_preview(df: DataFrame, rows: int = 100) -> DataFrame:
-    """The first rows for display."""
-    return df.limit(rows)
+def table_preview(df: DataFrame, rows: int = 100, order: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``rows`` rows for display, by the given columns or else by all that can be ordered."""
+    sortable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.orderBy(*(order or sortable)).limit(rows)
 
 
 def colour_points(df: DataFrame, colours: dict[str, str], category: str) -> DataFrame:

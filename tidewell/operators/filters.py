@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, numeric_columns, require_columns, tick, value_columns
 from tidewell.operators.joins import align, unique_index
-from tidewell.plans.blocks import any_of, interval_matches, join_per_series, lay_out, narrowed, number_rows
+from tidewell.plans.blocks import any_of, interval_matches, join_null_safe, join_per_series, lay_out, narrowed, number_rows
 
 LITERAL_INTERVALS = 16
 
@@ -45,7 +45,7 @@ def filter_by(data: DataFrame, mask: DataFrame, shape: Shape = LONG, flag: str =
     value = F.col(flag)
     keep = value.isNull() | value.cast("boolean")
     kept = unique_index(mask.select(*shape.index, keep.alias("_keep")), shape, ["_keep"]).where("_keep")
-    return narrowed(data.join(kept.select(*shape.index), list(shape.index), "left_semi"), data)
+    return narrowed(join_null_safe(data, kept.select(*shape.index), shape.index, "left_semi"), data)
 
 
 def parse_instant(text: str | dt.datetime | None) -> dt.datetime | None:
@@ -117,7 +117,7 @@ def eval_on_series(df: DataFrame, expression: str, shape: Shape = LONG) -> DataF
     return named.select(*shape.index, *shape.tie, F.expr(expression).alias("result"))
 
 
-def _checked_intervals(intervals: list[dict]) -> list[dict]:
+def _checked_intervals(intervals: list[dict], corrected: bool = False) -> list[dict]:
     checked = []
     for pos, item in enumerate(intervals):
         start, end = parse_instant(item["start"]), parse_instant(item["end"])
@@ -125,6 +125,8 @@ def _checked_intervals(intervals: list[dict]) -> list[dict]:
         open_end = not item.get("end_inclusive", True)
         if end < start or ((open_start or open_end) and end == start):
             raise FrameError(f"time interval {pos} is empty: {item}")
+        if corrected and item.get("correction_value") is None:
+            raise FrameError(f"time interval {pos} has no correction value: {item}")
         checked.append({**item, "start": start, "end": end, "open_start": open_start, "open_end": open_end, "pos": pos})
     return checked
 
@@ -161,11 +163,14 @@ def _last_match(df: DataFrame, intervals: list[dict], shape: Shape) -> DataFrame
 
 
 def select_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape = LONG) -> DataFrame:
-    """Boolean series: is the timestamp in any of the intervals (open or closed at each end)."""
+    """Boolean series: is the timestamp in any of the intervals (open or closed at each end).
+
+    A missing timestamp is in none.
+    """
     items = _checked_intervals(intervals)
     if len(items) <= LITERAL_INTERVALS:
         hit = any_of([_inside(F.col(shape.ts), i) for i in items])
-        return df.select(*shape.index, *shape.tie, hit.alias("result"))
+        return df.select(*shape.index, *shape.tie, F.coalesce(hit, F.lit(False)).alias("result"))
     found = _last_match(df, items, shape).withColumn("_hit", F.lit(True))
     return df.join(found, shape.ts, "left").select(
         *shape.index, *shape.tie, F.coalesce(F.col("_hit"), F.lit(False)).alias("result")
@@ -173,8 +178,11 @@ def select_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape = L
 
 
 def correct_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape = LONG) -> DataFrame:
-    """Replace values inside the intervals by their ``correction_value``; the last interval wins."""
-    items = _checked_intervals(intervals)
+    """Replace values inside the intervals by their ``correction_value``; the last interval wins.
+
+    Every interval needs the value; a missing timestamp keeps its own.
+    """
+    items = _checked_intervals(intervals, corrected=True)
     value = F.col(shape.value)
     if len(items) <= LITERAL_INTERVALS:
         for item in items:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, FrameError, Shape, get_attributes, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.filters import parse_instant
-from tidewell.plans.blocks import Blocks, grid, join_per_series, lay_out, neighbour, pin, running, settle
+from tidewell.plans.blocks import Blocks, grid, join_null_safe, join_per_series, lay_out, neighbour, pin, running, settle
 from tidewell.plans.ranks import quantiles
 
 INTERVAL = ("start_time", "end_time", "start_inclusive", "end_inclusive")
@@ -40,7 +40,7 @@ def add_bounds(df: DataFrame, start=None, end=None, shape: Shape = LONG, keys: D
     hits = [F.max(F.when(F.col(shape.ts) == F.lit(m), True)).alias(f"_hit{i}") for i, m in enumerate(bounds)]
     present = df.groupBy(*shape.keys).agg(*hits)
     if keys is not None and shape.keys:
-        present = keys.select(*shape.keys).distinct().join(present, list(shape.keys), "left")
+        present = keys.select(*shape.keys).distinct().transform(join_null_safe, present, shape.keys, "left")
     wanted = F.array(*[F.when(F.col(f"_hit{i}").isNull(), F.lit(m)) for i, m in enumerate(bounds)])
     missing = present.select(*shape.keys, F.explode(F.array_distinct(F.array_compact(wanted))).alias(shape.ts))
     blank = F.lit(None).cast(df.schema[shape.value].dataType)
@@ -139,7 +139,7 @@ def missing_rhythm_points(
     low, high = parse_instant(start), parse_instant(end)
     ends = df.groupBy(*shape.keys).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     if keys is not None and shape.keys:
-        ends = keys.select(*shape.keys).distinct().join(ends, list(shape.keys), "left")
+        ends = keys.select(*shape.keys).distinct().transform(join_null_safe, ends, shape.keys, "left")
     if low is not None:
         ends = ends.withColumn("_first", F.unix_micros(F.lit(low)))
     if high is not None:
@@ -152,7 +152,7 @@ def missing_rhythm_points(
     expected = grid(bounds, shape.keys, "_low", "_high", frequency, "_at").select(
         *shape.keys, from_micros(F.col("_at")).alias(shape.ts)
     )
-    return points_to_intervals(expected.join(df.select(*shape.index), list(shape.index), "left_anti"), shape)
+    return points_to_intervals(join_null_safe(expected, df.select(*shape.index), shape.index, "left_anti"), shape)
 
 
 def constrict_intervals(intervals: DataFrame, start=None, end=None) -> DataFrame:
@@ -239,7 +239,7 @@ def boundary_values(df: DataFrame, intervals: DataFrame, shape: Shape = LONG) ->
         F.max(F.when(F.col("_side") == "left", F.col("_left.v"))).alias("value_to_left"),
         F.max(F.when(F.col("_side") == "right", F.col("_right.v"))).alias("value_to_right"),
     )
-    return intervals.withColumn("_id", name).join(sides, [*keys, "_id"], "left").drop("_id")
+    return join_null_safe(intervals.withColumn("_id", name), sides, [*keys, "_id"], "left").drop("_id")
 
 
 def gap_info(df: DataFrame, intervals: DataFrame, shape: Shape = LONG) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, elapsed, is_time, require_columns, tick, value_columns
-from tidewell.plans.blocks import join_per_series, lay_out, neighbour, running
+from tidewell.plans.blocks import join_null_safe, join_per_series, lay_out, neighbour, running
 
 
 def unique_index(df: DataFrame, shape: Shape, columns: list[str] | None = None) -> DataFrame:
@@ -16,19 +16,29 @@ def unique_index(df: DataFrame, shape: Shape, columns: list[str] | None = None)
     shuffle of its own, and duplicates are folded on the map side.
     """
     columns = columns or value_columns(df, shape)
-    grouped = df.groupBy(*shape.index).agg(
-        F.count(F.lit(1)).alias("_times"), *[F.first(c).alias(c) for c in columns]
+    return _unique(df, shape, columns).select(*[F.col(f"_index.{c}").alias(c) for c in shape.index], *columns)
+
+
+def _unique(df: DataFrame, shape: Shape, columns: list[str]) -> DataFrame:
+    """One row per index value, packed as ``_index``: structs are equal where their missing parts agree."""
+    packed = df.select(F.struct(*shape.index).alias("_index"), *columns)
+    grouped = packed.groupBy("_index").agg(F.count(F.lit(1)).alias("_times"), *[F.first(c).alias(c) for c in columns])
+    message = F.concat(
+        F.lit("duplicate index "), F.concat_ws(" ", *[F.col(f"_index.{c}").cast("string") for c in shape.index])
     )
-    message = F.concat(F.lit("duplicate index "), F.concat_ws(" ", *[F.col(c).cast("string") for c in shape.index]))
     single = F.when(F.col("_times") == 1, True).otherwise(F.raise_error(message).cast("boolean"))
-    return grouped.where(single).select(*shape.index, *columns)
+    return grouped.where(single).select("_index", *columns)
 
 
 def align(left: DataFrame, right: DataFrame, shape: Shape = LONG, how: str = "full") -> DataFrame:
-    """Two series side by side as columns ``left`` and ``right``, joined on keys and index."""
-    a = unique_index(left.select(*shape.index, F.col(shape.value).alias("left")), shape, ["left"])
-    b = unique_index(right.select(*shape.index, F.col(shape.value).alias("right")), shape, ["right"])
-    return a.join(b, list(shape.index), how)
+    """Two series side by side as columns ``left`` and ``right``, joined on keys and index.
+
+    A missing key is a series like any other, so it meets the missing key of the other side.
+    """
+    a = _unique(left.select(*shape.index, F.col(shape.value).alias("left")), shape, ["left"])
+    b = _unique(right.select(*shape.index, F.col(shape.value).alias("right")), shape, ["right"])
+    joined = a.join(b, "_index", how)
+    return joined.select(*[F.col(f"_index.{c}").alias(c) for c in shape.index], "left", "right")
 
 
 def merge_on_column(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
@@ -60,7 +70,7 @@ def combine_into_frame(
     """Add a series as a column to a frame by index; a taken name gets the next free suffix."""
     column = _free_name(name, value_columns(frame, shape))
     added = unique_index(series.select(*shape.index, F.col(shape.value).alias(column)), shape, [column])
-    return frame.join(added, list(shape.index), "left")
+    return join_null_safe(frame, added, shape.index, "left")
 
 
 def combine_as_named(frame: DataFrame, series: DataFrame, column: str, shape: Shape = LONG) -> DataFrame:
@@ -80,8 +90,8 @@ def restrict_to_common_index(a: DataFrame, b: DataFrame, shape: Shape = LONG) ->
     """Both inputs restricted to index values present in both; duplicates survive."""
     index = list(shape.index)
     return (
-        a.join(b.select(*index).distinct(), index, "left_semi"),
-        b.join(a.select(*index).distinct(), index, "left_semi"),
+        join_null_safe(a, b.select(*index).distinct(), index, "left_semi"),
+        join_null_safe(b, a.select(*index).distinct(), index, "left_semi"),
     )
 
 
@@ -95,9 +105,8 @@ def _first_per_index(df: DataFrame, shape: Shape, out: str) -> DataFrame:
 
 def substitution_pairs(raw: DataFrame, substitution: DataFrame, shape: Shape = LONG) -> DataFrame:
     """Raw and substitute values per index with presence flags; of duplicates the first counts."""
-    pairs = _first_per_index(raw, shape, "raw").join(
-        _first_per_index(substitution, shape, "sub"), list(shape.index), "full"
-    )
+    first = [_first_per_index(df, shape, name) for df, name in ((raw, "raw"), (substitution, "sub"))]
+    pairs = join_null_safe(*first, shape.index, "full")
     return pairs.withColumns(
         {"_has_raw": F.coalesce("_has_raw", F.lit(False)), "_has_sub": F.coalesce("_has_sub", F.lit(False))}
     )
@@ -131,7 +140,7 @@ def time_to_length(data: DataFrame, speed: DataFrame | float, shape: Shape = LON
     area = trapezoid(speed, now, F.col("_t"), value, F.col("_v"), shape)
     lengths = running(steps.with_frame(steps.df.withColumn("_area", F.coalesce(area, F.lit(0.0)))), {"length": ("sum", F.col("_area"))})
     travelled = lengths.rows().select(*shape.index, "length")
-    return data.join(travelled, list(shape.index)).select(*shape.index, "length", shape.value)
+    return join_null_safe(data, travelled, shape.index).select(*shape.index, "length", shape.value)
 
 
 def trapezoid(df: DataFrame, now: Column, before: Column, value: Column, previous: Column, shape: Shape) -> Column:

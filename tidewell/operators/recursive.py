@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.frames import LONG, FrameError, Shape, is_time, tick
-from tidewell.plans.blocks import BLOCK, join_per_series, lay_out, neighbour
+from tidewell.plans.blocks import BLOCK, join_null_safe, join_per_series, lay_out, neighbour
 
 
 def lowpass(df: DataFrame, frequency: float, shape: Shape = LONG) -> DataFrame:
@@ -84,7 +84,7 @@ def _first_order(df: DataFrame, frequency: float, shape: Shape, high: bool) -> D
             return pdf.assign(_carry=carries)
 
         carry = ends.groupBy(*keys).applyInPandas(chain, carried).select(*blocks.group, "_carry")
-        local = local.join(carry, blocks.group).withColumn(
+        local = join_null_safe(local, carry, blocks.group).withColumn(
             "_y", F.col("_y") + F.pow(F.col("_decay"), F.col("_pos")) * F.col("_carry")
         )
     result = F.when(~F.isnan("_y"), F.col("_y"))

@@ -17,7 +17,7 @@ from tidewell.functions.durations import (
 )
 from tidewell.operators.joins import unique_index
 from tidewell.operators.windows import fill_between
-from tidewell.plans.blocks import grid, grid_facts, join_per_series, lay_out, row_frames, series_bounds, with_facts
+from tidewell.plans.blocks import grid, grid_facts, join_null_safe, join_per_series, lay_out, row_frames, series_bounds, with_facts
 
 DAY = UNIT_MICROS["D"]
 
@@ -75,7 +75,7 @@ def resample(df: DataFrame, freq: str, how: str = "mean", shape: Shape = LONG, c
     bounds = _bin_bounds(df, frequency, shape)
     bins = _with_bins(df, bounds, frequency, shape).groupBy(*shape.keys, "_bin").agg(*[fold(c) for c in columns])
     points = grid(bounds, shape.keys, "_low", "_high", frequency, "_bin").select(*shape.keys, "_bin")
-    filled = points.join(bins, [*shape.keys, "_bin"], "left")
+    filled = join_null_safe(points, bins, [*shape.keys, "_bin"], "left")
     result = filled.select(*shape.keys, from_micros(F.col("_bin")).alias(shape.ts), *columns)
     return with_facts(result, grid_facts(bounds, shape, "_low", "_high", frequency))
 
@@ -96,7 +96,7 @@ def _resample_calendar(df: DataFrame, frequency: Calendar, folds: list[Column],
     bins = joined.withColumn("_bin", F.floor((offset + shift) / F.lit(size))).groupBy(*shape.keys, "_first", "_bin").agg(*folds)
     last = bins.groupBy(*shape.keys, "_first").agg(F.max("_bin").alias("_last"))
     points = last.withColumn("_bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).drop("_last")
-    filled = points.join(bins, [*shape.keys, "_first", "_bin"], "left")
+    filled = join_null_safe(points, bins, [*shape.keys, "_first", "_bin"], "left")
     period = F.col("_first") + F.col("_bin") * F.lit(size)
     start_month = (period * unit).cast("int")
     month_count = start_month + (unit - 1) if frequency.at_end else start_month
@@ -113,7 +113,7 @@ def resample_numeric(df: DataFrame, d: int, shape: Shape = LONG) -> DataFrame:
     data = unique_index(df, shape, [shape.value])
     points = grid(series_bounds(df, shape), shape.keys, "_low", "_high", d, shape.ts).select(*shape.index)
     # The last row is in the data; a grid point on it is the same row.
-    union = data.join(points.withColumn("_grid", F.lit(True)), list(shape.index), "full")
+    union = join_null_safe(data, points.withColumn("_grid", F.lit(True)), shape.index, "full")
     before, after = d // 2, (d - 1) // 2
 
     def make(over: WindowSpec) -> Column:
@@ -136,7 +136,7 @@ def interpolate_on_grid(df: DataFrame, t: str, shape: Shape = LONG) -> DataFrame
     bins = _with_bins(data, bounds, step, shape)
     on_grid = bins.where(F.col("_bin") == tick(df, shape.ts)).select(*shape.keys, "_bin", shape.value)
     points = grid(bounds, shape.keys, "_low", "_high", step, "_bin").select(*shape.keys, "_bin")
-    placed = points.join(on_grid, [*shape.keys, "_bin"], "left").select(
+    placed = join_null_safe(points, on_grid, [*shape.keys, "_bin"], "left").select(
         *shape.keys, from_micros(F.col("_bin")).alias(shape.ts), shape.value
     )
     placed = with_facts(placed, grid_facts(bounds, shape, "_low", "_high", step))
@@ -150,7 +150,7 @@ def interpolate_on_numeric_grid(df: DataFrame, d: int, shape: Shape = LONG) -> D
         raise FrameError("d must be positive")
     data = unique_index(df, shape, [shape.value])
     points = grid(series_bounds(df, shape), shape.keys, "_low", "_high", d, shape.ts).select(*shape.index)
-    union = data.join(points.withColumn("_grid", F.lit(True)), list(shape.index), "full")
+    union = join_null_safe(data, points.withColumn("_grid", F.lit(True)), shape.index, "full")
     filled = fill_between(union, F.col(shape.ts).cast("double"), "linear", False, shape)
     return filled.where("_grid").select(*shape.index, F.col("filled").alias(shape.value))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, FrameError, Shape, elapsed, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.joins import unique_index
-from tidewell.plans.blocks import lay_out, narrowed, neighbour, number_rows, row_frames, running, time_frames
+from tidewell.plans.blocks import join_null_safe, lay_out, narrowed, neighbour, number_rows, row_frames, running, time_frames
 
 STATISTICS = ("mean", "std", "min", "max", "median")
 
@@ -198,7 +198,7 @@ def interpolate(
     if method not in INTERPOLATION_METHODS:
         raise FrameError(f"method {method!r} is not supported")
     marks = flags.groupBy(*shape.index).agg(F.max(F.col(flag).cast("boolean")).alias("_flag"))
-    union = df.select(*shape.index, shape.value).join(marks, list(shape.index), "full")
+    union = join_null_safe(df.select(*shape.index, shape.value), marks, shape.index, "full")
     flagged = F.coalesce(F.col("_flag"), F.lit(False))
     blanked = union.withColumn("_flag", flagged).withColumn(shape.value, F.when(~flagged, F.col(shape.value)))
     filled = fill_between(

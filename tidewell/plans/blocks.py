@@ -6,7 +6,7 @@ running total, the previous row, a few rows of context) is carried over separate
 
 Blocks are cells of equal time width where the rows spread evenly enough. Where one cell would
 still hold too many rows (a burst, or one timestamp repeated millions of times), the blocks are
-the partitions of a range sort over the whole order, which are balanced whatever the data. The
+the partitions of a range sort over the whole order and a row number, which parts equal rows too. The
 range sort samples its borders, so its result is written once to the shared scratch folder and
 read from there: two uses of it must see the same borders.
 """
@@ -181,7 +181,7 @@ def _with_cells(df: DataFrame, shape: Shape, facts: Facts, at_least: int = 0) ->
         return df.withColumn("_width", F.lit(widths[0]))
     table = hot.select(list(shape.keys)).append_column("_width", pa.array(widths))
     small = df.sparkSession.createDataFrame(table)
-    return df.join(F.broadcast(small), list(shape.keys), "left")
+    return join_null_safe(df, F.broadcast(small), shape.keys, "left")
 
 
 def _cell(at: Column) -> Column:
@@ -218,11 +218,20 @@ def lay_out(
             cells = cells.withColumn(BLOCK, _cell(tick(df, shape.ts))).drop("_width")
             return Blocks(cells, shape, order, True, limit, facts)
     parts = max(1, -(-facts.spread.total // limit))
-    ranged = df.repartitionByRange(parts, *shape.keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
+    # Equal rows differ in their number, so that a range can end among them.
+    numbered = df.withColumn("_number", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(parts, *shape.keys, *order, "_number").drop("_number").withColumn(BLOCK, F.spark_partition_id().cast("bigint"))
     return Blocks(pin(ranged), shape, order, True, limit, facts)
 
 
-
+def join_null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL meets NULL, as it does in windows and groups."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    joined = left.join(named, reduce(lambda a, b: a & b, same), how)
+    if how in ("full", "right"):
+        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(f"_right_{k}")) for k in keys})
+    return joined.drop(*[f"_right_{k}" for k in keys])
 
 
 def settle(table: DataFrame) -> DataFrame:
@@ -250,7 +259,7 @@ def join_per_series(df: DataFrame, facts: DataFrame, keys: tuple[str, ...] | lis
         # Without keys the facts are one row.
         return df.crossJoin(F.broadcast(facts))
     small = _as_literals(facts)
-    return df.join(facts if small is None else F.broadcast(small), list(keys), how)
+    return join_null_safe(df, facts if small is None else F.broadcast(small), keys, how)
 
 
 # Running state -----------------------------------------------------------------------------
@@ -300,7 +309,7 @@ def running(
     carry = totals.select(
         *blocks.group, *[_over(kind, F.col(out)).over(before).alias(f"_carry_{out}") for out, (kind, _) in specs.items()]
     )
-    joined = local.join(carry, blocks.group, "left")
+    joined = join_null_safe(local, carry, blocks.group, "left")
     merged = {out: _MERGE[kind](F.col(f"_carry_{out}"), F.col(out)) for out, (kind, _) in specs.items()}
     return blocks.with_frame(joined.withColumns(merged).drop(*[f"_carry_{out}" for out in specs]))
 
@@ -317,7 +326,7 @@ def neighbour(blocks: Blocks, columns: dict[str, Column], *, reverse: bool = Fal
         by_block = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
         across = Window.partitionBy(*blocks.shape.keys).orderBy(by_block)
         carry = ends.select(*blocks.group, F.lag("_end", 1).over(across).alias("_far"))
-        local = local.join(carry, blocks.group, "left").withColumn("_near", F.coalesce("_near", "_far")).drop("_far")
+        local = join_null_safe(local, carry, blocks.group, "left").withColumn("_near", F.coalesce("_near", "_far")).drop("_far")
     return blocks.with_frame(local.withColumns({n: F.col(f"_near.{n}") for n in names}).drop("_near"))
 
 
@@ -428,7 +437,7 @@ def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]
     dense = spread.longest * min(1.0, width / span) > DENSE_FRAME_ROWS
     if not whole_series and _fullest_cell(_with_cells(df, shape, facts, width), shape, facts, width) > HOT_FACTOR * limit:
         found = _crowded_frames(_collapse(df, shape, set(columns.values())), shape, facts, width, columns)
-        return with_facts(df.join(found, list(shape.index), "left"), facts)
+        return with_facts(join_null_safe(df, found, shape.index, "left"), facts)
     ticked = df.withColumn("_tick", at)
     if whole_series:
         group, copies = list(shape.keys), ticked
@@ -541,7 +550,7 @@ def interval_matches(
     probes = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn(
         "_cell", F.floor(F.col(at) / F.pow(F.lit(2.0), "_level"))
     )
-    return probes.join(graded, [*keys, "_level", "_cell"]).where(inside).drop("_level", "_cell")
+    return join_null_safe(probes, graded, [*keys, "_level", "_cell"]).where(inside).drop("_level", "_cell")
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -20,12 +20,16 @@ CSV_OPTIONS = {
     "comment": "comment", "na_values": "nullValue", "date_format": "timestampFormat", "na_rep": "nullValue",
     "compression": "compression", "lineterminator": "lineSep", "skipinitialspace": "ignoreLeadingWhiteSpace",
 }
+#: Settings of the index, which is a column like any other here, so that they change nothing.
 IGNORED_CSV_SETTINGS = {"index", "index_col", "parse_dates"}
 UNSPLITTABLE = (".zip", ".xz")
 
 
 def csv_options(settings: dict) -> dict[str, str]:
-    """Spark options for CSV settings; an unknown setting is refused rather than dropped."""
+    """Spark options for CSV settings; an unknown setting is refused rather than dropped.
+
+    The settings in ``IGNORED_CSV_SETTINGS`` are accepted and have no effect.
+    """
     options = {"header": "true"}
     for name, val in settings.items():
         if name == "header":
@@ -38,12 +42,16 @@ def csv_options(settings: dict) -> dict[str, str]:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, **settings) -> DataFrame:
-    """CSV files, plain or compressed with gzip or bzip2. Without a schema one pass infers it."""
+    """CSV files, plain or compressed with gzip or bzip2. Without a schema one pass infers it.
+
+    The header must agree with the schema in names and order, and a row that does not fit (a malformed
+    cell, too many or too few cells) stops the job instead of losing its content.
+    """
     paths = [path] if isinstance(path, str) else path
     for p in paths:
         if p.endswith(UNSPLITTABLE):
             raise FrameError(f"{p}: zip and xz archives are not supported, use gzip, bzip2 or plain files")
-    reader = spark.read.options(**csv_options(settings))
+    reader = spark.read.options(**csv_options(settings)).option("mode", "FAILFAST").option("enforceSchema", "false")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     return nan_to_null(reader.csv(paths))
 

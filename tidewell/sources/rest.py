@@ -15,11 +15,12 @@ import urllib.parse
 import urllib.request
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,10 +74,13 @@ def plan_requests(ids: list[str], start: str | None, end: str | None, per_slice:
 def _lines(base: str, endpoint: str, request: Request, params: list[tuple[str, str]]) -> Iterator[bytes]:
     if base.startswith("file:"):
         folder = urllib.request.url2pathname(urllib.parse.urlparse(base).path)
+        if not os.path.isdir(os.path.join(folder, endpoint)):
+            raise FileNotFoundError(f"no dump of {endpoint} in {folder}; is the folder shared with every executor?")
         for ref in request.ids:
             target = os.path.join(folder, endpoint, urllib.parse.quote(ref, safe=""))
-            names = sorted(os.listdir(target)) if os.path.isdir(target) else []
-            for name in names:
+            if not os.path.isdir(target):
+                continue  # an id without records
+            for name in sorted(n for n in os.listdir(target) if not n.startswith("_")):
                 opener = gzip.open if name.endswith(".gz") else open
                 with opener(os.path.join(target, name), "rb") as handle:
                     yield from handle
@@ -155,21 +159,30 @@ class JsonReader(DataSourceReader):
 @dataclass
 class Posted(WriterCommitMessage):
     rows: int
+    files: list[str] = field(default_factory=list)
 
 
 class JsonWriter(DataSourceWriter):
-    """Posts ``body`` rows grouped by ``ref``. A task that is run again posts its rows again."""
+    """Posts ``body`` rows grouped by ``ref``.
+
+    Dump files get a hidden name per task and attempt, and the job's commit publishes those of the
+    attempts that count. An HTTP endpoint gets the rows of a task that runs again once more.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.base, self.endpoint = options["url"], options["endpoint"]
         self.per_post = int(options.get("rowsPerPost", ROWS_PER_POST))
+        self.job = uuid.uuid4().hex
 
-    def _post(self, ref: str, records: list[str]) -> None:
+    def _post(self, ref: str, records: list[str], files: list[str]) -> None:
         place = f"{self.endpoint}/{urllib.parse.quote(ref, safe='')}" if self.base.startswith("file:") else self.endpoint
         if self.base.startswith("file:"):
             folder = os.path.join(urllib.request.url2pathname(urllib.parse.urlparse(self.base).path), place)
             os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, f"{uuid.uuid4().hex}.ndjson"), "w", encoding="utf8") as handle:
+            task = TaskContext.get()
+            name = f"_{self.job}-{task.partitionId()}-{task.taskAttemptId()}-{len(files)}.ndjson"
+            files.append(os.path.join(folder, name))
+            with open(files[-1], "w", encoding="utf8") as handle:
                 handle.write("\n".join(records) + "\n")
             return
         url = f"{self.base.rstrip('/')}/{place}?{urllib.parse.urlencode({'id': ref})}"
@@ -180,16 +193,26 @@ class JsonWriter(DataSourceWriter):
 
     def write(self, iterator: Iterable) -> Posted:
         waiting: dict[str, list[str]] = {}
+        files: list[str] = []
         count = 0
         for row in iterator:
             batch = waiting.setdefault(row["ref"], [])
             batch.append(row["body"])
             count += 1
             if len(batch) >= self.per_post:
-                self._post(row["ref"], waiting.pop(row["ref"]))
+                self._post(row["ref"], waiting.pop(row["ref"]), files)
         for ref, batch in waiting.items():
-            self._post(ref, batch)
-        return Posted(count)
+            self._post(ref, batch, files)
+        return Posted(count, files)
+
+    def commit(self, messages: list[Posted | None]) -> None:
+        for path in (f for m in messages if m for f in m.files):
+            folder, name = os.path.split(path)
+            os.replace(path, os.path.join(folder, name.removeprefix("_")))
+
+    def abort(self, messages: list[Posted | None]) -> None:
+        for path in (f for m in messages if m for f in m.files):
+            os.remove(path)
 
 
 class JsonSource(DataSource):

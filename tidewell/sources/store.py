@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import FrameError
 
 LATEST = "latest"
+KEY_COLUMNS = ("time", "job_id")
 
 
 def _pointer(base: str, name: str) -> str:
@@ -43,7 +44,13 @@ def load_model(spark: SparkSession, base: str, name: str, tag: str = LATEST):
 
 
 def store_frame(df: DataFrame, base: str, name: str, job_id: str, now: dt.datetime | None = None) -> str:
-    """Write a frame under a new key of time and job; an existing key is never overwritten."""
+    """Write a frame under a new key of time and job; an existing key is never overwritten.
+
+    Columns named like the parts of the key can't be told from it when read, and are refused.
+    """
+    taken = [c for c in df.columns if c.lower() in KEY_COLUMNS]
+    if taken:
+        raise FrameError(f"columns {taken} are reserved for the key of an artefact")
     moment = now or dt.datetime.now(dt.timezone.utc)
     path = f"{base.rstrip('/')}/{name}/time={moment:%Y-%m-%dT%H-%M-%S.%f}/job_id={job_id}"
     df.write.mode("errorifexists").parquet(path)

@@ -37,8 +37,8 @@ def consume(
     """Bind the inputs of every message, run the pipeline on the micro-batch, write its rows.
 
     Progress is committed after a batch is written (at least once). The result folder is
-    partitioned by ``batch`` and a repeated batch replaces its own partition, so the rows are
-    there exactly once. Messages that do not fit go to ``dead_letters`` with
+    partitioned by ``job_id`` and ``batch``, and a repeated batch replaces its own partition, so the
+    rows are there exactly once, and jobs with a folder in common leave each other's rows alone. Messages that do not fit go to ``dead_letters`` with
     ``continue_on_error``, and stop the query otherwise. Rows carry the job id of their message
     beside ``job_id`` and ``batch``.
     """
@@ -49,7 +49,7 @@ def consume(
     def put(rows: DataFrame, target: str, batch: int) -> None:
         marked = rows.withColumns({"job_id": F.lit(job_id), "batch": F.lit(batch)})
         writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(target)
+        writer.partitionBy("job_id", "batch").parquet(target)
 
     def run(frame: DataFrame, batch: int) -> None:
         if continue_on_error:
