@@ -131,6 +131,23 @@ def test_level_crossings(spark, layout, edge):
     assert found == expect(frame, lambda p: crossings(p["value"].to_numpy(), 45, 55, edge))
 
 
+@pytest.mark.parametrize("direction", ["forward", "backward", "both"])
+@pytest.mark.parametrize("area", [None, "inside", "outside"])
+def test_interpolate_limits(spark, layout, direction, area):
+    frame = ordered(random_series(seed=5, rows=80, repeated=False, missing=0.5))
+    rows = to_spark(spark, frame).drop("place")
+    none = rows.where("1 = 0").withColumn("value", F.lit(True))
+    found = windows.interpolate(rows, none, limit_direction=direction, limit=2, limit_area=area)["interpolated"]
+    got = {(r["metric"], r["timestamp"].replace(tzinfo=None)): r["value"] for r in found.collect()}
+    want = {}
+    for metric, part in frame.groupby("metric"):
+        series = part.set_index("timestamp")["value"]
+        if series.notna().any():
+            series = series.interpolate("time", limit_direction=direction, limit=2, limit_area=area)
+        want.update({(metric, t.to_pydatetime()): v for t, v in series.items()})
+    assert_close(got, want)
+
+
 def test_interpolate(spark, layout):
     frame = random_series(10, repeated=False).drop_duplicates(["metric", "timestamp"])
     rows = to_spark(spark, frame)

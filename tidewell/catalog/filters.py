@@ -183,6 +183,19 @@ def _eval_frame(spark, sf_dir):
     return f.eval_on_frame(table(spark, sf_dir, "lineitem"), expression, LINES)
 
 
+@query(
+    "eval_expression_python_syntax",
+    """SELECT l_orderkey, l_linenumber, (l_quantity > 10 AND l_quantity <= 30) OR (l_tax = 0.02 AND NOT l_discount > 0.05)
+    OR l_returnflag IN ('R', 'N') AND sqrt(l_extendedprice) ** 2 % 7 < 1.5 AS result FROM lineitem""",
+)
+def _eval_python(spark, sf_dir):
+    expression = (
+        "10 < l_quantity <= 30 | (`l_tax` == 0.02 & not l_discount > 0.05)"
+        " | l_returnflag in ['R', 'N'] & sqrt(l_extendedprice) ** 2 % 7 < 1.5"
+    )
+    return f.eval_on_frame(table(spark, sf_dir, "lineitem"), expression, LINES)
+
+
 @query("eval_expression_on_series", f"WITH {CTE_EVENTS} SELECT metric, timestamp, value * value - 3 * value AS result FROM e", {"result": 5})
 def _eval_series(spark, sf_dir):
     return f.eval_on_series(events(spark, sf_dir), "x * x - 3 * x")

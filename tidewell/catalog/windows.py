@@ -171,6 +171,40 @@ def _interpolate(spark, sf_dir):
     return w.interpolate(raw, flags, limit_direction="both")["interpolated"]
 
 
+# The flagged points of the query above alone, and at most one of them from each known point on.
+FILLED = f"""{CTE_BINS}, u AS (SELECT timestamp, metric, l.value AS raw, coalesce(r.value > 40, false) AS flag
+    FROM l FULL JOIN r USING (timestamp, metric)),
+    b AS (SELECT *, CASE WHEN NOT flag THEN raw END AS v, epoch_us(timestamp)::DOUBLE AS p,
+    row_number() OVER (PARTITION BY metric ORDER BY timestamp) AS i FROM u),
+    n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN p END IGNORE NULLS) OVER f AS pa,
+    last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ia, last_value(v IGNORE NULLS) OVER f AS va,
+    last_value(CASE WHEN v IS NOT NULL THEN p END IGNORE NULLS) OVER g AS pb, last_value(v IGNORE NULLS) OVER g AS vb FROM b
+    WINDOW f AS (PARTITION BY metric ORDER BY timestamp ROWS UNBOUNDED PRECEDING),
+    g AS (PARTITION BY metric ORDER BY timestamp DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "interpolate_timeseries_new_values",
+    f"""WITH {FILLED} SELECT metric, timestamp, CASE WHEN va IS NOT NULL AND vb IS NOT NULL
+    THEN va + (vb - va) * ((p - pa) / (pb - pa)) ELSE coalesce(va, vb) END AS value FROM n WHERE flag""",
+)
+def _interpolate_new(spark, sf_dir):
+    raw, other = both(spark, sf_dir)
+    flags = other.withColumn("value", F.col("value") > 40)
+    return w.interpolate(raw, flags, limit_direction="both")["new_values"]
+
+
+@query(
+    "interpolate_timeseries_limit",
+    f"""WITH {FILLED} SELECT metric, timestamp, coalesce(v, CASE WHEN va IS NOT NULL AND vb IS NOT NULL AND i - ia <= 1
+    THEN va + (vb - va) * ((p - pa) / (pb - pa)) END) AS value FROM n""",
+)
+def _interpolate_limit(spark, sf_dir):
+    raw, other = both(spark, sf_dir)
+    flags = other.withColumn("value", F.col("value") > 40)
+    return w.interpolate(raw, flags, limit=1, limit_area="inside")["interpolated"]
+
+
 @query(
     "timeshifted_value_table",
     f"""WITH {CTE_BINS} SELECT metric, a.timestamp + INTERVAL 10 MINUTE AS timestamp, a.value AS "shifted_1_times_10min",

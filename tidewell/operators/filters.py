@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, numeric_columns, require_columns, tick, value_columns
+from tidewell.functions.expressions import to_column
 from tidewell.operators.joins import align, unique_index
 from tidewell.plans.blocks import any_of, interval_matches, join_null_safe, join_per_series, lay_out, narrowed, number_rows
 
@@ -106,15 +107,18 @@ def drop_duplicates(df: DataFrame, shape: Shape = LONG) -> DataFrame:
     )
 
 
-def eval_on_frame(df: DataFrame, expression: str, shape: Shape = LONG) -> DataFrame:
-    """Evaluate a SQL expression over the columns of a frame."""
-    return df.select(*shape.index, *shape.tie, F.expr(expression).alias("result"))
+def eval_on_frame(df: DataFrame, expression: str, shape: Shape = LONG, syntax: str = "python") -> DataFrame:
+    """Evaluate an expression over the columns of a frame, in Python's syntax or as ``sql``."""
+    names = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    result = F.expr(expression) if syntax == "sql" else to_column(expression, names)
+    return df.select(*shape.index, *shape.tie, result.alias("result"))
 
 
-def eval_on_series(df: DataFrame, expression: str, shape: Shape = LONG) -> DataFrame:
-    """Evaluate a SQL expression in which ``x`` stands for the value of the series."""
+def eval_on_series(df: DataFrame, expression: str, shape: Shape = LONG, syntax: str = "python") -> DataFrame:
+    """Evaluate an expression in which ``x`` stands for the value of the series."""
     named = df.withColumnRenamed(shape.value, "x")
-    return named.select(*shape.index, *shape.tie, F.expr(expression).alias("result"))
+    result = F.expr(expression) if syntax == "sql" else to_column(expression, {"x": F.col("x")})
+    return named.select(*shape.index, *shape.tie, result.alias("result"))
 
 
 def _checked_intervals(intervals: list[dict], corrected: bool = False) -> list[dict]:

@@ -152,16 +152,24 @@ def count_level_crossings(
     return narrowed(counted.select(*shape.index, *shape.tie, "crossings"), counted)
 
 
-def fill_between(df: DataFrame, position: Column, method: str, both: bool, shape: Shape) -> DataFrame:
+def fill_between(
+    df: DataFrame, position: Column, method: str, both: bool, shape: Shape, limit: int | None = None,
+    area: str | None = None, backward: bool = False,
+) -> DataFrame:
     """Column ``filled``: the value, or an interpolation between the known neighbours.
 
     ``position`` is the axis of the linear formula. Behind the last known value that value is
-    kept; before the first one it is used only with ``both``.
+    kept; before the first one it is used only with ``both``, or with ``backward`` instead of the former.
+    ``limit`` fills so many rows from a known one on in that direction, ``area`` only the rows
+    ``inside`` (between known ones) or ``outside``.
     """
     value = F.col(shape.value)
     placed = narrowed(df.withColumn("_p", position), df)
-    known = F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.alias("v")))
     blocks = lay_out(placed, shape)
+    if limit is not None:
+        blocks = number_rows(blocks)
+    row = F.lit(0) if limit is None else F.col("_row")
+    known = F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.alias("v"), row.alias("row")))
     sides = running(running(blocks, {"_a": ("last", known)}), {"_b": ("last", known)}, reverse=True).rows()
     a, b = F.col("_a"), F.col("_b")
     share = F.try_divide(F.col("_p") - a["p"], b["p"] - a["p"])
@@ -180,7 +188,17 @@ def fill_between(df: DataFrame, position: Column, method: str, both: bool, shape
         edges = F.coalesce(edges, b["v"]) if both else edges
         if method == "nearest" and not both:
             edges = F.when(a.isNotNull() & b.isNotNull(), between)
-    return sides.withColumn("filled", F.coalesce(value, edges)).drop("_a", "_b", "_p")
+    inner = a.isNotNull() & b.isNotNull()
+    if backward and method not in ("ffill", "nearest"):
+        edges = F.when(b.isNotNull(), F.when(a.isNotNull(), between).otherwise(b["v"]))
+    if limit is not None:
+        after, before = F.col("_row") - a["row"] <= limit, b["row"] - F.col("_row") <= limit
+        near = F.coalesce(after, F.lit(False)) if not backward else F.lit(False)
+        near = near | F.coalesce(before, F.lit(False)) if both or backward else near
+        edges = F.when(near, edges)
+    if area is not None:
+        edges = F.when(inner if area == "inside" else ~inner, edges)
+    return sides.withColumn("filled", F.coalesce(value, edges)).drop("_a", "_b", "_p", "_row")
 
 
 # Accepted method names and the formula each one stands for.
@@ -191,18 +209,29 @@ INTERPOLATION_METHODS = {
 
 
 def interpolate(
-    df: DataFrame, flags: DataFrame, method: str = "time", limit_direction: str = "forward",
-    shape: Shape = LONG, flag: str = "value",
+    df: DataFrame, flags: DataFrame, method: str = "time", limit_direction: str | None = None,
+    shape: Shape = LONG, flag: str = "value", limit: int | None = None, limit_area: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Recompute the flagged positions (also new timestamps) from the remaining points."""
+    """Recompute the flagged positions (also new timestamps) from the remaining points.
+
+    ``limit_direction`` is ``forward``, ``backward`` or ``both``; the default is ``backward`` for
+    backward filling and else ``forward``. ``limit`` is the number of consecutive positions that are filled
+    from a known one on, ``limit_area`` keeps to those ``inside`` or ``outside`` the known points.
+    """
     if method not in INTERPOLATION_METHODS:
         raise FrameError(f"method {method!r} is not supported")
+    kind = INTERPOLATION_METHODS[method]
+    direction = limit_direction or ("backward" if kind == "bfill" else "forward")
+    if direction not in ("forward", "backward", "both") or limit_area not in (None, "inside", "outside"):
+        raise FrameError(f"limit direction {direction!r} or area {limit_area!r} is unknown")
+    if limit is not None and limit < 1:
+        raise FrameError("limit must be positive")
     marks = flags.groupBy(*shape.index).agg(F.max(F.col(flag).cast("boolean")).alias("_flag"))
     union = join_null_safe(df.select(*shape.index, shape.value), marks, shape.index, "full")
     flagged = F.coalesce(F.col("_flag"), F.lit(False))
     blanked = union.withColumn("_flag", flagged).withColumn(shape.value, F.when(~flagged, F.col(shape.value)))
     filled = fill_between(
-        blanked, tick(df, shape.ts).cast("double"), INTERPOLATION_METHODS[method], limit_direction == "both", shape
+        blanked, tick(df, shape.ts).cast("double"), kind, direction == "both", shape, limit, limit_area, direction == "backward"
     )
     full = filled.select(*shape.index, F.col("filled").alias(shape.value), "_flag")
     return {"interpolated": full.drop("_flag"), "new_values": full.where("_flag").drop("_flag")}
