@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,15 @@ from tidewell.frames import LONG, FrameError, Shape, is_time, tick
 from tidewell.plans.blocks import BLOCK, join_null_safe, join_per_series, lay_out, neighbour
 
 
+def _scan(drive: np.ndarray, decay: float) -> np.ndarray:
+    """``y[t] = drive[t] + decay * y[t - 1]`` in log2(n) vector steps, each of which doubles the reach."""
+    out, reach = drive.astype(float), 1
+    while reach < len(out) and decay:
+        out[reach:] = out[reach:] + decay * out[:-reach]
+        reach, decay = 2 * reach, decay * decay
+    return out
+
+
 def lowpass(df: DataFrame, frequency: float, shape: Shape = LONG) -> DataFrame:
     """First-order Butterworth low pass with zero initial state; ``frequency`` in hertz."""
     return _first_order(df, frequency, shape, high=False)
@@ -65,8 +73,7 @@ def _first_order(df: DataFrame, frequency: float, shape: Shape, high: bool) -> D
         pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
         drive = pdf["_drive"].to_numpy()
         decay = float(pdf["_decay"].iloc[0])
-        out = np.fromiter(accumulate(drive, lambda y, c: c + decay * y), float, len(drive))
-        return pdf.assign(_y=out, _pos=np.arange(1, len(pdf) + 1))
+        return pdf.assign(_y=_scan(drive, decay), _pos=np.arange(1, len(pdf) + 1))
 
     local = driven.groupBy(*blocks.group).applyInPandas(run, schema)
     if blocks.split:
