@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.catalog.base import CTE_EVENTS, query, table
+from tidewell.frames import Shape
 from tidewell.functions.durations import from_micros
 from tidewell.operators.health import alerts_from_score
 from tidewell.session import scratch_dir
@@ -26,6 +27,11 @@ INPUTS = {
     "at": {"key": "m1:at", "type": "int"},
     "value": {"key": "m1:load", "type": "float"},
 }
+SERIES = [
+    {"column": "metric", "type": "string", "name": "metric", "key": "m1:metric"},
+    {"column": "points", "type": "any", "name": "points", "key": "m1:points"},
+]
+SERIES_INPUTS = {"metric": {"key": "m1:metric", "type": "string"}, "points": {"key": "m1:points", "type": "any"}}
 
 
 def _folder(spark) -> str:
@@ -80,17 +86,25 @@ def _sink(spark, sf_dir):
 @query(
     "consumption_mode",
     f"""WITH {CTE_EVENTS}, f AS (SELECT *, CASE WHEN value > 45 THEN 1 ELSE 0 END AS above FROM e)
-    SELECT metric, timestamp, coalesce(above - lag(above) OVER (PARTITION BY metric ORDER BY timestamp), 0) AS alert,
-    'job-2' AS job_id, 0 AS batch FROM f""",
+    SELECT metric, timestamp, coalesce(above - lag(above) OVER
+    (PARTITION BY metric, date_trunc('day', timestamp) ORDER BY timestamp), 0) AS alert, 'job-2' AS job_id FROM f""",
 )
 def _consume(spark, sf_dir):
-    folder, out = _mailbox(spark, _rows(spark, sf_dir), MULTI), _folder(spark)
+    """A message holds one day of one metric; a file of messages at a time gives the same alerts."""
+    day = F.floor(F.col("at") / 86_400_000_000)
+    points = F.to_json(F.collect_list(F.struct("at", "value"))).alias("points")
+    days = _rows(spark, sf_dir).groupBy("metric", day.alias("day")).agg(points)
+    folder, out = _mailbox(spark, days.drop("day"), SERIES), _folder(spark)
 
     def pipeline(df: DataFrame) -> DataFrame:
-        return alerts_from_score(df.withColumn("timestamp", from_micros(F.col("at"))), 45)
-
-    _wait(consume(open_stream(spark, "text", folder), INPUTS, pipeline, out, f"{out}-state", "job-2"))
-    return spark.read.parquet(out).select("metric", "timestamp", "alert", "job_id", "batch")
+        listed = F.explode(F.from_json("points", "array<struct<at:bigint,value:double>>"))
+        rows = df.select("message_id", "metric", listed.alias("p")).select("message_id", "metric", "p.*")
+        rows = rows.withColumn("timestamp", from_micros(F.col("at")))
+        return alerts_from_score(rows, 45, Shape(keys=("message_id", "metric")))
+
+    stream = open_stream(spark, "text", folder, maxFilesPerTrigger="1")
+    _wait(consume(stream, SERIES_INPUTS, pipeline, out, f"{out}-state", "job-2"))
+    return spark.read.parquet(out).select("metric", "timestamp", "alert", "job_id")
 
 
 @query("delivery_after_restart", "SELECT count(*) AS messages, round(sum(value), 2) AS total FROM events", {"total": 1})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.frames import FrameError
-from tidewell.streaming.messages import bind_inputs, split_value_key
+from tidewell.streaming.messages import MESSAGE_ID, bind_inputs, split_value_key
 
 Pipeline = Callable[[DataFrame], DataFrame]
 
@@ -36,6 +36,10 @@ def consume(
 ) -> StreamingQuery:
     """Bind the inputs of every message, run the pipeline on the micro-batch, write its rows.
 
+    A message is a run of its own, so how many of them a micro-batch holds must not matter: the pipeline
+    gets them with a column ``message_id`` and uses it as a key of its series
+    (``Shape(keys=("message_id", ...))``). Row-wise pipelines need nothing more.
+
     Progress is committed after a batch is written (at least once). The result folder is
     partitioned by ``job_id`` and ``batch``, and a repeated batch replaces its own partition, so the
     rows are there exactly once, and jobs with a folder in common leave each other's rows alone. Messages that do not fit go to ``dead_letters`` with
@@ -52,6 +56,9 @@ def consume(
         writer.partitionBy("job_id", "batch").parquet(target)
 
     def run(frame: DataFrame, batch: int) -> None:
+        if MESSAGE_ID not in frame.columns:
+            number = F.monotonically_increasing_id().cast("string")
+            frame = frame.withColumn(MESSAGE_ID, F.concat(F.lit(f"{batch}/"), number))
         if continue_on_error:
             good, bad = bind_inputs(frame, inputs, "quarantine")
             put(bad, dead_letters, batch)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tidewell.frames import FrameError
 
+MESSAGE_ID = "message_id"
 VALUE = "struct<value:string,data_type:string,output_name:string>"
 
 # Field names and types of the envelope. Values are kept as JSON text.
@@ -20,14 +21,15 @@ VALUE_TYPES = {"int": "bigint", "float": "double", "string": "string", "boolean"
 
 
 def open_stream(spark: SparkSession, source: str, path_or_topic: str, **options: str) -> DataFrame:
-    """Message stream with a string column ``message``.
+    """Message stream with a string column ``message``, and of Kafka its place as ``message_id``.
 
     ``source`` is ``kafka`` (with its options, such as ``kafka.bootstrap.servers``) or ``text``
     for a folder of files with one message per line.
     """
     reader: DataStreamReader = spark.readStream.format(source).options(**options)
     if source == "kafka":
-        return reader.option("subscribe", path_or_topic).load().select(F.col("value").cast("string").alias("message"))
+        place = F.concat_ws("/", "topic", "partition", "offset").alias(MESSAGE_ID)
+        return reader.option("subscribe", path_or_topic).load().select(F.col("value").cast("string").alias("message"), place)
     return reader.load(path_or_topic).select(F.col("value").alias("message"))
 
 
