@@ -164,19 +164,45 @@ def _close(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -
     return likely.mapInArrow(confirm, "a binary, b binary")
 
 
-def _hopeful(members: DataFrame, apart: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of `apart` (`key`) that may have a partner among the members (`key`).
-
-    A partner of similarity s contains at least the share s of a set. So a set of which fewer shingles
-    occur in any second member has none; copies with many words of their own drop out here, before any
-    pair of them is made.
+def _shared(keys: DataFrame, vertices: DataFrame, sets: DataFrame) -> DataFrame:
+    """`key`, `n` (size) and `shared` of the members `key`: the shingles that a second member has, rarest first."""
+    own = keys.join(vertices.select("key", "n_shingles"), "key").join(sets, "key")
+    own = own.select("key", F.col("n_shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    spread = pin(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"))
+    listed = own.join(spread, "shingle").groupBy("key", "n")
+    return listed.agg(F.sort_array(F.collect_list(F.struct("spread", "shingle"))).alias("shared"))
+
+
+def _rest(members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (`a`, `b`) of members (`key`, `root`, `n`, `shared`) of different components that may be links.
+
+    Shingles are ordered by how many members have them, rarest first. Two sets that reach the threshold
+    share one among the first of each, as far as what follows it is large enough: so copies with
+    too many words of their own meet nobody, whatever the size of their group. Shingles that only
+    one component has, as most common ones of a large group, are left out; in the others, whoever is outside
+    the largest component meets the members of all other ones.
     """
-    known = sets.join(members.select("key").distinct(), "key", "left_semi")
-    spread = pin(known.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1"))
-    own = sets.join(apart, "key", "left_semi").select("key", F.explode("shingles").alias("shingle"))
-    shared = own.join(spread, "shingle").groupBy("key").agg(F.count("shingle").alias("shared"))
-    enough = shared.join(vertices.select("key", "n_shingles"), "key")
-    return enough.where(F.col("shared") * 100 >= rule.percent * F.col("n_shingles")).select("key")
+    least = F.ceil(F.col("n") * rule.percent / 100)
+    listed = members.withColumn("take", F.size("shared") - least + 1).where("take > 0")
+    first = listed.select(
+        "key", "root", "n", (F.col("n") - F.size("shared")).alias("alone"),
+        F.posexplode(F.slice("shared", F.lit(1), F.col("take").cast("int"))).alias("i", "s"),
+    )
+    # `rest`: the shingle itself and those after it, which is all that two sets can still share.
+    first = pin(first.select("key", "root", "n", F.col("s.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")))
+    counts = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("count"))
+    main = counts.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("main"), F.count("root").alias("roots"))
+    met = first.join(pin(main.where("roots > 1").select("shingle", "main.root").withColumnRenamed("root", "main")), "shingle")
+    met = pin(met)
+    outside = met.where(F.col("root") != F.col("main")).select(
+        "shingle", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("rest").alias("tx")
+    )
+    others = met.select(
+        "shingle", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("rest").alias("ty")
+    )
+    enough = F.least("tx", "ty") * (100 + rule.percent) >= rule.percent * (F.col("nx") + F.col("ny"))
+    pairs = outside.join(others, "shingle").where((F.col("rx") != F.col("ry")) & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -185,9 +211,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     Documents with equal shingle sets are one vertex. Vertices that share a band meet in a bucket. First,
     each is compared with its bucket's smallest vertex (pairs in proportion to the members, however
     many there are), and the links found are joined to components. Where a bucket still holds several
-    components, those outside its smallest vertex's component are compared with the members of all
-    others, unless their shingles rule out any partner. So a link is lost only if two sets share no band,
-    or if their signatures differ by more than `ERRORS` standard errors. Links are confirmed on full sets.
+    components, its members are compared with the one that has the fewest shingles of its own, and
+    what then lies in different components across these, as far as the rarest shingles allow (see
+    `_rest`). So a link is lost only if two sets share no band, or if their signatures differ by more
+    than `ERRORS` standard errors. Links are confirmed on full sets.
 
     `component_id` is the smallest id reachable by links, `first_of_group` marks one row of each
     component: the one with the smallest id, and among rows of equal id the first. A null, empty or blank
@@ -223,17 +250,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     placed = placed.select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root"))
     pivots = found.select(F.col("vertex").alias("pivot"), F.col("root").alias("main"))
     placed = pin(placed.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")).drop("pivot"))
-    outside = placed.where(F.col("root") != F.col("main"))
-    mixed = placed.join(pin(outside.select("bucket").distinct()), "bucket", "left_semi")
-    hopeful = pin(_hopeful(mixed, outside.select("key").distinct(), vertices, sets, rule))
-    if not hopeful.isEmpty():
-        one = outside.join(hopeful, "key", "left_semi").select("bucket", F.col("key").alias("x"), F.col("root").alias("rx"))
-        two = placed.select("bucket", F.col("key").alias("y"), F.col("root").alias("ry"))
-        rest = one.join(two, "bucket").where("rx <> ry")
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = pin(_close(rest, vertices, sets, rule))
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    mixed = pin(placed.where(F.col("root") != F.col("main")).select("bucket").distinct())
+    mixed = placed.join(mixed, "bucket", "left_semi")
+    shared = pin(_shared(mixed.select("key").distinct(), vertices, sets))
+    # A second star around the member of each such bucket that has the fewest shingles of its own.
+    apart = mixed.join(shared.select("key", (1 - F.size("shared") / F.col("n")).alias("alone")), "key")
+    centre = pin(apart.groupBy("bucket").agg(F.min(F.struct("alone", "key", "root")).alias("centre")))
+    star = mixed.join(centre, "bucket").where(F.col("root") != F.col("centre.root"))
+    star = star.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
+    links = pin(links.unionByName(_close(star, vertices, sets, rule)))
+    found = components(links)
+    members = shared.join(found.withColumnRenamed("vertex", "key"), "key", "left")
+    rest = _rest(members.withColumn("root", F.coalesce("root", "key")), rule)
+    more = pin(_close(rest, vertices, sets, rule))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     classes = vertices.select("key", "least").join(found.withColumnRenamed("vertex", "key"), "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     first = pin(classes.groupBy("root").agg(F.min("least").alias("first")))
