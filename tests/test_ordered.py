@@ -23,6 +23,21 @@ def expect(frame: pd.DataFrame, per_series) -> dict:
     return out
 
 
+@pytest.mark.parametrize("kind", ["mean", "std", "min", "max", "median"])
+def test_moving_number_of_many_rows(spark, layout, kind):
+    frame = random_series(3)
+    known = frame.dropna()
+    found = by_place(windows.moving_number(to_spark(spark, frame), kind, 210, SHAPE))
+    assert_close(found, expect(known, lambda part: getattr(part["value"].rolling(210), kind)()))
+
+
+@pytest.mark.parametrize("periods", [1, -3, 60, -200])
+def test_long_shifts(spark, layout, periods):
+    frame = random_series(6)
+    found = by_place(windows.shift_values(to_spark(spark, frame), periods, SHAPE))
+    assert_close(found, expect(frame, lambda part: part["value"].shift(periods)))
+
+
 @pytest.mark.parametrize("kind", ["mean", "std", "median"])
 def test_moving_number(spark, layout, kind):
     frame = random_series(1)

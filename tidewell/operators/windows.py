@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tidewell.frames import LONG, FrameError, Shape, elapsed, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.joins import unique_index
-from tidewell.plans.blocks import join_null_safe, lay_out, narrowed, neighbour, number_rows, row_frames, running, time_frames
+from tidewell.plans.blocks import (
+    BLOCK, DENSE_FRAME_ROWS, join_null_safe, lay_out, narrowed, neighbour, number_rows, rolling_rows, row_frames, running,
+    time_frames,
+)
 
 STATISTICS = ("mean", "std", "min", "max", "median")
 
@@ -20,7 +23,10 @@ def _statistic(kind: str, value: Column, over: WindowSpec) -> Column:
 
 
 def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> DataFrame:
-    """Statistic over the last ``n`` points, missing until there are n of them."""
+    """Statistic over the last ``n`` points, missing until there are n of them.
+
+    Medians, and frames of many rows, roll over Arrow blocks, so that a row costs the same for any n.
+    """
     if n < 1:
         raise FrameError("n must be positive")
     points = narrowed(df.na.drop("any", subset=[shape.value]), df)
@@ -30,7 +36,11 @@ def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> Data
         frame = over.rowsBetween(-(n - 1), 0)
         return F.when(F.count(value).over(frame) == n, _statistic(kind, value, frame))
 
-    framed = row_frames(lay_out(points, shape), n - 1, 0, {"_stat": make})
+    blocks = lay_out(points, shape)
+    if kind == "median" or n > DENSE_FRAME_ROWS:
+        framed = rolling_rows(blocks, n, {"_stat": kind}, shape.value)
+    else:
+        framed = row_frames(blocks, n - 1, 0, {"_stat": make})
     return narrowed(framed.withColumn(shape.value, F.col("_stat")).drop("_stat"), framed)
 
 
@@ -116,7 +126,14 @@ def shift_values(df: DataFrame, periods: int, shape: Shape = LONG) -> DataFrame:
     def make(over: WindowSpec) -> Column:
         return F.lag(value, periods).over(over) if periods >= 0 else F.lead(value, -periods).over(over)
 
-    framed = row_frames(lay_out(df, shape), max(periods, 0), max(-periods, 0), {"_moved": make})
+    blocks = lay_out(df, shape)
+    if blocks.split:
+        # By row number, so that a long shift copies no more rows than a short one.
+        numbered = number_rows(blocks).df
+        source = numbered.select(*shape.keys, (F.col("_row") + periods).alias("_row"), value.alias("_moved"))
+        framed = join_null_safe(numbered.drop(BLOCK), source, [*shape.keys, "_row"], "left")
+        return narrowed(framed.withColumn(shape.value, F.col("_moved")).select(*df.columns), df)
+    framed = row_frames(blocks, max(periods, 0), max(-periods, 0), {"_moved": make})
     return narrowed(framed.withColumn(shape.value, F.col("_moved")).select(*df.columns), framed)
 
 

@@ -352,17 +352,43 @@ def row_frames(
         over = blocks.window()
         framed = blocks.df.withColumns({out: make(over) for out, make in columns.items()})
         return with_facts(framed, blocks.facts)
+    copies = _with_context(blocks, before, after)
+    over = Window.partitionBy(*blocks.shape.keys, BLOCK).orderBy("_row")
+    framed = copies.withColumns({out: make(over) for out, make in columns.items()})
+    return with_facts(framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_row", BLOCK), blocks.facts)
+
+
+def _with_context(blocks: Blocks, before: int, after: int) -> DataFrame:
+    """Rows by number in blocks of equally many, ``_home``, and copied to the blocks that look at them."""
     size = max(blocks.block_rows, 4 * (before + after))
     numbered = number_rows(blocks).df.drop(BLOCK)
     at = F.col("_row") - 1
     home = F.floor(at / size)
     lowest = F.greatest(F.floor((at - after) / size), F.lit(0))
-    copies = numbered.withColumn("_home", home).withColumn(
+    return numbered.withColumn("_home", home).withColumn(
         BLOCK, F.explode(F.sequence(lowest, F.floor((at + before) / size)))
     )
-    over = Window.partitionBy(*blocks.shape.keys, BLOCK).orderBy("_row")
-    framed = copies.withColumns({out: make(over) for out, make in columns.items()})
-    return with_facts(framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_row", BLOCK), blocks.facts)
+
+
+def rolling_rows(blocks: Blocks, n: int, columns: dict[str, str], value: str) -> DataFrame:
+    """Statistics over the last ``n`` rows in Arrow blocks: each row enters and leaves the frame once.
+
+    The cost of a row does not grow with ``n``, unlike that of a window. NULL until there are n rows.
+    """
+    framed = _with_context(blocks, n - 1, 0) if blocks.split else blocks.df
+    group = [*blocks.shape.keys, BLOCK] if blocks.split else list(blocks.shape.keys)
+    order = ["_row"] if blocks.split else list(blocks.order)
+    schema = T.StructType([*framed.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns]])
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(order, kind="stable", na_position="first", ignore_index=True)
+        frames = block[value].astype(float).rolling(n)
+        return block.assign(**{out: getattr(frames, kind)() for out, kind in columns.items()})
+
+    framed = framed.groupBy(*group).applyInPandas(run, schema)
+    if blocks.split:
+        framed = framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_row", BLOCK)
+    return with_facts(framed, blocks.facts)
 
 
 # Time frames --------------------------------------------------------------------------------
