@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-
+import re
 from collections import Counter
 
 import numpy as np
@@ -366,7 +366,7 @@ def test_sharding_is_uniform(spark, tmp_path):
 
 
 def plain_counts(text: str | None) -> tuple:
-    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     wins = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     hit = {j for i in range(len(words) - 2) if wins[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
     real = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\f\r")]
@@ -391,6 +391,11 @@ def test_quality(spark, odd, none, tmp_path):
         assert r["base_failed"] == (want[0] < 50 or 2 * want[4] > want[0])
         assert not (r["base_failed"] and r["kept"])
     kept = {r["doc_id"] for r in found if r["kept"]}
+    judged = quality.judge(spark.read.parquet(path), marks).where("kept")
+    assert {r["doc_id"] for r in judged.select("doc_id").collect()} == kept
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    # A filter further down would compute the words again and again.
+    assert re.search(r"Filter [^\n]*kept#\d+", plan).start() < plan.index("split(")
     assert {i for i, _ in clean} <= kept and not kept & {i for i, _ in junk}
     few = spark.createDataFrame([], marks.schema)
     assert all(r["kept"] != r["base_failed"] for r in quality.judge(odd, few).collect())
