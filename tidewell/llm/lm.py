@@ -20,16 +20,16 @@ from tidewell.llm.common import U64, column, ngram_hashes, texts_of, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-#: Bytes of text in a block at least and at most; in between it grows with the root of the corpus, so
-#: that blocks times tables grow no faster than the corpus.
-BLOCK_BYTES = (8 << 20, 64 << 20)
+#: Bytes of text in a block at least and at most, which bounds a task's memory; in between it grows with
+#: the root of the corpus, so that blocks times tables grow no faster than the corpus.
+BLOCK_BYTES = (4 << 20, 12 << 20)
 #: Bytes of text for each count table.
 TABLE_BYTES = 4 << 20
 #: Bits of an n-gram's hash that are kept within its table. Of a table's two million n-grams, one
 #: in a hundred million shares them with another.
 KEY_BITS = 48
 #: Texts are hashed in pieces of about so many bytes.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -48,7 +48,7 @@ def _unpack(data: bytes, count: int) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block of texts: distinct keys in ascending order, and where each occurs."""
+    """The n-grams of a block of texts, one length at a time."""
 
     def __init__(self, texts: list[bytes], order: int, tables: int):
         sizes, words, group, held = [], [], [], 0
@@ -60,50 +60,54 @@ class Grams:
                 words.append(hashes)
                 sizes.append(np.diff(before))
                 group, held = [], 0
+        self.tables = tables
         self.words = np.concatenate([*words, np.zeros(0, dtype=np.uint64)])
         self.sizes = np.concatenate([*sizes, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        starts = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(self.words), dtype=np.int64) - np.repeat(starts, self.sizes)
         #: Longest n-gram that ends at each word without leaving its text.
-        self.reach = np.minimum(place + 1, order)
-        parts = []
-        for n in range(1, order + 1):
-            # Where a text is too short for n words, the key is one that no text asks for.
-            full = np.concatenate([np.zeros(min(n - 1, len(self.words)), dtype=np.uint64), ngram_hashes(self.words, n)])
-            parts.append(np.where(self.reach >= n, full, U64(0)))
-        keys = np.concatenate([np.zeros(1, dtype=np.uint64), *parts])
-        # Table and kept bits of the hash: tables are ranges of the first bits, so keys are sorted by table.
-        table = ((keys >> U64(32)) * U64(tables)) >> U64(32)
-        keys = (table << U64(KEY_BITS)) | (keys & U64((1 << KEY_BITS) - 1))
-        self.keys, self.where, self.counts = np.unique(keys, return_inverse=True, return_counts=True)
-        self.counts[0] = len(self.words)  # the empty n-gram occurs before every word
-
-
-def _scores(grams: Grams, totals: np.ndarray, order: int, backoff: float) -> np.ndarray:
+        self.reach = np.minimum(place + 1, order).astype(np.int8)
+
+    def keys(self, n: int) -> np.ndarray:
+        """Table and kept bits of the n-grams that end at the words which reach so far, in order.
+
+        Tables are ranges of the hash's first bits, so that sorted keys are sorted by table.
+        """
+        if n == 0:
+            return np.zeros(min(1, len(self.words)), dtype=np.uint64)
+        hashes = ngram_hashes(self.words, n)[self.reach[n - 1 :] >= n]
+        table = ((hashes >> U64(32)) * U64(self.tables)) >> U64(32)
+        return (table << U64(KEY_BITS)) | (hashes & U64((1 << KEY_BITS) - 1))
+
+
+def _scores(grams: Grams, totals: list[np.ndarray], order: int, backoff: float) -> np.ndarray:
     """Sum of the scores' natural logarithms of each text, in millionths.
 
-    The text's own counts are taken off the corpus counts first.
+    `totals` has the corpus counts of each length's distinct keys. The text's own counts are taken off.
     """
     count, texts = len(grams.words), len(grams.sizes)
     if not count:
         return np.zeros(texts, dtype=np.int64)
+    owner = np.repeat(np.arange(texts), grams.sizes)
     left = []
-    for n in range(order):
-        at = grams.where[1 + n * count : 1 + (n + 1) * count]
-        own, inverse, times = np.unique(grams.owner * len(totals) + at, return_inverse=True, return_counts=True)
-        left.append(totals[at] - times[inverse])
-    corpus = totals[0] - np.repeat(grams.sizes, grams.sizes)
+    for n in range(1, order + 1):
+        known, at = np.unique(grams.keys(n), return_inverse=True)
+        ends = grams.reach >= n
+        _, where, times = np.unique(owner[ends] * len(known) + at, return_inverse=True, return_counts=True)
+        here = np.zeros(count, dtype=np.int64)
+        here[ends] = totals[n][at] - times[where]
+        left.append(here)
+    corpus = totals[0][0] - grams.sizes[owner]
     logs = np.zeros(count)
     open_ = np.ones(count, dtype=bool)
     for n in range(order, 0, -1):
-        steps = grams.reach - n
-        mine = open_ & (steps >= 0) & (left[n - 1] > 0)
+        mine = open_ & (grams.reach >= n) & (left[n - 1] > 0)
         context = corpus if n == 1 else np.concatenate([[1], left[n - 2][:-1]])
-        logs[mine] = steps[mine] * math.log(backoff) + np.log(left[n - 1][mine] / context[mine])
+        steps = grams.reach[mine] - n
+        logs[mine] = steps * math.log(backoff) + np.log(left[n - 1][mine] / context[mine])
         open_ &= ~mine
     logs[open_] = grams.reach[open_] * math.log(backoff) - np.log(corpus[open_] + 1)
-    whole = np.rint(logs * 1e6).astype(np.int64)
-    return np.bincount(grams.owner, whole, texts).astype(np.int64)
+    return np.bincount(owner, np.rint(logs * 1e6), texts).astype(np.int64)
 
 
 def score(
@@ -128,7 +132,7 @@ def score(
     size = F.coalesce(F.sum(F.octet_length(column(text).cast("string")).cast("long")), F.lit(0))
     total = docs.agg(size).first()[0]
     tables = max(1, -(-total // TABLE_BYTES))
-    block_bytes = int(min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], 512 * math.sqrt(total))))
+    block_bytes = int(min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], 256 * math.sqrt(total))))
     # The partition's number is taken in the plan: a task's own number changes under a union.
     rows = docs.select(
         F.spark_partition_id().alias("part"), column(id_column).cast("long").alias("doc_id"),
@@ -153,17 +157,21 @@ def score(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in blocks(batches):
             grams = Grams(texts, order, tables)
-            ends = np.searchsorted(grams.keys >> U64(KEY_BITS), np.arange(tables + 1, dtype=np.uint64))
-            for table in np.flatnonzero(np.diff(ends)).tolist():
-                part = slice(ends[table], ends[table + 1])
-                steps = np.diff(grams.keys[part], prepend=U64(table << KEY_BITS))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "table": pa.array([table], pa.int64()), "block": pa.array([number], pa.int64()),
-                        "n": pa.array([len(steps)], pa.int64()), "keys": pa.array([_pack(steps)], pa.binary()),
-                        "counts": pa.array([_pack(grams.counts[part])], pa.binary()),
-                    }
-                )
+            for n in range(order + 1):
+                keys, counts = np.unique(grams.keys(n), return_counts=True)
+                if n == 0:
+                    counts = counts * len(grams.words)  # the empty n-gram occurs before every word
+                ends = np.searchsorted(keys >> U64(KEY_BITS), np.arange(tables + 1, dtype=np.uint64))
+                for table in np.flatnonzero(np.diff(ends)).tolist():
+                    part = slice(ends[table], ends[table + 1])
+                    steps = np.diff(keys[part], prepend=U64(table << KEY_BITS))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "table": pa.array([table], pa.int64()), "block": pa.array([number], pa.int64()),
+                            "place": pa.array([n * tables + table], pa.int64()), "n": pa.array([len(steps)], pa.int64()),
+                            "keys": pa.array([_pack(steps)], pa.binary()), "counts": pa.array([_pack(counts[part])], pa.binary()),
+                        }
+                    )
 
     def answer(group: pa.Table) -> pa.Table:
         sizes = group.column("n").to_pylist()
@@ -175,7 +183,7 @@ def score(
         parts = np.split(totals[where], np.cumsum(sizes)[:-1])
         return pa.table(
             {
-                "block": group.column("block"), "place": group.column("table"), "n": group.column("n"),
+                "block": group.column("block"), "place": group.column("place"), "n": group.column("n"),
                 "data": pa.array([_pack(p) for p in parts], pa.binary()),
                 "docs": pa.nulls(len(sizes), pa.list_(pa.int64())), "sizes": pa.nulls(len(sizes), pa.list_(pa.int64())),
             }
@@ -204,8 +212,11 @@ def score(
         ends = np.cumsum([0, *sizes])
         texts = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         grams = Grams(texts, order, tables)
-        answers = zip(group.column("data").to_pylist()[1:], group.column("n").to_pylist()[1:], strict=True)
-        totals = np.concatenate([_unpack(d, n) for d, n in answers]).astype(np.int64)
+        found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(order + 1)]
+        columns = (group.column(c).to_pylist()[1:] for c in ("place", "data", "n"))
+        for place, packed, n in zip(*columns, strict=True):
+            found[place // tables].append(_unpack(packed, n).astype(np.int64))
+        totals = [np.concatenate(parts) for parts in found]
         return pa.table(
             {
                 "doc_id": pa.array(group.column("docs")[0].as_py(), pa.int64()),
@@ -215,7 +226,7 @@ def score(
         )
 
     fields = "block bigint, place bigint, n bigint, data binary, docs array<bigint>, sizes array<bigint>"
-    asked = rows.mapInArrow(ask, "`table` bigint, block bigint, n bigint, keys binary, counts binary")
+    asked = rows.mapInArrow(ask, "`table` bigint, block bigint, place bigint, n bigint, keys binary, counts binary")
     answers = asked.groupBy("table").applyInArrow(answer, fields)
     met = answers.unionByName(rows.mapInArrow(carry, fields))
     return met.groupBy("block").applyInArrow(join, "doc_id bigint, n_words bigint, log_score double")
