@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -63,12 +64,7 @@ class Tokenizer:
     """Exact encoding, decoding and certain cuts of one byte-level tokenizer file."""
 
     def __init__(self, content: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer as Library
-
-        self.library = Library.from_str(content)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.content = content
         spec = json.loads(content)
         model, self.alphabet = spec["model"], byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
@@ -91,7 +87,23 @@ class Tokenizer:
         self.certain = ~inside & left[:, None] & right[None, :]
         if not (plain and self._splits(spec)):
             self.certain[:] = False
-        self.ranks = self._rank_table(spec, model)
+
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, which only a few texts need."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer as Library
+
+        library = Library.from_str(self.content)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
+    @cached_property
+    def ranks(self):
+        """The merges as ranks; None if they can't be expressed so. Not built where ids are only decoded."""
+        spec = json.loads(self.content)
+        return self._rank_table(spec, spec["model"])
 
     def _bytes(self, token: str) -> bytes:
         end = bool(self.suffix) and token.endswith(self.suffix)
