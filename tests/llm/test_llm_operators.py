@@ -138,6 +138,22 @@ def test_forest_recall():
     assert len(pairs) > 500 and np.mean([bool(places[a] & places[b]) for a, b in pairs]) > 0.95
 
 
+def test_links_of_a_hot_topic(spark, tmp_path):
+    """A third of the rows in one dense topic: links are found, and each is counted once."""
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(4500, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit[:1500] = np.sqrt(0.85) * unit[-1] + np.sqrt(0.15) * unit[:1500]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    path = str(tmp_path / "hot")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id bigint, embedding array<double>").write.parquet(path)
+    found = np.zeros(len(unit), dtype=np.int64)
+    for r in vectors.near_vectors(spark.read.parquet(path)).collect():
+        found[r["vec_id"]] = r["n_links"]
+    assert want.sum() > 5000 and (found <= want).all() and found.sum() >= 0.97 * want.sum()
+
+
 def passages() -> list[tuple[int | None, str | None]]:
     rng = random.Random(9)
     line = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))

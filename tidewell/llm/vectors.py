@@ -23,8 +23,16 @@ LEAF = 256
 LEAST_SAMPLE = 16
 #: Half the width of the overlap, in standard deviations of the node's projections.
 SPILL = 0.1
-#: Recall that the number of trees is chosen for, at the threshold.
+#: Recall that the forest must reach on measured pairs, in every class of density.
 RECALL = 0.98
+#: Vectors of the sample whose links within it are searched exhaustively, and links kept of each.
+PROBES, PROBE_LINKS = 4096, 16
+#: Pairs from which a class of density is measured by itself.
+LEAST_PAIRS = 100
+#: Trees from which a forest is given up for one of half the depth.
+MOST_TREES = 16
+#: A node is split if its deviation is so many times that of a pair at the threshold at least.
+NARROW = 1.5
 #: Rows of one side of a comparison; a larger leaf is compared block by block.
 BLOCK = 1024
 
@@ -57,10 +65,13 @@ def trees_for(depth: int, cosine: float) -> int:
     return 4 if meet > 0.99 else max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
 
 
-def grow(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[Tree]:
-    """Trees of random splits, each at a random place near the median of the node's sample."""
+def grow(sample: np.ndarray, trees: int, depth: int, seed: int, narrow: float = 0.0, first: int = 0) -> list[Tree]:
+    """Trees of random splits, each at a random place near the median of the node's sample.
+
+    A node whose deviation is below `narrow` stays whole. `first` is the number of the first tree.
+    """
     forest = []
-    for t in range(trees):
+    for t in range(first, first + trees):
         rng = np.random.default_rng((seed, t))
         directions = rng.standard_normal((depth, sample.shape[1]))
         directions /= np.linalg.norm(directions, axis=1, keepdims=True)
@@ -70,7 +81,7 @@ def grow(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[Tree]:
             at = sample @ directions[level]
             for k in range(1 << level, 2 << level):
                 own = at[node == k]
-                if len(own) >= LEAST_SAMPLE:
+                if len(own) >= LEAST_SAMPLE and own.std() >= narrow:
                     thresholds[k] = np.quantile(own, rng.uniform(0.45, 0.55))
                     spill[k] = SPILL * own.std()
             node = np.where(np.isnan(thresholds[node]), node, 2 * node + (at >= thresholds[node]))
@@ -95,6 +106,71 @@ def leaves(tree: Tree, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in ended]), np.concatenate([n for _, n in ended])
 
 
+def probes(sample: np.ndarray, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs to measure recall with: one vector of each, the other one, and the class of the pair.
+
+    Class 0 are made pairs exactly at the threshold, each from a vector of the sample towards another one; they
+    stand for links too rare for the sample. The others are links inside the sample, found by comparing
+    `PROBES` vectors with all of it, in classes by the logarithm of the vector's number of links.
+    """
+    rng = np.random.default_rng((seed, 1 << 20))
+    own = rng.permutation(len(sample))[:PROBES]
+    some = sample[own]
+    other = sample[rng.integers(0, len(sample), len(own))]
+    side = other - (other * some).sum(axis=1, keepdims=True) * some
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    usable = length[:, 0] > 1e-6
+    made = cosine * some[usable] + math.sqrt(1 - cosine * cosine) * side[usable] / length[usable]
+    left, right, kinds = [some[usable]], [made], [np.zeros(len(made), dtype=np.int64)]
+    for start in range(0, len(own), 256):
+        i, j = np.nonzero(some[start : start + 256] @ sample.T >= cosine)
+        i, j = np.stack([i, j])[:, own[start + i] != j]
+        links = np.bincount(i, minlength=256)
+        mixed = rng.permutation(len(i))
+        mixed = mixed[np.argsort(i[mixed], kind="stable")]
+        rank = np.arange(len(i)) - np.repeat(np.cumsum(links) - links, links)
+        i, j = i[mixed[rank < PROBE_LINKS]], j[mixed[rank < PROBE_LINKS]]
+        left.append(some[start + i])
+        right.append(sample[j])
+        kinds.append(1 + np.log2(links[i]).astype(np.int64))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(kinds)
+
+
+def meets(tree: Tree, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the two vectors of each pair share a leaf."""
+    codes = [(at << 24) | leaf for at, leaf in (leaves(tree, left), leaves(tree, right))]
+    out = np.zeros(len(left), dtype=bool)
+    out[np.intersect1d(*codes) >> 24] = True
+    return out
+
+
+def reached(met: np.ndarray, kinds: np.ndarray) -> bool:
+    """Whether the recall is reached for made pairs, for all links, and in every class of enough pairs."""
+    sets = [kinds == 0, kinds > 0, *(kinds == k for k in np.unique(kinds) if (kinds == k).sum() >= LEAST_PAIRS)]
+    return all(met[own].mean() >= RECALL for own in sets if own.any())
+
+
+def measured(sample: np.ndarray, depth: int, cosine: float, seed: int) -> list[Tree]:
+    """A forest that is grown until its measured recall is reached.
+
+    Nodes no wider than a dense topic, in which a split parts most links, stay whole and are compared
+    exhaustively. If `MOST_TREES` don't do, the depth is halved; without a split recall is 1.
+    """
+    left, right, kinds = probes(sample, cosine, seed)
+    narrow = NARROW * math.sqrt((2 - 2 * cosine) / sample.shape[1])
+    while depth:
+        forest, met = [], np.zeros(len(left), dtype=bool)
+        while len(forest) < MOST_TREES:
+            forest += grow(sample, 1, depth, seed, narrow, len(forest))
+            if np.isnan(forest[-1].thresholds).all():
+                return forest[-1:]
+            met |= meets(forest[-1], left, right)
+            if len(forest) >= 4 and reached(met, kinds):
+                return forest
+        depth //= 2
+    return grow(sample, 1, 0, seed)
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
@@ -145,7 +221,7 @@ def _linked(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
         sample = _unit(_matrix(some.column("vector").to_pylist()))
         # A node of the last level keeps LEAST_SAMPLE vectors of the sample, and a leaf about LEAF of all.
         depth = max(0, math.ceil(math.log2(max(1, min(count / LEAF, len(sample) / LEAST_SAMPLE)))))
-        forest = grow(sample, trees_for(depth, cosine), depth, seed)
+        forest = measured(sample, depth, cosine, seed)
         parts.append(_compare(own, spark.sparkContext.broadcast(forest), cosine))
     out = parts[0]
     for part in parts[1:]:
@@ -199,9 +275,17 @@ def _compare(classes: DataFrame, forest, cosine: float) -> DataFrame:
         i, j = left[i], right[j]
         if low == high:
             i, j = i[i < j], j[i < j]
-        lists = {k: np.frombuffer(places[k], dtype="<i8") for k in {*i.tolist(), *j.tolist()}}
-        met = [np.intersect1d(lists[a], lists[b], assume_unique=True)[0] == leaf for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-        i, j = i[np.array(met, dtype=bool)], j[np.array(met, dtype=bool)]
+        lists = [np.frombuffer(p, dtype="<i8") for p in places]
+        lists = [x[: np.searchsorted(x, leaf)] for x in lists]
+        earlier = np.full((len(keys), max(map(len, lists))), -1, dtype=np.int64)
+        for k, x in enumerate(lists):
+            earlier[k, : len(x)] = x
+        new = np.ones(len(i), dtype=bool)
+        for start in range(0, len(i), 1 << 14):
+            a, b = earlier[i[start : start + (1 << 14)]], earlier[j[start : start + (1 << 14)]]
+            for own in a.T:
+                new[start : start + (1 << 14)] &= ~((own[:, None] == b) & (own[:, None] >= 0)).any(axis=1)
+        i, j = i[new], j[new]
         found = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
         least = np.arange(len(keys))
         # One link per vector and round: the smallest neighbour, then the smallest of that one, and so on.
@@ -232,8 +316,10 @@ def near_vectors(
 
     Equal vectors are one class with a number of copies. A forest of trees splits the space: every node at
     a random place near the median along a random direction, with an overlap whose vectors go to both
-    sides. The number of trees follows from the depth so that a pair at the threshold meets with the chance
-    `RECALL`; the splits come from a bounded sample, but every vector is routed through every tree. Vectors
+    sides. Nodes that are narrow against a pair at the threshold, as dense topics are, aren't split, and
+    trees are added until the recall measured on exhaustively found links of the sample, in every class
+    of density, and on made pairs at the threshold is `RECALL` (see `measured`). The splits come from a
+    bounded sample, but every vector is routed through every tree. Vectors
     of a leaf are compared by cosine in double precision, large leaves block by block, so that a dense
     cluster is spread over many tasks. A pair counts where it meets first. Only a link to one neighbour per
     vector and comparison leaves it, beside the number of links.
