@@ -23,7 +23,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     `n_chars`, where it exists, follows the changed texts.
     """
-    deduped = lines.drop_repeated_lines(docs)
+    deduped = lines.drop_repeated_lines(docs, extend=True)
     rest = deduped.where((F.col("n_deleted") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)

@@ -204,6 +204,38 @@ def test_repeated_lines(spark, tmp_path, odd, none):
     assert lines.drop_repeated_lines(none).count() == 0
 
 
+def plain_passages(docs):
+    """Lines left of each document if every passage of enough words that occurs earlier is deleted."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        real = [x for x in text.split("\n") if x.split()]
+        gone = set()
+        for a in range(len(real)):
+            for b in range(a + 1, len(real) + 1):
+                if sum(len(x.split()) for x in real[a:b]) >= lines.RUN_WORDS:
+                    if tuple(real[a:b]) in seen:
+                        gone |= set(range(a, b))
+                    seen.add(tuple(real[a:b]))
+        out[i] = [x for k, x in enumerate(real) if k not in gone]
+    return out
+
+
+def test_passages_extend_both_ways(spark, tmp_path):
+    rng = random.Random(10)
+    line = lambda n: " ".join(f"v{rng.randrange(10_000)}" for _ in range(n))
+    first, second, third = [line(30), line(30), line(10)], [line(60), line(20)], [line(40), line(15), line(3), line(4)]
+    docs = [(10 * k + j, "\n".join([line(9), *x, line(70)])) for k, x in enumerate((first, second, third)) for j in range(3)]
+    docs += [(50 + j, "\n".join(third)) for j in range(2)]
+    pool = [line(rng.choice([3, 12, 20, 30, 55])) for _ in range(7)]
+    docs += [(100 + j, "\n".join(rng.choice([*pool, " "]) for _ in range(9))) for j in range(40)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2).write.parquet(path)
+    found = lines.drop_repeated_lines(spark.read.parquet(path), extend=True).collect()
+    left = {r["doc_id"]: [x for x in r["text"].split("\n") if x.split()] for r in found}
+    assert left == plain_passages(docs)
+    assert len(left[1]) == len(left[11]) == len(left[21]) == 2 and left[51] == []
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(None, 5), (7, 7)]
