@@ -68,6 +68,51 @@ def test_moving_time(spark, layout, seconds, dense, monkeypatch):
         assert_close(by_place(found, kind), expect(frame.dropna(), lambda p, k=kind: peers(p, seconds * 1_000_000, k)))
 
 
+def with_infinities() -> pd.DataFrame:
+    frame = random_series(8)
+    frame.loc[frame.index[5:400:40], "value"] = np.inf
+    frame.loc[frame.index[21:400:80], "value"] = -np.inf
+    return frame
+
+
+def extended(values: pd.Series, kind: str) -> float:
+    """The statistic where infinite values count; NaN where it isn't defined."""
+    values = values.dropna().to_numpy()
+    if not len(values) or (kind == "std" and (len(values) < 2 or np.isinf(values).any())):
+        return np.nan
+    with np.errstate(invalid="ignore"):
+        return values.std(ddof=1) if kind == "std" else getattr(np, kind)(values)
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_infinite_values_in_time_frames(spark, layout, dense, monkeypatch):
+    monkeypatch.setattr(blocks, "DENSE_FRAME_ROWS", dense)
+    frame, width = with_infinities(), 60_000_000
+    rows = to_spark(spark, frame).na.drop("any")
+    kinds = KINDS if dense == 0 else KINDS[:4]
+    found = blocks.time_frames(rows, SHAPE, width, {k: k for k in kinds}).cache()
+
+    def frames(part, kind):
+        at, values = part["timestamp"].astype("int64").to_numpy() // 1000, part["value"]
+        return [extended(values[(at > t - width) & (at <= t)], kind) for t in at]
+
+    for kind in kinds:
+        assert_close(by_place(found, kind), expect(frame.dropna(), lambda p, k=kind: frames(p, k)))
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+@pytest.mark.parametrize("kind", KINDS)
+def test_infinite_values_in_row_frames(spark, kind, dense, monkeypatch):
+    monkeypatch.setattr(windows, "DENSE_FRAME_ROWS", dense)
+    frame = with_infinities()
+
+    def frames(part):
+        values = part["value"]
+        return [np.nan if k < 6 else extended(values.iloc[k - 6 : k + 1], kind) for k in range(len(values))]
+
+    assert_close(by_place(windows.moving_number(to_spark(spark, frame), kind, 7, SHAPE)), expect(frame.dropna(), frames))
+
+
 def test_time_frame_is_open_on_the_left(spark, layout):
     at = pd.to_datetime([0, 9_999_999, 10_000_000, 19_999_999], unit="us")
     frame = pd.DataFrame({"timestamp": at, "metric": "a", "value": [1.0, 2.0, 4.0, 8.0], "place": range(4)})

@@ -9,7 +9,7 @@ from tidewell.frames import LONG, FrameError, Shape, elapsed, require_columns, t
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
 from tidewell.operators.joins import unique_index
 from tidewell.plans.blocks import (
-    BLOCK, DENSE_FRAME_ROWS, join_null_safe, lay_out, narrowed, neighbour, number_rows, rolling_rows, row_frames, running,
+    BLOCK, DENSE_FRAME_ROWS, defined, join_null_safe, lay_out, narrowed, neighbour, number_rows, rolling_rows, row_frames, running,
     time_frames,
 )
 
@@ -34,7 +34,7 @@ def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> Data
 
     def make(over: WindowSpec) -> Column:
         frame = over.rowsBetween(-(n - 1), 0)
-        return F.when(F.count(value).over(frame) == n, _statistic(kind, value, frame))
+        return F.when(F.count(value).over(frame) == n, defined(_statistic(kind, value, frame)))
 
     blocks = lay_out(points, shape)
     if kind == "median" or n > DENSE_FRAME_ROWS:

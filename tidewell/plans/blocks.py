@@ -370,6 +370,49 @@ def _with_context(blocks: Blocks, before: int, after: int) -> DataFrame:
     )
 
 
+def defined(statistic: Column) -> Column:
+    """NULL for NaN: the mean of both infinities, or the deviation in a frame with an infinite value."""
+    return F.when(~F.isnan(statistic.cast("double")), statistic)
+
+
+def _rolled(values: pd.Series, kind: str, window: int | pd.Timedelta) -> np.ndarray:
+    """One rolling statistic over so many rows (NaN until there are as many) or so much time.
+
+    pandas takes infinite values for missing; here they count as in a window of Spark.
+    """
+    infinite = np.isinf(values)
+    if not infinite.any():
+        return getattr(values.rolling(window), kind)().to_numpy()
+
+    def roll(series: pd.Series):
+        return series.rolling(window, min_periods=1)
+
+    def number(which: pd.Series) -> np.ndarray:
+        return roll(which.astype(float)).sum().to_numpy()
+
+    high, low = number(values == np.inf) > 0, number(values == -np.inf) > 0
+    finite = getattr(roll(values.mask(infinite)), kind)().to_numpy()
+    if kind == "max":
+        out = np.where(high, np.inf, np.where(low & np.isnan(finite), -np.inf, finite))
+    elif kind == "min":
+        out = np.where(low, -np.inf, np.where(high & np.isnan(finite), np.inf, finite))
+    elif kind == "mean":
+        out = np.where(high & low, np.nan, np.where(high, np.inf, np.where(low, -np.inf, finite)))
+    elif kind == "std":
+        out = np.where(high | low, np.nan, finite)
+    else:
+        # Ranks are finite: the two middle ones of a frame lead back to its values.
+        known = np.unique(values.dropna())
+        ranks = pd.Series(np.searchsorted(known, values).astype(float), index=values.index).mask(values.isna())
+        middle = [roll(ranks).quantile(0.5, interpolation=side).to_numpy() for side in ("lower", "higher")]
+        one, two = (known[np.nan_to_num(m).astype(int)] for m in middle)
+        with np.errstate(invalid="ignore"):
+            out = np.where(high | low, np.where(one == two, one, one / 2 + two / 2), finite)
+    if isinstance(window, int):
+        out = np.where(number(values.notna()) < window, np.nan, out)
+    return out
+
+
 def rolling_rows(blocks: Blocks, n: int, columns: dict[str, str], value: str) -> DataFrame:
     """Statistics over the last ``n`` rows in Arrow blocks: each row enters and leaves the frame once.
 
@@ -382,8 +425,8 @@ def rolling_rows(blocks: Blocks, n: int, columns: dict[str, str], value: str) ->
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(order, kind="stable", na_position="first", ignore_index=True)
-        frames = block[value].astype(float).rolling(n)
-        return block.assign(**{out: getattr(frames, kind)() for out, kind in columns.items()})
+        values = block[value].astype(float)
+        return block.assign(**{out: _rolled(values, kind, n) for out, kind in columns.items()})
 
     framed = framed.groupBy(*group).applyInPandas(run, schema)
     if blocks.split:
@@ -436,9 +479,9 @@ def _rolling(width: int, columns: dict[str, str], value: str) -> Callable[[pd.Da
         block = block.sort_values("_tick", kind="stable", ignore_index=True)
         ticks = block["_tick"].to_numpy()
         series = pd.Series(block[value].to_numpy(dtype=float), index=pd.to_datetime(ticks, unit="us"))
-        frames = series.rolling(pd.Timedelta(width, unit="us"))
+        frame = pd.Timedelta(width, unit="us")
         last = np.searchsorted(ticks, ticks, side="right") - 1
-        return block.assign(**{out: getattr(frames, kind)().to_numpy()[last] for out, kind in columns.items()})
+        return block.assign(**{out: _rolled(series, kind, frame)[last] for out, kind in columns.items()})
 
     return run
 
@@ -475,7 +518,7 @@ def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]
         framed = copies.groupBy(*group).applyInPandas(_rolling(width, columns, shape.value), schema)
     else:
         over = Window.partitionBy(*group).orderBy("_tick").rangeBetween(*back)
-        framed = copies.withColumns({out: _direct(kind, value, over) for out, kind in columns.items()})
+        framed = copies.withColumns({out: defined(_direct(kind, value, over)) for out, kind in columns.items()})
     if not whole_series:
         framed = framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", BLOCK)
     return with_facts(framed.drop("_tick"), facts)
@@ -495,9 +538,10 @@ def _crowded_frames(folded: DataFrame, shape: Shape, facts: Facts, width: int, c
     whole = Window.partitionBy(*shape.keys, BLOCK)
     over = whole.orderBy("_tick").rangeBetween(-(width - 1), 0)
     if "std" in columns.values():
-        centre = F.try_divide(F.sum(F.col("_n") * F.col("_mean")).over(whole), F.sum("_n").over(whole))
-        copies = copies.withColumn("_centre", centre)
-    framed = copies.withColumns({out: _folded(kind, shape, over) for out, kind in columns.items()})
+        finite = F.abs("_mean") < F.lit(float("inf"))
+        total, count = (F.sum(F.when(finite, x)).over(whole) for x in (F.col("_n") * F.col("_mean"), F.col("_n")))
+        copies = copies.withColumn("_centre", F.coalesce(F.try_divide(total, count), F.lit(0.0)))
+    framed = copies.withColumns({out: defined(_folded(kind, shape, over)) for out, kind in columns.items()})
     return framed.where(F.col("_home") == F.col(BLOCK)).select(*shape.index, *columns).distinct()
 
 
