@@ -17,6 +17,7 @@ from tidewell.llm.tokens import Tokenizer, inside_pairs
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 WORDS = "the of and stone river Light mountain a 12 over, under. été 中文 ΣΟΣ it's <|endoftext|>".split()
+PARTS = "an be or tion ing the of her es ti re on ver al dis pro com sub inter".split()
 #: Columns whose names the operators make themselves.
 CLASH = ["ids", "N_TOKENS", "shard", "kept", "n_lines", "component_id", "row", "key", "part", "n_links", "score"]
 
@@ -336,6 +337,20 @@ def test_neighbours_come_by_bm25():
             assert len({item.doc // 6 for item, _, _ in window}) <= 2
 
 
+def test_neighbours_meet_across_partitions(spark, tmp_path):
+    """Documents of one topic lie in different partitions and share windows all the same."""
+    rng = random.Random(13)
+    topics = [[f"{a}{b}" for a in rng.sample(PARTS, 6) for b in rng.sample(PARTS, 4)] for _ in range(8)]
+    docs = [(i, " ".join(rng.choice(topics[i // 24]) for _ in range(30))) for i in range(192)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(sorted(docs, key=lambda d: (d[0] % 24, d[0])), "doc_id bigint, text string").repartition(8, "doc_id").write.parquet(path)
+    whole: dict = {}
+    for r in packing.pack(spark.read.parquet(path), WORD, window=256, shard_tokens=2048).collect():
+        whole.setdefault(r["sequence_id"], []).append(r["doc_id"] // 24)
+    mixed = np.mean([len(set(x)) for x in whole.values() if len(x) > 2])
+    assert mixed < 1.6
+
+
 def test_language_model(odd, none, spark, tmp_path):
     texts = [(i, t) for i, t in odd_texts() if t is None or len(t) < 3000]
     path = str(tmp_path / "d")

@@ -10,14 +10,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidewell.llm.common import column, pieces, texts_of
+from tidewell.llm.common import column, pieces, row_id, texts_of
 from tidewell.llm.tokens import Source
+from tidewell.plans.blocks import pin
 
 WINDOW = 2048
-#: Token ids of one shard of the index: memory of a task, whatever the table's size.
+#: Token ids of one shard of the index, on average: memory of a task, whatever the table's size.
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
+#: Dimensions of the projected term weights that documents are grouped by, and documents the groups are fitted on.
+DIMENSIONS, SAMPLE = 64, 4096
+#: Groups at most; larger ones are dealt over several shards.
+GROUPS = 512
 _FIELDS = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -33,24 +39,40 @@ class Item:
         return len(self.ids) - self.start
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Number of items, items that hold each term, and mean length, over the whole table."""
+
+    count: int
+    spread: np.ndarray
+    mean: float
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        spread = self.spread[terms]
+        return np.log((self.count - spread + 0.5) / (spread + 0.5))
+
+
 class Index:
     """BM25 over the items of one shard, as an inverted index in arrays.
 
-    The inverse document frequency is the logarithm of (N - n + 0.5) / (n + 0.5) where that is
-    positive; terms of half the shard or more say nothing about a document and have no list.
+    Frequencies and mean length are those of the corpus, or of the shard without one. The inverse document frequency is the logarithm of (N - n + 0.5) / (n + 0.5) where that is
+    positive; terms of half the items or more say nothing about a document and have no list.
     """
 
-    def __init__(self, items: list[Item]):
+    def __init__(self, items: list[Item], corpus: Corpus | None = None):
         sizes = np.array([len(x) for x in items], dtype=np.int64)
         owner = np.repeat(np.arange(len(items)), sizes)
         terms = np.concatenate([x.ids[x.start :] for x in items]).astype(np.int64)
         keys, counts = np.unique(terms * len(items) + owner, return_counts=True)
         terms, owner = keys // len(items), keys % len(items)
         known, starts, spread = np.unique(terms, return_index=True, return_counts=True)
-        idf = np.log((len(items) - spread + 0.5) / (spread + 0.5))
+        if corpus is None:
+            idf, mean = np.log((len(items) - spread + 0.5) / (spread + 0.5)), sizes.mean()
+        else:
+            idf, mean = corpus.idf(known), corpus.mean
         useful = idf > 0
         keep = np.repeat(useful, spread)
-        norm = K1 * (1 - B + B * sizes / sizes.mean())
+        norm = K1 * (1 - B + B * sizes / mean)
         weight = np.repeat(idf, spread) * counts * (K1 + 1) / (counts + norm[owner])
         self.owner, self.weight = owner[keep], weight[keep]
         self.spread = spread[useful]
@@ -76,7 +98,7 @@ class Index:
 Piece = tuple[Item, int, int]
 
 
-def fill(items: list[Item], window: int, last: bool) -> Iterator[list[tuple[Item, int, int]]]:
+def fill(items: list[Item], window: int, last: bool, corpus: Corpus | None = None) -> Iterator[list[tuple[Item, int, int]]]:
     """Windows as lists of (item, start, length); what fills no window stays in `items`.
 
     The seed is the first unused item. Its unused neighbours follow by falling score (then in order)
@@ -85,7 +107,7 @@ def fill(items: list[Item], window: int, last: bool) -> Iterator[list[tuple[Item
     """
     if not items:
         return
-    index = Index(items)
+    index = Index(items, corpus)
     unused = np.ones(len(items), dtype=bool)
     left = sum(map(len, items))
     following, seed = 0, None
@@ -128,17 +150,100 @@ def fill(items: list[Item], window: int, last: bool) -> Iterator[list[tuple[Item
         items.clear()
 
 
+def _ids(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if len(data) == 2 * size else "<u4")
+
+
+def _rests(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Ids of each document after the windows of its own."""
+    columns = (batch.column(c).to_pylist() for c in ("ids", "size", "rest"))
+    return [_ids(data, size)[size - rest :] for data, size, rest in zip(*columns, strict=True)]
+
+
+def _frequencies(encoded: DataFrame) -> np.ndarray:
+    """Documents whose rest holds each id; one number per id of the tokenizer reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for ids in _rests(batch):
+                own = np.unique(ids)
+                if len(own) and own[-1] >= len(spread):
+                    spread = np.pad(spread, (0, int(own[-1]) + 1 - len(spread)))
+                spread[own] += 1
+        some = np.flatnonzero(spread)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(spread[some])], ["term", "n"])
+
+    counted = encoded.select("ids", "size", "rest").mapInArrow(run, "term bigint, n bigint")
+    found = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms = found.column("term").to_numpy()
+    out = np.zeros(int(terms.max()) + 1 if len(terms) else 0, dtype=np.int64)
+    out[terms] = found.column("n").to_numpy()
+    return out
+
+
+def directions(rests: list[np.ndarray], corpus: Corpus, plane: np.ndarray) -> np.ndarray:
+    """Unit vectors of the projected BM25 weights of documents; zero for one without a telling term."""
+    out = np.zeros((len(rests), plane.shape[1]), dtype=np.float32)
+    for k, ids in enumerate(rests):
+        terms, counts = np.unique(ids, return_counts=True)
+        norm = K1 * (1 - B + B * len(ids) / corpus.mean)
+        weight = np.maximum(0, corpus.idf(terms)) * counts * (K1 + 1) / (counts + norm)
+        out[k] = weight.astype(np.float32) @ plane[terms]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def centres(sample: np.ndarray, groups: int) -> np.ndarray:
+    """Centres of so many groups of unit vectors by their cosine."""
+    rng = np.random.default_rng(6)
+    found = sample[rng.choice(len(sample), groups, replace=False)]
+    for _ in range(12):
+        own = np.argmax(sample @ found.T, axis=1)
+        found = np.stack([sample[own == k].sum(axis=0) if (own == k).any() else found[k] for k in range(groups)])
+        found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+    return found
+
+
+def _grouped(encoded: DataFrame, corpus: Corpus, tokens: int, shard_tokens: int) -> DataFrame:
+    """The documents dealt out by groups of similar ones, in order of `shard`; a large group has several shards."""
+    some = encoded.where("rest > 0").orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
+    tail = F.expr("substring(ids, int(1 + length(ids) div size * (size - rest)))")
+    table = some.select(tail.alias("ids"), F.col("rest").alias("size"), "rest").toArrow()
+    rests = [x for batch in table.to_batches() for x in _rests(batch)]
+    plane = np.random.default_rng(5).standard_normal((len(corpus.spread), DIMENSIONS)).astype(np.float32)
+    sample = directions(rests, corpus, plane)
+    middle = centres(sample, min(GROUPS, len(sample), -(-tokens // shard_tokens)))
+    sizes = np.bincount(np.argmax(sample @ middle.T, axis=1), [len(x) for x in rests], len(middle))
+    shards = np.maximum(1, np.ceil(sizes / sizes.sum() * tokens / shard_tokens)).astype(np.int64)
+    facts = encoded.sparkSession.sparkContext.broadcast((corpus, plane, middle, shards, np.cumsum(shards) - shards))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus, plane, middle, shards, first = facts.value
+        for batch in pieces(batches, "ids", 4 << 20):
+            where = directions(_rests(batch), corpus, plane)
+            own = np.argmax(where @ middle.T, axis=1)
+            salt = batch.column("salt").to_numpy()
+            # Documents without a telling term are near to nothing; they go anywhere.
+            shard = np.where(where.any(axis=1), first[own] + salt % shards[own], salt % shards.sum())
+            yield batch.set_column(batch.schema.get_field_index("salt"), "shard", pa.array(shard))
+
+    salted = encoded.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(1 << 40)))
+    dealt = salted.mapInArrow(run, "row bigint, doc_id bigint, ids binary, size bigint, rest bigint, shard bigint")
+    return dealt.repartition(int(shards.sum()), "shard").sortWithinPartitions("shard", "row")
+
+
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", id_column: str = "doc_id",
     window: int = WINDOW, shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """All documents in sequences of `window` ids, one row per piece with its packed `ids`.
 
-    A document is its ids and `end_id`. Every input partition is cut into shards of about `shard_tokens`
-    ids; a shard has an inverted index of its own, so the index is spread over all tasks and needs no
-    exchange. Each seed takes its nearest unused neighbours until its window is full; the last neighbour
-    is cut, and its rest seeds the next window. What is left of a shard joins the next one of the
-    partition, and what is left of a partition is laid into sequences whose lengths are powers of two, so
+    A document is its ids and `end_id`. Frequencies of terms, the number of documents and their mean length
+    are those of the whole table. Documents go to shards of about `shard_tokens` ids by content: groups of
+    similar term weights, fitted on a bounded sample, of which large ones are dealt over several shards. A
+    shard has an inverted index of its own, so that neighbours are searched within a shard only. Each seed
+    takes its nearest unused neighbours until its window is full; the last neighbour is cut, and its rest
+    seeds the next window. What is left of a shard joins the next one of the partition, and what is left of a partition is laid into sequences whose lengths are powers of two, so
     that nothing is padded. `window` must be a power of two.
 
     Null and empty texts are documents of the end id only. Equal ids and repeated rows are documents of
@@ -148,13 +253,34 @@ def pack(
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     source = Source(docs.sparkSession, tokenizer)
-    wanted = docs.select(column(id_column).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    wanted = docs.select(
+        row_id().alias("row"), column(id_column).cast("long").alias("doc_id"), column(text).cast("string").alias("text")
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = source.get()
+        for batch in pieces(batches, "text", 4 << 20):
+            ids = [np.append(codec.encode_parts(x, 1 << 16), np.uint32(end_id)) for x in texts_of(batch)]
+            sizes = np.array(list(map(len, ids)), dtype=np.int64)
+            packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(sizes), pa.array(sizes % window)],
+                ["row", "doc_id", "ids", "size", "rest"],
+            )
+
+    encoded = pin(wanted.mapInArrow(encode, "row bigint, doc_id bigint, ids binary, size bigint, rest bigint"))
+    facts = encoded.where("rest > 0").agg(F.count("row"), F.sum("rest")).first()
+    corpus = None
+    if facts[0]:
+        corpus = Corpus(facts[0], _frequencies(encoded), facts[1] / facts[0])
+        encoded = _grouped(encoded, corpus, facts[1], shard_tokens)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = shared.value
         sequence = TaskContext.get().partitionId() << 33
         items: list[Item] = []
-        held = 0
+        held, shard = 0, None
 
         def rows(windows: Iterator[list[Piece]]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
@@ -177,22 +303,25 @@ def pack(
                 yield [(item, item.start, window)]
                 item.start += window
 
-        for batch in pieces(batches, "text", 4 << 20):
-            for doc, data in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                item = Item(doc, np.append(codec.encode_parts(data, 1 << 16), np.uint32(end_id)), 0)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "ids", "size", batch.schema.names[-1])]
+            for doc, data, size, own in zip(*columns, strict=True):
+                # A shard may be larger than the sample made it seem; small ones share an index.
+                if held >= 2 * shard_tokens or (own != shard and 2 * held >= shard_tokens):
+                    yield from rows(fill(items, window, last=False, corpus=corpus))
+                    held = sum(map(len, items))
+                shard = own
+                item = Item(doc, _ids(data, size).astype(np.uint32), 0)
                 if len(item) >= window:
                     yield from rows(whole(item))
                 if len(item):
                     items.append(item)
                     held += len(item)
-                if held >= shard_tokens:
-                    yield from rows(fill(items, window, last=False))
-                    held = sum(map(len, items))
-        yield from rows(fill(items, window, last=True))
+        yield from rows(fill(items, window, last=True, corpus=corpus))
 
     def table(out: list[tuple]) -> pa.RecordBatch:
         types = [pa.int64()] * 6 + [pa.binary()]
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return wanted.mapInArrow(run, _FIELDS)
+    return encoded.mapInArrow(run, _FIELDS)
