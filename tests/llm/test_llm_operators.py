@@ -155,6 +155,16 @@ def test_links_of_a_hot_topic(spark, tmp_path):
     assert want.sum() > 5000 and (found <= want).all() and found.sum() >= 0.97 * want.sum()
 
 
+def test_too_many_lengths_are_an_error(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    rows = [(i, [1.0] * (1 + i % 3)) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(path)
+    assert all(r["n_links"] == 1 for r in vectors.near_vectors(spark.read.parquet(path)).collect())
+    monkeypatch.setattr(vectors, "LENGTHS", 2)
+    with pytest.raises(ValueError, match="more than 2 lengths"):
+        vectors.near_vectors(spark.read.parquet(path))
+
+
 def passages() -> list[tuple[int | None, str | None]]:
     rng = random.Random(9)
     line = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))

@@ -33,6 +33,8 @@ LEAST_PAIRS = 100
 MOST_TREES = 16
 #: A node is split if its deviation is so many times that of a pair at the threshold at least.
 NARROW = 1.5
+#: Lengths of vectors in one table; more are an error.
+LENGTHS = 1000
 #: Rows of one side of a comparison; a larger leaf is compared block by block.
 BLOCK = 1024
 
@@ -212,10 +214,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def _linked(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
     """Per comparison: `key`, `found` (rows linked to it there), `other` (a key it is linked to)."""
     spark = classes.sparkSession
-    count = classes.count()
-    sizes = sorted(r["size"] for r in classes.select("size").distinct().limit(1000).collect())
+    found = classes.groupBy("size").agg(F.count("key").alias("n")).limit(LENGTHS + 1).collect()
+    if len(found) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths: each length needs a forest of its own")
     parts = []
-    for size in sizes:
+    for size, count in sorted((r["size"], r["n"]) for r in found):
         own = classes.where(F.col("size") == size)
         some = own.select("vector", "key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
         sample = _unit(_matrix(some.column("vector").to_pylist()))
@@ -325,7 +328,7 @@ def near_vectors(
     vector and comparison leaves it, beside the number of links.
 
     Vectors that are null, empty or zero, or that hold null, NaN or infinite components, link with
-    nothing; so do vectors of different lengths. `component_id` is the smallest id reachable, null ids
+    nothing; so do vectors of different lengths, of which more than `LENGTHS` are an error. `component_id` is the smallest id reachable, null ids
     counting as larger than any; `first_of_group` marks one row of each component. Repeated rows are links
     of each other. Columns of the made names are replaced; no rows give no rows.
     """
