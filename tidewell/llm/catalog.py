@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, shards, vectors
+from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, resampling, shards, vectors
 from tidewell.session import scratch_dir
 
 
@@ -195,6 +195,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
-OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op7_lm_score, op8_planes, op9_sharding, op10_quality)
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place in the draw of every document, with the benchmark as target."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, _table(spark, sf_dir, "benchmark").select("text"), drop=("text",))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = r"""
+WITH table256 AS (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+    FROM range(256) r(b)
+), texts AS (
+    SELECT 'd' AS kind, row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+    SELECT kind, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+    FROM texts
+), counted AS (SELECT kind, row, w, count(*) AS n FROM words GROUP BY ALL
+), bytes AS (
+    SELECT w, [('0x' || hex(encode(w))[2 * i - 1 : 2 * i])::BIGINT FOR i IN range(1, octet_length(encode(w)) + 1)] AS x
+    FROM (SELECT DISTINCT w FROM words)
+), hashed AS (
+    SELECT w, xor(list_reduce(x, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM bytes, table256
+), filled AS (SELECT kind, row, bucket, n FROM counted JOIN hashed USING (w)
+), shares AS (
+    SELECT b AS bucket, coalesce(sum(n) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 'b'), 0) AS t
+    FROM range(10000) r(b) LEFT JOIN filled ON bucket = b GROUP BY 1
+), gain AS (
+    SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS g
+    FROM shares
+), weights AS (
+    SELECT row, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM filled JOIN gain USING (bucket)
+    WHERE kind = 'd' GROUP BY 1
+), scores AS (
+    SELECT doc_id, row, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+            / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM texts LEFT JOIN weights USING (row) WHERE kind = 'd'
+), ranks AS (
+    SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS r,
+        count(*) FILTER (WHERE n_features >= 20) OVER () AS eligible FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= eligible * 10 // 100 THEN r END AS rank FROM ranks
+"""
+
+
+OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op7_lm_score, op8_planes, op9_sharding, op10_quality, op13_resampling)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL, "op7_lm_score": OP7_SQL}
+ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL, "op7_lm_score": OP7_SQL, "op13_resampling": OP13_SQL}
