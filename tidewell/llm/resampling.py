@@ -29,12 +29,26 @@ def pattern(words: int) -> regex.Pattern:
     return regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % (words - 1))
 
 
-def ngrams(text: bytes, patterns: list[regex.Pattern]) -> Iterator[bytes]:
-    """All runs of words of the patterns' lengths in UTF-8 text, lower-cased, joined by one space."""
-    clean = b" ".join(text.translate(CLEAN).split())
+class Buckets(dict):
+    """The bucket of each n-gram seen so far: the CRC-32 of its bytes modulo their number."""
+
+    def __init__(self, number: int):
+        self.number = number
+
+    def __missing__(self, gram: bytes) -> int:
+        self[gram] = found = zlib.crc32(gram) % self.number
+        return found
+
+
+def cleaned(text: bytes) -> bytes:
+    """UTF-8 text in lower case with all separators collapsed to single spaces."""
+    return b" ".join(text.translate(CLEAN).split())
+
+
+def ngrams(clean: bytes, patterns: list[regex.Pattern]) -> Iterator[bytes]:
+    """All runs of words of the patterns' lengths in cleaned text."""
     for compiled in patterns:
-        for match in compiled.finditer(clean, overlapped=True):
-            yield clean[slice(*match.span())]
+        yield from map(regex.Match.group, compiled.finditer(clean, overlapped=True))
 
 
 def bucket_counts(docs: DataFrame, buckets: int, longest: int = 1, text: str = "text") -> DataFrame:
@@ -46,18 +60,16 @@ def bucket_counts(docs: DataFrame, buckets: int, longest: int = 1, text: str = "
     """
 
     def run(batch: pa.RecordBatch) -> list:
-        patterns = [pattern(n) for n in range(1, longest + 1)]
+        patterns, known = [pattern(n) for n in range(1, longest + 1)], Buckets(buckets)
         words, features, keys, counts, ends = [], [], [], [], [0]
         for data in texts_of(batch, text):
-            found = Counter(ngrams(data, patterns))
-            own = Counter()
-            for gram, n in found.items():
-                own[zlib.crc32(gram) % buckets] += n
-            words.append(sum(n for gram, n in found.items() if b" " not in gram))
-            features.append(found.total())
+            clean = cleaned(data)
+            own = Counter(map(known.__getitem__, ngrams(clean, patterns)))
+            words.append(clean.count(b" ") + 1 if clean else 0)
+            features.append(own.total())
             chosen = sorted(own)
             keys.extend(chosen)
-            counts.extend(own[k] for k in chosen)
+            counts.extend(map(own.__getitem__, chosen))
             ends.append(len(keys))
         ends = pa.array(ends, pa.int32())
         return [
