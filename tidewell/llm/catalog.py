@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, resampling, shards, vectors
+from tidewell.llm import bpe, codes, counting, html, lines, lm, minhash, packing, planes, quality, resampling, shards, vectors
 from tidewell.session import scratch_dir
 
 
@@ -195,6 +195,53 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "score")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings, their errors, and a digest of the codebooks."""
+    coded, books = codes.compress(_table(spark, sf_dir, "embeddings"))
+    summed = codes.with_group_sums(coded, "label")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _assigned(of: str) -> str:
+    return f"""SELECT rid, p, min({{'d': (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT, 'e': e}}) AS best
+    FROM pieces JOIN {of} USING (p) GROUP BY ALL"""
+
+
+def _updated(assigned: str, of: str) -> str:
+    return f"""SELECT p, e, coalesce(m, c) AS c FROM {of} LEFT JOIN (
+        SELECT p, e, list(m ORDER BY i) AS m FROM (
+            SELECT p, e, i, floor(sum(v) / count(*))::DOUBLE AS m FROM (
+                SELECT p, best.e AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {assigned} JOIN pieces USING (rid, p)
+            ) GROUP BY ALL
+        ) GROUP BY ALL
+    ) USING (p, e)"""
+
+
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), pieces AS MATERIALIZED (SELECT rid, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM kept, range(16) r(p)
+), c0 AS MATERIALIZED (SELECT p, rid AS e, x AS c FROM pieces WHERE rid < 64
+), a0 AS MATERIALIZED ({_assigned("c0")}), c1 AS MATERIALIZED ({_updated("a0", "c0")}
+), a1 AS MATERIALIZED ({_assigned("c1")}), c2 AS MATERIALIZED ({_updated("a1", "c1")}
+), a2 AS MATERIALIZED ({_assigned("c2")}
+), coded AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY 1
+), digest AS (
+    SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h
+    FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM c2)
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (rid), digest
+"""
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and place in the draw of every document, with the benchmark as target."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -243,6 +290,6 @@ SELECT doc_id, n_features, weight, score, CASE WHEN r <= eligible * 10 // 100 TH
 """
 
 
-OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op7_lm_score, op8_planes, op9_sharding, op10_quality, op13_resampling)
+OPERATORS = (op1_bpe, op2_embedding_dedup, op3_token_counts, op4_line_dedup, op5_minhash, op6_packing, op7_lm_score, op8_planes, op9_sharding, op10_quality, op11_codes, op12_main_text, op13_resampling)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL, "op7_lm_score": OP7_SQL, "op13_resampling": OP13_SQL}
+ORACLE = {"op2_embedding_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash": OP5_SQL, "op7_lm_score": OP7_SQL, "op11_codes": OP11_SQL, "op13_resampling": OP13_SQL}
