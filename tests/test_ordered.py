@@ -379,3 +379,83 @@ def test_all_rows_on_one_timestamp(spark, monkeypatch):
         assert_close(moved, expect(frame, lambda p: peers(p, 1_000_000, "median")))
     finally:
         spark.conf.unset(blocks.BLOCK_ROWS_CONF)
+
+
+@pytest.mark.parametrize("kind, n", [("std", 30), ("median", 30), ("median", 333), ("mean", 333), ("max", 333)])
+def test_row_frames_wider_than_a_block(spark, layout, kind, n):
+    frame = with_infinities()
+
+    def frames(part):
+        values = part["value"]
+        return [np.nan if k < n - 1 else extended(values.iloc[k - n + 1 : k + 1], kind) for k in range(len(values))]
+
+    assert_close(by_place(windows.moving_number(to_spark(spark, frame), kind, n, SHAPE)), expect(frame.dropna(), frames))
+
+
+@pytest.mark.parametrize("seconds", [400, 100_000])
+def test_time_frames_as_long_as_a_series(spark, layout, seconds):
+    frame = random_series(5)
+    rows = to_spark(spark, frame)
+    found = blocks.time_frames(rows, SHAPE, seconds * 1_000_000, {k: k for k in KINDS}).cache()
+    for kind in KINDS:
+        assert_close(by_place(found, kind), expect(frame, lambda p, k=kind: peers(p, seconds * 1_000_000, k)))
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_one_value_over_most_of_a_series(spark, layout, kind):
+    """Medians among values that are mostly equal, and one timestamp that holds a third of the rows."""
+    frame = random_series(12, missing=0)
+    frame.loc[frame.index[: len(frame) * 2 // 3], "value"] = 3.0
+    frame.loc[frame.index[100:280], "timestamp"] = pd.Timestamp("1970-01-01 00:20:00")
+    found = by_place(windows.moving_time(to_spark(spark, frame), kind, "40min", SHAPE))
+    assert_close(found, expect(frame, lambda p: peers(p, 2_400_000_000, kind)))
+
+
+@pytest.mark.parametrize("n", [199, 200, 201, 260])
+def test_a_huge_value_leaves_no_trace(spark, layout, n):
+    """Deviations on both sides of the change of plans, long after a value of 1e12."""
+    values = [0.1 * (i % 7) for i in range(600)]
+    values[10] = 1e12
+    frame = pd.DataFrame({"timestamp": pd.to_datetime(np.arange(600), unit="s"), "metric": "a", "value": values, "place": range(600)})
+    rows = to_spark(spark, frame)
+    for found, width in ((windows.moving_number(rows, "std", n, SHAPE), n), (windows.moving_time(rows, "std", f"{n}s", SHAPE), n)):
+        got = by_place(found)
+        assert all(got[i] == pytest.approx(np.std(values[i - width + 1 : i + 1], ddof=1), rel=1e-9) for i in range(n + 10, 600))
+    kept = by_place(windows.filter_outliers(rows, 1.2, f"{n}s", SHAPE))
+    inside = [abs(v - np.mean(w)) < 1.2 * np.std(w, ddof=1) for v, w in ((values[i], values[i - n + 1 : i + 1]) for i in range(n + 10, 600))]
+    assert sorted(k for k in kept if k >= n + 10) == [i for i, x in zip(range(n + 10, 600), inside, strict=True) if x]
+
+
+def test_wide_frames_of_null_keys(spark, layout):
+    frame = random_series(7, missing=0)
+    rows = to_spark(spark, frame).withColumn("metric", F.when(F.col("metric") != "big", F.col("metric")))
+    found = by_place(windows.moving_time(rows, "median", "1h", SHAPE))
+    assert_close(found, expect(frame, lambda p: peers(p, 3_600_000_000, "median")))
+
+
+def test_tasks_of_wide_frames_hold_few_blocks(spark, monkeypatch, tmp_path):
+    """Frames as long as the series: what one task gets is bounded by the block, not by the series."""
+    from tidewell.plans import wide
+
+    seen, inner = str(tmp_path / "sizes"), wide._answers
+
+    def watched(*args):
+        run = inner(*args)
+
+        def count(key, parts):
+            with open(seen, "a", encoding="utf-8") as file:
+                file.write(f"{len(parts)}\n")
+            return run(key, parts)
+
+        return count
+
+    monkeypatch.setattr(wide, "_answers", watched)
+    spark.conf.set(blocks.BLOCK_ROWS_CONF, "200")
+    at = pd.to_datetime(np.arange(4000), unit="s")
+    frame = pd.DataFrame({"timestamp": at, "metric": "a", "value": np.arange(4000) % 97 * 1.0, "place": range(4000)})
+    found = by_place(windows.moving_time(to_spark(spark, frame), "median", "4000s", SHAPE))
+    spark.conf.unset(blocks.BLOCK_ROWS_CONF)
+    assert found[3999] == np.median(np.arange(4000) % 97) and found[10] == 5.0
+    with open(seen, encoding="utf-8") as file:
+        assert 0 < max(map(int, file)) <= 4 * 200
+

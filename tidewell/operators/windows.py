@@ -10,8 +10,9 @@ from tidewell.functions.durations import from_micros, parse_duration, positive_d
 from tidewell.operators.joins import unique_index
 from tidewell.plans.blocks import (
     BLOCK, DENSE_FRAME_ROWS, defined, join_null_safe, lay_out, narrowed, neighbour, number_rows, rolling_rows, row_frames, running,
-    time_frames,
+    time_frames, with_facts,
 )
+from tidewell.plans.wide import wide_frames
 
 STATISTICS = ("mean", "std", "min", "max", "median")
 
@@ -25,7 +26,8 @@ def _statistic(kind: str, value: Column, over: WindowSpec) -> Column:
 def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> DataFrame:
     """Statistic over the last ``n`` points, missing until there are n of them.
 
-    Medians, and frames of many rows, roll over Arrow blocks, so that a row costs the same for any n.
+    Medians, and frames of many rows, run in Arrow blocks, so that a row costs the same for any n. Frames of
+    more rows than half a block are put together from blocks.
     """
     if n < 1:
         raise FrameError("n must be positive")
@@ -37,7 +39,9 @@ def moving_number(df: DataFrame, kind: str, n: int, shape: Shape = LONG) -> Data
         return F.when(F.count(value).over(frame) == n, defined(_statistic(kind, value, frame)))
 
     blocks = lay_out(points, shape)
-    if kind == "median" or n > DENSE_FRAME_ROWS:
+    if blocks.split and n - 1 > blocks.block_rows // 2:
+        framed = with_facts(wide_frames(points, shape, {"_stat": kind}, n=n), blocks.facts)
+    elif kind == "median" or n > DENSE_FRAME_ROWS:
         framed = rolling_rows(blocks, n, {"_stat": kind}, shape.value)
     else:
         framed = row_frames(blocks, n - 1, 0, {"_stat": make})

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.frames import Shape, tick
+from tidewell.plans.rolling import statistics, time_bounds
 from tidewell.session import scratch_dir
 
 BLOCK = "_block"
@@ -375,60 +376,34 @@ def defined(statistic: Column) -> Column:
     return F.when(~F.isnan(statistic.cast("double")), statistic)
 
 
-def _rolled(values: pd.Series, kind: str, window: int | pd.Timedelta) -> np.ndarray:
-    """One rolling statistic over so many rows (NaN until there are as many) or so much time.
+def _with_statistics(framed: DataFrame, group: list[str], order: list[str], value: str, columns: dict[str, str], bounds) -> DataFrame:
+    """Moving statistics of whole groups in Arrow blocks; ``bounds`` gives the frames of the sorted rows."""
+    schema = T.StructType([*framed.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns]])
 
-    pandas takes infinite values for missing; here they count as in a window of Spark.
-    """
-    infinite = np.isinf(values)
-    if not infinite.any():
-        return getattr(values.rolling(window), kind)().to_numpy()
-
-    def roll(series: pd.Series):
-        return series.rolling(window, min_periods=1)
-
-    def number(which: pd.Series) -> np.ndarray:
-        return roll(which.astype(float)).sum().to_numpy()
-
-    high, low = number(values == np.inf) > 0, number(values == -np.inf) > 0
-    finite = getattr(roll(values.mask(infinite)), kind)().to_numpy()
-    if kind == "max":
-        out = np.where(high, np.inf, np.where(low & np.isnan(finite), -np.inf, finite))
-    elif kind == "min":
-        out = np.where(low, -np.inf, np.where(high & np.isnan(finite), np.inf, finite))
-    elif kind == "mean":
-        out = np.where(high & low, np.nan, np.where(high, np.inf, np.where(low, -np.inf, finite)))
-    elif kind == "std":
-        out = np.where(high | low, np.nan, finite)
-    else:
-        # Ranks are finite: the two middle ones of a frame lead back to its values.
-        known = np.unique(values.dropna())
-        ranks = pd.Series(np.searchsorted(known, values).astype(float), index=values.index).mask(values.isna())
-        middle = [roll(ranks).quantile(0.5, interpolation=side).to_numpy() for side in ("lower", "higher")]
-        one, two = (known[np.nan_to_num(m).astype(int)] for m in middle)
-        with np.errstate(invalid="ignore"):
-            out = np.where(high | low, np.where(one == two, one, one / 2 + two / 2), finite)
-    if isinstance(window, int):
-        out = np.where(number(values.notna()) < window, np.nan, out)
-    return out
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(order, kind="stable", na_position="first", ignore_index=True)
+        first, last, whole = bounds(block)
+        found = statistics(block[value].to_numpy(dtype=float), first, last, set(columns.values()))
+        return block.assign(**{out: np.where(whole, found[kind], np.nan) for out, kind in columns.items()})
+
+    found = framed.groupBy(*group).applyInPandas(run, schema)
+    return found.withColumns({out: defined(F.col(out)) for out in columns})
 
 
 def rolling_rows(blocks: Blocks, n: int, columns: dict[str, str], value: str) -> DataFrame:
-    """Statistics over the last ``n`` rows in Arrow blocks: each row enters and leaves the frame once.
+    """Statistics over the last ``n`` rows in Arrow blocks, NULL until there are n rows.
 
-    The cost of a row does not grow with ``n``, unlike that of a window. NULL until there are n rows.
+    The cost of a row does not grow with ``n``, unlike that of a window.
     """
     framed = _with_context(blocks, n - 1, 0) if blocks.split else blocks.df
     group = [*blocks.shape.keys, BLOCK] if blocks.split else list(blocks.shape.keys)
     order = ["_row"] if blocks.split else list(blocks.order)
-    schema = T.StructType([*framed.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns]])
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(order, kind="stable", na_position="first", ignore_index=True)
-        values = block[value].astype(float)
-        return block.assign(**{out: _rolled(values, kind, n) for out, kind in columns.items()})
+    def bounds(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        last = np.arange(len(block))
+        return np.maximum(last - (n - 1), 0), last, last >= n - 1
 
-    framed = framed.groupBy(*group).applyInPandas(run, schema)
+    framed = _with_statistics(framed, group, order, value, columns, bounds)
     if blocks.split:
         framed = framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", "_row", BLOCK)
     return with_facts(framed, blocks.facts)
@@ -436,88 +411,45 @@ def rolling_rows(blocks: Blocks, n: int, columns: dict[str, str], value: str) ->
 
 # Time frames --------------------------------------------------------------------------------
 
-def _direct(kind: str, value: Column, over: WindowSpec) -> Column:
-    if kind == "median":
-        return F.percentile(value, 0.5).over(over)
-    return {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[kind](value).over(over)
-
-
-def _collapse(df: DataFrame, shape: Shape, kinds: set[str]) -> DataFrame:
-    """Fold rows of one timestamp into one row (per value where a median is asked for)."""
-    value = F.col(shape.value)
-    per = [*shape.index, shape.value] if "median" in kinds else list(shape.index)
-    states = {
-        "_n": F.count(value), "_mean": F.avg(value), "_spread": F.var_pop(value) * F.count(value),
-        "_min": F.min(value), "_max": F.max(value),
-    }
-    return df.groupBy(*per).agg(*[expr.alias(out) for out, expr in states.items()])
-
-
-def _folded(kind: str, shape: Shape, over: WindowSpec) -> Column:
-    if kind == "median":
-        return F.percentile(F.when(F.col("_n") > 0, F.col(shape.value)), 0.5, F.col("_n")).over(over)
-    if kind in ("min", "max"):
-        return {"min": F.min, "max": F.max}[kind](f"_{kind}").over(over)
-    count = F.sum("_n").over(over)
-    if kind == "mean":
-        return F.try_divide(F.sum(F.col("_n") * F.col("_mean")).over(over), count)
-    # Distances from the mean of the block keep the difference of the sums accurate.
-    away = F.col("_mean") - F.col("_centre")
-    shifted = F.sum(F.col("_n") * away).over(over)
-    squares = F.sum(F.col("_spread") + F.col("_n") * away * away).over(over)
-    variance = F.try_divide(squares - F.try_divide(shifted * shifted, count), count - 1)
-    return F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
-
-
+#: Frames of more rows, and medians, run in Arrow blocks: a window goes through a whole frame for each row.
 DENSE_FRAME_ROWS = 200
 
 
-def _rolling(width: int, columns: dict[str, str], value: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Moving statistics of one block, each row entering and leaving the frame once."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_tick", kind="stable", ignore_index=True)
-        ticks = block["_tick"].to_numpy()
-        series = pd.Series(block[value].to_numpy(dtype=float), index=pd.to_datetime(ticks, unit="us"))
-        frame = pd.Timedelta(width, unit="us")
-        last = np.searchsorted(ticks, ticks, side="right") - 1
-        return block.assign(**{out: _rolled(series, kind, frame)[last] for out, kind in columns.items()})
-
-    return run
+def _direct(kind: str, value: Column, over: WindowSpec) -> Column:
+    return {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[kind](value).over(over)
 
 
 def time_frames(df: DataFrame, shape: Shape, width: int, columns: dict[str, str]) -> DataFrame:
     """Statistics over ``(ts - width, ts]``: rows of the same timestamp see each other.
 
     Long series are cut into cells of at least the frame width; every row is also copied to the
-    cells whose frames reach back to it. Spark's windows go through a whole frame for each row,
-    so medians and frames of many rows run as rolling statistics on Arrow blocks instead. Where
-    one cell is crowded, rows of equal timestamps are folded into one before the windows run and
-    the results are joined back to the rows.
+    cells whose frames reach back to it. Where such a cell holds too many rows, because the frame is
+    wide or the rows lie in a burst, the frames are put together from blocks (:mod:`tidewell.plans.wide`).
     """
     limit = block_rows(df)
     facts = learn(df, shape, limit, ticks=True)
     spread = facts.spread
-    at = tick(df, shape.ts)
-    back = (-(width - 1), 0)
     value = F.col(shape.value)
     whole_series = spread.longest <= limit
     span = max(1, int((spread.high or 0) - (spread.low or 0)))
     dense = spread.longest * min(1.0, width / span) > DENSE_FRAME_ROWS
-    if not whole_series and _fullest_cell(_with_cells(df, shape, facts, width), shape, facts, width) > HOT_FACTOR * limit:
-        found = _crowded_frames(_collapse(df, shape, set(columns.values())), shape, facts, width, columns)
-        return with_facts(join_null_safe(df, found, shape.index, "left"), facts)
-    ticked = df.withColumn("_tick", at)
+    if not whole_series and _fullest_cell(_with_cells(df, shape, facts, width), shape, facts, width) > HOT_FACTOR * limit // 2:
+        from tidewell.plans.wide import wide_frames  # which is built on this module
+
+        return with_facts(wide_frames(df, shape, columns, width=width), facts)
+    ticked = df.withColumn("_tick", tick(df, shape.ts))
     if whole_series:
         group, copies = list(shape.keys), ticked
     else:
         group, copies = [*shape.keys, BLOCK], _copy_to_cells(_with_cells(ticked, shape, facts, width), width)
     if dense or "median" in columns.values():
-        kept = copies.schema.fields
-        schema = T.StructType([*kept, *[T.StructField(out, T.DoubleType()) for out in columns]])
-        framed = copies.groupBy(*group).applyInPandas(_rolling(width, columns, shape.value), schema)
+
+        def bounds(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+            return *time_bounds(block["_tick"].to_numpy(), width), True
+
+        framed = _with_statistics(copies, group, ["_tick"], shape.value, columns, bounds)
     else:
-        over = Window.partitionBy(*group).orderBy("_tick").rangeBetween(*back)
+        over = Window.partitionBy(*group).orderBy("_tick").rangeBetween(-(width - 1), 0)
         framed = copies.withColumns({out: defined(_direct(kind, value, over)) for out, kind in columns.items()})
     if not whole_series:
         framed = framed.where(F.col("_home") == F.col(BLOCK)).drop("_home", BLOCK)
@@ -531,20 +463,6 @@ def _copy_to_cells(cells: DataFrame, width: int) -> DataFrame:
     return copies.drop("_width")
 
 
-def _crowded_frames(folded: DataFrame, shape: Shape, facts: Facts, width: int, columns: dict[str, str]) -> DataFrame:
-    """Statistics per distinct timestamp from rows folded by timestamp."""
-    ticked = folded.withColumn("_tick", tick(folded, shape.ts))
-    copies = _copy_to_cells(_with_cells(ticked, shape, facts, width), width)
-    whole = Window.partitionBy(*shape.keys, BLOCK)
-    over = whole.orderBy("_tick").rangeBetween(-(width - 1), 0)
-    if "std" in columns.values():
-        finite = F.abs("_mean") < F.lit(float("inf"))
-        total, count = (F.sum(F.when(finite, x)).over(whole) for x in (F.col("_n") * F.col("_mean"), F.col("_n")))
-        copies = copies.withColumn("_centre", F.coalesce(F.try_divide(total, count), F.lit(0.0)))
-    framed = copies.withColumns({out: defined(_folded(kind, shape, over)) for out, kind in columns.items()})
-    return framed.where(F.col("_home") == F.col(BLOCK)).select(*shape.index, *columns).distinct()
-
-
 # Grids --------------------------------------------------------------------------------------
 
 GRID_CHUNK = 4096
