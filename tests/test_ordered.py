@@ -459,3 +459,25 @@ def test_tasks_of_wide_frames_hold_few_blocks(spark, monkeypatch, tmp_path):
     with open(seen, encoding="utf-8") as file:
         assert 0 < max(map(int, file)) <= 4 * 200
 
+
+
+@pytest.mark.parametrize("high", [False, True])
+@pytest.mark.parametrize("odd", [[np.nan], [np.inf], [-np.inf, -np.inf], [np.inf, -np.inf], [np.inf, np.nan]])
+def test_missing_and_infinite_inputs_of_long_series(spark, high, odd):
+    """A missing input spoils all that follows, over far more rows than the decay reaches, in every layout."""
+    rows = 12_000
+    values = np.random.default_rng(4).normal(0, 1, rows)
+    values[10], values[40 : 40 + len(odd) - 1] = odd[0], odd[1:]
+    at = pd.to_datetime(np.arange(rows), unit="s")
+    frame = to_spark(spark, pd.DataFrame({"timestamp": at, "metric": "a", "value": values, "place": range(rows)}))
+    k = np.tan(np.pi / 2 * 0.05 / (0.5 * rows / (rows - 1)))
+    gain, decay, state, before, want = (1.0 if high else k) / (1 + k), (1 - k) / (1 + k), 0.0, 0.0, {}
+    for i, x in enumerate(values.tolist()):
+        state = gain * (x - before if high else x + before) + decay * state
+        want[i], before = (None if np.isnan(state) else state), x
+    operator = recursive.highpass if high else recursive.lowpass
+    for limit in (100_000, 1000):
+        spark.conf.set(blocks.BLOCK_ROWS_CONF, str(limit))
+        found = by_place(operator(frame, 0.05, SHAPE))
+        spark.conf.unset(blocks.BLOCK_ROWS_CONF)
+        assert_close(found, want)

@@ -261,6 +261,45 @@ def _highpass(spark, sf_dir):
     return rec.highpass(events(spark, sf_dir), 0.00001)
 
 
+@query(
+    "lowpass_filter_missing_input",
+    """WITH RECURSIVE e AS (SELECT event_id, ts AS timestamp, CASE WHEN event_id % 9000 <> 17 THEN value END AS value FROM events),
+    c AS (SELECT tan(pi() / 2 * 0.00001 / (0.5 * count(*) / ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6))) AS k FROM e),
+    n AS (SELECT *, lag(value, 1, 0) OVER (ORDER BY timestamp, event_id) AS before,
+    row_number() OVER (ORDER BY timestamp, event_id) AS i FROM e),
+    d AS (SELECT i, event_id, timestamp, k / (1 + k) * (value + before) AS x, (1 - k) / (1 + k) AS decay FROM n, c),
+    y AS (SELECT i, event_id, timestamp, x AS value FROM d WHERE i = 1
+    UNION ALL SELECT d.i, d.event_id, d.timestamp, d.x + d.decay * y.value FROM y JOIN d ON d.i = y.i + 1)
+    SELECT event_id, timestamp, value FROM y""",
+    {"value": 7},
+)
+def _lowpass_missing(spark, sf_dir):
+    """All events as one series, in which single values are missing: all after the first of them is missing."""
+    value = F.when(F.col("event_id") % 9000 != 17, F.col("value"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("timestamp"), value.alias("value"))
+    return rec.lowpass(rows, 0.00001, Shape((), tie=("event_id",)))
+
+
+@query(
+    "moving_median_time_wide",
+    f"""WITH {CTE_EVENTS} SELECT timestamp, metric, median(value) OVER (PARTITION BY metric
+    ORDER BY epoch_us(timestamp) RANGE BETWEEN {20 * 86_400_000_000 - 1} PRECEDING AND CURRENT ROW) AS value FROM e""",
+    {"value": 9},
+)
+def _median_wide(spark, sf_dir):
+    return w.moving_time(events(spark, sf_dir), "median", "20d")
+
+
+@query(
+    "moving_standard_deviation_number_wide",
+    f"""WITH {CTE_EVENTS} SELECT timestamp, metric, CASE WHEN count(value) OVER f = 700 THEN stddev_samp(value) OVER f END AS value
+    FROM e WINDOW f AS (PARTITION BY metric ORDER BY timestamp ROWS BETWEEN 699 PRECEDING AND CURRENT ROW)""",
+    {"value": 8},
+)
+def _deviation_wide(spark, sf_dir):
+    return w.moving_number(events(spark, sf_dir), "std", 700)
+
+
 ALERT_SQL = f"""f AS (SELECT *, CASE WHEN score > 45 THEN 1 ELSE 0 END AS above FROM s)
     SELECT metric, timestamp, coalesce(above - lag(above) OVER {ORDER}, 0) AS alert FROM f"""
 

@@ -14,13 +14,27 @@ from tidewell.frames import LONG, FrameError, Shape, is_time, tick
 from tidewell.plans.blocks import BLOCK, join_null_safe, join_per_series, lay_out, neighbour
 
 
-def _scan(drive: np.ndarray, decay: float) -> np.ndarray:
-    """``y[t] = drive[t] + decay * y[t - 1]`` in log2(n) vector steps, each of which doubles the reach."""
-    out, reach = drive.astype(float), 1
-    while reach < len(out) and decay:
-        out[reach:] = out[reach:] + decay * out[:-reach]
-        reach, decay = 2 * reach, decay * decay
-    return out
+def _scan(drive: np.ndarray, decay: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """``y[t] = drive[t] + decay[t] * y[t - 1]`` in log2(n) vector steps, each of which doubles the reach.
+
+    Missing and infinite values travel apart from the numbers, so that they stay however small the decay
+    becomes: from a missing one on all is missing; an infinite one stays, with the sign of the decays since,
+    and meeting one of the other sign gives missing. ``sign`` is that of the decay where it underflows.
+    """
+    infinite, missing = np.isinf(drive), np.isnan(drive)
+    out, decay, reach = np.where(infinite | missing, 0.0, drive), decay.astype(float), 1
+    while reach < len(out) and decay.any():
+        out[reach:] = out[reach:] + decay[reach:] * out[:-reach]
+        decay[reach:] = decay[reach:] * decay[:-reach]
+        decay[:reach] = 0.0
+        reach *= 2
+    if infinite.any():
+        turned = np.cumprod(sign)
+        signs = np.where(infinite, np.sign(drive) * turned, 0.0)
+        first = signs[infinite.argmax()]
+        missing |= infinite & (signs != first)
+        out = np.where(np.maximum.accumulate(infinite), first * turned * np.inf, out)
+    return np.where(np.maximum.accumulate(missing), np.nan, out)
 
 
 def lowpass(df: DataFrame, frequency: float, shape: Shape = LONG) -> DataFrame:
@@ -71,9 +85,8 @@ def _first_order(df: DataFrame, frequency: float, shape: Shape, high: bool) -> D
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        drive = pdf["_drive"].to_numpy()
-        decay = float(pdf["_decay"].iloc[0])
-        return pdf.assign(_y=_scan(drive, decay), _pos=np.arange(1, len(pdf) + 1))
+        decay = pdf["_decay"].to_numpy(dtype=float)
+        return pdf.assign(_y=_scan(pdf["_drive"].to_numpy(dtype=float), decay, np.sign(decay)), _pos=np.arange(1, len(pdf) + 1))
 
     local = driven.groupBy(*blocks.group).applyInPandas(run, schema)
     if blocks.split:
@@ -84,15 +97,16 @@ def _first_order(df: DataFrame, frequency: float, shape: Shape, high: bool) -> D
 
         def chain(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(BLOCK, ignore_index=True)
-            state, carries = 0.0, []
-            for last, count, rate in zip(pdf["_last"], pdf["_count"], pdf["_rate"], strict=True):
-                carries.append(state)
-                state = last + rate ** int(count) * state
-            return pdf.assign(_carry=carries)
+            rate, count = pdf["_rate"].to_numpy(dtype=float), pdf["_count"].to_numpy()
+            state = _scan(pdf["_last"].to_numpy(dtype=float), rate**count, np.sign(rate) ** count)
+            return pdf.assign(_carry=np.concatenate([[0.0], state[:-1]]))
 
         carry = ends.groupBy(*keys).applyInPandas(chain, carried).select(*blocks.group, "_carry")
-        local = join_null_safe(local, carry, blocks.group).withColumn(
-            "_y", F.col("_y") + F.pow(F.col("_decay"), F.col("_pos")) * F.col("_carry")
-        )
+        # An infinite state does not fade with the power of the decay.
+        odd = (F.col("_decay") < 0) & (F.col("_pos") % 2 == 1)
+        endless = F.when(odd, -F.col("_carry")).otherwise(F.col("_carry"))
+        faded = F.pow(F.col("_decay"), F.col("_pos")) * F.col("_carry")
+        held = F.when(F.abs("_carry") == float("inf"), endless).otherwise(faded)
+        local = join_null_safe(local, carry, blocks.group).withColumn("_y", F.col("_y") + held)
     result = F.when(~F.isnan("_y"), F.col("_y"))
     return local.withColumn(shape.value, result).select(*df.columns)
