@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from tidewell.plans.blocks import pin
 BANDS, ROWS = 32, 6
 #: Pairs whose signatures agree in less than the threshold minus this many standard errors are no links.
 ERRORS = 4.5
+#: Members of a shingle in one block of comparisons.
+BLOCK = 2048
 BATCH_BYTES = 4 << 20
 
 
@@ -122,6 +125,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key binary, shingles array<bigint>")
 
 
+def _least_agreeing(rule: Rule) -> int:
+    """Agreeing minima that a pair must have at least."""
+    share, count = rule.percent / 100, BANDS * ROWS
+    return int(count * (share - ERRORS * (share * (1 - share) / count) ** 0.5))
+
+
 def _close(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (`a`, `b`) whose full sets are similar enough.
 
@@ -135,9 +144,7 @@ def _close(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -
         )
         pairs = pairs.join(named, side)
     few, many = F.least("na", "nb"), F.greatest("na", "nb")
-    share = rule.percent / 100
-    count = BANDS * ROWS
-    least = int(count * (share - ERRORS * (share * (1 - share) / count) ** 0.5))
+    least, count = _least_agreeing(rule), BANDS * ROWS
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +155,13 @@ def _close(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     sized = pairs.where(100 * few >= rule.percent * many).select("a", "b", "sa", "sb")
-    likely = sized.mapInArrow(agree, "a binary, b binary")
+    return _confirmed(sized.mapInArrow(agree, "a binary, b binary"), sets, rule)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (`a`, `b`) that reach the threshold on full sets."""
     for side in "ab":
-        likely = likely.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"x{side}")), side)
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"x{side}")), side)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +172,7 @@ def _close(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -
                 keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return likely.mapInArrow(confirm, "a binary, b binary")
+    return pairs.mapInArrow(confirm, "a binary, b binary")
 
 
 def _shared(keys: DataFrame, vertices: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,14 +184,15 @@ def _shared(keys: DataFrame, vertices: DataFrame, sets: DataFrame) -> DataFrame:
     return listed.agg(F.sort_array(F.collect_list(F.struct("spread", "shingle"))).alias("shared"))
 
 
-def _rest(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (`a`, `b`) of members (`key`, `root`, `n`, `shared`) of different components that may be links.
+def _rest(members: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (`a`, `b`) between members (`key`, `root`, `n`, `shared`) of different components.
 
     Shingles are ordered by how many members have them, rarest first. Two sets that reach the threshold
     share one among the first of each, as far as what follows it is large enough: so copies with
     too many words of their own meet nobody, whatever the size of their group. Shingles that only
     one component has, as most common ones of a large group, are left out; in the others, whoever is outside
-    the largest component meets the members of all other ones.
+    the largest component meets the members of all other ones. They meet inside a task, which looks at
+    sizes and signatures, and only what passes leaves it, to be confirmed on full sets.
     """
     least = F.ceil(F.col("n") * rule.percent / 100)
     listed = members.withColumn("take", F.size("shared") - least + 1).where("take > 0")
@@ -191,18 +203,49 @@ def _rest(members: DataFrame, rule: Rule) -> DataFrame:
     # `rest`: the shingle itself and those after it, which is all that two sets can still share.
     first = pin(first.select("key", "root", "n", F.col("s.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")))
     counts = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("count"))
-    main = counts.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("main"), F.count("root").alias("roots"))
-    met = first.join(pin(main.where("roots > 1").select("shingle", "main.root").withColumnRenamed("root", "main")), "shingle")
-    met = pin(met)
-    outside = met.where(F.col("root") != F.col("main")).select(
-        "shingle", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("rest").alias("tx")
+    main = counts.groupBy("shingle").agg(
+        F.max(F.struct("count", "root")).alias("main"), F.count("root").alias("roots"), F.sum("count").alias("members")
     )
-    others = met.select(
-        "shingle", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("rest").alias("ty")
-    )
-    enough = F.least("tx", "ty") * (100 + rule.percent) >= rule.percent * (F.col("nx") + F.col("ny"))
-    pairs = outside.join(others, "shingle").where((F.col("rx") != F.col("ry")) & enough)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = main.where("roots > 1").select("shingle", "main.root", "members").withColumnRenamed("root", "main")
+    met = first.join(pin(main), "shingle").join(vertices.select("key", "signature"), "key")
+    # Blocks of a frequent shingle's members meet pair by pair, each pair of blocks in a group of its own.
+    blocks = F.ceil(F.col("members") / BLOCK)
+    met = met.withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    held = met.select("shingle", "low", "high", "own", "key", "root", "main", "n", "rest", "signature")
+    likely = held.groupBy("shingle", "low", "high").applyInArrow(_met(rule), "a binary, b binary")
+    return _confirmed(likely.distinct(), sets, rule)
+
+
+def _met(rule: Rule) -> Callable[[pa.Table], pa.Table]:
+    """Members of a shingle's block, or of two blocks, whose sizes, shared shingles and signatures allow a link."""
+    least, count = _least_agreeing(rule), BANDS * ROWS
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = group.column("key").combine_chunks()
+        roots = group.column("root").combine_chunks()
+        component = pc.index_in(roots, pc.unique(roots)).to_numpy()
+        outside = pc.not_equal(roots, group.column("main").combine_chunks()).to_numpy(zero_copy_only=False)
+        own, low, n, rest = (group.column(c).to_numpy() for c in ("own", "low", "n", "rest"))
+        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, count)
+        within = group.column("high")[0].as_py() == int(low[0])
+        left, right = [], []
+        for i in np.flatnonzero(outside):
+            meets = component != component[i]
+            # A pair of two members outside is looked at once.
+            meets &= ~outside | (np.arange(len(own)) > i)
+            if not within:
+                meets &= own != own[i]
+            meets &= np.minimum(rest, rest[i]) * (100 + rule.percent) >= rule.percent * (n + n[i])
+            at = np.flatnonzero(meets)
+            at = at[(signature[at] == signature[i]).sum(axis=1) >= least]
+            left += [int(i)] * len(at)
+            right += at.tolist()
+        a, b = (keys.take(pa.array(side, pa.int64())) for side in (left, right))
+        first = pc.less(a, b)
+        return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a)})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -244,8 +287,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     first_rows = vertices.join(wanted, "key", "left_semi").select("key", F.col("least.row").alias("row"))
     sets = pin(_sets(first_rows.join(source.select("row", "text"), "row"), rule.words))
     star = members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = pin(_close(star, vertices, sets, rule))
-    found = components(links)
+    found = components(_close(star, vertices, sets, rule))
     placed = members.join(found.withColumnRenamed("vertex", "key"), "key", "left")
     placed = placed.select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root"))
     pivots = found.select(F.col("vertex").alias("pivot"), F.col("root").alias("main"))
@@ -258,13 +300,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     centre = pin(apart.groupBy("bucket").agg(F.min(F.struct("alone", "key", "root")).alias("centre")))
     star = mixed.join(centre, "bucket").where(F.col("root") != F.col("centre.root"))
     star = star.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
-    links = pin(links.unionByName(_close(star, vertices, sets, rule)))
-    found = components(links)
+    found = components(_as_links(found).unionByName(_close(star, vertices, sets, rule)))
     members = shared.join(found.withColumnRenamed("vertex", "key"), "key", "left")
-    rest = _rest(members.withColumn("root", F.coalesce("root", "key")), rule)
-    more = pin(_close(rest, vertices, sets, rule))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    more = _rest(members.withColumn("root", F.coalesce("root", "key")), vertices, sets, rule)
+    found = components(_as_links(found).unionByName(more))
     classes = vertices.select("key", "least").join(found.withColumnRenamed("vertex", "key"), "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     first = pin(classes.groupBy("root").agg(F.min("least").alias("first")))
@@ -282,5 +321,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", id
     )
 
 
+def _as_links(found: DataFrame) -> DataFrame:
+    """Components as the links of stars, which later links are added to."""
+    return found.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+
+
 def _where(condition: Column, yes: Column, no: Column) -> Column:
     return F.when(condition, yes).otherwise(no)
