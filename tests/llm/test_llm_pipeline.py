@@ -78,3 +78,17 @@ def test_stages_of_nothing(spark, sf_dir, tmp_path):
     docs.write.parquet(str(tmp_path / "none"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(str(tmp_path / "none")), sf_dir).count() == 0
+
+
+def test_stages_keep_columns_of_made_names(spark, sf_dir, tmp_path):
+    """A table's own columns come out as they were, whatever names the operators use inside."""
+    clash = ["score", "KEPT", "n_words", "n_lines", "n_deleted", "n_shingles", "component_id", "first_of_group", "own_0"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("n_chars")
+    for name in clash:
+        docs = docs.selectExpr("*", f"concat('{name}', doc_id) as `{name}`")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, spark.read.parquet(str(tmp_path / "docs")), sf_dir)
+        assert kept.schema == spark.read.parquet(str(tmp_path / "docs")).schema
+        rows = kept.collect()
+        assert rows and all(r[name] == f"{name}{r['doc_id']}" for r in rows for name in clash)
