@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import assert_close, by_place, ordered, random_series, to_spark
+from conftest import assert_close, by_place, long_frame, ordered, random_series, to_spark
 from pyspark.sql import functions as F
 
-from tidewell.frames import Shape
+from tidewell.frames import FrameError, Shape
 from tidewell.operators import aggregates, filters, health, recursive, windows
 from tidewell.plans import blocks
 from tidewell.plans.ranks import quantiles
@@ -481,3 +481,112 @@ def test_missing_and_infinite_inputs_of_long_series(spark, high, odd):
         found = by_place(operator(frame, 0.05, SHAPE))
         spark.conf.unset(blocks.BLOCK_ROWS_CONF)
         assert_close(found, want)
+
+
+def plain_curve(kind: str, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The curve through all points of one series, by a direct solve; beyond the ends the outer pieces go on."""
+    n, h = len(x), np.diff(x)
+    m = np.diff(y) / h
+    if n == 2:
+        s = np.array([m[0], m[0]])
+    elif kind == "spline":
+        system, right = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            right[i] = 6 * (m[i] - m[i - 1])
+        system[0, :3] = h[1], -(h[0] + h[1]), h[0]
+        system[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+        if n == 3:
+            system[0, :3], system[-1, -3:] = (1, -1, 0), (0, -1, 1)
+        c = np.linalg.solve(system, right)
+        s = np.append(m - h * (2 * c[:-1] + c[1:]) / 6, m[-1] + h[-1] * (2 * c[-1] + c[-2]) / 6)
+    elif kind == "pchip":
+        def end(h0, h1, m0, m1):
+            d = ((2 * h0 + h1) * m0 - h0 * m1) / (h0 + h1)
+            if np.sign(d) != np.sign(m0):
+                return 0.0
+            return 3 * m0 if np.sign(m0) != np.sign(m1) and abs(d) > 3 * abs(m0) else d
+
+        s = np.zeros(n)
+        s[0], s[-1] = end(h[0], h[1], m[0], m[1]), end(h[-1], h[-2], m[-1], m[-2])
+        for i in range(1, n - 1):
+            if m[i - 1] * m[i] > 0:
+                w1, w2 = 2 * h[i] + h[i - 1], h[i] + 2 * h[i - 1]
+                s[i] = (w1 + w2) / (w1 / m[i - 1] + w2 / m[i])
+    else:
+        left, right = [3 * m[0] - 2 * m[1], 2 * m[0] - m[1]], [2 * m[-1] - m[-2], 3 * m[-1] - 2 * m[-2]]
+        e = np.concatenate([left, m, right])
+        d = np.abs(np.diff(e))
+        f1, f2 = d[2:], d[:-2]
+        s = np.where(f1 + f2 > 1e-9 * (f1 + f2).max(), (f1 * e[1:-2] + f2 * e[2:-1]) / np.where(f1 + f2 > 0, f1 + f2, 1), (e[3:] + e[:-3]) / 2)
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    u = at - x[k]
+    q = (3 * m[k] - 2 * s[k] - s[k + 1]) / h[k]
+    r = (s[k] + s[k + 1] - 2 * m[k]) / h[k] ** 2
+    found = y[k] + u * (s[k] + u * (q + u * r))
+    return found if kind != "akima" else np.where((at < x[0]) | (at > x[-1]), np.nan, found)
+
+
+@pytest.mark.parametrize(
+    "method, kind, direction", [("pchip", "pchip", "both"), ("akima", "akima", "both"), ("cubicspline", "spline", "forward"), ("cubic", "spline", "both")]
+)
+def test_curves_equal_a_direct_solve(spark, method, kind, direction):
+    curves_equal_a_direct_solve(spark, method, kind, direction)
+
+
+def test_splines_over_blocks_equal_a_direct_solve(spark, monkeypatch):
+    """The small system of the block borders, in time cells and in range-sorted parts."""
+    spark.conf.set(blocks.BLOCK_ROWS_CONF, "90")
+    curves_equal_a_direct_solve(spark, "cubicspline", "spline", "both")
+    monkeypatch.setattr(blocks, "HOT_FACTOR", 0)
+    curves_equal_a_direct_solve(spark, "cubicspline", "spline", "both")
+    spark.conf.unset(blocks.BLOCK_ROWS_CONF)
+
+
+def curves_equal_a_direct_solve(spark, method, kind, direction):
+    rng = np.random.default_rng(9)
+    rows, flagged, want = [], [], {}
+    for metric, count in (("many", 260), ("flat", 60), ("four", 4), ("three", 3), ("two", 2), (None, 30)):
+        at = np.sort(rng.choice(4_000, count + 20, replace=False)) * 1_000_000
+        value = np.where(rng.random(len(at)) < 0.3, 5.0, np.round(rng.normal(0, 9, len(at)), 1)) if metric != "flat" else np.repeat([1.0, 3.0], len(at))[: len(at)]
+        gone = np.sort(rng.choice(len(at), 20, replace=False))
+        stays = np.setdiff1d(np.arange(len(at)), gone)
+        moment = [pd.Timestamp(int(t), unit="us", tz="UTC").to_pydatetime() for t in at]
+        rows += [(moment[i], metric, float(value[i])) for i in range(len(at)) if i % 2 or i in stays]
+        flagged += [(moment[i], metric, True) for i in gone] + [(moment[i], metric, False) for i in stays[:3]]
+        curve = plain_curve(kind, at[stays] / 1e6, value[stays], at / 1e6)
+        inside = (np.arange(len(at)) >= stays[0]) & (np.arange(len(at)) <= stays[-1])
+        want[metric] = {moment[i]: (value[i] if i in stays else curve[i] if inside[i] or method in ("pchip", "cubicspline") else np.nan) for i in range(len(at))}
+    frame = spark.createDataFrame(rows, "timestamp timestamp, metric string, value double").repartition(3)
+    flags = spark.createDataFrame(flagged, "timestamp timestamp, metric string, value boolean")
+    found = windows.interpolate(frame, flags, method=method, limit_direction=direction)["interpolated"]
+    got: dict = {}
+    for r in found.select("metric", F.unix_micros("timestamp").alias("t"), "value").collect():
+        got.setdefault(r["metric"], {})[r["t"]] = r["value"]
+    assert got.keys() == want.keys()
+    blank = {(m, t) for t, m, flag in flagged if flag}
+    for metric, values in want.items():
+        first = min(t for t, m, _ in rows if m == metric and (m, t) not in blank)
+        for t, v in values.items():
+            have = got[metric][int(t.timestamp() * 1e6 + 0.5)]
+            if np.isnan(v) or (direction == "forward" and t < first):
+                assert have is None
+            else:
+                assert have == pytest.approx(v, rel=1e-7, abs=1e-7), (metric, t)
+
+
+def test_curves_of_few_points_and_limits(spark):
+    rows = long_frame(spark, [(f"2024-01-01T00:0{i}:00Z", float(v)) for i, v in enumerate([1, 2, 4, 8, 9])])
+    none = long_frame(spark, [("2024-01-01T00:00:00Z", "b", 1.0)])
+    flags = rows.where("minute(timestamp) in (1, 2)").withColumn("value", F.lit(True)).unionByName(
+        long_frame(spark, [("2024-01-01T00:05:00Z", "a", 0.0), ("2024-01-01T00:01:00Z", "b", 0.0)]).withColumn("value", F.lit(True))
+    )
+    both = rows.unionByName(none)
+    one = {(r["metric"], r["timestamp"].minute): r["value"] for r in windows.interpolate(both, flags, "pchip", limit=1)["new_values"].collect()}
+    assert one["a", 2] is None and one["b", 1] is None and one["a", 1] is not None and one["a", 5] is not None
+    inside = windows.interpolate(both, flags, "cubicspline", "both", limit_area="inside")["new_values"].where("value is not null")
+    assert sorted(r["timestamp"].minute for r in inside.collect()) == [1, 2]
+    with pytest.raises(FrameError):
+        windows.interpolate(both, flags, "polynomial", order=2)
+    with pytest.raises(Exception, match="duplicate index"):
+        windows.interpolate(rows.unionByName(rows), flags, "akima")["interpolated"].collect()

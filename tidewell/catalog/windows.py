@@ -205,6 +205,74 @@ def _interpolate_limit(spark, sf_dir):
     return w.interpolate(raw, flags, limit=1, limit_area="inside")["interpolated"]
 
 
+# Slopes at the known points of the queries above, and the cubic between two of them.
+STEPS = f"""{FILLED},
+    s1 AS (SELECT metric, p, v, p - lag(p) OVER o AS ha, lead(p) OVER o - p AS hb, (v - lag(v) OVER o) / (p - lag(p) OVER o) AS ma,
+    (lead(v) OVER o - v) / (lead(p) OVER o - p) AS mb, row_number() OVER o AS i, count(*) OVER (PARTITION BY metric) AS c
+    FROM n WHERE v IS NOT NULL WINDOW o AS (PARTITION BY metric ORDER BY p)),
+    s2 AS (SELECT *, lag(ha) OVER o AS ha2, lag(ma) OVER o AS ma2, lead(hb) OVER o AS hb2, lead(mb) OVER o AS mb2 FROM s1
+    WINDOW o AS (PARTITION BY metric ORDER BY p))"""
+BETWEEN = """SELECT n.metric, n.timestamp, coalesce(n.v, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN
+    va + (n.p - pa) * (x.s + (n.p - pa) * ((3 * x.mb - 2 * x.s - y.s) / x.hb + (n.p - pa) * (x.s + y.s - 2 * x.mb) / (x.hb * x.hb))) END)
+    AS value FROM n LEFT JOIN slopes x ON x.metric = n.metric AND x.p = pa LEFT JOIN slopes y ON y.metric = n.metric AND y.p = pb"""
+_END = """CASE WHEN sign(((2 * {0} + {1}) * {2} - {0} * {3}) / ({0} + {1})) <> sign({2}) THEN 0
+    WHEN sign({2}) <> sign({3}) AND abs(((2 * {0} + {1}) * {2} - {0} * {3}) / ({0} + {1})) > 3 * abs({2}) THEN 3 * {2}
+    ELSE ((2 * {0} + {1}) * {2} - {0} * {3}) / ({0} + {1}) END"""
+
+
+def _curve(spark, sf_dir, method: str):
+    raw, other = both(spark, sf_dir)
+    flags = other.withColumn("value", F.col("value") > 40)
+    return w.interpolate(raw, flags, method, "both", limit_area="inside")["interpolated"]
+
+
+@query(
+    "interpolate_timeseries_pchip",
+    f"""WITH {STEPS}, slopes AS (SELECT *, CASE WHEN ma IS NULL THEN coalesce({_END.format("hb", "hb2", "mb", "mb2")}, mb)
+    WHEN mb IS NULL THEN coalesce({_END.format("ha", "ha2", "ma", "ma2")}, ma)
+    WHEN ma * mb > 0 THEN 3 * (ha + hb) / ((2 * hb + ha) / ma + (hb + 2 * ha) / mb) ELSE 0 END AS s FROM s2) {BETWEEN}""",
+    {"value": 9},
+)
+def _pchip(spark, sf_dir):
+    return _curve(spark, sf_dir, "pchip")
+
+
+@query(
+    "interpolate_timeseries_akima",
+    f"""WITH {STEPS}, e1 AS (SELECT *, CASE WHEN ma IS NULL THEN 2 * mb - mb2 ELSE ma END AS l1,
+    CASE WHEN mb IS NULL THEN 2 * ma - ma2 ELSE mb END AS r1 FROM s2),
+    e2 AS (SELECT *, coalesce(ma2, 2 * l1 - r1) AS l2, coalesce(mb2, 2 * r1 - l1) AS r2 FROM e1),
+    e3 AS (SELECT *, abs(l1 - l2) AS f, abs(r2 - r1) AS g, max(abs(l1 - l2) + abs(r2 - r1)) OVER (PARTITION BY metric) AS top FROM e2),
+    slopes AS (SELECT *, CASE WHEN f + g > 1e-9 * top THEN (g * l1 + f * r1) / (f + g) ELSE (l2 + r2) / 2 END AS s FROM e3) {BETWEEN}""",
+    {"value": 6},
+)
+def _akima(spark, sf_dir):
+    return _curve(spark, sf_dir, "akima")
+
+
+@query(
+    "interpolate_timeseries_cubic",
+    f"""WITH RECURSIVE {STEPS}, q AS (SELECT *, CASE WHEN i IN (1, c) OR i = 2 THEN 0 WHEN i = c - 1 THEN ha - hb * hb / ha ELSE ha END AS low,
+    CASE WHEN i IN (1, c) OR i = c - 1 THEN 0 WHEN i = 2 THEN hb - ha * ha / hb ELSE hb END AS up,
+    CASE WHEN i IN (1, c) THEN 1 ELSE 2 * (ha + hb) + CASE WHEN i = 2 THEN ha * (ha + hb) / hb ELSE 0 END
+    + CASE WHEN i = c - 1 THEN hb * (ha + hb) / ha ELSE 0 END END AS mid,
+    CASE WHEN i IN (1, c) THEN 0 ELSE 6 * (mb - ma) END AS rhs FROM s2),
+    fw AS (SELECT metric, i, up / mid AS cc, rhs / mid AS dd FROM q WHERE i = 1
+    UNION ALL SELECT q.metric, q.i, q.up / (q.mid - q.low * fw.cc), (q.rhs - q.low * fw.dd) / (q.mid - q.low * fw.cc)
+    FROM fw JOIN q ON q.metric = fw.metric AND q.i = fw.i + 1),
+    bw AS (SELECT metric, i, dd AS x FROM fw JOIN (SELECT metric, max(i) AS i FROM q GROUP BY 1) USING (metric, i)
+    UNION ALL SELECT fw.metric, fw.i, fw.dd - fw.cc * bw.x FROM bw JOIN fw ON fw.metric = bw.metric AND fw.i = bw.i - 1),
+    m1 AS (SELECT q.*, x, lag(x) OVER o AS xa, lag(x, 2) OVER o AS xa2, lead(x) OVER o AS xb, lead(x, 2) OVER o AS xb2
+    FROM q JOIN bw USING (metric, i) WINDOW o AS (PARTITION BY metric ORDER BY i)),
+    m2 AS (SELECT *, CASE WHEN i = 1 THEN ((hb + hb2) * xb - hb * xb2) / hb2 WHEN i = c THEN ((ha + ha2) * xa - ha * xa2) / ha2 ELSE x END AS w FROM m1),
+    m3 AS (SELECT *, lag(w) OVER o AS wa, lead(w) OVER o AS wb FROM m2 WINDOW o AS (PARTITION BY metric ORDER BY i)),
+    slopes AS (SELECT *, coalesce(mb - hb * (2 * w + wb) / 6, ma + ha * (2 * w + wa) / 6) AS s FROM m3) {BETWEEN}""",
+    {"value": 5},
+)
+def _cubic(spark, sf_dir):
+    return _curve(spark, sf_dir, "cubic")
+
+
 @query(
     "timeshifted_value_table",
     f"""WITH {CTE_BINS} SELECT metric, a.timestamp + INTERVAL 10 MINUTE AS timestamp, a.value AS "shifted_1_times_10min",

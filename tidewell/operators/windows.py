@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, elapsed, require_columns, tick
 from tidewell.functions.durations import from_micros, parse_duration, positive_duration
+from tidewell.operators.curves import coefficients
 from tidewell.operators.joins import unique_index
 from tidewell.plans.blocks import (
     BLOCK, DENSE_FRAME_ROWS, defined, join_null_safe, lay_out, narrowed, neighbour, number_rows, rolling_rows, row_frames, running,
@@ -222,26 +223,77 @@ def fill_between(
     return sides.withColumn("filled", F.coalesce(value, edges)).drop("_a", "_b", "_p", "_row")
 
 
-# Accepted method names and the formula each one stands for.
+# Accepted method names, the formula each one stands for, and whether it goes on beyond the ends.
 INTERPOLATION_METHODS = {
     "time": "linear", "linear": "linear", "index": "linear", "values": "linear",
     "ffill": "ffill", "pad": "ffill", "bfill": "bfill", "backfill": "bfill", "nearest": "nearest",
 }
+CURVES = {"pchip": ("pchip", True), "akima": ("akima", False), "cubicspline": ("spline", True), "cubic": ("spline", False)}
+INNER_METHODS = {"slinear": "linear", "zero": "ffill"}
+
+
+def _on_curve(df: DataFrame, position: Column, kind: str, beyond: bool, shape: Shape) -> DataFrame:
+    """Column ``filled``: the value, or that of the curve through the known points."""
+    placed = df.withColumn("_p", position)
+    points = placed.where(F.col(shape.value).isNotNull())
+    known = unique_index(points.select(*shape.index, "_p", F.col(shape.value).alias("_v")), shape, ["_p", "_v"])
+    curve = coefficients(known, kind, shape)
+    rows = join_null_safe(placed, curve, shape.index, "left")
+    value = F.col(shape.value)
+    held = F.struct(F.col("_p").alias("p"), value.alias("v"), F.col("_s").alias("s"), F.col("_q").alias("q"), F.col("_k").alias("k"))
+    here = F.when(value.isNotNull(), held)
+    # Nothing is handed on from `df`: the join has moved its rows.
+    sides = running(running(lay_out(rows, shape), {"_a": ("last", here)}), {"_b": ("last", here)}, reverse=True).rows()
+    a, b = F.col("_a"), F.col("_b")
+
+    def at(point: Column) -> Column:
+        x = (F.col("_p") - point["p"]).cast("double")
+        return point["v"] + x * (point["s"] + x * (point["q"] + x * point["k"]))
+
+    outside = F.when(a.isNotNull(), at(a)).otherwise(at(b)) if beyond else F.lit(None).cast("double")
+    found = F.when(a.isNotNull() & b.isNotNull(), at(a)).otherwise(outside)
+    return sides.withColumn("filled", F.coalesce(value, found)).drop("_s", "_q", "_k")
+
+
+def _kept(filled: DataFrame, direction: str, limit: int | None, area: str | None, shape: Shape) -> DataFrame:
+    """The filled values that direction, limit and area allow."""
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    allowed = {"forward": a, "backward": b, "both": F.lit(True)}[direction]
+    if limit is not None:
+        numbered = number_rows(lay_out(filled, shape))
+        known = F.when(F.col(shape.value).isNotNull(), F.col("_row"))
+        near = running(running(numbered, {"_last": ("last", known)}), {"_next": ("last", known)}, reverse=True).rows()
+        filled = near
+        after = F.coalesce(F.col("_row") - F.col("_last") <= limit, F.lit(False))
+        before = F.coalesce(F.col("_next") - F.col("_row") <= limit, F.lit(False))
+        allowed = allowed & {"forward": after, "backward": before, "both": after | before}[direction]
+    if area is not None:
+        allowed = allowed & ((a & b) if area == "inside" else ~(a & b))
+    kept = F.when(F.col(shape.value).isNotNull() | allowed, F.col("filled"))
+    return filled.withColumn("filled", kept)
 
 
 def interpolate(
     df: DataFrame, flags: DataFrame, method: str = "time", limit_direction: str | None = None,
-    shape: Shape = LONG, flag: str = "value", limit: int | None = None, limit_area: str | None = None,
+    shape: Shape = LONG, flag: str = "value", limit: int | None = None, limit_area: str | None = None, order: int | None = None,
 ) -> dict[str, DataFrame]:
     """Recompute the flagged positions (also new timestamps) from the remaining points.
 
     ``limit_direction`` is ``forward``, ``backward`` or ``both``; the default is ``backward`` for
     backward filling and else ``forward``. ``limit`` is the number of consecutive positions that are filled
     from a known one on, ``limit_area`` keeps to those ``inside`` or ``outside`` the known points.
+
+    Besides lines and neighbours there are curves: ``pchip`` and ``cubicspline``, which go on beyond the ends,
+    ``akima`` and ``cubic`` (also ``polynomial`` with ``order=3``), which like ``slinear`` and ``zero`` fill between known
+    points only. Curves need every index once; a series with one known point has none.
     """
-    if method not in INTERPOLATION_METHODS:
-        raise FrameError(f"method {method!r} is not supported")
-    kind = INTERPOLATION_METHODS[method]
+    if method == "polynomial" and order in (1, 3):
+        method = "slinear" if order == 1 else "cubic"
+    if method not in INTERPOLATION_METHODS and method not in CURVES and method not in INNER_METHODS:
+        raise FrameError(f"method {method!r} is not supported" + (f" with order {order}" if order else ""))
+    if method in INNER_METHODS:
+        limit_area = limit_area or "inside"
+    kind = INTERPOLATION_METHODS.get(method) or INNER_METHODS.get(method)
     direction = limit_direction or ("backward" if kind == "bfill" else "forward")
     if direction not in ("forward", "backward", "both") or limit_area not in (None, "inside", "outside"):
         raise FrameError(f"limit direction {direction!r} or area {limit_area!r} is unknown")
@@ -251,9 +303,13 @@ def interpolate(
     union = join_null_safe(df.select(*shape.index, shape.value), marks, shape.index, "full")
     flagged = F.coalesce(F.col("_flag"), F.lit(False))
     blanked = union.withColumn("_flag", flagged).withColumn(shape.value, F.when(~flagged, F.col(shape.value)))
-    filled = fill_between(
-        blanked, tick(df, shape.ts).cast("double"), kind, direction == "both", shape, limit, limit_area, direction == "backward"
-    )
+    position = tick(df, shape.ts)
+    if method in CURVES:
+        shape = Shape(shape.keys, shape.ts, shape.value)
+        on_curve = _on_curve(blanked, position, *CURVES[method], shape)
+        filled = _kept(on_curve, direction, limit, limit_area, shape)
+    else:
+        filled = fill_between(blanked, position.cast("double"), kind, direction == "both", shape, limit, limit_area, direction == "backward")
     full = filled.select(*shape.index, F.col("filled").alias(shape.value), "_flag")
     return {"interpolated": full.drop("_flag"), "new_values": full.where("_flag").drop("_flag")}
 
