@@ -244,6 +244,21 @@ def _intervals_many(spark, sf_dir):
     return f.select_time_intervals(events(spark, sf_dir), _many())
 
 
+@query(
+    "correct_time_intervals_nested",
+    f"""WITH {CTE_EVENTS}, i AS (SELECT pos, epoch_us(TIMESTAMP '2024-01-01') + pos * 60000000 AS s,
+    epoch_us(TIMESTAMP '2024-02-01') - pos * 60000000 AS t FROM range(20000) r(pos)),
+    h AS (SELECT timestamp, max(pos) AS pos FROM (SELECT DISTINCT timestamp FROM e) JOIN i ON epoch_us(timestamp) BETWEEN s AND t GROUP BY 1)
+    SELECT timestamp, metric, coalesce(CAST(pos AS DOUBLE), value) AS value FROM e LEFT JOIN h USING (timestamp)""",
+)
+def _correct_nested(spark, sf_dir):
+    """Twenty thousand intervals, each inside the one before."""
+    start, end = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+    step = dt.timedelta(minutes=1)
+    nested = [{"start": start + k * step, "end": end - k * step, "correction_value": k} for k in range(20_000)]
+    return f.correct_time_intervals(events(spark, sf_dir), [{**i, "start": i["start"].isoformat(), "end": i["end"].isoformat()} for i in nested])
+
+
 @query(
     "correct_time_intervals_with_fixed_values",
     f"""WITH {CTE_EVENTS} SELECT timestamp, metric, CASE

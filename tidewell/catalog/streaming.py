@@ -116,6 +116,37 @@ def _restart(spark, sf_dir):
     return spark.read.parquet(out).agg(F.count("*").alias("messages"), F.sum("value").alias("total"))
 
 
+@query(
+    "at_most_once_delivery",
+    "SELECT count(*) AS messages, round(sum(value), 2) AS total FROM events WHERE event_id % 2 = 1",
+    {"total": 1},
+)
+def _at_most_once(spark, sf_dir):
+    """The first batch fails once and is not run again; what comes after it is delivered."""
+    rows = _rows(spark, sf_dir)
+    folder, out = _mailbox(spark, rows.where("event_id % 2 = 0").select("value"), SINGLE), _folder(spark)
+    failed = []
+
+    def pipeline(df: DataFrame) -> DataFrame:
+        if not failed:
+            failed.append(True)
+            raise RuntimeError("the pipeline fails on its first batch")
+        return df
+
+    for attempt in range(3):
+        if attempt == 2:
+            later = build_messages(rows.where("event_id % 2 = 1").select("value"), SINGLE, "trafo-1", "job-1")
+            later.select("message").write.mode("append").text(folder)
+        stream = open_stream(spark, "text", folder)
+        query = consume(stream, {"value": {"type": "float"}}, pipeline, out, f"{out}-state", "job-2", delivery="at_most_once")
+        if attempt == 0:
+            while query.isActive:
+                time.sleep(0.05)
+        else:
+            _wait(query)
+    return spark.read.parquet(out).agg(F.count("*").alias("messages"), F.sum("value").alias("total"))
+
+
 @query(
     "continue_after_bad_message",
     """SELECT 'good' AS kind, event_id % 10 <> 3 AS fits, count(*) AS messages FROM events WHERE event_id % 10 <> 3 GROUP BY ALL

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.frames import LONG, FrameError, Shape, numeric_columns, require_columns, tick, value_columns
 from tidewell.functions.expressions import to_column
 from tidewell.operators.joins import align, unique_index
-from tidewell.plans.blocks import any_of, interval_matches, join_null_safe, join_per_series, lay_out, narrowed, number_rows
+from tidewell.plans.blocks import any_of, join_null_safe, join_per_series, lay_out, narrowed, number_rows
 
 LITERAL_INTERVALS = 16
 
@@ -141,29 +145,65 @@ def _inside(at: Column, item: dict) -> Column:
     return low & high
 
 
-def _interval_frame(df: DataFrame, intervals: list[dict]) -> DataFrame:
-    def micros(moment: dt.datetime) -> int:
-        return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+def _micros(moment: dt.datetime) -> int:
+    return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
-    rows = [
-        (micros(i["start"]), micros(i["end"]), i["open_start"], i["open_end"], i["pos"], float(i.get("correction_value", 0)))
-        for i in intervals
+
+def disjoint_pieces(intervals: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and ranks of pieces that do not overlap, in order: the highest rank wins wherever some meet.
+
+    ``intervals`` are (first, last, rank) in whole ticks. A sweep over the starts keeps the open intervals in a
+    queue by rank; an interval is taken out when it comes first and has ended. At most twice as many pieces.
+    """
+    waiting = sorted(i for i in intervals if i[0] <= i[1])
+    borders = sorted({i[0] for i in waiting} | {i[1] + 1 for i in waiting})
+    pieces: list[list[int]] = []
+    queue: list[tuple[int, int]] = []
+    at = 0
+    for first, following in zip(borders, borders[1:], strict=False):
+        while at < len(waiting) and waiting[at][0] == first:
+            heapq.heappush(queue, (-waiting[at][2], waiting[at][1]))
+            at += 1
+        while queue and queue[0][1] < first:
+            heapq.heappop(queue)
+        if not queue:
+            continue
+        rank = -queue[0][0]
+        if pieces and pieces[-1][1] == first - 1 and pieces[-1][2] == rank:
+            pieces[-1][1] = following - 1
+        else:
+            pieces.append([first, following - 1, rank])
+    table = np.array(pieces, dtype=np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
+def _match(df: DataFrame, intervals: list[dict], shape: Shape) -> DataFrame:
+    """All rows with ``_pos``: the last interval around the index, NULL if there is none.
+
+    Overlapping intervals become disjoint pieces once, and a row looks for its piece by binary search in
+    Arrow batches: no shuffle, and one piece at most whatever the overlap. The pieces travel with the tasks, as
+    the intervals are an argument and fit the driver.
+    """
+    ticks = [
+        (_micros(i["start"]) + i["open_start"], _micros(i["end"]) - i["open_end"], i["pos"]) for i in intervals
     ]
-    schema = "_start bigint, _end bigint, _open_start boolean, _open_end boolean, _pos int, _correction double"
-    return df.sparkSession.createDataFrame(rows, schema)
+    pieces = df.sparkSession.sparkContext.broadcast(disjoint_pieces(ticks))
+    schema = T.StructType([*df.schema.fields, T.StructField("_pos", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, ends, ranks = pieces.value
+        for batch in batches:
+            at = batch.column("_at")
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            ticks = at.fill_null(0).to_numpy()
+            near = np.searchsorted(starts, ticks, side="right") - 1
+            hit = (near >= 0) & ~missing
+            hit &= ticks <= ends[np.maximum(near, 0)] if len(ends) else False
+            found = np.where(hit, ranks[np.maximum(near, 0)] if len(ranks) else 0, 0)
+            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "_at"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64(), mask=~hit)], schema.names)
 
-def _last_match(df: DataFrame, intervals: list[dict], shape: Shape) -> DataFrame:
-    """Per distinct index value inside some interval: the correction of the last matching interval."""
-    at = F.col("_at")
-    inside = (
-        (at >= F.col("_start")) & (at <= F.col("_end"))
-        & ~((at == F.col("_start")) & F.col("_open_start"))
-        & ~((at == F.col("_end")) & F.col("_open_end"))
-    )
-    points = df.select(shape.ts, tick(df, shape.ts).alias("_at")).distinct()
-    hits = interval_matches(points, "_at", _interval_frame(df, intervals), "_start", "_end", inside)
-    return hits.groupBy(shape.ts).agg(F.max_by("_correction", "_pos").alias("_correction"))
+    return df.withColumn("_at", tick(df, shape.ts)).mapInArrow(run, schema)
 
 
 def select_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape = LONG) -> DataFrame:
@@ -175,10 +215,8 @@ def select_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape = L
     if len(items) <= LITERAL_INTERVALS:
         hit = any_of([_inside(F.col(shape.ts), i) for i in items])
         return df.select(*shape.index, *shape.tie, F.coalesce(hit, F.lit(False)).alias("result"))
-    found = _last_match(df, items, shape).withColumn("_hit", F.lit(True))
-    return df.join(found, shape.ts, "left").select(
-        *shape.index, *shape.tie, F.coalesce(F.col("_hit"), F.lit(False)).alias("result")
-    )
+    found = _match(df, items, shape)
+    return found.select(*shape.index, *shape.tie, F.col("_pos").isNotNull().alias("result"))
 
 
 def correct_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape = LONG) -> DataFrame:
@@ -192,9 +230,19 @@ def correct_time_intervals(df: DataFrame, intervals: list[dict], shape: Shape =
         for item in items:
             value = F.when(_inside(F.col(shape.ts), item), F.lit(float(item["correction_value"]))).otherwise(value)
         return df.withColumn(shape.value, value)
-    found = _last_match(df, items, shape)
+    found = _match(df, items, shape)
+    corrections = df.sparkSession.sparkContext.broadcast(np.array([float(i["correction_value"]) for i in items]))
+    schema = T.StructType([*found.schema.fields, T.StructField("_correction", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos = batch.column("_pos")
+            values = corrections.value[pos.fill_null(0).to_numpy()]
+            made = pa.array(values, pa.float64(), mask=pos.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], schema.names)
+
     corrected = F.coalesce(F.col("_correction"), value)
-    return df.join(found, shape.ts, "left").withColumn(shape.value, corrected).select(*df.columns)
+    return found.mapInArrow(run, schema).withColumn(shape.value, corrected).select(*df.columns)
 
 
 def thin_out(df: DataFrame, points: int, shape: Shape = LONG) -> DataFrame:

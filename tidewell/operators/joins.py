@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, FrameError, Shape, elapsed, is_time, require_columns, tick, value_columns
-from tidewell.plans.blocks import join_null_safe, join_per_series, lay_out, neighbour, running
+from tidewell.plans.blocks import (
+    SERIES_BROADCAST, block_rows, join_null_safe, join_per_series, lay_out, neighbour, running,
+)
 
 
 def unique_index(df: DataFrame, shape: Shape, columns: list[str] | None = None) -> DataFrame:
@@ -41,6 +45,58 @@ def align(left: DataFrame, right: DataFrame, shape: Shape = LONG, how: str = "fu
     return joined.select(*[F.col(f"_index.{c}").alias(c) for c in shape.index], "left", "right")
 
 
+def _hot_keys(a: DataFrame, b: DataFrame) -> DataFrame | None:
+    """Keys with more rows on one side than a block holds: ``_key`` and the rows of both sides, ``_na`` and ``_nb``.
+
+    None if there are none, or more than may be broadcast. A side that fits a block as a whole is not looked at
+    by key; counts by key are combined on the map side.
+    """
+    limit = block_rows(a)
+    counts = [df.groupBy(F.col(c).alias("_key")).agg(F.count(F.lit(1)).alias("_n")) for df, c in ((a, "_a"), (b, "_b"))]
+    hot = [own.where(F.col("_n") > limit).select("_key") for own, df in zip(counts, (a, b), strict=True) if df.count() > limit]
+    if not hot:
+        return None
+    keys = reduce(DataFrame.union, hot).distinct()
+    for name, own in zip(("_na", "_nb"), counts, strict=True):
+        keys = join_null_safe(keys, own.withColumnRenamed("_n", name), ["_key"], "left")
+    found = keys.na.fill(0, ["_na", "_nb"]).limit(SERIES_BROADCAST + 1).toArrow()
+    if not 0 < found.num_rows <= SERIES_BROADCAST:
+        return None
+    return F.broadcast(a.sparkSession.createDataFrame(found))
+
+
+def _spread_join(a: DataFrame, b: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """The join by ``_a`` and ``_b`` with the rows of frequent keys spread over many tasks.
+
+    All other keys are joined plainly. Of a frequent key, the side with more rows is dealt out into parts of
+    a block, and the other side goes to every part. The counts say whether it has rows at all, so
+    an outer join needs nothing more: without them, the rows stay alone.
+    """
+    limit = block_rows(a)
+    same = F.col("_a").eqNullSafe(F.col("_b"))
+    marked = {}
+    for df, c in ((a, "_a"), (b, "_b")):
+        marked[c] = df.join(hot.withColumn("_hot", F.lit(True)), F.col(c).eqNullSafe(F.col("_key")), "left").drop("_key")
+    cold = {c: df.where("_hot is null").drop("_hot", "_na", "_nb") for c, df in marked.items()}
+    warm = {c: df.where("_hot").drop("_hot") for c, df in marked.items()}
+    parts = F.ceil(F.greatest("_na", "_nb") / limit)
+    dealt = F.pmod(F.monotonically_increasing_id(), parts)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    met = {}
+    for c, more in (("_a", F.col("_na") >= F.col("_nb")), ("_b", F.col("_na") < F.col("_nb"))):
+        both = warm[c].where("_na > 0 and _nb > 0")
+        split, copied = both.where(more).withColumn("_part", dealt), both.where(~more).withColumn("_part", every)
+        met[c] = split.unionByName(copied).withColumnRenamed("_part", f"_part{c}").drop("_na", "_nb")
+    columns = [*a.columns, *b.columns]
+    pairs = met["_a"].join(met["_b"], same & (F.col("_part_a") == F.col("_part_b"))).select(*columns)
+    out = cold["_a"].join(cold["_b"], same, how).select(*columns).unionByName(pairs)
+    if how in ("left", "outer"):
+        out = out.unionByName(warm["_a"].where("_nb = 0").drop("_na", "_nb"), allowMissingColumns=True)
+    if how in ("right", "outer"):
+        out = out.unionByName(warm["_b"].where("_na = 0").drop("_na", "_nb"), allowMissingColumns=True)
+    return out
+
+
 def merge_on_column(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
     """Join on one column; NULL keys match each other, overlapping columns get ``_x`` and ``_y``."""
     if how not in ("inner", "left", "right", "outer"):
@@ -50,7 +106,8 @@ def merge_on_column(left: DataFrame, right: DataFrame, column: str, how: str = "
     both = (set(left.columns) & set(right.columns)) - {column}
     a = left.select(*[F.col(c).alias(f"{c}_x" if c in both else c) for c in left.columns if c != column], F.col(column).alias("_a"))
     b = right.select(*[F.col(c).alias(f"{c}_y" if c in both else c) for c in right.columns if c != column], F.col(column).alias("_b"))
-    joined = a.join(b, F.col("_a").eqNullSafe(F.col("_b")), how)
+    hot = _hot_keys(a, b)
+    joined = a.join(b, F.col("_a").eqNullSafe(F.col("_b")), how) if hot is None else _spread_join(a, b, hot, how)
     key = {"inner": F.col("_a"), "left": F.col("_a"), "right": F.col("_b"), "outer": F.coalesce("_a", "_b")}[how]
     rest = [c for c in (*a.columns, *b.columns) if c not in ("_a", "_b")]
     return joined.select(key.alias(column), *rest)

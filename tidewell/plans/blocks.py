@@ -512,34 +512,5 @@ def grid(bounds: DataFrame, keys: tuple[str, ...], low: str, high: str, step: in
 BROADCAST_ROWS = 100_000
 
 
-def interval_matches(
-    points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, inside: Column, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """Pairs of points and the intervals around them, as an equi join on time cells.
-
-    Each interval goes to the one or two cells of the power of two next to its length, so long
-    and short intervals are both copied at most twice; a point looks into one cell per length
-    class in use (at most 64). ``inside`` decides the open and closed borders.
-    """
-    length = F.greatest(F.col(end) - F.col(start), F.lit(1))
-    level = F.ceil(F.log2(length)).cast("int")
-    graded = intervals.withColumn("_level", level).withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(F.floor(F.col(start) / F.pow(F.lit(2.0), "_level")), F.floor(F.col(end) / F.pow(F.lit(2.0), "_level")))
-        ),
-    )
-    sizes = intervals.groupBy(level.alias("level")).count().collect()
-    levels = sorted(row["level"] for row in sizes)
-    if not levels:
-        levels = [0]
-    if sum(row["count"] for row in sizes) <= BROADCAST_ROWS:
-        graded = F.broadcast(graded)
-    probes = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn(
-        "_cell", F.floor(F.col(at) / F.pow(F.lit(2.0), "_level"))
-    )
-    return join_null_safe(probes, graded, [*keys, "_level", "_cell"]).where(inside).drop("_level", "_cell")
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

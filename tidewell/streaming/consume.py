@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,6 +34,7 @@ def consume(
     continue_on_error: bool = False,
     dead_letters: str | None = None,
     once: bool = True,
+    delivery: str = "at_least_once",
 ) -> StreamingQuery:
     """Bind the inputs of every message, run the pipeline on the micro-batch, write its rows.
 
@@ -45,8 +47,13 @@ def consume(
     rows are there exactly once, and jobs with a folder in common leave each other's rows alone. Messages that do not fit go to ``dead_letters`` with
     ``continue_on_error``, and stop the query otherwise. Rows carry the job id of their message
     beside ``job_id`` and ``batch``.
+
+    With ``delivery="at_most_once"`` a batch is claimed in a folder beside the checkpoint before it runs. A batch
+    that was claimed and did not come to its end is left out after a restart, so nothing runs twice.
     """
     check_inputs(inputs)
+    if delivery not in ("at_least_once", "at_most_once"):
+        raise FrameError(f"delivery must be at_least_once or at_most_once, not {delivery!r}")
     if continue_on_error and dead_letters is None:
         raise FrameError("continue_on_error needs a folder for dead letters")
 
@@ -55,7 +62,20 @@ def consume(
         writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("job_id", "batch").parquet(target)
 
+    def claimed(frame: DataFrame, batch: int) -> bool:
+        """Claim the batch; False if an earlier run did."""
+        claim = frame.sparkSession.range(1).select(F.lit(job_id).alias("job_id"), F.current_timestamp().alias("claimed"))
+        try:
+            claim.coalesce(1).write.mode("error").parquet(f"{checkpoint.rstrip('/')}-claims/{batch}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            return False
+        return True
+
     def run(frame: DataFrame, batch: int) -> None:
+        if delivery == "at_most_once" and not claimed(frame, batch):
+            return
         if MESSAGE_ID not in frame.columns:
             number = F.monotonically_increasing_id().cast("string")
             frame = frame.withColumn(MESSAGE_ID, F.concat(F.lit(f"{batch}/"), number))
