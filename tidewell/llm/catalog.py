@@ -66,7 +66,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 words or more that occur earlier."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+    return lines.drop_repeated_lines(docs, extend=True).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 OP4_SQL = r"""
@@ -79,14 +79,18 @@ WITH l AS (
     SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
         AS start FROM k WHERE words > 0
 ), r AS (
-    SELECT *, sum(words) OVER w AS total, list(line) OVER w AS run FROM s
-    WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+    SELECT *, sum(words) OVER w AS total, list(line) OVER w AS run, sum(words) OVER v AS back, list(line) OVER v AS tail FROM s
+    WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+        v AS (PARTITION BY doc_id ORDER BY start + words RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), f AS (
     SELECT run, min({'d': doc_id, 'a': pos}) AS first FROM r WHERE total >= 50 GROUP BY run HAVING count(*) > 1
+), t AS (
+    SELECT tail, min({'d': doc_id, 'a': pos}) AS first FROM r WHERE back >= 50 GROUP BY tail HAVING count(*) > 1
 ), b AS (
-    SELECT r.*, coalesce(r.total >= 50 AND {'d': r.doc_id, 'a': r.pos} > f.first, FALSE) AS begins FROM r LEFT JOIN f USING (run)
+    SELECT r.*, coalesce(r.total >= 50 AND {'d': r.doc_id, 'a': r.pos} > f.first, FALSE) AS begins,
+        coalesce(r.back >= 50 AND {'d': r.doc_id, 'a': r.pos} > t.first, FALSE) AS ends FROM r LEFT JOIN f USING (run) LEFT JOIN t USING (tail)
 ), g AS (
-    SELECT doc_id, pos, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+    SELECT doc_id, pos, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) OR ends AS gone
     FROM b
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, FALSE)) AS n_deleted,
