@@ -347,16 +347,18 @@ def merge_distributing_duplicates(df: DataFrame, max_delta: str, shape: Shape =
     limit = positive_duration(max_delta)
     merged = Shape((), "_t", shape.value, (*shape.tie, *shape.keys))
     ticked = df.withColumn("_t", tick(df, shape.ts))
-    numbered = number_rows(lay_out(ticked, merged)).rows()
-    groups = numbered.groupBy("_t").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_m"))
-    distinct = Shape((), "_t", "_t")
-    following = neighbour(lay_out(ticked.select("_t").distinct(), distinct), {"_next": F.col("_t")}, reverse=True).rows()
-    spans = groups.join(following, "_t")
-    span = F.least(F.col("_next") - F.col("_t"), F.lit(limit))
-    k = F.col("_row") - F.col("_first")
-    at = F.col("_t") + F.floor(k * span / F.col("_m"))
-    moved = numbered.join(spans, "_t").withColumn(shape.ts, from_micros(at))
-    return moved.select(shape.ts, *shape.tie, shape.value)
+    blocks = number_rows(lay_out(ticked, merged))
+    before, after = {"_before": F.col("_t")}, {"_after": F.col("_t")}
+    near = neighbour(neighbour(blocks, before), after, reverse=True)
+    # The first and last row of a timestamp and the next timestamp, carried over the blocks from both sides.
+    begins = F.col("_before").isNull() | (F.col("_before") != F.col("_t"))
+    ends = F.col("_after").isNull() | (F.col("_after") != F.col("_t"))
+    last = F.when(ends, F.struct(F.col("_row").alias("row"), F.col("_after").alias("next")))
+    counted = running(near, {"_first": ("last", F.when(begins, F.col("_row")))})
+    rows = running(counted, {"_last": ("last", last)}, reverse=True).rows()
+    span = F.least(F.col("_last.next") - F.col("_t"), F.lit(limit))
+    k, m = F.col("_row") - F.col("_first"), F.col("_last.row") - F.col("_first") + 1
+    return rows.withColumn(shape.ts, from_micros(F.col("_t") + F.floor(k * span / m))).select(shape.ts, *shape.tie, shape.value)
 
 
 def sort_by_index(df: DataFrame, shape: Shape = LONG, within_partitions: bool = False) -> DataFrame:
