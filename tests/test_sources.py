@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import urllib.parse
 
 import pytest
 from conftest import long_frame, stamp
@@ -262,3 +263,35 @@ def test_built_message(spark, frame):
     found = json.loads(built.where("metric = 'b'").first()["message"])
     assert found["value"] == {"value": 1.3, "data_type": "metadata(float)", "output_name": "load"}
     assert (found["transformation_id"], found["message_creation_timestamp"]) == ("t", "2023-08-29T11:00:00.000000Z")
+
+
+def test_one_dump_file_is_split_over_tasks(spark, tmp_path):
+    """Ids with odd signs, bad records, values as text, and one large file in several tasks."""
+    folder = tmp_path / "dataframe" / urllib.parse.quote("a/b c+d=é%", safe="")
+    folder.mkdir(parents=True)
+    lines = [json.dumps({"n": str(i), "x": i / 2, "flag": "Yes", "info": {"k": [i]}, "timestamp": 1000 * i}) for i in range(20_000)]
+    (folder / "all.ndjson").write_text("\n".join([*lines, "", "  "]))
+    (folder / "_hidden").write_text("not json")
+    schema = "n bigint, x double, flag boolean, info string, timestamp timestamp"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    rows = rest.read_frame(spark, tmp_path.as_uri(), "a/b c+d=é%", schema)
+    assert rows.rdd.getNumPartitions() > 4
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows.count() == 20_000 and rows.agg(F.sum("n"), F.sum("x")).first()[:] == (199_990_000, 99_995_000.0)
+    last = rows.orderBy(F.desc("n")).first()
+    assert (last["flag"], last["info"], last["timestamp"].second) == (True, '{"k":[19999]}', 19_999 % 60)
+    ids = spark.createDataFrame([("a/b c+d=é%",), ("none",)], "id string")
+    assert rest.read_frame(spark, tmp_path.as_uri(), "other", schema).count() == 0
+    assert rest._read(spark, tmp_path.as_uri(), "dataframe", ids, None, None, None, None, "float", schema).count() == 20_000
+    with pytest.raises(FileNotFoundError):
+        rest.read_metadata(spark, tmp_path.as_uri(), ["x"])
+    (folder / "bad.ndjson").write_text('{"n": 1.5}\n{"n": "one"}')
+    with pytest.raises(Exception, match="one|CAST"):
+        rest.read_frame(spark, tmp_path.as_uri(), "a/b c+d=é%", "n bigint").collect()
+
+
+def test_posts_carry_a_key_that_stays_the_same():
+    writer = rest.JsonWriter({"url": "http://host/api/", "endpoint": "timeseries"})
+    one, two = (writer.request("a b", ['{"v":1}', '{"v":2}'], f"{writer.job}-3-0") for _ in range(2))
+    assert one.full_url == "http://host/api/timeseries?id=a+b" and one.data == b'[{"v":1},{"v":2}]' and one.method == "POST"
+    assert one.headers["Idempotency-key"] == two.headers["Idempotency-key"] == f"{writer.job}-3-0"

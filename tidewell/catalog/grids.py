@@ -157,11 +157,15 @@ def _bounds(spark, sf_dir):
     return g.add_bounds(g.constrict_series(rows, LOW, HIGH), LOW, HIGH, keys=rows)
 
 
-@query("expected_frequency", f"WITH {CTE_EVENTS}, {CTE_BOUNDED} SELECT metric, frequency FROM q")
+@query(
+    "expected_frequency",
+    f"""WITH {CTE_EVENTS}, d AS (SELECT metric, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER {ORDER} AS distance FROM e),
+    k AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY distance) - 1 AS rank, count(*) OVER (PARTITION BY metric) AS n
+    FROM d WHERE distance IS NOT NULL)
+    SELECT metric, distance AS frequency FROM k WHERE rank = CAST(round_even((n - 1) * 0.9, 0) AS BIGINT)""",
+)
 def _frequency(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    bounded = g.add_bounds(g.constrict_series(rows, LOW, HIGH), LOW, HIGH, keys=rows)
-    return g.expected_frequency(bounded, 0.9, 11)
+    return g.expected_frequency(events(spark, sf_dir), 0.9, 11)
 
 
 @query(

@@ -211,7 +211,7 @@ def _rest_metadata(spark, sf_dir):
     rows = nations.select(F.col("n_nationkey").cast("string").alias("id"), F.explode(pairs).alias("p")).select("id", "p.*")
     url = f"file://{_folder(spark).removeprefix('file:')}"
     rest.write_metadata(rows, url)
-    ids = [row["id"] for row in nations.select(F.col("n_nationkey").cast("string").alias("id")).collect()]
+    ids = nations.select(F.col("n_nationkey").cast("string").alias("id"))
     found = rest.read_metadata(spark, url, ids)
     typed = rest.typed_metadata(found, {"name": "string", "region": "int", "west": "boolean", "info": "any"})
     return typed.withColumn("code", F.try_variant_get("info", "$.code", "bigint")).drop("info")

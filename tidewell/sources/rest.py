@@ -2,13 +2,13 @@
 
 ``tidewell_json`` reads newline-delimited records: the requested ids and time range are cut
 into partitions that tasks fetch independently. The writer posts one document per batch of
-rows and task. A base address of the ``file`` scheme reads and writes dumps of the same form.
+rows and task. Any other base address names a folder of dumps, one folder of line files for each id,
+which Spark reads itself: a large file is split over tasks, on any storage that Spark can reach.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import gzip
 import json
 import os
 import urllib.parse
@@ -21,6 +21,7 @@ from itertools import islice
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,19 +73,6 @@ def plan_requests(ids: list[str], start: str | None, end: str | None, per_slice:
 
 
 def _lines(base: str, endpoint: str, request: Request, params: list[tuple[str, str]]) -> Iterator[bytes]:
-    if base.startswith("file:"):
-        folder = urllib.request.url2pathname(urllib.parse.urlparse(base).path)
-        if not os.path.isdir(os.path.join(folder, endpoint)):
-            raise FileNotFoundError(f"no dump of {endpoint} in {folder}; is the folder shared with every executor?")
-        for ref in request.ids:
-            target = os.path.join(folder, endpoint, urllib.parse.quote(ref, safe=""))
-            if not os.path.isdir(target):
-                continue  # an id without records
-            for name in sorted(n for n in os.listdir(target) if not n.startswith("_")):
-                opener = gzip.open if name.endswith(".gz") else open
-                with opener(os.path.join(target, name), "rb") as handle:
-                    yield from handle
-        return
     query = [("id", ref) for ref in request.ids] + params
     if request.start:
         query.append(("from", request.start))
@@ -166,7 +154,9 @@ class JsonWriter(DataSourceWriter):
     """Posts ``body`` rows grouped by ``ref``.
 
     Dump files get a hidden name per task and attempt, and the job's commit publishes those of the
-    attempts that count. An HTTP endpoint gets the rows of a task that runs again once more.
+    attempts that count. A post carries a key made from its content's place in the job, the same in
+    every attempt, by which an endpoint can leave out what it has already taken. Rows come sorted by ``ref``, so a
+    task holds those of one at a time.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -185,25 +175,30 @@ class JsonWriter(DataSourceWriter):
             with open(files[-1], "w", encoding="utf8") as handle:
                 handle.write("\n".join(records) + "\n")
             return
-        url = f"{self.base.rstrip('/')}/{place}?{urllib.parse.urlencode({'id': ref})}"
-        data = ("[" + ",".join(records) + "]").encode()
-        call = urllib.request.Request(url, data, {"Content-Type": "application/json"}, method="POST")  # noqa: S310
-        with urllib.request.urlopen(call, timeout=TIMEOUT_SECONDS):  # noqa: S310
+        key = f"{self.job}-{TaskContext.get().partitionId()}-{len(files)}"
+        files.append(key)
+        with urllib.request.urlopen(self.request(ref, records, key), timeout=TIMEOUT_SECONDS):  # noqa: S310
             pass
 
+    def request(self, ref: str, records: list[str], key: str) -> urllib.request.Request:
+        """One post; its key stays the same when a task runs again."""
+        url = f"{self.base.rstrip('/')}/{self.endpoint}?{urllib.parse.urlencode({'id': ref})}"
+        headers = {"Content-Type": "application/json", "Idempotency-Key": key}
+        return urllib.request.Request(url, ("[" + ",".join(records) + "]").encode(), headers, method="POST")  # noqa: S310
+
     def write(self, iterator: Iterable) -> Posted:
-        waiting: dict[str, list[str]] = {}
         files: list[str] = []
-        count = 0
+        count, ref, waiting = 0, None, []
         for row in iterator:
-            batch = waiting.setdefault(row["ref"], [])
-            batch.append(row["body"])
+            if waiting and (row["ref"] != ref or len(waiting) >= self.per_post):
+                self._post(ref, waiting, files)
+                waiting = []
+            ref = row["ref"]
+            waiting.append(row["body"])
             count += 1
-            if len(batch) >= self.per_post:
-                self._post(row["ref"], waiting.pop(row["ref"]), files)
-        for ref, batch in waiting.items():
-            self._post(ref, batch, files)
-        return Posted(count, files)
+        if waiting:
+            self._post(ref, waiting, files)
+        return Posted(count, files if self.base.startswith("file:") else [])
 
     def commit(self, messages: list[Posted | None]) -> None:
         for path in (f for m in messages if m for f in m.files):
@@ -239,11 +234,65 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(JsonSource)
 
 
-def _reader(spark: SparkSession, url: str, endpoint: str, ids: list[str], start, end, per_slice, params, kind):
+def _typed_text(value: Column, kind: T.DataType) -> Column:
+    """A field's JSON text as the declared type; what does not fit stops the job."""
+    if isinstance(kind, T.TimestampType):
+        number = value.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
+        millis = F.timestamp_micros((F.when(number, value).cast("decimal(30,6)") * 1000).cast("bigint"))
+        return F.when(number, millis).otherwise(F.when(~number, value).cast("timestamp"))
+    if isinstance(kind, T.DoubleType):
+        return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        whole = value.rlike(r"^\s*[-+]?[0-9]+\s*$")
+        return F.when(whole, F.when(whole, value).cast(kind)).otherwise(F.when(~whole, value).cast("double").cast(kind))
+    if isinstance(kind, T.BooleanType):
+        return F.lower(F.trim(value)).isin("true", "1", "yes", "on", "t", "y")
+    return value.cast(kind)
+
+
+def _dumped(spark: SparkSession, base: str, endpoint: str, ids: list[str] | DataFrame, schema: T.StructType, start, end) -> DataFrame:
+    """The records of the given ids from a folder of dumps, in which an id's folder has its quoted name."""
+    try:
+        lines = spark.read.option("recursiveFileLookup", "true").text(f"{base.rstrip('/')}/{endpoint}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no dump of {endpoint} in {base}") from error
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    # Quoted once by the writer, and once more in the address of the file.
+    named = lines.where(F.trim("value") != "").withColumn("_ref", F.url_decode(F.url_decode(folder)))
+    if isinstance(ids, DataFrame):
+        wanted = ids.select(F.col(ids.columns[0]).cast("string").alias("_ref")).distinct()
+        named = named.join(wanted, "_ref", "left_semi")
+    else:
+        named = named.where(F.col("_ref").isin(*ids))
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    record = named.select(F.from_json("value", texts, {"mode": "FAILFAST"}).alias("r"))
+    rows = record.select(*[_typed_text(F.col("r")[f.name], f.dataType).alias(f.name) for f in schema])
+    if "timestamp" in schema.names:
+        at = F.col("timestamp")
+        if start is not None:
+            rows = rows.where(at.isNull() | (at >= F.lit(parse_instant(start))))
+        if end is not None:
+            rows = rows.where(at.isNull() | (at <= F.lit(parse_instant(end))))
+    return rows
+
+
+def _read(
+    spark: SparkSession, url: str, endpoint: str, ids: list[str] | DataFrame, start, end, per_slice, params, kind, schema=None
+) -> DataFrame:
+    options = {"url": url, "endpoint": endpoint, "type": kind}
+    if not url.startswith(("http:", "https:")):
+        declared = schema or JsonSource(options).schema()
+        declared = T._parse_datatype_string(declared) if isinstance(declared, str) else declared
+        return _dumped(spark, url, endpoint, ids, declared, start, end)
+    if isinstance(ids, DataFrame):
+        raise FrameError("an endpoint takes its ids as a list")
     register(spark)
-    options = {"url": url, "endpoint": endpoint, "ids": json.dumps(ids), "type": kind, "params": json.dumps(params or {})}
+    options |= {"ids": json.dumps(ids), "params": json.dumps(params or {})}
     options |= {k: v for k, v in (("from", start), ("to", end), ("slice", per_slice)) if v is not None}
-    return spark.read.format(FORMAT).options(**options)
+    reader = spark.read.format(FORMAT).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load()
 
 
 def read_timeseries(
@@ -251,7 +300,7 @@ def read_timeseries(
     params: dict | None = None, per_slice: str | None = None,
 ) -> DataFrame:
     """Several time series in one frame ``timeseriesId, timestamp, value``."""
-    return _reader(spark, url, "timeseries", ids, start, end, per_slice, params, kind).load()
+    return _read(spark, url, "timeseries", ids, start, end, per_slice, params, kind)
 
 
 def read_timeseries_grouped(spark: SparkSession, url: str, wanted: list[dict], start: str, end: str) -> dict[str, DataFrame]:
@@ -272,7 +321,7 @@ def read_frame(
     spark: SparkSession, url: str, ref: str, schema: T.StructType | str, params: dict | None = None
 ) -> DataFrame:
     """A frame; a ``timestamp`` column of the schema is parsed. No records give an empty typed frame."""
-    return _reader(spark, url, "dataframe", [ref], None, None, None, params, "float").schema(schema).load()
+    return _read(spark, url, "dataframe", [ref], None, None, None, params, "float", schema)
 
 
 def read_multitsframe(
@@ -282,14 +331,14 @@ def read_multitsframe(
     """A long frame of a closed time range, which must be given."""
     if start is None or end is None:
         raise FrameError("a long frame needs both ends of the time range")
-    rows = _reader(spark, url, "multitsframe", [ref], start, end, per_slice, params, kind).load()
+    rows = _read(spark, url, "multitsframe", [ref], start, end, per_slice, params, kind)
     attributes = {"ref_interval_start_timestamp": start, "ref_interval_end_timestamp": end}
     return update_attributes(rows, attributes, "timestamp")
 
 
-def read_metadata(spark: SparkSession, url: str, ids: list[str]) -> DataFrame:
-    """Key and value rows of the given ids."""
-    return _reader(spark, url, "metadata", ids, None, None, None, None, "string").load()
+def read_metadata(spark: SparkSession, url: str, ids: list[str] | DataFrame) -> DataFrame:
+    """Key and value rows of the given ids; for dumps the ids may be the first column of a frame, of any size."""
+    return _read(spark, url, "metadata", ids, None, None, None, None, "string")
 
 
 def typed_metadata(rows: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -319,7 +368,7 @@ def _bodies(df: DataFrame, ref: Column) -> DataFrame:
 
 def _post(rows: DataFrame, url: str, endpoint: str, ref: Column, options: dict) -> None:
     register(rows.sparkSession)
-    _bodies(rows, ref).write.format(FORMAT).options(url=url, endpoint=endpoint, **options).mode("append").save()
+    _bodies(rows, ref).sortWithinPartitions("ref").write.format(FORMAT).options(url=url, endpoint=endpoint, **options).mode("append").save()
 
 
 def check_value_type(df: DataFrame, kind: str, column: str = "value") -> None:
