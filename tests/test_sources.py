@@ -295,3 +295,28 @@ def test_posts_carry_a_key_that_stays_the_same():
     one, two = (writer.request("a b", ['{"v":1}', '{"v":2}'], f"{writer.job}-3-0") for _ in range(2))
     assert one.full_url == "http://host/api/timeseries?id=a+b" and one.data == b'[{"v":1},{"v":2}]' and one.method == "POST"
     assert one.headers["Idempotency-key"] == two.headers["Idempotency-key"] == f"{writer.job}-3-0"
+
+
+def test_registered_file_formats(spark, tmp_path, monkeypatch):
+    """Files of a user's format beside CSV files, each group with its own settings."""
+    from tidewell.catalog.sources import _read_pairs, _write_pairs
+
+    monkeypatch.setattr(files, "FILE_FORMATS", {})
+    schema = "a int, b string"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "in" / "two.pairs").write_text("a=2;b=y\nb=z")
+    (tmp_path / "in" / "three.pairs").write_text("a=4|b=w")
+    (tmp_path / "in" / "three.pairs.settings.json").write_text('{"load_settings": {"between": "[|]"}}')
+    assert files.read_dataset(spark, str(tmp_path / "in"), schema).count() == 1
+    files.register_file_format(".pairs", files.FileFormat(_read_pairs, _write_pairs))
+    found = files.read_dataset(spark, str(tmp_path / "in"), schema)
+    assert sorted(((r["a"], r["b"], r["file_path"].rsplit("/")[-1]) for r in found.collect()), key=str) == [
+        (1, "x", "one.csv"), (2, "y", "two.pairs"), (4, "w", "three.pairs"), (None, "z", "two.pairs")
+    ]
+    path = files.write_generic(found.select("a", "b"), str(tmp_path), "job", "out.pairs")
+    assert files.FILE_FORMATS["pairs"].read(spark, [path], schema, {}).count() == 4
+    files.register_file_format("lines", files.FileFormat(read=_read_pairs))
+    for bad in (lambda: files.register_file_format("csv", files.FileFormat()), lambda: files.write_generic(found, str(tmp_path), "j", "x.lines")):
+        with pytest.raises(FrameError):
+            bad()

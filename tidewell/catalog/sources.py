@@ -86,6 +86,28 @@ def _generic(spark, sf_dir):
     return files.read_parquet(spark, path)
 
 
+def _read_pairs(spark, paths, schema, settings):
+    """Lines of `name=value` pairs, split by the sign that the settings name."""
+    pairs = F.str_to_map("value", F.lit(settings.get("between", ";")), F.lit("="))
+    lines = spark.read.text(paths).select(pairs.alias("pairs"), "_metadata")
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return lines.select(*[F.col("pairs")[f.name].cast(f.dataType).alias(f.name) for f in wanted], "_metadata")
+
+
+def _write_pairs(df, path, mode):
+    text = F.concat_ws(";", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in df.columns])
+    df.select(text.alias("value")).write.mode(mode).text(path)
+
+
+@query("custom_file_format", SELECT_EVENTS)
+def _custom_format(spark, sf_dir):
+    """A registered format, written as a sink and read as a data set."""
+    files.register_file_format("pairs", files.FileFormat(_read_pairs, _write_pairs))
+    rows, folder = events(spark, sf_dir), _folder(spark)
+    path = files.write_generic(rows, folder, str(uuid.uuid4()), "result.pairs")
+    return files.FILE_FORMATS["pairs"].read(spark, [path], rows.schema, {}).select("timestamp", "metric", "value")
+
+
 @query("sql_table_read", "SELECT * FROM customer")
 def _sql_table(spark, sf_dir):
     table(spark, sf_dir, "customer").createOrReplaceTempView("tidewell_customer")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,30 @@ CSV_OPTIONS = {
 #: Settings of the index, which is a column like any other here, so that they change nothing.
 IGNORED_CSV_SETTINGS = {"index", "index_col", "parse_dates"}
 UNSPLITTABLE = (".zip", ".xz")
+BUILT_IN = ("csv", "parquet")
+
+
+@dataclass(frozen=True)
+class FileFormat:
+    """A format of the user's, both ways as Spark jobs.
+
+    ``read(spark, paths, schema, settings)`` gives the rows of files with their ``_metadata`` still to be asked for;
+    ``write(df, path, mode)`` writes a folder of such files. Either may be missing.
+    """
+
+    read: Callable[[SparkSession, list[str], T.StructType | str | None, dict], DataFrame] | None = None
+    write: Callable[[DataFrame, str, str], None] | None = None
+
+
+FILE_FORMATS: dict[str, FileFormat] = {}
+
+
+def register_file_format(ending: str, file_format: FileFormat) -> None:
+    """Use a format for all files with the ending, in data sets and as a sink. ``csv`` and ``parquet`` stay as they are."""
+    ending = ending.removeprefix(".").lower()
+    if ending in BUILT_IN or not ending or "." in ending:
+        raise FrameError(f"a file format can't have the ending {ending!r}")
+    FILE_FORMATS[ending] = file_format
 
 
 def csv_options(settings: dict) -> dict[str, str]:
@@ -78,7 +104,8 @@ def _kind(name: str) -> str | None:
     base = name
     for packed in (".gz", ".bz2"):
         base = base.removesuffix(packed)
-    return {"csv": "csv", "parquet": "parquet"}.get(base.rsplit(".", 1)[-1])
+    ending = base.rsplit(".", 1)[-1]
+    return ending if ending in BUILT_IN or (ending in FILE_FORMATS and FILE_FORMATS[ending].read) else None
 
 
 def find_files(spark: SparkSession, top: str, walk: bool = True) -> DataFrame:
@@ -113,7 +140,7 @@ def find_files(spark: SparkSession, top: str, walk: bool = True) -> DataFrame:
 def read_dataset(
     spark: SparkSession, top: str, schema: T.StructType | str, walk: bool = True
 ) -> DataFrame:
-    """All loadable CSV and Parquet files below ``top`` as one frame with their ``file_path``.
+    """All loadable files of known formats below ``top`` as one frame with their ``file_path``.
 
     Files are grouped by kind and settings; each group is one distributed read.
     """
@@ -126,9 +153,13 @@ def read_dataset(
     for (kind, settings), paths in sorted(groups.items()):
         if kind == "csv":
             part = read_csv(spark, paths, schema, **json.loads(settings))
+        elif kind in FILE_FORMATS:
+            part = nan_to_null(FILE_FORMATS[kind].read(spark, paths, schema, json.loads(settings)))
         else:
             part = nan_to_null(spark.read.schema(schema).parquet(*paths))
         part = part.select("*", F.col("_metadata.file_path").alias("file_path"))
+        if kind in FILE_FORMATS:
+            part = part.drop("_metadata")
         result = part if result is None else result.unionByName(part)
     if result is None:
         raise FrameError(f"no loadable file below {top}")
@@ -144,6 +175,8 @@ def write_generic(df: DataFrame, folder: str, job_id: str, file_name: str | None
         write_csv(df, path, "errorifexists")
     elif kind == "parquet":
         write_parquet(df, path, "errorifexists")
+    elif kind in FILE_FORMATS and FILE_FORMATS[kind].write:
+        FILE_FORMATS[kind].write(df, path, "errorifexists")
     else:
-        raise FrameError(f"file name {name!r} must end with .csv or .parquet")
+        raise FrameError(f"file name {name!r} must end with .csv, .parquet or the ending of a format that can be written")
     return path
