@@ -213,37 +213,59 @@ def _rest(members: DataFrame, vertices: DataFrame, sets: DataFrame, rule: Rule)
     met = met.withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     held = met.select("shingle", "low", "high", "own", "key", "root", "main", "n", "rest", "signature")
-    likely = held.groupBy("shingle", "low", "high").applyInArrow(_met(rule), "a binary, b binary")
+    sorted_ = held.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+    likely = sorted_.mapInArrow(_met(rule), "a binary, b binary")
     return _confirmed(likely.distinct(), sets, rule)
 
 
-def _met(rule: Rule) -> Callable[[pa.Table], pa.Table]:
-    """Members of a shingle's block, or of two blocks, whose sizes, shared shingles and signatures allow a link."""
+def _met(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of members of a shingle's block, or of two blocks, whose sizes, shared shingles and signatures allow a link.
+
+    Rows come sorted by block, so a run of equal ones is a block or a pair of them; a run that a batch cuts waits
+    for the next batch.
+    """
     least, count = _least_agreeing(rule), BANDS * ROWS
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def run(group: pa.Table) -> pa.Table:
-        keys = group.column("key").combine_chunks()
-        roots = group.column("root").combine_chunks()
+    def meet(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        keys, roots, mains = (rows.column(c).combine_chunks() for c in ("key", "root", "main"))
         component = pc.index_in(roots, pc.unique(roots)).to_numpy()
-        outside = pc.not_equal(roots, group.column("main").combine_chunks()).to_numpy(zero_copy_only=False)
-        own, low, n, rest = (group.column(c).to_numpy() for c in ("own", "low", "n", "rest"))
-        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, count)
-        within = group.column("high")[0].as_py() == int(low[0])
+        outside = pc.not_equal(roots, mains).to_numpy(zero_copy_only=False)
+        own, low, high, n, rest = (rows.column(c).to_numpy() for c in ("own", "low", "high", "n", "rest"))
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, count)
         left, right = [], []
-        for i in np.flatnonzero(outside):
-            meets = component != component[i]
-            # A pair of two members outside is looked at once.
-            meets &= ~outside | (np.arange(len(own)) > i)
-            if not within:
-                meets &= own != own[i]
-            meets &= np.minimum(rest, rest[i]) * (100 + rule.percent) >= rule.percent * (n + n[i])
-            at = np.flatnonzero(meets)
-            at = at[(signature[at] == signature[i]).sum(axis=1) >= least]
-            left += [int(i)] * len(at)
-            right += at.tolist()
-        a, b = (keys.take(pa.array(side, pa.int64())) for side in (left, right))
+        for s, e in zip(starts, ends, strict=True):
+            for i in (np.flatnonzero(outside[s:e]) + s).tolist():
+                meets = component[s:e] != component[i]
+                # A pair of two members outside is looked at once.
+                meets[: i - s] &= ~outside[s:i]
+                meets &= np.minimum(rest[s:e], rest[i]) * (100 + rule.percent) >= rule.percent * (n[s:e] + n[i])
+                if low[s] != high[s]:
+                    meets &= own[s:e] != own[i]
+                at = np.flatnonzero(meets) + s
+                if len(at):
+                    at = at[(signature[at] == signature[i]).sum(axis=1) >= least]
+                    left += [i] * len(at)
+                    right += at.tolist()
+        pairs = np.array([left, right], dtype=np.int64)
+        a, b = (keys.take(pa.array(side)) for side in pairs)
         first = pc.less(a, b)
-        return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a)})
+        return pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            block = np.stack([rows.column(c).to_numpy() for c in ("shingle", "low", "high")])
+            borders = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+            if len(borders):
+                whole = int(borders[-1])
+                yield meet(rows.slice(0, whole), np.concatenate([[0], borders[:-1]]), borders)
+                rows = rows.slice(whole)
+            held = rows
+        if held is not None and held.num_rows:
+            yield meet(held, np.array([0]), np.array([held.num_rows]))
 
     return run
 
