@@ -39,6 +39,20 @@ _ODD = re.compile("[\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u0130Σ]")
 CACHE_WORDS = 1 << 20
 
 
+class _Words(dict):
+    """The ids, as bytes, of each lower-case word seen so far."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        spaced = " ".join(_WORD_END_RE.findall(word)) + " "
+        own = self.tokenizer
+        found = own.by_rank[own.ranks.encode_to_numpy(spaced)].tobytes() if spaced != " " else b""
+        self[word] = found
+        return found
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -176,18 +190,14 @@ class Tokenizer:
 
         if any(t in text for t in self.special) or _ODD.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        known = process_store().setdefault(("words", self.digest), {})
-        words = unicodedata.normalize("NFC", text).lower().split()
-        out = []
+        store = process_store()
+        if ("words", self.digest) not in store:
+            store["words", self.digest] = _Words(self)
+        known = store["words", self.digest]
         if len(known) > CACHE_WORDS:
             known.clear()
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                spaced = " ".join(_WORD_END_RE.findall(word)) + " "
-                ids = known[word] = self.by_rank[self.ranks.encode_to_numpy(spaced)].tobytes() if spaced != " " else b""
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.uint32)
+        words = unicodedata.normalize("NFC", text).lower().split()
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.uint32)
 
     def lengths(self, texts: list[str]) -> list[int]:
         """Numbers of ids of a batch of texts or fragments."""
