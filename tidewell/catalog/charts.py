@@ -27,6 +27,23 @@ def _correlation(spark, sf_dir):
     return c.correlation_matrix(table(spark, sf_dir, "lineitem"), MEASURES)
 
 
+@query(
+    "correlation_matrix_wide",
+    """WITH v AS (SELECT o_orderkey AS k, i, CASE WHEN (o_custkey + i) % 11 <> 0 THEN (o_totalprice * (i + 1)) % 101 END AS v
+    FROM orders, range(30) r(i))
+    SELECT 'c' || a.i AS x, 'c' || b.i AS y, corr(a.v, b.v) AS corr FROM v a JOIN v b USING (k)
+    WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL""",
+    {"corr": 8},
+)
+def _correlation_wide(spark, sf_dir):
+    """Thirty columns with gaps of their own."""
+    orders = table(spark, sf_dir, "orders")
+    columns = {
+        f"c{i}": F.when((F.col("o_custkey") + i) % 11 != 0, (F.col("o_totalprice") * (i + 1)) % 101) for i in range(30)
+    }
+    return c.correlation_matrix(orders.select(*[value.alias(name) for name, value in columns.items()]), list(columns))
+
+
 @query(
     "correlation_matrix_pairwise",
     "WITH p AS (SELECT l_quantity AS a, CASE WHEN l_discount > 0.02 THEN l_discount END AS b, CASE WHEN l_tax < 0.06 THEN l_tax END AS c FROM lineitem) "

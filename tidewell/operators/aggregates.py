@@ -40,14 +40,14 @@ def median(df: DataFrame, shape: Shape = LONG, columns: list[str] | None = None)
     """Exact interpolated median."""
     columns = columns or [shape.value]
     require_columns(df, *columns)
-    result = None
-    for c in columns:
-        part = quantiles(df, shape.keys, c, [0.5]).select(*shape.keys, F.col("quantiles")[0].alias(c))
-        if result is None:
-            result = part
-        else:
-            result = join_null_safe(result, part, shape.keys, "full") if shape.keys else result.crossJoin(part)
-    return result
+    if len(columns) == 1:
+        return quantiles(df, shape.keys, columns[0], [0.5]).select(*shape.keys, F.col("quantiles")[0].alias(columns[0]))
+    # All columns in one pass: a column is a key like those of the series.
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = df.select(*shape.keys, F.explode(cells).alias("_cell")).select(*shape.keys, F.col("_cell.c").alias("_column"), F.col("_cell.v").alias("_v"))
+    found = quantiles(long, [*shape.keys, "_column"], "_v", [0.5])
+    middle = F.col("quantiles")[0]
+    return found.groupBy(*shape.keys).agg(*[F.max(F.when(F.col("_column") == i, middle)).alias(c) for i, c in enumerate(columns)])
 
 
 def standard_deviation(df: DataFrame, shape: Shape = LONG, columns: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,16 +15,30 @@ from tidewell.functions.durations import from_micros
 from tidewell.operators.joins import align, substitution_pairs
 
 
+#: From so many columns on, pairs are counted in matrices instead of an expression each.
+MANY_COLUMNS = 24
+#: Share of the squares below which a spread is rounding.
+ROUNDING = 1e-13
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows where both are known.
 
-    All pairs come from one aggregation over one scan.
+    Few columns take one aggregation with an expression for each pair. Many take two scans: their means, and matrices
+    of products of what is left, with masks for missing values, which a task adds up over its Arrow batches.
     """
     require_columns(df, *columns)
+    if len(columns) >= MANY_COLUMNS:
+        return _wide_correlation(df, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
+
+    def corr(x: Column, y: Column) -> Column:
+        """NULL where a side has no spread, which ``F.corr`` takes for a division by zero."""
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
     aggs = [
-        F.corr(F.when(known, F.col(a)), F.when(known, F.col(b))).alias(f"c{i}")
+        corr(F.when(known, F.col(a)), F.when(known, F.col(b))).alias(f"c{i}")
         for i, ((a, b), known) in enumerate(zip(pairs, both, strict=True))
     ]
     row = df.agg(*aggs)
@@ -33,6 +51,67 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
+_GRAM = "n array<double>, s array<double>, q array<double>, c array<double>"
+
+
+def _wide_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Matrices of the pairs: rows where both are known, sums, squares and products of the distances to the means."""
+    values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    numbers = df.select(*values)
+    means = numbers.agg(*[F.coalesce(F.avg(F.nanvl(f"x{i}", F.lit(None))), F.lit(0.0)) for i in range(len(columns))]).first()
+    centre, names, width = np.array(list(means), dtype=float), np.array(columns), len(columns)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            held = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, width))
+            known = ~np.isnan(held)
+            away = np.where(known, held - centre, 0.0)
+            mask = known.astype(float)
+            total += np.stack([mask.T @ mask, away.T @ mask, (away**2).T @ mask, away.T @ away])
+        rows = [pa.array(list(m), pa.list_(pa.float64())) for m in total]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), *rows], ["i", *"nsqc"])
+
+    # One row a column and task; rows of a column are added up a hundred tasks at a time, then all.
+    parts = numbers.mapInArrow(add, f"i int, {_GRAM}").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(100)))
+    for group in (["i", "g"], ["i"]):
+        parts = parts.groupBy(*group).applyInArrow(_added(group), ", ".join([f"{g} int" for g in group] + [_GRAM]))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(width, row["i"]), pa.int32()), pa.array(np.arange(width), pa.int32()), *(pa.array(row[k], pa.float64()) for k in "nsqc")],
+                    ["i", "j", *"nsqc"],
+                )
+
+    flat = parts.mapInArrow(cells, "i int, j int, n double, s double, q double, c double")
+    other = flat.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    both = flat.join(other, ["i", "j"])
+    n = F.col("n")
+    top = F.col("c") - F.try_divide(F.col("s") * F.col("s2"), n)
+
+    def spread(square: str, total: str) -> Column:
+        """Squared distances from the mean of the pair's rows; what is left of equal values by rounding is none."""
+        left = F.col(square) - F.try_divide(F.col(total) ** 2, n)
+        return F.when(left > ROUNDING * F.col(square), left)
+
+    value = top / F.sqrt(spread("q", "s") * spread("q2", "s2"))
+    labels = F.array(*[F.lit(c) for c in names.tolist()])
+    return both.select(F.get(labels, F.col("i")).alias("x"), F.get(labels, F.col("j")).alias("y"), F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias("corr"))
+
+
+def _added(group: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """The sum of the rows of one column's matrices."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        key = {g: rows.column(g).slice(0, 1).combine_chunks() for g in group}
+        sums = {k: pa.array([np.sum(np.array(rows.column(k).to_pylist()), axis=0).tolist()], pa.list_(pa.float64())) for k in "nsqc"}
+        return pa.table({**key, **sums})
+
+    return run
+
+
 def shares(df: DataFrame, value_column: str, group_column: str) -> DataFrame:
     """Sum per group and its share of the whole."""
     sums = df.groupBy(group_column).agg(F.sum(value_column).alias("total"))

@@ -58,17 +58,19 @@ def store_frame(df: DataFrame, base: str, name: str, job_id: str, now: dt.dateti
 
 
 def load_frame(spark: SparkSession, base: str, name: str, time: str | None = None, job_id: str | None = None) -> DataFrame:
-    """Read the artefact of a key, or the latest one. The key columns prune to its files."""
+    """Read the artefact of a key, or the latest one.
+
+    Keys are found by the names of files, without opening any; then the files of one artefact are read, so that
+    artefacts of a name may differ in their columns.
+    """
     root = f"{base.rstrip('/')}/{name}"
-    rows = spark.read.option("partitionOverwriteMode", "static").option("basePath", root).parquet(root)
-    rows = rows.withColumns({"time": F.col("time").cast("string"), "job_id": F.col("job_id").cast("string")})
-    if time is not None:
-        rows = rows.where(F.col("time") == time)
-    if job_id is not None:
-        rows = rows.where(F.col("job_id") == job_id)
-    if time is None or job_id is None:
-        newest = rows.agg(F.max(F.struct("time", "job_id")).alias("k")).first()["k"]
-        if newest is None:
-            raise FrameError(f"no artefact {name}")
-        rows = rows.where((F.col("time") == newest["time"]) & (F.col("job_id") == newest["job_id"]))
-    return rows.drop("time", "job_id")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    pattern = r"/time=([^/]+)/job_id=([^/]+)/[^/]+$"
+    keys = listed.select(*[F.regexp_extract("path", pattern, i + 1).alias(c) for i, c in enumerate(KEY_COLUMNS)]).where("time <> ''")
+    for column, wanted in zip(KEY_COLUMNS, (time, job_id), strict=True):
+        if wanted is not None:
+            keys = keys.where(F.col(column) == wanted)
+    newest = keys.agg(F.max(F.struct(*KEY_COLUMNS)).alias("k")).first()["k"]
+    if newest is None:
+        raise FrameError(f"no artefact {name} with time {time} and job {job_id}" if time or job_id else f"no artefact {name}")
+    return spark.read.parquet(f"{root}/time={newest['time']}/job_id={newest['job_id']}")
