@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.frames import LONG, Shape, numeric_columns
 from tidewell.functions import math as m
-from tidewell.operators.joins import align
+from tidewell.operators.joins import align, unique_index
 from tidewell.plans.blocks import join_null_safe
 
 BINARY: dict[str, Callable[[Column, Column], Column]] = {
@@ -66,10 +66,12 @@ def apply_binary(
 
 
 def apply_to_frames(a: DataFrame, b: DataFrame, kind: str, shape: Shape = LONG) -> DataFrame:
-    """Combine the equally named numeric columns of two frames, aligned on the index."""
+    """Combine the equally named numeric columns of two frames, which are aligned on the index once."""
     shared = [c for c in numeric_columns(a, shape) if c in numeric_columns(b, shape)]
-    result = None
-    for c in shared:
-        part = apply_binary(a, b, kind, shape.with_value(c)).select(*shape.index, c)
-        result = part if result is None else join_null_safe(result, part, shape.index, "full")
-    return result
+    sides = [
+        unique_index(df.select(*shape.index, *[F.col(c).alias(f"_{side}_{i}") for i, c in enumerate(shared)]), shape,
+                     [f"_{side}_{i}" for i in range(len(shared))])
+        for side, df in (("a", a), ("b", b))
+    ]
+    joined = join_null_safe(*sides, shape.index, "full")
+    return joined.select(*shape.index, *[BINARY[kind](F.col(f"_a_{i}"), F.col(f"_b_{i}")).alias(c) for i, c in enumerate(shared)])

@@ -79,12 +79,17 @@ def consume(
         if MESSAGE_ID not in frame.columns:
             number = F.monotonically_increasing_id().cast("string")
             frame = frame.withColumn(MESSAGE_ID, F.concat(F.lit(f"{batch}/"), number))
-        if continue_on_error:
-            good, bad = bind_inputs(frame, inputs, "quarantine")
+        if not continue_on_error:
+            put(pipeline(bind_inputs(frame, inputs)), path, batch)
+            return
+        # Both kinds come from the same messages, which are read once.
+        held = frame.persist()
+        try:
+            good, bad = bind_inputs(held, inputs, "quarantine")
             put(bad, dead_letters, batch)
-        else:
-            good = bind_inputs(frame, inputs)
-        put(pipeline(good), path, batch)
+            put(pipeline(good), path, batch)
+        finally:
+            held.unpersist()
 
     writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
