@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,13 @@ def _integers(vectors: list, length: int, scale: int, wide: bool) -> np.ndarray:
     return np.floor(scale * out)
 
 
+def _rows(vectors: pa.Array, length: int, scale: int, wide: bool) -> np.ndarray:
+    """`_integers` of a batch's column; vectors of full length are taken as one block of numbers."""
+    if not wide and len(vectors) and pc.all(pc.equal(pc.list_value_length(vectors), length)).as_py():
+        return np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), length))
+    return _integers(vectors.to_pylist(), length, scale, wide)
+
+
 def _cuts(length: int, parts: int) -> list[slice]:
     return [slice(p * length // parts, (p + 1) * length // parts) for p in range(parts)]
 
@@ -213,7 +221,7 @@ def _pass(df: DataFrame, books: Codebooks, vector: str, length: int, names: list
         for whole in batches:
             for start in range(0, whole.num_rows, limit):
                 batch = whole.slice(start, limit)
-                rows = _integers(batch.column(vector).to_pylist(), length, books.scale, books.wide)
+                rows = _rows(batch.column(vector), length, books.scale, books.wide)
                 state, errors, n = assign(rows, books, None if first else _restored(batch, held, books))
                 before = 0 if first else batch.column(computed).to_numpy()
                 kept = [batch.column(f) for f in carried]
@@ -242,13 +250,18 @@ def _moved(df: DataFrame, books: Codebooks, vector: str, length: int, assigned:
         counts = np.zeros((parts, entries), dtype=np.int64)
         sums = np.zeros((entries, length), dtype=object)
         for batch in batches:
-            rows = _integers(batch.column(vector).to_pylist(), length, books.scale, books.wide)
+            rows = _rows(batch.column(vector), length, books.scale, books.wide)
             codes = np.frombuffer(b"".join(batch.column(assigned).to_pylist()), np.uint8).reshape(-1, parts)
             for p, cut in enumerate(cuts):
                 counts[p] += np.bincount(codes[:, p], minlength=entries)
                 part = np.zeros((entries, cut.stop - cut.start), dtype=rows.dtype)
-                np.add.at(part, codes[:, p], rows[:, cut])
-                sums[:, cut] += part if books.wide else part.astype(np.int64).astype(object)
+                if books.wide:
+                    np.add.at(part, codes[:, p], rows[:, cut])
+                    sums[:, cut] += part
+                    continue
+                for i in range(part.shape[1]):
+                    part[:, i] = np.bincount(codes[:, p], rows[:, cut.start + i], minlength=entries)
+                sums[:, cut] += part.astype(np.int64).astype(object)
         out = []
         for p, cut in enumerate(cuts):
             for e in np.flatnonzero(counts[p]).tolist():
