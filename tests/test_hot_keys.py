@@ -11,8 +11,8 @@ import pytest
 from conftest import UTC, long_frame
 from pyspark.sql import functions as F
 
-from tidewell.frames import FrameError
-from tidewell.operators import filters, joins
+from tidewell.frames import FrameError, Shape
+from tidewell.operators import filters, joins, windows
 from tidewell.plans import blocks
 from tidewell.streaming.consume import consume
 from tidewell.streaming.messages import open_stream
@@ -103,3 +103,25 @@ def test_a_failed_batch_runs_again_or_not(spark, tmp_path, delivery, runs):
             time.sleep(0.05)
     assert len(seen) == runs
     assert (tmp_path / "out").exists() == (delivery == "at_least_once")
+
+
+def test_one_timestamp_with_a_third_of_the_rows(spark, layout):
+    """Rows of a frequent timestamp are spread towards the next one, over block borders."""
+    rng = random.Random(8)
+    rows = [(100, i) for i in range(60)] + [(rng.randint(0, 400), 60 + i) for i in range(110)]
+    micros = [(t * 1_000_000, p) for t, p in rows]
+    start = dt.datetime(2024, 1, 1, tzinfo=UTC)
+    frame = spark.createDataFrame(
+        [(start + dt.timedelta(microseconds=t), "ab"[p % 2], float(p), p) for t, p in micros],
+        "timestamp timestamp, metric string, value double, place int",
+    ).repartition(4)
+    found = windows.merge_distributing_duplicates(frame, "3s", Shape(tie=("place",)))
+    distinct = sorted({t for t, _ in micros})
+    following = dict(zip(distinct, distinct[1:], strict=False))
+    want = {}
+    for t in distinct:
+        places = sorted(p for u, p in micros if u == t)
+        span = min(following.get(t, t + 3_000_000) - t, 3_000_000)
+        want |= {p: t + k * span // len(places) for k, p in enumerate(places)}
+    got = {r["place"]: r["t"] for r in found.select("place", (F.unix_micros("timestamp") - F.unix_micros(F.lit(start))).alias("t")).collect()}
+    assert got == want
