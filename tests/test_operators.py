@@ -272,6 +272,30 @@ def test_numeric_grids_equal_pandas(spark, layout, d):
             assert (got[i] is None) if np.isnan(v) else got[i] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("d", [1, 2, 7])
+def test_numeric_grids_are_made_where_they_lie(spark, d):
+    """Missing values, a missing key and a wide stretch; the points of the grid are in no join and no shuffle."""
+    shape = Shape(("metric",), "i", "value")
+    data = {"a": {3: None, 10: 1.0, 11: 5.0, 40: None, 45: 3.0, 30_001: 9.0, 30_003: None}, None: {5: 2.0}, "b": {-4: None, 9: None}}
+    flat = [(k, i, v) for k, points in data.items() for i, v in points.items()]
+    rows = spark.createDataFrame(flat, "metric string, i bigint, value double").repartition(3)
+    made = resampling.resample_numeric(rows, d, shape), resampling.interpolate_on_numeric_grid(rows, d, shape)
+    for frame, mean in zip(made, (True, False), strict=True):
+        got = {(r["metric"], r["i"]): r["value"] for r in frame.collect()}
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "FullOuter" not in text
+        want = {}
+        for key, points in data.items():
+            series = pd.Series(points, dtype=float)
+            ends = range(min(points), max(points) + 1, d)
+            union = series.reindex(sorted({*points, *ends}))
+            whole = union.rolling(d, min_periods=1, center=True).mean() if mean else union.interpolate("index")
+            want.update({(key, i): whole[i] for i in ends})
+        assert got.keys() == want.keys()
+        for place, v in want.items():
+            assert (got[place] is None) if np.isnan(v) else got[place] == pytest.approx(v), place
+
+
 def test_grid_interpolation_uses_exact_hits_only(spark):
     rows = long_frame(spark, [("2020-01-01T00:00:00Z", 1.0), ("2020-01-01T00:00:30Z", 99.0), ("2020-01-01T00:02:00Z", 3.0), ("2020-01-01T00:03:10Z", 7.0)])
     assert values(resampling.interpolate_on_grid(rows, "1min")) == [1.0, 2.0, 3.0, 3.0]
