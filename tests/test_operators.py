@@ -108,6 +108,19 @@ def test_filter_takes_missing_flags_as_true(spark):
     assert values(filters.filter_by(data, mask)) == [2.0, 3.0]
 
 
+def test_filter_tells_rows_of_one_index_apart(spark):
+    at = [stamp("2020-01-01T00:00:00Z")] * 5
+    rows = spark.createDataFrame(
+        [(t, "a", v, v) for t, v in zip(at, (1.0, 2.0, 3.0, 3.0, None), strict=True)],
+        "timestamp timestamp, metric string, value double, reading double",
+    )
+    mask = rows.withColumn("value", (F.col("reading") > 1.5).cast("double"))
+    kept = filters.filter_by(rows, mask, Shape(tie=("reading",)))
+    assert sorted((r["value"] for r in kept.collect()), key=lambda v: (v is None, v)) == [2.0, 3.0, 3.0, None]
+    with pytest.raises(Exception, match="different flags"):
+        filters.filter_by(rows, mask).collect()
+
+
 def test_select_and_correct_time_intervals(spark):
     rows = long_frame(spark, [("2020-01-01T01:15:27Z", 42.2), ("2020-01-03T08:20:03Z", 18.7), ("2020-01-03T08:20:04Z", 25.9)])
     intervals = [

@@ -112,10 +112,11 @@ for _key, (_op, _missing) in COMPARISON_SQL.items():
     f"WITH {CTE_EVENTS} SELECT timestamp, metric, value FROM e WHERE value < 100 AND (value > 50 OR value > 10)",
 )
 def _filter(spark, sf_dir):
-    rows = events(spark, sf_dir)
+    rows = events(spark, sf_dir).withColumn("reading", F.col("value"))
     value = F.col("value")
     mask = rows.where(value < 100).withColumn("value", F.when(value <= 50, (value > 10).cast("double")))
-    return f.filter_by(rows, mask)
+    # Two events of a metric may share a timestamp; the mask's rows are told apart by the reading they come from.
+    return f.filter_by(rows, mask, Shape(tie=("reading",))).drop("reading")
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidewell.frames import LONG, FrameError, Shape, numeric_columns, require_columns, tick, value_columns
 from tidewell.functions.expressions import to_column
-from tidewell.operators.joins import align, unique_index
+from tidewell.operators.joins import align
 from tidewell.plans.blocks import any_of, join_null_safe, join_per_series, lay_out, narrowed, number_rows
 
 LITERAL_INTERVALS = 16
@@ -46,11 +46,21 @@ def compare(left: DataFrame, right: DataFrame | float | str | bool, kind: str, s
 
 
 def filter_by(data: DataFrame, mask: DataFrame, shape: Shape = LONG, flag: str = "value") -> DataFrame:
-    """Rows whose index is flagged by ``mask``; a missing flag value counts as true, a missing row as false."""
+    """Rows whose index is flagged by ``mask``; a missing flag value counts as true, a missing row as false.
+
+    Rows of one index are told apart by the tie-break of ``shape``. Rows of the mask with equal index and tie-break
+    must agree; if their flags differ, the job stops.
+    """
+    place = [*dict.fromkeys((*shape.index, *shape.tie))]
     value = F.col(flag)
-    keep = value.isNull() | value.cast("boolean")
-    kept = unique_index(mask.select(*shape.index, keep.alias("_keep")), shape, ["_keep"]).where("_keep")
-    return narrowed(join_null_safe(data, kept.select(*shape.index), shape.index, "left_semi"), data)
+    keep = F.coalesce(value.cast("boolean"), F.lit(True))
+    flags = mask.select(F.struct(*place).alias("_place"), keep.alias("_keep")).groupBy("_place")
+    folded = flags.agg(F.min("_keep").alias("_all"), F.max("_keep").alias("_any"))
+    named = F.concat_ws(" ", *[F.col(f"_place.`{c}`").cast("string") for c in place])
+    message = F.concat(F.lit("duplicate index with different flags "), named)
+    agreed = F.when(F.col("_all") == F.col("_any"), F.col("_any")).otherwise(F.raise_error(message).cast("boolean"))
+    kept = folded.where(agreed).select(*[F.col(f"_place.`{c}`").alias(c) for c in place])
+    return narrowed(join_null_safe(data, kept, place, "left_semi"), data)
 
 
 def parse_instant(text: str | dt.datetime | None) -> dt.datetime | None:
