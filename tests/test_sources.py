@@ -205,6 +205,26 @@ def test_long_series_are_refused_for_user_code(spark, frame, layout):
             per_series(big, lambda p: p, big.schema)
 
 
+def test_user_code_takes_long_series_in_pieces(spark, layout):
+    """Series beyond a block and a batch come in order, each to one call, and none is refused."""
+    rows = spark.range(400).selectExpr("timestamp_seconds(1000 - id) as timestamp", "if(id % 5 = 0, null, if(id % 5 = 1, 'b', 'a')) as metric", "double(id) as value")
+
+    def above_start(pieces):
+        start = None
+        for piece in pieces:
+            start = piece["value"].iloc[0] if start is None else start
+            yield piece.assign(value=piece["value"] - start)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = per_series(rows.repartition(5), above_start, rows.schema, pieces=True)
+        got = {(r["metric"], r["timestamp"]): r["value"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {"a": 399.0, "b": 396.0, None: 395.0}
+    assert got == {(r["metric"], r["timestamp"]): r["value"] - last[r["metric"]] for r in rows.collect()}
+
+
 def test_registered_source_has_a_name(spark):
     assert register_source(spark, rest.JsonSource) == rest.FORMAT
 

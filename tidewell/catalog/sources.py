@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -302,10 +303,14 @@ def _component(spark, sf_dir):
     {"value": 5},
 )
 def _per_series(spark, sf_dir):
-    def above_start(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(value=pdf["value"] - pdf["value"].iloc[0])
-
-    return per_series(events(spark, sf_dir), above_start, EVENT_SCHEMA)
+    def above_start(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start = None
+        for piece in pieces:
+            if start is None and len(piece):
+                start = piece["value"].iloc[0]
+            yield piece.assign(value=piece["value"] - start)
+
+    return per_series(events(spark, sf_dir), above_start, EVENT_SCHEMA, pieces=True)
 
 
 @query("user_code_per_batch", f"WITH {CTE_EVENTS} SELECT timestamp, metric, value * 2 AS value FROM e", {"value": 5})

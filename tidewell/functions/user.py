@@ -6,14 +6,18 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource
 
 from tidewell.frames import LONG, FrameError, Shape
-from tidewell.plans.blocks import block_rows, measure
+from tidewell.plans.blocks import BLOCK_ROWS_CONF, measure
 
 Outputs = DataFrame | dict[str, DataFrame]
 
+#: Rows of a series that user code may get as one frame.
+WHOLE_SERIES_ROWS = 1_000_000
+
 
 def run_component(function: Callable[..., Outputs], outputs: list[str] | None = None, **inputs: object) -> Outputs:
     """Call a user function with named inputs; several outputs come as a dictionary."""
@@ -25,21 +29,27 @@ def run_component(function: Callable[..., Outputs], outputs: list[str] | None =
 
 
 def per_series(
-    df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, shape: Shape = LONG
-) -> DataFrame:
-    """Arbitrary pandas code on each whole series.
+    df: DataFrame, function: Callable[..., pd.DataFrame | Iterator[pd.DataFrame]], schema: T.StructType | str,
+    shape: Shape = LONG, pieces: bool = False,
+) -> DataFrame:
+    """Arbitrary pandas code on each series, in order.
+
+    With ``pieces`` the code takes an iterator over consecutive pieces of its series and gives one back. A series
+    may then have any length: Spark sorts it, and a task holds one piece at a time.
 
-    The code needs its whole series in one task, so the size is checked first: a series beyond
-    the block size (``tidewell.block.rows``) is refused instead of overrunning the task.
+    Without, the code gets its whole series as one frame, so the size is checked first: a series beyond
+    ``WHOLE_SERIES_ROWS`` (or ``tidewell.block.rows``, if set) is refused instead of overrunning the task.
     """
-    limit = block_rows(df)
+    order = [*shape.order]
+    if pieces:
+        return _in_pieces(df, function, schema, shape)
+    limit = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(WHOLE_SERIES_ROWS)))
     longest = measure(df, shape, limit).spread.longest
     if longest > limit:
         raise FrameError(
             f"a series of {longest} rows does not fit one task (limit {limit}); "
-            "use per_batch for row-local code or a narrower key"
+            "use pieces, per_batch for row-local code, or a narrower key"
         )
-    order = [*shape.order]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return function(pdf.sort_values(order, kind="stable", ignore_index=True))
@@ -47,6 +57,20 @@ def per_series(
     return df.groupBy(*shape.keys).applyInPandas(run, schema)
 
 
+def _in_pieces(
+    df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str, shape: Shape
+) -> DataFrame:
+    """The groups of sorted partitions keep their order, as they are sorted by the keys first."""
+    keys = [*shape.keys]
+    dealt = df.repartition(*keys) if keys else df.repartition(1)
+    ordered = dealt.sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in shape.order])
+
+    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from function(pieces)
+
+    return ordered.groupBy(*keys).applyInPandas(run, schema)
+
+
 def per_batch(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
     """Row-local pandas code on Arrow batches, without a shuffle."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
