@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
 from conftest import UTC, long_frame, stamp
 from pyspark.sql import functions as F
 
+from tidewell.catalog import QUERIES
 from tidewell.frames import FrameError, update_attributes
 from tidewell.operators import gaps, joins, resampling
 
@@ -200,3 +202,14 @@ def test_series_without_points_in_range(spark):
     found = info.where(F.col("metric") == "b").collect()
     assert len(found) == 1 and found[0]["value_to_left"] is None and found[0]["gap_size_in_seconds"] == 3600.0
     assert UTC is dt.timezone.utc
+
+
+def test_expected_frequency_query_takes_all_events_and_the_ends_of_the_range(spark, tmp_path):
+    """The first day's beginning and the last day's end are points too; nothing is cut."""
+    at = [dt.datetime(2023, 5, 1, 1) + dt.timedelta(minutes=k) for k in range(6)]
+    at += [dt.datetime(2025, 5, 1, 1) + dt.timedelta(minutes=k) for k in range(6)]
+    rows = spark.createDataFrame([(t, "a", 1.0) for t in at], "ts timestamp_ntz, event_type string, value double")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    steps = sorted(b - a for a, b in itertools.pairwise([dt.datetime(2023, 5, 1), *at, dt.datetime(2025, 5, 2)]))
+    found = QUERIES["expected_frequency"](spark, str(tmp_path)).collect()
+    assert [(r["metric"], r["frequency"]) for r in found] == [("a", steps[round(12 * 0.9)] // dt.timedelta(microseconds=1))]

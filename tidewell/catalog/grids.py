@@ -159,13 +159,23 @@ def _bounds(spark, sf_dir):
 
 @query(
     "expected_frequency",
-    f"""WITH {CTE_EVENTS}, d AS (SELECT metric, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER {ORDER} AS distance FROM e),
+    f"""WITH {CTE_EVENTS}, r AS (SELECT unnest([date_trunc('day', min(timestamp)), date_trunc('day', max(timestamp)) + INTERVAL 1 DAY]) AS t FROM e),
+    c AS (SELECT * FROM e WHERE timestamp BETWEEN (SELECT min(t) FROM r) AND (SELECT max(t) FROM r)),
+    w AS (SELECT timestamp, metric FROM c UNION ALL SELECT t, metric FROM (SELECT DISTINCT metric FROM e) m, r
+    WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.timestamp = t AND c.metric IS NOT DISTINCT FROM m.metric)),
+    d AS (SELECT metric, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER {ORDER} AS distance FROM w),
     k AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY distance) - 1 AS rank, count(*) OVER (PARTITION BY metric) AS n
     FROM d WHERE distance IS NOT NULL)
     SELECT metric, distance AS frequency FROM k WHERE rank = CAST(round_even((n - 1) * 0.9, 0) AS BIGINT)""",
 )
 def _frequency(spark, sf_dir):
-    return g.expected_frequency(events(spark, sf_dir), 0.9, 11)
+    """Over all events: the processing range runs from the first day's beginning to the last day's end."""
+    rows = events(spark, sf_dir)
+    day, stamp = F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    ends = (F.date_trunc("day", F.min("timestamp")), F.date_trunc("day", F.max("timestamp")) + day)
+    low, high = rows.agg(*[F.date_format(end, stamp).alias(f"end{i}") for i, end in enumerate(ends)]).first()
+    bounded = g.add_bounds(g.constrict_series(rows, low, high), low, high, keys=rows)
+    return g.expected_frequency(bounded, 0.9, 11)
 
 
 @query(
