@@ -109,3 +109,10 @@ def test_small_series_are_not_copied(spark, split):
     copies = blocks._copy_to_cells(blocks._with_cells(ticked, SHAPE, facts, 10_000_000), 10_000_000)
     assert copies.where("metric = 'single'").count() == 1
     assert rows.count() < copies.count() < 2 * rows.count()
+
+
+def test_blocks_of_python_workers_are_small_by_default(spark):
+    rows = spark.range(300_000).selectExpr("timestamp_seconds(id) as timestamp", "'a' as metric", "double(id) as value")
+    laid = blocks.lay_out(rows, Shape())
+    fullest = laid.df.groupBy("metric", blocks.BLOCK).count().agg(F.max("count")).first()[0]
+    assert laid.split and fullest <= 150_000
