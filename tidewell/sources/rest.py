@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
@@ -79,7 +80,13 @@ def _lines(base: str, endpoint: str, request: Request, params: list[tuple[str, s
     if request.end:
         query.append(("to", request.end))
     url = f"{base.rstrip('/')}/{endpoint}?{urllib.parse.urlencode(query)}"
-    with urllib.request.urlopen(url, timeout=TIMEOUT_SECONDS) as response:  # noqa: S310
+    try:
+        response = urllib.request.urlopen(url, timeout=TIMEOUT_SECONDS)  # noqa: S310
+    except urllib.error.URLError as error:
+        if not (base.startswith("file:") and isinstance(error.reason, FileNotFoundError)):
+            raise
+        raise FileNotFoundError(f"no dump of {endpoint} in {base}") from error
+    with response:
         yield from response
 
 
