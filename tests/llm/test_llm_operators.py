@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer as Library
 
-from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, shards, vectors
+from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, shards, tokens, vectors
 from tidewell.llm.components import components
 from tidewell.llm.tokens import Tokenizer, inside_pairs
 
@@ -69,6 +72,43 @@ def test_fragments_equal_the_library():
                 assert tokenizer.decode(ids) == tokenizer.library.decode(want, skip_special_tokens=False)
 
 
+def test_batches_equal_the_library_and_run_the_ranks_once(monkeypatch):
+    rng = random.Random(4)
+    texts = [t or "" for _, t in odd_texts()] + [prose(rng, 50).translate({0x3A3: None, 0x3C: None}) for _ in range(40)]
+    for path in (BYTE, WORD):
+        tokenizer = Tokenizer(open(path, encoding="utf-8").read())
+        tokenizer.digest = f"batches of {path}"
+        for own in (texts, texts[::-1], [""], []):
+            ids, sizes = tokenizer.encode_batch([t.encode() for t in own], 1 << 16)
+            want = [tokenizer.library.encode(t, add_special_tokens=False).ids for t in own]
+            assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    tokenizer.digest, calls, ranks = "a new cache", [], tokenizer.ranks
+
+    class Counting:
+        def encode_to_numpy(self, text, **options):
+            calls.append(text)
+            return ranks.encode_to_numpy(text, **options)
+
+    tokenizer.ranks = Counting()
+    own = [" ".join(f"{a}{b}." for a in PARTS for b in rng.sample(PARTS, 9)) for _ in range(20)]
+    ids, sizes = tokenizer.encode_batch([t.encode() for t in own], 1 << 16)
+    want = [tokenizer.library.encode(t, add_special_tokens=False).ids for t in own]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    assert len(calls) == 1
+
+
+def test_characters_of_word_lookup():
+    """On them the case, classes and composition of the vocabulary with word ends are those of Python and Arrow."""
+    easy = [chr(c) for c in range(1, 1 << 16) if not tokens._HARD.search(chr(c))]
+    assert len(easy) > 30_000
+    assert pc.utf8_lower(pa.array(easy)).to_pylist() == [c.lower() for c in easy]
+    assert [c for c in easy if c.isalpha()] == [c for c in easy if re.fullmatch(r"[^\W\d_]", c)]
+    assert [c for c in easy if c.isspace()] == list("\t\n\v\f\r ")
+    assert all(unicodedata.is_normalized("NFC", c) for c in easy)
+    pairs = [unicodedata.decomposition(chr(c)).split() for c in range(1, 1 << 16)]
+    assert not {chr(int(x[1], 16)) for x in pairs if len(x) == 2 and not x[0].startswith("<")} & set(easy)
+
+
 def test_no_token_crosses_a_certain_cut():
     table = inside_pairs([b"ab", b"c", b"bcd"])
     assert table[ord("a"), ord("b")] and table[ord("b"), ord("c")] and not table[ord("b"), ord("a")]
@@ -347,6 +387,24 @@ def test_neighbours_come_by_bm25():
             assert len({item.doc // 6 for item, _, _ in window}) <= 2
 
 
+def test_used_items_leave_the_index():
+    """The scores of the others stay as they are, and bags are those of plain counting."""
+    rng = np.random.default_rng(8)
+    rests = [rng.integers(0, 300, size=n).astype("<u2" if n % 2 else "<u4") for n in [0, 1, 700, 30, 0, *rng.integers(1, 90, 60)]]
+    terms, counts, cuts = packing._bags(rests)
+    for k, own in enumerate(rests):
+        found = dict(zip(terms[cuts[k] : cuts[k + 1]].tolist(), counts[cuts[k] : cuts[k + 1]].tolist(), strict=True))
+        assert found == Counter(own.tolist()) and list(found) == sorted(found)
+    assert [len(x) for x in packing._bags([])] == [0, 0, 1] and len(packing._bags([rests[0]])[0]) == 0
+    index = packing.Index([packing.Item(i, x.astype(np.uint32), 0) for i, x in enumerate(rests) if len(x)])
+    wanted = rng.random(len(index.first) - 1) < 0.4
+    before = {i: index.scores(i)[wanted] for i in np.flatnonzero(wanted)}
+    index.keep(wanted)
+    assert len(index.owner) == wanted[index.owner].sum()
+    for i, scores in before.items():
+        assert (index.scores(i)[wanted] == scores).all() and not index.scores(i)[~wanted].any()
+
+
 def test_neighbours_meet_across_partitions(spark, tmp_path):
     """Documents of one topic lie in different partitions and share windows all the same."""
     rng = random.Random(13)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,9 +80,9 @@ class Index:
         self.starts = np.cumsum(self.spread) - self.spread
         number = np.full(len(known), -1)
         number[useful] = np.arange(useful.sum())
-        per_doc = np.repeat(number, spread)[keep]
+        self.number = np.repeat(number, spread)[keep]
         order = np.argsort(self.owner, kind="stable")
-        self.terms = per_doc[order]
+        self.terms = self.number[order]
         self.first = np.searchsorted(self.owner[order], np.arange(len(items) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -94,6 +95,13 @@ class Index:
         at = np.arange(ends[-1]) + np.repeat(self.starts[terms] - ends + spread, spread)
         return np.bincount(self.owner[at], self.weight[at], minlength=len(self.first) - 1)
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Takes all other items off the lists; the scores of the wanted ones stay as they are."""
+        kept = wanted[self.owner]
+        self.owner, self.weight, self.number = self.owner[kept], self.weight[kept], self.number[kept]
+        self.spread = np.bincount(self.number, minlength=len(self.spread))
+        self.starts = np.cumsum(self.spread) - self.spread
+
 
 Piece = tuple[Item, int, int]
 
@@ -111,12 +119,16 @@ def fill(items: list[Item], window: int, last: bool, corpus: Corpus | None = Non
     unused = np.ones(len(items), dtype=bool)
     left = sum(map(len, items))
     following, seed = 0, None
+    listed = len(items)
     while left >= window:
+        if 4 * unused.sum() < 3 * listed:
+            listed = unused.sum()
+            index.keep(unused)
         if seed is None:
             while not unused[following]:
                 following += 1
             seed = following
-        pieces, room, ranked, at = [], window, None, seed
+        pieces, room, scores, at = [], window, None, seed
         while True:
             item, take = items[at], min(room, len(items[at]))
             pieces.append((item, item.start, take))
@@ -126,10 +138,10 @@ def fill(items: list[Item], window: int, last: bool, corpus: Corpus | None = Non
             unused[at] = len(item) > 0
             if not room:
                 break
-            if ranked is None:
-                scores = index.scores(seed)
-                ranked = iter(np.argsort(-scores, kind="stable"))
-            at = next(i for i in ranked if unused[i])
+            if scores is None:
+                scores = np.where(unused, index.scores(seed), -1)
+            scores[at] = -1
+            at = int(np.argmax(scores))
         yield pieces
         seed = at if unused[at] else None
     rest = [x for x, u in zip(items, unused, strict=True) if u]
@@ -160,17 +172,32 @@ def _rests(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [_ids(data, size)[size - rest :] for data, size, rest in zip(*columns, strict=True)]
 
 
+def _sizes(rests: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter(map(len, rests), dtype=np.int64, count=len(rests))
+
+
+def _bags(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document in ascending order, how often it holds them, and where its own begin and end."""
+    ids = np.concatenate([np.zeros(0, dtype=np.uint16), *rests])
+    width = int(ids.max(initial=0)) + 1
+    kind = np.uint32 if len(rests) * width < 1 << 32 else np.uint64
+    keys = np.repeat(np.arange(len(rests), dtype=kind) * kind(width), _sizes(rests)) + ids
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+    owner, terms = np.divmod(keys[first], kind(width))
+    cuts = np.searchsorted(owner, np.arange(len(rests) + 1))
+    return terms.astype(np.int64), np.diff(first, append=len(keys)), cuts
+
+
 def _frequencies(encoded: DataFrame) -> np.ndarray:
     """Documents whose rest holds each id; one number per id of the tokenizer reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for ids in _rests(batch):
-                own = np.unique(ids)
-                if len(own) and own[-1] >= len(spread):
-                    spread = np.pad(spread, (0, int(own[-1]) + 1 - len(spread)))
-                spread[own] += 1
+        for batch in pieces(batches, "ids", 4 << 20):
+            own = np.bincount(_bags(_rests(batch))[0], minlength=len(spread))
+            own[: len(spread)] += spread
+            spread = own
         some = np.flatnonzero(spread)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(spread[some])], ["term", "n"])
 
@@ -185,11 +212,12 @@ def _frequencies(encoded: DataFrame) -> np.ndarray:
 def directions(rests: list[np.ndarray], corpus: Corpus, plane: np.ndarray) -> np.ndarray:
     """Unit vectors of the projected BM25 weights of documents; zero for one without a telling term."""
     out = np.zeros((len(rests), plane.shape[1]), dtype=np.float32)
-    for k, ids in enumerate(rests):
-        terms, counts = np.unique(ids, return_counts=True)
-        norm = K1 * (1 - B + B * len(ids) / corpus.mean)
-        weight = np.maximum(0, corpus.idf(terms)) * counts * (K1 + 1) / (counts + norm)
-        out[k] = weight.astype(np.float32) @ plane[terms]
+    terms, counts, cuts = _bags(rests)
+    norm = K1 * (1 - B + B * _sizes(rests) / corpus.mean)
+    weight = np.maximum(0, corpus.idf(terms)) * counts * (K1 + 1) / (counts + np.repeat(norm, np.diff(cuts)))
+    weight = weight.astype(np.float32)
+    for k, (a, b) in enumerate(itertools.pairwise(cuts.tolist())):
+        out[k] = weight[a:b] @ plane[terms[a:b]]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -260,11 +288,14 @@ def pack(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = source.get()
         for batch in pieces(batches, "text", 4 << 20):
-            ids = [np.append(codec.encode_parts(x, 1 << 16), np.uint32(end_id)) for x in texts_of(batch)]
-            sizes = np.array(list(map(len, ids)), dtype=np.int64)
-            packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
+            ids, sizes = codec.encode_batch(texts_of(batch), 1 << 16)
+            ids, sizes = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
+            data = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4")
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+            packed = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(sizes), pa.array(sizes % window)],
+                [batch.column("row"), batch.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(sizes), packed)]
+                + [pa.array(sizes), pa.array(sizes % window)],
                 ["row", "doc_id", "ids", "size", "rest"],
             )
 

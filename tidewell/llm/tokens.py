@@ -10,6 +10,7 @@ might differ, always go to the library itself.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -18,6 +19,8 @@ from functools import cached_property
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -27,30 +30,18 @@ from tidewell.llm.common import process_store
 #: punctuation, kana, common CJK ideographs and Hangul syllables.
 PLAIN = "\x01-ɏΑ-ΡΣ-Ωα-ωА-я‐-‧€ぁ-ゖァ-ヺ一-龥가-힣"
 _OTHER = re.compile(f"[^{PLAIN}]")
+#: The characters of `PLAIN` whose white space, lower case and number class are the same in Python and Arrow, too; the
+#: canonical composition leaves texts of them as they are.
+EASY = "\x01-\r -~¡-±´-¸º»¿-įı-ɏΑ-ΡΤ-Ωα-ωА-я‐-‧€ぁ-ゖァ-ヺ一-龥가-힣"
+_HARD = re.compile(f"[^{EASY}]")
 #: The split pattern of the byte-level pre-tokenizer (a fixed value of that format), with possessive runs.
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: The split pattern of the pre-tokenizer with word ends (a fixed value of that format).
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same classes in the syntax of `re`; used for texts of `PLAIN` characters only.
+#: The same classes in the syntax of `re`; used for texts of `EASY` characters only.
 _WORD_END_RE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Characters of `PLAIN` in which Python's white space, lower case or number class is another one.
-_ODD = re.compile("[\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u0130Σ]")
 #: Words whose pieces a worker keeps at most.
-CACHE_WORDS = 1 << 20
-
-
-class _Words(dict):
-    """The ids, as bytes, of each lower-case word seen so far."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        spaced = " ".join(_WORD_END_RE.findall(word)) + " "
-        own = self.tokenizer
-        found = own.by_rank[own.ranks.encode_to_numpy(spaced)].tobytes() if spaced != " " else b""
-        self[word] = found
-        return found
+CACHE_WORDS = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -153,6 +144,7 @@ class Tokenizer:
         if len(set(order)) != len(order) or set(order) != set(ids):
             return None
         self.by_rank = np.array([ids[t] for t in order] + list(self.special.values()), dtype=np.uint32)
+        self.rank_ends = np.array([t.endswith(b" ") for t in order])
         special = {} if self.suffix else {t: len(order) + i for i, t in enumerate(self.special)}
         pattern = r"[^ ]+ " if self.suffix else BYTE_LEVEL
         return tiktoken.Encoding(
@@ -178,26 +170,62 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text or fragment, as the library gives them without added special tokens."""
-        if self.ranks is None or _OTHER.search(text):
+        if self._easy(text):
+            return self._encode_words([text])[0]
+        if self.ranks is None or self.suffix or _OTHER.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if not self.suffix:
-            return self.by_rank[self.ranks.encode_to_numpy(text, allowed_special="all")]
-        return self._encode_words(text)
-
-    def _encode_words(self, text: str) -> np.ndarray:
-        """Ids of a text in the vocabulary with word ends, from the pieces of its blank-separated words."""
-        import unicodedata
-
-        if any(t in text for t in self.special) or _ODD.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        store = process_store()
-        if ("words", self.digest) not in store:
-            store["words", self.digest] = _Words(self)
-        known = store["words", self.digest]
+        return self.by_rank[self.ranks.encode_to_numpy(text, allowed_special="all")]
+
+    def _easy(self, text: str) -> bool:
+        """Whether the vocabulary has word ends and the text is encoded word by word."""
+        return bool(self.suffix) and self.ranks is not None and not (_HARD.search(text) or any(t in text for t in self.special))
+
+    def encode_batch(self, texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, one after the other, and the number of each text's ids."""
+        shown = [x.decode("utf-8", "replace") for x in texts]
+        easy = np.array([self._easy(x) for x in shown], dtype=bool)
+        if easy.all() and len(texts):
+            return self._encode_words(shown)
+        found = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        if easy.any():
+            at = np.flatnonzero(easy)
+            ids, sizes = self._encode_words([shown[i] for i in at])
+            for i, own in zip(at, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                found[i] = own
+        for i in np.flatnonzero(~easy):
+            found[i] = self.encode_parts(texts[i], least)
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *found]), np.array(list(map(len, found)), dtype=np.int64)
+
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`encode_batch` for easy texts: each distinct word of the batch is looked up once, and laid where it occurs."""
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        words = split.values.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = process_store().setdefault(("words", self.digest), {})
         if len(known) > CACHE_WORDS:
             known.clear()
-        words = unicodedata.normalize("NFC", text).lower().split()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.uint32)
+        pieces = list(map(known.get, distinct))
+        new = [i for i, found in enumerate(pieces) if found is None]
+        for i, found in zip(new, self._pieces([distinct[i] for i in new]), strict=True):
+            known[distinct[i]] = pieces[i] = found
+        table = np.frombuffer(b"".join(pieces), dtype=np.uint32)
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        place = words.indices.to_numpy()
+        counts = size[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat((np.cumsum(size) - size)[place] - ends[:-1], counts) + np.arange(ends[-1])
+        return table[at], np.diff(ends[split.offsets.to_numpy()])
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """The ids, as bytes, of each lower-case word, from one run over all of them."""
+        parts = [[w] if w.isalpha() else _WORD_END_RE.findall(w) for w in words]
+        spaced = " ".join(map(" ".join, filter(None, parts))) + " "
+        ranks = self.ranks.encode_to_numpy(spaced) if spaced != " " else np.zeros(0, dtype=np.uint32)
+        # Every part ends with the one token of its own that ends with a blank.
+        ends = np.concatenate([[0], np.flatnonzero(self.rank_ends[ranks]) + 1])
+        cuts = 4 * ends[np.cumsum([0, *map(len, parts)])]
+        data = self.by_rank[ranks].tobytes()
+        return [data[a:b] for a, b in itertools.pairwise(cuts.tolist())]
 
     def lengths(self, texts: list[str]) -> list[int]:
         """Numbers of ids of a batch of texts or fragments."""
