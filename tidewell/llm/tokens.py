@@ -218,12 +218,12 @@ class Tokenizer:
 
     def _pieces(self, words: list[str]) -> list[bytes]:
         """The ids, as bytes, of each lower-case word, from one run over all of them."""
-        parts = [[w] if w.isalpha() else _WORD_END_RE.findall(w) for w in words]
-        spaced = " ".join(map(" ".join, filter(None, parts))) + " "
-        ranks = self.ranks.encode_to_numpy(spaced) if spaced != " " else np.zeros(0, dtype=np.uint32)
+        spaced = [f"{w} " if w.isalpha() else "".join([f"{x} " for x in _WORD_END_RE.findall(w)]) for w in words]
+        parts = [x.count(" ") for x in spaced]
+        ranks = self.ranks.encode_to_numpy("".join(spaced)) if any(parts) else np.zeros(0, dtype=np.uint32)
         # Every part ends with the one token of its own that ends with a blank.
         ends = np.concatenate([[0], np.flatnonzero(self.rank_ends[ranks]) + 1])
-        cuts = 4 * ends[np.cumsum([0, *map(len, parts)])]
+        cuts = 4 * ends[np.cumsum([0, *parts])]
         data = self.by_rank[ranks].tobytes()
         return [data[a:b] for a, b in itertools.pairwise(cuts.tolist())]
 
