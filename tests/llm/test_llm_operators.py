@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -15,6 +16,7 @@ import pytest
 from tokenizers import Tokenizer as Library
 
 from tidewell.llm import bpe, counting, lines, lm, minhash, packing, planes, quality, shards, tokens, vectors
+from tidewell.llm.common import process_store
 from tidewell.llm.components import components
 from tidewell.llm.tokens import Tokenizer, inside_pairs
 
@@ -97,6 +99,40 @@ def test_batches_equal_the_library_and_run_the_ranks_once(monkeypatch):
     assert len(calls) == 1
 
 
+def test_a_worker_keeps_few_words_for_life():
+    """A corpus of ever new words fills no worker: it outlives the stage and stands beside whatever runs next."""
+    tokenizer = Tokenizer(open(WORD, encoding="utf-8").read())
+    tokenizer.digest = "ever new words"
+    words = [f"{a}{b}{c}{d}{e}" for a in PARTS for b in PARTS for c in PARTS for d in PARTS for e in "xy"]
+    for start in range(0, len(words), 40_000):
+        own = [" ".join(words[i : i + 200]) for i in range(start, min(start + 40_000, len(words)), 200)]
+        ids, sizes = tokenizer.encode_batch([t.encode() for t in own], 1 << 16)
+        assert sizes.sum() == len(ids)
+        assert ids[-sizes[-1] :].tolist() == tokenizer.library.encode(own[-1], add_special_tokens=False).ids
+    kept = process_store()[("words", tokenizer.digest)]
+    assert len(kept) == 1 << 17 < len(set(words))
+
+
+def test_a_batch_takes_little_memory():
+    """Hashes, signatures and bags of the largest batch that a worker has in its hands."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i:05d}" for i in rng.integers(0, 60_000, 300)).encode() for _ in range(minhash.BATCH_BYTES // 2100)]
+    rests = [rng.integers(0, 49_000, 512).astype(np.uint16) for _ in range(packing.BATCH_BYTES // 1024)]
+    tokenizer = Tokenizer(open(WORD, encoding="utf-8").read())
+    tokenizer.digest = "a batch"
+    assert tokenizer.ranks is not None
+    for work in (
+        lambda: minhash.signatures(minhash.shingle_sets(texts, 5)),
+        lambda: packing._bags(rests),
+        lambda: tokenizer.encode_batch(texts, 1 << 16),
+    ):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
+
+
 def test_characters_of_word_lookup():
     """On them the case, classes and composition of the vocabulary with word ends are those of Python and Arrow."""
     easy = [chr(c) for c in range(1, 1 << 16) if not tokens._HARD.search(chr(c))]

@@ -21,7 +21,8 @@ BANDS, ROWS = 32, 6
 ERRORS = 4.5
 #: Members of a shingle in one block of comparisons.
 BLOCK = 2048
-BATCH_BYTES = 4 << 20
+#: Texts of one batch; the word hashes take some 36 times as much meanwhile.
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -25,6 +25,8 @@ K1, B = 1.2, 0.75
 DIMENSIONS, SAMPLE = 64, 4096
 #: Groups at most; larger ones are dealt over several shards.
 GROUPS = 512
+#: Texts or ids that a worker has in its hands at once; all it makes of them is several times as large.
+BATCH_BYTES = 1 << 20
 _FIELDS = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -194,7 +196,7 @@ def _frequencies(encoded: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.zeros(0, dtype=np.int64)
-        for batch in pieces(batches, "ids", 4 << 20):
+        for batch in pieces(batches, "ids", BATCH_BYTES):
             own = np.bincount(_bags(_rests(batch))[0], minlength=len(spread))
             own[: len(spread)] += spread
             spread = own
@@ -247,7 +249,7 @@ def _grouped(encoded: DataFrame, corpus: Corpus, tokens: int, shard_tokens: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, plane, middle, shards, first = facts.value
-        for batch in pieces(batches, "ids", 4 << 20):
+        for batch in pieces(batches, "ids", BATCH_BYTES):
             where = directions(_rests(batch), corpus, plane)
             own = np.argmax(where @ middle.T, axis=1)
             salt = batch.column("salt").to_numpy()
@@ -287,7 +289,7 @@ def pack(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = source.get()
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", BATCH_BYTES):
             ids, sizes = codec.encode_batch(texts_of(batch), 1 << 16)
             ids, sizes = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
             data = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4")

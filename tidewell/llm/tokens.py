@@ -40,8 +40,9 @@ BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same classes in the syntax of `re`; used for texts of `EASY` characters only.
 _WORD_END_RE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Words whose pieces a worker keeps at most.
-CACHE_WORDS = 1 << 19
+#: Words whose pieces a worker keeps at most, the first it meets. It keeps them for life, beside whatever it runs later, and
+#: a corpus has ever more words that occur once.
+CACHE_WORDS = 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -202,12 +203,12 @@ class Tokenizer:
         words = split.values.dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = process_store().setdefault(("words", self.digest), {})
-        if len(known) > CACHE_WORDS:
-            known.clear()
         pieces = list(map(known.get, distinct))
         new = [i for i, found in enumerate(pieces) if found is None]
         for i, found in zip(new, self._pieces([distinct[i] for i in new]), strict=True):
-            known[distinct[i]] = pieces[i] = found
+            pieces[i] = found
+            if len(known) < CACHE_WORDS:
+                known[distinct[i]] = found
         table = np.frombuffer(b"".join(pieces), dtype=np.uint32)
         size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
         place = words.indices.to_numpy()
