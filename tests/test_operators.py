@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewell.frames import FrameError, Shape, nan_to_null, parse_any, validate_multits
 from tidewell.functions.durations import Calendar, add_frequency, parse_duration, parse_frequency
 from tidewell.operators import aggregates, arithmetic, attributes, charts, columns, filters, joins, resampling, reshape, windows
+from tidewell.plans import blocks
 
 NOON = "2020-01-01T12:00:0"
 
@@ -309,6 +310,59 @@ def test_numeric_grids_are_made_where_they_lie(spark, d):
             assert (got[place] is None) if np.isnan(v) else got[place] == pytest.approx(v), place
 
 
+GRIDS = [resampling.interpolate_on_numeric_grid]
+
+
+@pytest.mark.parametrize("made", GRIDS)
+def test_numeric_grids_shuffle_their_rows_once(spark, made, monkeypatch):
+    """Rows are counted as they are read and meet their series once; points and what is made for them stay where they are."""
+    counted = []
+
+    def measure(df, *args, **kwargs):
+        counted.append(df._jdf.queryExecution().executedPlan().toString())
+        return known(df, *args, **kwargs)
+
+    known = blocks.measure
+    monkeypatch.setattr(blocks, "measure", measure)
+    shape = Shape(("metric",), "i", "value")
+    rows = spark.createDataFrame(
+        [(f"m{n % 9}", n * 3 + n % 3, None if n % 5 == 0 else n / 7) for n in range(400)], "metric string, i bigint, value double"
+    )
+    frame = made(rows, 4, shape)
+    assert frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line and "REPARTITION" not in line]
+    assert len(counted) == 1 and "Exchange" not in counted[0]
+    assert len(dealt) == 1 and "(metric" in dealt[0]
+
+
+@pytest.mark.parametrize("made", GRIDS)
+def test_numeric_grids_stop_at_duplicates(spark, layout, made):
+    shape = Shape(("metric",), "i", "value")
+    rows = spark.range(120).selectExpr("'a' AS metric", "id * 3 AS i", "id * 0.5D AS value")
+    for twice in [("a", 9, None), (None, 4, 1.0), (None, None, None), ("a", None, 2.0)]:
+        more = spark.createDataFrame([twice, ("a", 500, 1.0), *([twice] if twice[:2] != ("a", 9) else [])], "metric string, i bigint, value double")
+        with pytest.raises(Exception, match="duplicate index"):
+            made(rows.unionByName(more), 4, shape).collect()
+
+
+@pytest.mark.parametrize("made", GRIDS)
+def test_numeric_grids_place_a_missing_index_first(spark, layout, made):
+    """In every layout; the points between two blocks with a row of missing index between them used to differ."""
+    shape = Shape(("metric",), "i", "value")
+    at = [int(i) for i in range(-200, 200) if i % 7 in (0, 1, 5)]
+    flat = [("a", i, None if i % 4 == 0 else i / 3) for i in at] + [("a", None, 7.0), ("b", None, 4.0), ("b", 5, None), ("b", 12, None)]
+    rows = spark.createDataFrame(flat, "metric string, i bigint, value double").repartition(3)
+    got = {(r["metric"], r["i"]): r["value"] for r in made(rows, 3, shape).collect()}
+    grid = range(at[0], at[-1] + 1, 3)
+    assert got.keys() == {("a", i) for i in grid} | {("b", i) for i in range(5, 13, 3)}
+    series = pd.Series({-10_000.0: 7.0, **{i: v for k, i, v in flat if k == "a" and i is not None}}, dtype=float)
+    union = series.reindex(sorted({*series.index, *grid}))
+    whole = union.rolling(3, min_periods=1, center=True).mean() if made is resampling.resample_numeric else series.dropna().iloc[1:].reindex(union.index[1:]).interpolate("index")
+    for i in grid:
+        assert (got["a", i] is None) if np.isnan(whole[i]) else got["a", i] == pytest.approx(whole[i]), i
+
+
 def test_grid_interpolation_uses_exact_hits_only(spark):
     rows = long_frame(spark, [("2020-01-01T00:00:00Z", 1.0), ("2020-01-01T00:00:30Z", 99.0), ("2020-01-01T00:02:00Z", 3.0), ("2020-01-01T00:03:10Z", 7.0)])
     assert values(resampling.interpolate_on_grid(rows, "1min")) == [1.0, 2.0, 3.0, 3.0]
