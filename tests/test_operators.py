@@ -310,7 +310,7 @@ def test_numeric_grids_are_made_where_they_lie(spark, d):
             assert (got[place] is None) if np.isnan(v) else got[place] == pytest.approx(v), place
 
 
-GRIDS = [resampling.interpolate_on_numeric_grid]
+GRIDS = [resampling.interpolate_on_numeric_grid, resampling.resample_numeric]
 
 
 @pytest.mark.parametrize("made", GRIDS)
@@ -363,6 +363,18 @@ def test_numeric_grids_place_a_missing_index_first(spark, layout, made):
         assert (got["a", i] is None) if np.isnan(whole[i]) else got["a", i] == pytest.approx(whole[i]), i
 
 
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "decimal(38,6)", "float", "bigint", "smallint"])
+def test_numeric_means_have_the_types_of_averages(spark, kind):
+    shape = Shape(("metric",), "i", "value")
+    flat = [("a", 0, 1), ("a", 1, 5), ("a", 2, None), ("a", 4, 7), ("a", 9, 4)]
+    rows = spark.createDataFrame(flat, "metric string, i bigint, value bigint").withColumn("value", F.col("value").cast(kind))
+    found = resampling.resample_numeric(rows, 3, shape)
+    places = spark.createDataFrame([(0, 0), (0, 1), (3, 4), (6, 4), (6, 9), (9, 9)], "at bigint, i bigint")
+    want = places.join(rows, "i").groupBy("at").agg(F.avg("value").alias("value"))
+    assert found.schema["value"].dataType == want.schema["value"].dataType
+    assert {r["i"]: r["value"] for r in found.collect()} == {r["at"]: r["value"] for r in want.collect()}
+
+
 def test_grid_interpolation_uses_exact_hits_only(spark):
     rows = long_frame(spark, [("2020-01-01T00:00:00Z", 1.0), ("2020-01-01T00:00:30Z", 99.0), ("2020-01-01T00:02:00Z", 3.0), ("2020-01-01T00:03:10Z", 7.0)])
     assert values(resampling.interpolate_on_grid(rows, "1min")) == [1.0, 2.0, 3.0, 3.0]
